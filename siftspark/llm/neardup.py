@@ -6,8 +6,8 @@ Hamming distance of two vectors is at most the symmetric difference of the sets,
 population counts differ beyond the radius are skipped. What passes is counted exactly on the tokens, so nothing is
 missed and nothing false comes out.
 
-Comparing all tiles with all would be quadratic, so tiles are laid within blocks that share a token of their sets'
-prefixes (tokensets.py) - a necessary condition, which loses no pair.
+Comparing all tiles with all would be quadratic, so tiles are laid within blocks of sets that share the first tokens of
+a global order (tokensets.block_keys) - a necessary condition, which loses no pair.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from siftspark.runtime import stage
 
 SIMILAR = Fraction(4, 5)
 WORDS = 4
+VECTOR = [f"v{w}" for w in range(WORDS)]
+VECTOR_SQL = ", ".join(f"{v} long" for v in VECTOR)
 #: Units up to this size are compared diagonal by diagonal, larger ones tile by tile.
 SMALL = 24
 SQUARE = 256
@@ -39,19 +41,27 @@ def _vectors(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _prefix_rows(order, t: Fraction):
+def vector_rows(order, total: int, t: Fraction):
+    """Rows (key, cid, n, v0...) of each set's blocks, for mapInArrow; further columns of the input follow."""
+
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             values, offsets = ts.flat(b.column("tokens"))
-            n = np.diff(offsets)
+            n = np.diff(offsets).astype(np.int32)
             vectors = _vectors(values, offsets)
-            by, first = ts.first_of_each(values, offsets, order.value, ts.prefix_lengths(n, t))
-            row = np.repeat(np.arange(len(n)), n)[first]
+            key, row = ts.block_keys(values, offsets, order.value, t, total)
+            rest = b.drop_columns(["cid", "tokens"]).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(by[first]), b.column("cid").take(pa.array(row)), pa.array(n[row].astype(np.int32)), *[pa.array(vectors[row, w]) for w in range(WORDS)]],
-                names=["key", "cid", "n", *[f"v{w}" for w in range(WORDS)]],
+                [
+                    pa.array(key),
+                    b.column("cid").take(pa.array(row)),
+                    pa.array(n[row]),
+                    *[pa.array(vectors[row, w]) for w in range(WORDS)],
+                    *rest.columns,
+                ],
+                names=["key", "cid", "n", *VECTOR, *rest.schema.names],
             )
 
     return run
@@ -90,30 +100,39 @@ def _squares(v, n, lo, hi, t):
             yield i[ok], j[ok]
 
 
+def close_pairs(tab: pa.Table, starts: np.ndarray, t: Fraction):
+    """Index pairs within the radius in each unit; of a unit of two tiles only pairs across them."""
+    n, tile, a, b = (tab.column(c).to_numpy() for c in ("n", "_tile", "_t", "_u"))
+    n = n.astype(np.int32)
+    v = np.stack([tab.column(c).to_numpy() for c in VECTOR], axis=1).view(np.uint64)
+    sizes = np.diff(starts)
+    unit = np.repeat(np.arange(len(sizes)), sizes)
+    small = np.repeat(sizes <= SMALL, sizes)
+
+    def across(i, j):
+        keep = (a[i] == b[i]) | (tile[i] != tile[j])
+        return i[keep], j[keep]
+
+    for d in range(1, min(SMALL, len(unit))):
+        i = np.flatnonzero((unit[d:] == unit[:-d]) & small[:-d])
+        if not len(i):
+            break
+        ok = i[_close(v, n, i, i + d, t)]
+        yield across(ok, ok + d)
+    for k in np.flatnonzero(sizes > SMALL):
+        for i, j in _squares(v, n, int(starts[k]), int(starts[k + 1]), t):
+            yield across(i, j)
+
+
 def _compare(t: Fraction):
     def run(batches):
         for tab, starts in whole_blocks(batches, "key"):
-            cid, n, tile, a, b = (tab.column(c).to_numpy() for c in ("cid", "n", "_tile", "_t", "_u"))
-            n = n.astype(np.int32)
-            v = np.stack([tab.column(f"v{w}").to_numpy() for w in range(WORDS)], axis=1).view(np.uint64)
-            sizes, found = np.diff(starts), []
-            unit = np.repeat(np.arange(len(sizes)), sizes)
-            small = np.repeat(sizes <= SMALL, sizes)
-            for d in range(1, SMALL):
-                i = np.flatnonzero((unit[d:] == unit[:-d]) & small[:-d]) if d < len(unit) else np.zeros(0, int)
-                if not len(i):
-                    break
-                found.append((i, i + d))
-            found = [(i[ok], j[ok]) for i, j in found for ok in [_close(v, n, i, j, t)]]
-            for k in np.flatnonzero(sizes > SMALL):
-                found += _squares(v, n, int(starts[k]), int(starts[k + 1]), t)
-            if not found:
-                continue
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-            # A unit of two tiles compares across them only.
-            keep = (cid[i] != cid[j]) & ((a[i] == b[i]) | (tile[i] != tile[j]))
-            x, y = cid[i[keep]], cid[j[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            found = list(close_pairs(tab, starts, t))
+            if found:
+                cid = tab.column("cid").to_numpy()
+                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+                x, y = cid[i], cid[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
 
@@ -122,8 +141,7 @@ def similar_classes(c: ts.Classes, t: Fraction = SIMILAR) -> DataFrame:
     """(a, b, common, either): all pairs of classes with Jaccard >= t, a < b."""
     spark = c.sets.sparkSession
     order = ts.share(spark, ts.order_table(c.sets, "tokens"))
-    vs = ", ".join(f"v{w} long" for w in range(WORDS))
-    rows = c.sets.select("cid", "tokens").mapInArrow(_prefix_rows(order, t), f"key long, cid long, n int, {vs}")
+    rows = c.sets.select("cid", "tokens").mapInArrow(vector_rows(order, c.sets.count(), t), f"key long, cid long, n int, {VECTOR_SQL}")
     units = tiled(rows, "key", "cid", F.lit(True), [])
     pairs = units.mapInArrow(_compare(t), "a long, b long").distinct()
     return ts.exact_pairs(pairs, c.sets, t)

@@ -22,8 +22,11 @@ from siftspark.runtime import stage, table
 
 #: Documents with fewer distinct tokens take no part in similarity.
 LEAST_TOKENS = 20
-#: Counters of the token order's frequency table: 2**18 four-byte counters, whatever the corpus size.
-COUNTERS_BITS = 18
+#: Counters of the token order's frequency table: 2**20 four-byte counters, whatever the corpus size.
+COUNTERS_BITS = 20
+#: A block that is expected to hold more rows than this is keyed by one more token; at most CHAIN tokens make a key.
+BLOCK = 128
+CHAIN = 3
 MASK = (1 << COUNTERS_BITS) - 1
 
 
@@ -103,7 +106,7 @@ def classes(docs: DataFrame, flags: dict[str, Column] | None = None) -> Classes:
 
 
 def order_table(items: DataFrame, column: str) -> np.ndarray:
-    """Occurrences of all array elements of ``column`` by their low bits: 2**18 counters, a fixed 1 MB."""
+    """Occurrences of all array elements of ``column`` by their low bits: 2**20 counters, a fixed 4 MB."""
     counts = (
         items.select(F.explode(column).alias("t"))
         .groupBy(F.col("t").bitwiseAND(F.lit(MASK).cast("long")).cast("int").alias("slot"))
@@ -140,6 +143,48 @@ def first_of_each(values: np.ndarray, offsets: np.ndarray, order: np.ndarray, ta
     return values[by], place < np.repeat(take, sizes)
 
 
+def block_keys(values: np.ndarray, offsets: np.ndarray, order: np.ndarray, t: Fraction, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of the blocks that each row of token sets belongs to.
+
+    Sets with Jaccard >= t share ceil(t n) tokens of either, so the k-th of their common tokens in the global order lies
+    among the first n - ceil(t n) + k of both. A key is the chain of a pair's first common tokens: of one if the token
+    is rare, of two if it is in more than BLOCK sets, of three if both are expected together in more than BLOCK. Whether
+    a chain goes on depends on its tokens only, so both sets of a pair make the key of their common chain. Tokens that
+    are in one set only make no key; their counters, which are never too low, show it.
+    """
+    sizes = np.diff(offsets)
+    take = prefix_lengths(sizes, t)
+    by, _ = first_of_each(values, offsets, order, take)
+    count = order[by & MASK].astype(np.float64)
+    start = np.repeat(offsets[:-1], np.minimum(take, sizes))
+    at = start + _within(np.minimum(take, sizes))
+    row = np.repeat(np.arange(len(sizes)), np.minimum(take, sizes))
+    keep = count[at] > 1
+    at, row = at[keep], row[keep]
+    key, expected = by[at].view(np.uint64), count[at]
+    keys, rows = [], []
+    for k in range(1, CHAIN + 1):
+        ends = (expected <= BLOCK) if k < CHAIN else np.ones(len(at), bool)
+        keys.append(key[ends])
+        rows.append(row[ends])
+        at, row, key, expected = (x[~ends] for x in (at, row, key, expected))
+        if not len(at):
+            break
+        # The next token of the chain: any later one among the first n - ceil(t n) + k + 1.
+        more = np.maximum(np.minimum(take[row] + k, sizes[row]) - (at - offsets[row]) - 1, 0)
+        prev = np.repeat(np.arange(len(at)), more)
+        nxt = at[prev] + 1 + _within(more)
+        at, row = nxt, row[prev]
+        key = (key[prev] ^ (key[prev] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + by[at].view(np.uint64)
+        expected = expected[prev] * count[at] / max(total, 1)
+    return np.concatenate(keys).view(np.int64), np.concatenate(rows)
+
+
+def _within(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of consecutive stretches."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
 def exact_pairs(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """Of candidate (a, b), those with Jaccard >= t of their token sets, counted exactly."""
     a = sets.select(F.col("cid").alias("a"), F.col("n").alias("_na"), F.col("tokens").alias("_ta"))
