@@ -33,7 +33,7 @@ SMALL = 24
 SQUARE = 256
 
 
-def _vectors(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def bit_vectors(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     bit = (values.view(np.uint64) >> np.uint64(40)) & np.uint64(64 * WORDS - 1)
     out = np.zeros((len(offsets) - 1, WORDS), np.uint64)
@@ -50,7 +50,7 @@ def vector_rows(order, total: int, t: Fraction):
                 continue
             values, offsets = ts.flat(b.column("tokens"))
             n = np.diff(offsets).astype(np.int32)
-            vectors = _vectors(values, offsets)
+            vectors = bit_vectors(values, offsets)
             key, row = ts.block_keys(values, offsets, order.value, t, total)
             rest = b.drop_columns(["cid", "tokens"]).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(

@@ -105,19 +105,20 @@ def classes(docs: DataFrame, flags: dict[str, Column] | None = None) -> Classes:
     return Classes(docs, members, stage(sets, "sets"))
 
 
-def order_table(items: DataFrame, column: str) -> np.ndarray:
-    """Occurrences of all array elements of ``column`` by their low bits: 2**20 counters, a fixed 4 MB."""
-    counts = (
-        items.select(F.explode(column).alias("t"))
-        .groupBy(F.col("t").bitwiseAND(F.lit(MASK).cast("long")).cast("int").alias("slot"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    arrow = counts.toArrow()
+def counters(slots: DataFrame) -> np.ndarray:
+    """Occurrences of each `slot`: 2**20 counters, a fixed 4 MB."""
+    counts = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).toArrow()
     out = np.zeros(MASK + 1, dtype=np.uint32)
-    out[arrow.column("slot").to_numpy()] = np.minimum(arrow.column("n").to_numpy(), 2**32 - 1)
+    out[counts.column("slot").to_numpy()] = np.minimum(counts.column("n").to_numpy(), 2**32 - 1)
     return out
 
 
+def order_table(items: DataFrame, column: str) -> np.ndarray:
+    """Occurrences of all array elements of ``column`` by their low bits."""
+    low = F.explode(F.transform(column, lambda t: t.bitwiseAND(F.lit(MASK).cast("long")).cast("int")))
+    return counters(items.select(low.alias("slot")))
+
+
 def share(spark: SparkSession, order: np.ndarray):
     """A broadcast of the order table; its size is fixed."""
     return spark.sparkContext.broadcast(order)
