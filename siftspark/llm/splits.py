@@ -89,7 +89,7 @@ def assign(records: DataFrame, aliases: DataFrame, proportions: dict[str, float]
     split, edge = F.lit(names[-1]), 1.0
     for k in reversed(names[1:]):
         edge -= max(lack[k], 0) / rest
-        split = F.when(x < edge, F.lit(names[names.index(k) - 1])).otherwise(split) if k == names[-1] else F.when(x < edge, F.lit(names[names.index(k) - 1])).otherwise(split)
+        split = F.when(x < edge, F.lit(names[names.index(k) - 1])).otherwise(split)
     dealt = ranked.select("unit", split.alias("split"))
     if given:
         dealt = dealt.unionByName(records.sparkSession.createDataFrame(given, "unit string, split string"))
