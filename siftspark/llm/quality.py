@@ -9,6 +9,7 @@ aggregated once, over all documents, into at most as many rows as there are patt
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,8 +130,8 @@ def _reach() -> dict[tuple[int, int], np.ndarray]:
 def learn(patterns: list[tuple[list[int], int]], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(accuracies, prior) by expectation-maximization on (votes, number of documents) patterns.
 
-    A vote for a set of types is right with the function's accuracy if the set holds the true type; within and outside
-    the set its chance is spread evenly. Accuracies start at 0.8, are smoothed and kept between 0.55 and 0.999: functions
+    A function votes for a set that holds the true type with its accuracy, else for one that doesn't, with a chance in
+    proportion to the size of the set. Accuracies start at 0.8, are smoothed and kept between 0.55 and 0.999: functions
     are better than chance, which also settles which type is which.
     """
     reach, k = _reach(), len(TYPES)
@@ -152,8 +153,7 @@ def learn(patterns: list[tuple[list[int], int]], rounds: int = ROUNDS) -> tuple[
 
 
 def _weights(acc: float, types: np.ndarray) -> np.ndarray:
-    inside = types.sum()
-    return np.log(np.where(types, acc / inside, (1 - acc) / (len(types) - inside)))
+    return np.log(np.where(types, acc, (1 - acc) * types.sum() / (len(types) - 1)))
 
 
 def _posterior(v, acc, prior, reach) -> np.ndarray:
@@ -171,22 +171,23 @@ def _fit(voted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scored(voted: DataFrame, acc: np.ndarray, prior: np.ndarray) -> DataFrame:
-    """Adds p_<type> and `type`, from literals of the learned model; no join."""
-    out = voted
-    for y, name in enumerate(TYPES):
-        score = F.lit(float(np.log(prior[y])))
-        for (j, i), types in _reach().items():
-            score = score + F.when(F.col("votes")[j] == i, F.lit(float(_weights(acc[j], types)[y]))).otherwise(F.lit(0.0))
-        out = out.withColumn(f"_s_{name}", score)
-    top = F.greatest(*[F.col(f"_s_{t}") for t in TYPES])
-    out = out.withColumn("_top", top)
-    whole = sum((F.exp(F.col(f"_s_{t}") - F.col("_top")) for t in TYPES), F.lit(0.0))
-    for t in TYPES:
-        out = out.withColumn(f"p_{t}", F.exp(F.col(f"_s_{t}") - F.col("_top")) / whole)
-    best = F.lit(TYPES[-1])
-    for t in reversed(TYPES[:-1]):
-        best = F.when(F.col(f"_s_{t}") == F.col("_top"), F.lit(t)).otherwise(best)
-    return out.withColumn("type", best).drop("_top", *[f"_s_{t}" for t in TYPES])
+    """(doc_id, votes, p_<type>..., type) of (doc_id, votes)."""
+    reach = _reach()
+
+    def run(batches):
+        for b in batches:
+            v = b.column("votes").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(FUNCTIONS))
+            p = _posterior(v, acc, prior, reach)
+            best = pa.array([TYPES[k] for k in p.argmax(axis=1)], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("votes"), *[pa.array(p[:, k]) for k in range(len(TYPES))], best], names=names)
+
+    names = ["doc_id", "votes", *[f"p_{t}" for t in TYPES], "type"]
+    return voted.mapInArrow(run, ", ".join(["doc_id long, votes array<byte>", *[f"p_{t} double" for t in TYPES], "type string"]))
+
+
+def _voted(documents: DataFrame) -> DataFrame:
+    """(doc_id, votes). The statistics are written first: inlined into the functions they would be worked out again and again."""
+    return votes(stage(statistics(documents), "statistics")).select("doc_id", "votes")
 
 
 def typed(documents: DataFrame) -> DataFrame:
@@ -195,7 +196,7 @@ def typed(documents: DataFrame) -> DataFrame:
     The model is learned from all of ``documents``. Null and blank texts have no row; ties go to the first of TYPES; an
     empty table gives no rows; further columns, whatever their names, change nothing.
     """
-    voted = stage(votes(statistics(documents)).select("doc_id", "votes"), "votes")
+    voted = _voted(documents)
     return _scored(voted, *_fit(voted))
 
 
@@ -206,7 +207,7 @@ def not_prose(documents: DataFrame) -> DataFrame:
 
 def function_accuracies(documents: DataFrame) -> DataFrame:
     """(function, accuracy, n_votes): what was learned of each labelling function, over all of dataset `context`."""
-    voted = stage(votes(statistics(documents.where(F.col("dataset") == "context"))).select("doc_id", "votes"), "votes")
+    voted = _voted(documents.where(F.col("dataset") == "context"))
     acc, _ = _fit(voted)
     cast = voted.select(F.posexplode("votes").alias("j", "vote")).groupBy("j").agg(F.count(F.when(F.col("vote") > 0, 1)).alias("n_votes"))
     known = [(j, name, round(float(acc[j]), 4)) for j, (name, _) in enumerate(FUNCTIONS)]
