@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftspark.functions.text import presence
@@ -127,10 +127,8 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     )
     asked = targets.select(F.lower(presence(F.col("source"))).alias("source"), "target_share", "max_repeats")
     both = asked.join(got, "source", "left").na.fill(0, ["n_documents", "n_uses", "most_uses", "n_tokens"])
-    whole = both.agg(F.sum("n_tokens").alias("whole"))
-    return both.crossJoin(F.broadcast(whole)).withColumn(
-        "share", F.when(F.col("whole") > 0, F.round(F.col("n_tokens") / F.col("whole"), 6))
-    ).drop("whole")
+    whole = F.sum("n_tokens").over(Window.partitionBy())
+    return both.withColumn("share", F.when(whole > 0, F.round(F.col("n_tokens") / whole, 6)))
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
