@@ -176,7 +176,9 @@ def metrics_sql(query: str) -> str:
     """``query`` over mx, the metric rows of all methods."""
     from siftspark.operators.conformal import DECISIONS_SQL
 
-    return with_sql("cal tgt bud ev", f"WITH {DECISIONS_SQL}, {triage_sql('de')} {query}")
+    body = query.strip()
+    more = f", {body[5:]}" if body[:5] == "WITH " else f" {body}"
+    return with_sql("cal tgt bud ev", f"WITH {DECISIONS_SQL}, {triage_sql('de')}{more}")
 
 
 _CUM = """WITH g AS (SELECT detector, seed, p, sum(y) AS pos, sum(1 - y) AS neg FROM tgt GROUP BY 1, 2, 3),
