@@ -4,7 +4,8 @@ Tiled exact comparison on bit vectors: each token set is also a 256-bit vector w
 Hamming distance of two vectors is at most the symmetric difference of the sets, which for Jaccard >= t is at most
 (1 - t) / (1 + t) of the summed sizes: the radius. Tiles are compared with exclusive-or and bit counts; tile pairs whose
 population counts differ beyond the radius are skipped. What passes is counted exactly on the tokens, so nothing is
-missed and nothing false comes out.
+missed and nothing false comes out. Groups need links, not all pairs: within a tile pair rows that are linked already
+aren't compared with each other.
 
 Comparing all tiles with all would be quadratic, so tiles are laid within blocks of sets that share the first tokens of
 a global order (tokensets.block_keys) - a necessary condition, which loses no pair.
@@ -124,12 +125,80 @@ def close_pairs(tab: pa.Table, starts: np.ndarray, t: Fraction):
             yield across(i, j)
 
 
-def _compare(t: Fraction):
+def partnered(t: Fraction, left: str | None = None, right: str | None = None):
+    """Rows of units that have a partner within the radius, for mapInArrow; with ``left`` and ``right``, the names of
+    boolean columns, a partner of the other side. Vectors are kept, what was only needed to find partners isn't."""
+
     def run(batches):
         for tab, starts in whole_blocks(batches, "key"):
-            found = list(close_pairs(tab, starts, t))
+            keep = np.zeros(len(tab), bool)
+            if left:
+                a, b = sides(tab, left, right)
+            for i, j in close_pairs(tab, starts, t):
+                if left:
+                    across = (a[i] & b[j]) | (b[i] & a[j])
+                    i, j = i[across], j[across]
+                keep[i] = keep[j] = True
+            yield from tab.filter(pa.array(keep)).to_batches()
+
+    return run
+
+
+def sides(tab: pa.Table, left: str, right: str) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(tab.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in (left, right))
+
+
+def with_tokens(units: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of units with their token sets, whole units together again."""
+    held = units.join(sets.select("cid", "tokens"), "cid").repartition("key", "_t", "_u").sortWithinPartitions("key", "_t", "_u", "cid")
+    return held.select(*units.columns, "tokens")
+
+
+UNIT_SQL = f"key long, cid long, n int, {VECTOR_SQL}"
+PLACE_SQL = "_tile int, _t int, _u int"
+
+
+def _spread(tok: ts.TokenRows, v: np.ndarray, n: np.ndarray, lo: int, hi: int, t: Fraction):
+    """Links of a spanning forest of the similar rows lo..hi.
+
+    Each row is compared with those that no row reached yet, so a family of m copies of each other costs about m
+    comparisons and gives m - 1 links, not one for each pair.
+    """
+    rest = np.arange(lo, hi)
+    while len(rest):
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            x = front.pop()
+            near = np.flatnonzero(_close(v, n, np.full(len(rest), x), rest, t))
+            hit = near[tok.similar(np.full(len(near), x), rest[near], t)]
+            if len(hit):
+                yield np.full(len(hit), x), rest[hit]
+                front.extend(rest[hit].tolist())
+                rest = np.delete(rest, hit)
+
+
+def _link(t: Fraction):
+    """(a, b): links that connect, within each unit, exactly what similar pairs connect."""
+
+    def run(batches):
+        for tab, starts in whole_blocks(batches, "key", least=4_000):
+            cid, n = tab.column("cid").to_numpy(), tab.column("n").to_numpy().astype(np.int32)
+            v = np.stack([tab.column(c).to_numpy() for c in VECTOR], axis=1).view(np.uint64)
+            tok = ts.TokenRows(tab.column("tokens"))
+            sizes = np.diff(starts)
+            unit = np.repeat(np.arange(len(sizes)), sizes)
+            small = np.repeat(sizes <= SMALL, sizes)
+            found = []
+            for d in range(1, min(SMALL, len(unit))):
+                i = np.flatnonzero((unit[d:] == unit[:-d]) & small[:-d])
+                if not len(i):
+                    break
+                i = i[_close(v, n, i, i + d, t)]
+                i = i[tok.similar(i, i + d, t)]
+                found.append((i, i + d))
+            for k in np.flatnonzero(sizes > SMALL):
+                found.extend(_spread(tok, v, n, int(starts[k]), int(starts[k + 1]), t))
             if found:
-                cid = tab.column("cid").to_numpy()
                 i, j = (np.concatenate(x) for x in zip(*found, strict=True))
                 x, y = cid[i], cid[j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -137,14 +206,14 @@ def _compare(t: Fraction):
     return run
 
 
-def similar_classes(c: ts.Classes, t: Fraction = SIMILAR) -> DataFrame:
-    """(a, b, common, either): all pairs of classes with Jaccard >= t, a < b."""
+def similar_links(c: ts.Classes, t: Fraction = SIMILAR) -> DataFrame:
+    """(a, b): links between classes with Jaccard >= t whose connected components are those of all similar pairs."""
     spark = c.sets.sparkSession
     order = ts.share(spark, ts.order_table(c.sets, "tokens"))
-    rows = c.sets.select("cid", "tokens").mapInArrow(vector_rows(order, c.sets.count(), t), f"key long, cid long, n int, {VECTOR_SQL}")
+    rows = c.sets.select("cid", "tokens").mapInArrow(vector_rows(order, c.sets.count(), t), UNIT_SQL)
     units = tiled(rows, "key", "cid", F.lit(True), [])
-    pairs = units.mapInArrow(_compare(t), "a long, b long").distinct()
-    return ts.exact_pairs(pairs, c.sets, t)
+    kept = units.mapInArrow(partnered(t), f"{UNIT_SQL}, {PLACE_SQL}")
+    return with_tokens(kept, c.sets).mapInArrow(_link(t), "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, t: Fraction = SIMILAR) -> DataFrame:
@@ -154,7 +223,7 @@ def near_duplicates(documents: DataFrame, t: Fraction = SIMILAR) -> DataFrame:
     columns, nulls in them and repeated rows of one doc_id change nothing; an empty table gives no rows.
     """
     c = ts.classes(stage(ts.token_sets(documents), "tokens"))
-    links = stage(similar_classes(c, t).select("a", "b"), "links")
+    links = stage(similar_links(c, t), "links")
     roots = components(links)  # (node, root): classes that are linked
     placed = c.members.select("doc_id", "cid").distinct().join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     placed = placed.select("doc_id", F.coalesce("root", "cid").alias("group_doc_id"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from siftspark.functions.text import presence
 from siftspark.llm import tokensets as ts
 from siftspark.llm.blocks import tiled, whole_blocks
-from siftspark.llm.neardup import VECTOR, VECTOR_SQL, bit_vectors, close_pairs
+from siftspark.llm.neardup import PLACE_SQL, UNIT_SQL, VECTOR, bit_vectors, close_pairs, partnered, sides, with_tokens
 from siftspark.runtime import stage, table
 
 SIMILAR = Fraction(17, 20)
@@ -135,15 +135,31 @@ def _rare_chunks(order, t: Fraction):
     return run
 
 
-def _across(t: Fraction):
+def _beside_train(t: Fraction):
+    """(cid) of evaluation classes with Jaccard >= t to a training class of the unit.
+
+    One partner is enough: candidates are checked in turns, one for each class that has none yet, so a unit gives at
+    most one row per class, however many pairs it holds.
+    """
+
     def run(batches):
-        for tab, starts in whole_blocks(batches, "key"):
-            left, right = (tab.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("train", "eval"))
-            cid = tab.column("cid").to_numpy()
+        for tab, starts in whole_blocks(batches, "key", least=4_000):
+            train, ev = sides(tab, "train", "eval")
+            cid, tok = tab.column("cid").to_numpy(), ts.TokenRows(tab.column("tokens"))
+            done = np.zeros(len(tab), bool)
             for i, j in close_pairs(tab, starts, t):
-                ok = (left[i] & right[j]) | (right[i] & left[j])
-                x, y = cid[i[ok]], cid[j[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                for x, y in ((i, j), (j, i)):
+                    open_ = ev[x] & train[y] & ~done[x]
+                    x, y = x[open_], y[open_]
+                    while len(x):
+                        _, first = np.unique(x, return_index=True)
+                        ok = tok.similar(x[first], y[first], t)
+                        done[x[first[ok]]] = True
+                        rest = np.ones(len(x), bool)
+                        rest[first] = False
+                        rest &= ~done[x]
+                        x, y = x[rest], y[rest]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(cid[done]))], names=["cid"])
 
     return run
 
@@ -154,17 +170,19 @@ def _placed_sets(splits: DataFrame, documents: DataFrame) -> DataFrame:
     return stage(ts.token_sets(documents).join(of, ["dataset", "row_id"]), "tokens")
 
 
-def _split_links(docs: DataFrame, t: Fraction) -> tuple[ts.Classes, DataFrame]:
-    """Classes with flags train and eval, and the class pairs (a, b) with Jaccard >= t that link the two sides."""
+def _near_train(docs: DataFrame, t: Fraction) -> tuple[ts.Classes, DataFrame]:
+    """Classes with flags train and eval, and the (cid) of those with an evaluation document and a training document
+    in them or in another class with Jaccard >= t."""
     spark = docs.sparkSession
     c = ts.classes(docs, {"train": F.col("split") == "train", "eval": F.col("split") != "train"})
     slots = c.sets.select("tokens").mapInArrow(_digests(t), "slot int")
     order = ts.share(spark, ts.counters(slots))
-    rows = c.sets.select("cid", "tokens", "train", "eval").mapInArrow(
-        _rare_chunks(order, t), f"key long, cid long, n int, {VECTOR_SQL}, train boolean, eval boolean"
-    )
+    schema = f"{UNIT_SQL}, train boolean, eval boolean"
+    rows = c.sets.select("cid", "tokens", "train", "eval").mapInArrow(_rare_chunks(order, t), schema)
     units = tiled(rows, "key", "cid", F.col("_l") & F.col("_r"), [F.max("train").alias("_l"), F.max("eval").alias("_r")])
-    return c, ts.exact_pairs(units.mapInArrow(_across(t), "a long, b long").distinct(), c.sets, t)
+    kept = units.mapInArrow(partnered(t, "train", "eval"), f"{schema}, {PLACE_SQL}")
+    found = with_tokens(kept, c.sets).mapInArrow(_beside_train(t), "cid long")
+    return c, found.unionByName(c.sets.where("train and eval").select("cid")).distinct()
 
 
 def contaminated(records: DataFrame, documents: DataFrame, t: Fraction = SIMILAR) -> DataFrame:
@@ -179,12 +197,7 @@ def contaminated(records: DataFrame, documents: DataFrame, t: Fraction = SIMILAR
     outside = splits.where("split <> 'train'")
     keys = splits.where("split = 'train' and key is not null").select("key").distinct()
     exact = outside.join(keys, "key", "left_semi").select("dataset", "split", "row_id")
-    c, links = _split_links(_placed_sets(splits, documents), t)
-    links = stage(links.select("a", "b"), "links")
-    flags = c.sets.select("cid", "train", "eval")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    beside_train = ends.join(flags.where("train").select(F.col("cid").alias("b")), "b").select(F.col("a").alias("cid"))
-    hit = beside_train.unionByName(flags.where("train and eval").select("cid")).distinct()
+    c, hit = _near_train(_placed_sets(splits, documents), t)
     near = c.members.join(hit, "cid", "left_semi").select("dataset", "row_id").distinct()
     near = outside.join(near, ["dataset", "row_id"], "left_semi").select("dataset", "split", "row_id")
     return exact.unionByName(near).distinct().select("dataset", F.col("split").alias("origin_split"), "row_id")

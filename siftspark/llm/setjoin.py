@@ -23,68 +23,14 @@ from pyspark.sql import functions as F
 
 from siftspark.llm import tokensets as ts
 from siftspark.llm.blocks import tiled, whole_blocks
-from siftspark.llm.neardup import SMALL, VECTOR, VECTOR_SQL, close_pairs, vector_rows
+from siftspark.llm.neardup import PLACE_SQL, UNIT_SQL, VECTOR, partnered, sides, vector_rows, with_tokens
 from siftspark.runtime import stage
 
 SIMILAR = Fraction(7, 10)
 #: Units up to this size are one cell.
 ONE_CELL = 32
-#: Pairs whose tokens are intersected at a time.
-CHUNK = 50_000
 
-
-def _sides(tab: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(tab.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("left", "right"))
-
-
-def _partnered(t: Fraction):
-    """Rows of units that have a partner of the other side within the bit vectors' radius."""
-
-    def run(batches):
-        for tab, starts in whole_blocks(batches, "key"):
-            left, right = _sides(tab)
-            keep = np.zeros(len(tab), bool)
-            for i, j in close_pairs(tab, starts, t):
-                across = (left[i] & right[j]) | (right[i] & left[j])
-                keep[i[across]] = keep[j[across]] = True
-            yield from tab.filter(pa.array(keep)).drop_columns(["n", *VECTOR]).to_batches()
-
-    return run
-
-
-class _Tokens:
-    """Sizes of intersections of rows' token sets, many pairs at a time."""
-
-    def __init__(self, column: pa.ChunkedArray):
-        values, self.offsets = ts.flat(column.combine_chunks() if column.num_chunks != 1 else column.chunk(0))
-        self.n = np.diff(self.offsets)
-        names, self.codes = np.unique(values, return_inverse=True)
-        self.width = max(len(names), 1)
-
-    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.int64)
-        for lo in range(0, len(i), CHUNK):
-            a, b = i[lo : lo + CHUNK], j[lo : lo + CHUNK]
-            codes = np.sort(np.concatenate([self._codes(a), self._codes(b)]))
-            twice = codes[1:][codes[1:] == codes[:-1]] // self.width
-            out[lo : lo + CHUNK] = np.bincount(twice, minlength=len(a))
-        return out
-
-    def _codes(self, rows: np.ndarray) -> np.ndarray:
-        n = self.n[rows]
-        at = np.repeat(self.offsets[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(np.arange(len(rows)), n) * self.width + self.codes[at]
-
-    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        c = self.common(i, j)
-        return 1 - c / (self.n[i] + self.n[j] - c)
-
-    def similar(self, i: np.ndarray, j: np.ndarray, t: Fraction) -> np.ndarray:
-        c = self.common(i, j)
-        return c * t.denominator >= (self.n[i] + self.n[j] - c) * t.numerator
-
-
-def _cells(tok: _Tokens, lo: int, hi: int, r: float):
+def _cells(tok: ts.TokenRows, lo: int, hi: int, r: float):
     """(x, y, |d(x, p) - d(y, p)|) of the pairs that meet in the cells of rows lo..hi; x is at home there."""
     m = hi - lo
     k = 1 if m <= ONE_CELL else int(np.ceil(np.sqrt(m)))
@@ -112,9 +58,9 @@ def _join(t: Fraction):
 
     def run(batches):
         for tab, starts in whole_blocks(batches, "key", least=4_000):
-            left, right = _sides(tab)
+            left, right = sides(tab, "left", "right")
             cid, tile, a, b = (tab.column(c).to_numpy() for c in ("cid", "_tile", "_t", "_u"))
-            tok = _Tokens(tab.column("tokens"))
+            tok = ts.TokenRows(tab.column("tokens"))
             found, waiting = [], []
 
             def settle():
@@ -130,7 +76,7 @@ def _join(t: Fraction):
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 if e - s > 1:
                     waiting.extend(_cells(tok, int(s), int(e), r))
-                if sum(len(x) for x, _ in waiting[-64:]) > CHUNK or len(waiting) > 4_000:
+                if sum(len(x) for x, _ in waiting[-64:]) > ts.CHUNK or len(waiting) > 4_000:
                     settle()
             if waiting:
                 settle()
@@ -150,14 +96,12 @@ def similar_across(documents: DataFrame, left: str, right: str, t: Fraction = SI
     c = ts.classes(docs, {"left": F.col("dataset") == left, "right": F.col("dataset") == right})
     order = ts.share(spark, ts.order_table(c.sets, "tokens"))
     rows = c.sets.select("cid", "tokens", "left", "right").mapInArrow(
-        vector_rows(order, c.sets.count(), t), f"key long, cid long, n int, {VECTOR_SQL}, left boolean, right boolean"
+        vector_rows(order, c.sets.count(), t), f"{UNIT_SQL}, left boolean, right boolean"
     )
     useful = F.col("_l") & F.col("_r")
     units = tiled(rows, "key", "cid", useful, [F.max("left").alias("_l"), F.max("right").alias("_r")])
-    kept = units.mapInArrow(_partnered(t), "key long, cid long, left boolean, right boolean, _tile int, _t int, _u int")
-    held = kept.join(c.sets.select("cid", "tokens"), "cid").repartition("key", "_t", "_u").sortWithinPartitions("key", "_t", "_u", "cid")
-    pairs = held.select("key", "cid", "left", "right", "_tile", "_t", "_u", "tokens").mapInArrow(_join(t), "a long, b long").distinct()
-    return c, pairs
+    kept = units.mapInArrow(partnered(t, "left", "right"), f"{UNIT_SQL}, left boolean, right boolean, {PLACE_SQL}").drop("n", *VECTOR)
+    return c, with_tokens(kept, c.sets).mapInArrow(_join(t), "a long, b long").distinct()
 
 
 def document_pairs(documents: DataFrame, left: str = "primevul", right: str = "diversevul", t: Fraction = SIMILAR) -> DataFrame:

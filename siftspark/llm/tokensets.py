@@ -186,18 +186,41 @@ def _within(lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def exact_pairs(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Of candidate (a, b), those with Jaccard >= t of their token sets, counted exactly."""
-    a = sets.select(F.col("cid").alias("a"), F.col("n").alias("_na"), F.col("tokens").alias("_ta"))
-    b = sets.select(F.col("cid").alias("b"), F.col("n").alias("_nb"), F.col("tokens").alias("_tb"))
-    both = F.size(F.array_intersect("_ta", "_tb"))
-    return (
-        pairs.join(a, "a")
-        .join(b, "b")
-        .withColumn("_i", both)
-        .where(F.col("_i") * t.denominator >= (F.col("_na") + F.col("_nb") - F.col("_i")) * t.numerator)
-        .select("a", "b", F.col("_i").alias("common"), (F.col("_na") + F.col("_nb") - F.col("_i")).alias("either"))
-    )
+#: Pairs whose tokens are intersected at a time.
+CHUNK = 50_000
+
+
+class TokenRows:
+    """Sizes of intersections of rows' token sets, many pairs at a time."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        values, self.offsets = flat(column.combine_chunks() if column.num_chunks != 1 else column.chunk(0))
+        self.n = np.diff(self.offsets)
+        names, self.codes = np.unique(values, return_inverse=True)
+        self.width = max(len(names), 1)
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        for lo in range(0, len(i), CHUNK):
+            a, b = i[lo : lo + CHUNK], j[lo : lo + CHUNK]
+            codes = np.sort(np.concatenate([self._codes(a), self._codes(b)]))
+            twice = codes[1:][codes[1:] == codes[:-1]] // self.width
+            out[lo : lo + CHUNK] = np.bincount(twice, minlength=len(a))
+        return out
+
+    def _codes(self, rows: np.ndarray) -> np.ndarray:
+        n = self.n[rows]
+        at = np.repeat(self.offsets[rows], n) + _within(n)
+        return np.repeat(np.arange(len(rows)), n) * self.width + self.codes[at]
+
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        c = self.common(i, j)
+        return 1 - c / (self.n[i] + self.n[j] - c)
+
+    def similar(self, i: np.ndarray, j: np.ndarray, t: Fraction) -> np.ndarray:
+        """Whether Jaccard >= t, in whole numbers."""
+        c = self.common(i, j)
+        return c * t.denominator >= (self.n[i] + self.n[j] - c) * t.numerator
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
