@@ -31,6 +31,8 @@ VECTOR = [f"v{w}" for w in range(WORDS)]
 VECTOR_SQL = ", ".join(f"{v} long" for v in VECTOR)
 #: Units up to this size are compared diagonal by diagonal, larger ones tile by tile.
 SMALL = 24
+#: Close rows of a larger unit up to which their pairs are written; beyond it links are found with the tokens at hand.
+FEW = 64
 SQUARE = 256
 
 
@@ -101,28 +103,43 @@ def _squares(v, n, lo, hi, t):
             yield i[ok], j[ok]
 
 
-def close_pairs(tab: pa.Table, starts: np.ndarray, t: Fraction):
-    """Index pairs within the radius in each unit; of a unit of two tiles only pairs across them."""
-    n, tile, a, b = (tab.column(c).to_numpy() for c in ("n", "_tile", "_t", "_u"))
-    n = n.astype(np.int32)
-    v = np.stack([tab.column(c).to_numpy() for c in VECTOR], axis=1).view(np.uint64)
-    sizes = np.diff(starts)
-    unit = np.repeat(np.arange(len(sizes)), sizes)
-    small = np.repeat(sizes <= SMALL, sizes)
-
-    def across(i, j):
-        keep = (a[i] == b[i]) | (tile[i] != tile[j])
+class Units:
+    """The units of a table, with what comparing their rows needs."""
+
+    def __init__(self, tab: pa.Table, starts: np.ndarray, t: Fraction):
+        self.t, self.starts, self.sizes = t, starts, np.diff(starts)
+        self.tile, self.a, self.b = (tab.column(c).to_numpy() for c in ("_tile", "_t", "_u"))
+        self.n = tab.column("n").to_numpy().astype(np.int32)
+        self.v = np.stack([tab.column(c).to_numpy() for c in VECTOR], axis=1).view(np.uint64)
+
+    def _across(self, i: np.ndarray, j: np.ndarray):
+        """Of a unit of two tiles only pairs across them."""
+        keep = (self.a[i] == self.b[i]) | (self.tile[i] != self.tile[j])
         return i[keep], j[keep]
 
-    for d in range(1, min(SMALL, len(unit))):
-        i = np.flatnonzero((unit[d:] == unit[:-d]) & small[:-d])
-        if not len(i):
-            break
-        ok = i[_close(v, n, i, i + d, t)]
-        yield across(ok, ok + d)
-    for k in np.flatnonzero(sizes > SMALL):
-        for i, j in _squares(v, n, int(starts[k]), int(starts[k + 1]), t):
-            yield across(i, j)
+    def small(self):
+        """Close index pairs of all units of up to SMALL rows, diagonal by diagonal."""
+        unit = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        small = np.repeat(self.sizes <= SMALL, self.sizes)
+        for d in range(1, min(SMALL, len(unit))):
+            i = np.flatnonzero((unit[d:] == unit[:-d]) & small[:-d])
+            if not len(i):
+                return
+            i = i[_close(self.v, self.n, i, i + d, self.t)]
+            yield self._across(i, i + d)
+
+    def large(self):
+        """For each larger unit its close index pairs, square by square."""
+        for k in np.flatnonzero(self.sizes > SMALL):
+            yield (self._across(i, j) for i, j in _squares(self.v, self.n, int(self.starts[k]), int(self.starts[k + 1]), self.t))
+
+
+def close_pairs(tab: pa.Table, starts: np.ndarray, t: Fraction):
+    """Index pairs within the radius in each unit."""
+    u = Units(tab, starts, t)
+    yield from u.small()
+    for unit in u.large():
+        yield from unit
 
 
 def partnered(t: Fraction, left: str | None = None, right: str | None = None):
@@ -156,6 +173,7 @@ def with_tokens(units: DataFrame, sets: DataFrame) -> DataFrame:
 
 UNIT_SQL = f"key long, cid long, n int, {VECTOR_SQL}"
 PLACE_SQL = "_tile int, _t int, _u int"
+SIFTED = ["key", "cid", "n", *VECTOR, "_tile", "_t", "_u", "b"]
 
 
 def _spread(tok: ts.TokenRows, v: np.ndarray, n: np.ndarray, lo: int, hi: int, t: Fraction):
@@ -177,27 +195,47 @@ def _spread(tok: ts.TokenRows, v: np.ndarray, n: np.ndarray, lo: int, hi: int, t
                 rest = np.delete(rest, hit)
 
 
+def _sift(t: Fraction):
+    """Close pairs (a, b) of units with few close rows; of the others the close rows themselves, with null b.
+
+    Pairs come from units of up to SMALL rows or FEW close ones, so a row is in at most FEW pairs of a unit.
+    """
+
+    def run(batches):
+        for tab, starts in whole_blocks(batches, "key"):
+            u = Units(tab, starts, t)
+            cid, pairs, rows = tab.column("cid").to_numpy(), list(u.small()), []
+            for unit in u.large():
+                held, close = [], set()
+                for i, j in unit:
+                    close.update(np.unique(np.concatenate([i, j])).tolist())
+                    if len(close) <= FEW:
+                        held.append((i, j))
+                if len(close) <= FEW:
+                    pairs += held
+                else:
+                    rows.append(np.array(sorted(close)))
+            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int),) * 2
+            x, y = cid[i], cid[j]
+            kept = tab.take(pa.array(np.concatenate(rows) if rows else np.zeros(0, int)))
+            yield from pa.concat_tables(
+                [
+                    pa.table({"cid": np.minimum(x, y), "b": np.maximum(x, y)}),
+                    kept.append_column("b", pa.nulls(len(kept), pa.int64())),
+                ],
+                promote_options="default",
+            ).select(SIFTED).combine_chunks().to_batches()
+
+    return run
+
+
 def _link(t: Fraction):
     """(a, b): links that connect, within each unit, exactly what similar pairs connect."""
 
     def run(batches):
         for tab, starts in whole_blocks(batches, "key", least=4_000):
-            cid, n = tab.column("cid").to_numpy(), tab.column("n").to_numpy().astype(np.int32)
-            v = np.stack([tab.column(c).to_numpy() for c in VECTOR], axis=1).view(np.uint64)
-            tok = ts.TokenRows(tab.column("tokens"))
-            sizes = np.diff(starts)
-            unit = np.repeat(np.arange(len(sizes)), sizes)
-            small = np.repeat(sizes <= SMALL, sizes)
-            found = []
-            for d in range(1, min(SMALL, len(unit))):
-                i = np.flatnonzero((unit[d:] == unit[:-d]) & small[:-d])
-                if not len(i):
-                    break
-                i = i[_close(v, n, i, i + d, t)]
-                i = i[tok.similar(i, i + d, t)]
-                found.append((i, i + d))
-            for k in np.flatnonzero(sizes > SMALL):
-                found.extend(_spread(tok, v, n, int(starts[k]), int(starts[k + 1]), t))
+            u, tok, cid = Units(tab, starts, t), ts.TokenRows(tab.column("tokens")), tab.column("cid").to_numpy()
+            found = [p for s, e in zip(starts[:-1], starts[1:], strict=True) for p in _spread(tok, u.v, u.n, int(s), int(e), t)]
             if found:
                 i, j = (np.concatenate(x) for x in zip(*found, strict=True))
                 x, y = cid[i], cid[j]
@@ -212,8 +250,10 @@ def similar_links(c: ts.Classes, t: Fraction = SIMILAR) -> DataFrame:
     order = ts.share(spark, ts.order_table(c.sets, "tokens"))
     rows = c.sets.select("cid", "tokens").mapInArrow(vector_rows(order, c.sets.count(), t), UNIT_SQL)
     units = tiled(rows, "key", "cid", F.lit(True), [])
-    kept = units.mapInArrow(partnered(t), f"{UNIT_SQL}, {PLACE_SQL}")
-    return with_tokens(kept, c.sets).mapInArrow(_link(t), "a long, b long").distinct()
+    sifted = stage(units.mapInArrow(_sift(t), f"{UNIT_SQL}, {PLACE_SQL}, b long"), "sifted")
+    few = ts.exact_pairs(sifted.where("b is not null").select(F.col("cid").alias("a"), "b").distinct(), c.sets, t)
+    many = with_tokens(sifted.where("b is null").drop("b"), c.sets).mapInArrow(_link(t), "a long, b long")
+    return few.unionByName(many).distinct()
 
 
 def near_duplicates(documents: DataFrame, t: Fraction = SIMILAR) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.functions.text import SPACE, presence
+from siftspark.functions.text import SPACE, presence, sql_presence
 from siftspark.llm import tokensets as ts
 from siftspark.runtime import stage
 
@@ -219,6 +219,43 @@ def _context(f):
     return lambda spark, folder: f(ts.documents(spark, folder))
 
 
+def _sql_share(n: str, of: str) -> str:
+    return f"CASE WHEN {of} > 0 THEN round(({n}) / ({of}), 6) ELSE 0 END"
+
+
+def _sql_count(of: str, test: str) -> str:
+    return f"len(list_filter({of}, lambda x: {test}))"
+
+
+def _sql_match(pattern: str) -> str:
+    return f"regexp_matches(x, '{pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+_BARE = r"lower(regexp_replace(x, '^[^\pL\pN]+|[^\pL\pN]+\z', '', 'g'))"
+_SHARES = {
+    "lines_ending_in_punctuation": _sql_share(_sql_count("l", _sql_match(r"[.!?…][\"'”’)]*\z")), "m"),
+    "common_words": _sql_share(_sql_count("w", f"{_BARE} IN ({', '.join(repr(c) for c in COMMON)})"), "n"),
+    "plain_words": _sql_share(_sql_count("w", _sql_match(r"^[(\"'„“]*\pL[\pL’'-]*[.,;:!?)\"'”“]*\z")), "n"),
+    "broken_words": _sql_share(_sql_count("w", _sql_match(rf"\pL{BROKEN}|{BROKEN}\pL|^{BROKEN}")), "n"),
+    "unspeakable_words": _sql_share(_sql_count("w", f"regexp_matches({_BARE}, '^[b-df-hj-np-tv-z]{{5,}}|[b-df-hj-np-tv-xz]{{5}}')"), "n"),
+    "sentence_ends": _sql_share(_sql_count("w", _sql_match(r"\pL[.!?][\"')]*\z|\)[.!?]\z")), "n"),
+    "distinct_words": _sql_share("len(list_distinct(w))", "n"),
+    "comma_words": _sql_share(_sql_count("w", _sql_match(r"[,;]\z")), "n"),
+    "bullet_lines": _sql_share(_sql_count("l", _sql_match(_BULLET)), "m"),
+    "column_lines": _sql_share(_sql_count("l", _sql_match(_COLUMNS)), "m"),
+    "keyed_lines": _sql_share(_sql_count("l", _sql_match(_KEYED)), "m"),
+    "dump_lines": _sql_share(_sql_count("l", _sql_match(_DUMP)), "m"),
+    "short_lines": _sql_share(_sql_count("l", _sql_match(r"^[ \t>]*[^ \t]+([ \t]+[^ \t]+){0,3}\z") + " AND NOT " + _sql_match(r"[.!?]\z")), "m"),
+}
+ORACLE = {
+    "p9_statistics": f"""WITH a AS (SELECT doc_id, text AS t, list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda x: x <> '') AS w,
+        list_filter(list_transform(regexp_split_to_array(text, '{LINE}'), lambda x: regexp_replace(x, '{SPACE}+\\z', '')), lambda x: x <> '') AS l
+        FROM documents WHERE dataset = 'context' AND {sql_presence('text')} IS NOT NULL),
+      b AS (SELECT *, len(w) AS n, len(l) AS m, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS s FROM a)
+      SELECT doc_id, length(t) AS n_chars, n AS n_words, m AS n_lines, {_sql_share('s', 'n')} AS mean_word_length,
+        {_sql_share(f"length(regexp_replace(t, '[{chr(92)}pL{chr(92)}pN]|{SPACE}', '', 'g'))", 's')} AS symbol_ratio, {_sql_share("length(regexp_replace(t, '[^0-9]', '', 'g'))", 's')} AS digit_ratio,
+        {', '.join(f'{v} AS {k}' for k, v in _SHARES.items())} FROM b""",
+}
 QUERIES = {
     "p9_found": _context(not_prose),
     "p9_statistics": _context(lambda d: statistics(d.where(F.col("dataset") == "context"))),

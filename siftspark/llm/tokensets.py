@@ -25,7 +25,7 @@ LEAST_TOKENS = 20
 #: Counters of the token order's frequency table: 2**20 four-byte counters, whatever the corpus size.
 COUNTERS_BITS = 20
 #: A block that is expected to hold more rows than this is keyed by one more token; at most CHAIN tokens make a key.
-BLOCK = 128
+BLOCK = 1024
 CHAIN = 3
 MASK = (1 << COUNTERS_BITS) - 1
 
@@ -223,5 +223,13 @@ class TokenRows:
         return c * t.denominator >= (self.n[i] + self.n[j] - c) * t.numerator
 
 
+def exact_pairs(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Of candidate (a, b), those with Jaccard >= t of their token sets."""
+    a = sets.select(F.col("cid").alias("a"), F.col("n").alias("_na"), F.col("tokens").alias("_ta"))
+    b = sets.select(F.col("cid").alias("b"), F.col("n").alias("_nb"), F.col("tokens").alias("_tb"))
+    both = pairs.join(a, "a").join(b, "b").withColumn("_i", F.size(F.array_intersect("_ta", "_tb")))
+    return both.where(F.col("_i") * t.denominator >= (F.col("_na") + F.col("_nb") - F.col("_i")) * t.numerator).select("a", "b")
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")

@@ -87,7 +87,7 @@ def test_near_duplicates(spark):
     assert got == grouped(brute(sets, neardup.SIMILAR)) and len(got) > 40
 
 
-def test_hot_block_is_cut_into_tiles(spark):
+def test_hot_block_is_cut_into_tiles(spark, monkeypatch):
     """Many different but similar sets share their rare tokens; tiles of 8 rows must lose no pair."""
     core = {f"k{i}" for i in range(40)}
     sets = [core | {f"v{i}", f"w{i % 5}"} for i in range(60)]
@@ -101,13 +101,13 @@ def test_hot_block_is_cut_into_tiles(spark):
         seen.setdefault((r["key"], r["_t"], r["_u"]), []).append((r["cid"], r["_tile"]))
     pairs = [tuple(sorted((a, b))) for (k, t, u), v in seen.items() for x, (a, ta) in enumerate(v) for b, tb in v[x + 1 :] if t == u or ta != tb]
     assert len(pairs) == len(set(pairs)) == 60 * 59 // 2 and max(map(len, seen.values())) < 60
-    got = {tuple(r) for r in neardup.near_duplicates(spark.createDataFrame([doc(i, s) for i, s in enumerate(sets)], DOC)).collect()}
-    assert got == {(i, 0) for i in range(60)}
+    for few in (64, 8):
+        monkeypatch.setattr(neardup, "FEW", few)
+        got = {tuple(r) for r in neardup.near_duplicates(spark.createDataFrame([doc(i, s) for i, s in enumerate(sets)], DOC)).collect()}
+        assert got == {(i, 0) for i in range(60)}
 
 
-@pytest.mark.parametrize("one_cell", [2, 32])
-def test_pairs_across(spark, monkeypatch, one_cell):
-    monkeypatch.setattr(setjoin, "ONE_CELL", one_cell)
+def test_pairs_across(spark):
     core = [f"k{i}" for i in range(60)]
     import random
 
@@ -176,3 +176,21 @@ def test_empty(spark):
     assert setjoin.document_pairs(d).count() == 0
     assert overlap.contaminated(r, d).count() == 0
     assert overlap.record_overlap(r, d).count() == 0
+
+
+def test_cells_lose_no_pair(monkeypatch):
+    """Pivot cells of one block, against all pairs: many pivots, sets of one family at all distances."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(6)
+    core = list(range(70))
+    sets = [set(r.sample(core, r.randint(38, 60))) for _ in range(150)] + [set(range(1000 + 50 * i, 1050 + 50 * i)) for i in range(10)]
+    tok = ts.TokenRows(pa.chunked_array([pa.array([sorted(s) for s in sets], pa.list_(pa.int64()))]))
+    t = setjoin.SIMILAR
+    monkeypatch.setattr(setjoin, "ONE_CELL", 2)
+    met = {tuple(sorted((int(a), int(b)))) for x, y in setjoin._cells(tok, 0, len(sets), float(1 - t)) for a, b in zip(x, y, strict=True)}
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) * 10 >= 7 * len(sets[i] | sets[j])}
+    assert want <= met and len(want) > 100
+    assert not any(i < 150 <= j for i, j in met)
