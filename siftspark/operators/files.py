@@ -156,6 +156,27 @@ def _bibliography(s, d) -> DataFrame:
     return entries(s, p)
 
 
+def _titles(s, d, f) -> DataFrame:
+    from siftspark.sources import bibliography as b
+
+    t = rel.documents(s, d).select("doc_id", F.concat(F.lit("Notes {on} "), "source").alias("t"), F.concat(F.lit("Notes on "), "lang").alias("u"))
+    return f(t, b)
+
+
+def _snapshot(s, d) -> DataFrame:
+    """Allowed columns of the tables, copied under another path, with rows and columns of each copy."""
+    from siftspark.operators.validation import BANNED
+
+    out = None
+    for name in ("records", "predictions", "mix_targets", "project_aliases"):
+        p, t = _path(s, f"snapshot-{name}"), table(s, d, name)
+        sinks.write_parquet(t.drop(*BANNED), p)
+        copy = s.read.parquet(p)
+        x = copy.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"), F.lit(len(copy.columns)).cast("long").alias("columns"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 _ROW = "detector, target_group, seed, side, position, row_id, p, ratio"
 QUERIES = {
     "scan_jsonl_ordered": _ordered_scan,
@@ -168,6 +189,10 @@ QUERIES = {
     "scan_sqlite_ro": lambda s, d: table(s, d, "documents").agg(F.count(F.lit(1)).alias("n")),
     "scan_rowid_sidecar": _sidecar,
     "scan_bibtex": _bibliography,
+    "fn_strip_latex": lambda s, d: _titles(s, d, lambda t, b: t.select("doc_id", b.strip_markup(F.col("t")).alias("title"))),
+    "fn_normalize_title": lambda s, d: _titles(s, d, lambda t, b: t.select("doc_id", b.normal_title("t").alias("title"))),
+    "fn_similarity": lambda s, d: _titles(s, d, lambda t, b: t.select("doc_id", F.round(b.similarity("t", "u"), 6).alias("similarity"))),
+    "sink_snapshot": _snapshot,
     "sink_gz_csv_det": _csv,
     "sink_split_meta_labels": _split_sink,
     "sink_fold_packages": _packages,
@@ -197,6 +222,10 @@ ORACLE = {
     "scan_sqlite_ro": "SELECT count(*) AS n FROM documents",
     "scan_rowid_sidecar": with_sql("rec", "SELECT count(*) AS n_left, count(*) AS n_right, 0::BIGINT AS unequal FROM rec WHERE dataset = 'diversevul'"),
     "scan_bibtex": "SELECT 'article' AS kind, 'doc' || doc_id AS key, 'notes on ' || trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')) || ' ete' AS title FROM documents WHERE dataset = 'context' AND text IS NOT NULL AND source IS NOT NULL",
+    "fn_strip_latex": "SELECT doc_id, 'Notes on ' || source AS title FROM documents",
+    "fn_normalize_title": "SELECT doc_id, trim(regexp_replace(lower('Notes on ' || source), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents",
+    "sink_snapshot": """SELECT 'records' AS table_name, count(*) AS n, 14::BIGINT AS columns FROM records UNION ALL SELECT 'predictions', count(*), 7 FROM predictions
+        UNION ALL SELECT 'mix_targets', count(*), 3 FROM mix_targets UNION ALL SELECT 'project_aliases', count(*), 2 FROM project_aliases""",
     "sink_split_meta_labels": with_sql("rl", "SELECT dataset, count(*) AS n, sum(target)::BIGINT AS vulnerable FROM rl GROUP BY 1"),
     "sink_npz_atomic": with_sql("prd", "SELECT count(*) AS n, true AS same FROM prd"),
     "sink_seal": with_sql("prd", "SELECT count(*) AS n, true AS same FROM prd"),

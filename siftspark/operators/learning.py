@@ -139,9 +139,23 @@ def crossfit_ratio(df: DataFrame, row_id: str, domain: str, folds: int = FOLDS,
     return parts
 
 
+def _domains(spark, folder) -> DataFrame:
+    return rel.documents(spark, folder).where("dataset <> 'context' and text is not null").select("row_id", "text", (F.col("dataset") == "diversevul").cast("int").alias("domain"))
+
+
 def _ratios(spark, folder) -> DataFrame:
-    d = rel.documents(spark, folder).where("dataset <> 'context' and text is not null").select("row_id", "text", (F.col("dataset") == "diversevul").cast("int").alias("domain"))
-    return crossfit_ratio(sparse_features(d, 1 << 14), "row_id", "domain")
+    return crossfit_ratio(sparse_features(_domains(spark, folder), 1 << 14), "row_id", "domain")
+
+
+def kept_model(spark: SparkSession, folder: str) -> DataFrame:
+    """(feature, coefficient, mean, scale) of the published gate after a round through the shared folder."""
+    from siftspark.operators.conformal import GATE
+    from siftspark.operators.files import _path
+    from siftspark.sources.sinks import write_json
+
+    p, schema = _path(spark, "gate"), "feature string, coefficient double, mean double, scale double"
+    write_json(spark.createDataFrame(GATE, schema), p)
+    return spark.read.schema(schema).json(p)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
@@ -187,14 +201,35 @@ def gate_fit(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: run(pdf), GATE_OUT)
 
 
-def _gate(spark, folder) -> DataFrame:
+def gate_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """(cell, clip, severe, features): support features beside whether the ungated sets violate a budget badly.
+
+    Violations are averaged over groups first and the greater relative one taken then, which isn't the mean of the greater.
+    """
     from siftspark.operators.conformal import GATE, _support
     from siftspark.operators.metrics import fold_metrics
+    from siftspark.operators.predicates import severe
 
     m = fold_metrics(spark, folder).where("method like 'estimated%'").withColumn("clip", F.regexp_extract("method", r"([0-9]+)\z", 1).try_cast("double"))
-    sev = m.groupBy("detector", "seed", "clip").agg((F.avg("max_relative_violation") > 0.5).cast("int").alias("severe"))
-    names = [n for n, *_ in GATE]
-    return gate_fit(_support(spark, folder).join(sev, ["detector", "seed", "clip"]).select("detector", "seed", "clip", "severe", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names]), names)
+    v = m.where(F.abs(F.col("av") - 0.1) + F.abs(F.col("asafe") - 0.2) < 1e-12).groupBy(*CELL, "clip").agg(F.avg("vulnerable_violation").alias("v"), F.avg("safe_violation").alias("s"))
+    bad = v.select(*CELL, "clip", severe(F.col("v"), F.col("s"), F.lit(0.1), F.lit(0.2)).cast("int").alias("severe"))
+    return _support(spark, folder).join(bad, [*CELL, "clip"]).select(*CELL, "clip", "severe", *[F.round(F.coalesce(n, F.lit(0.0)), 6).alias(n) for n, *_ in GATE])
+
+
+def _gate(spark, folder) -> DataFrame:
+    from siftspark.operators.conformal import GATE
+
+    return gate_fit(gate_frame(spark, folder), [n for n, *_ in GATE])
+
+
+def in_sample_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_id, ratio): the odds of a domain classifier on the rows it was fitted on, clipped; the cross-fitted ones are
+    the ones to use."""
+    from siftspark.operators.predicates import clip
+
+    x = stage(sparse_features(_domains(spark, folder), 1 << 14).select("row_id", F.col("domain").alias("y"), "features"), "domains")
+    m = _logistic(1e-4, 10).fit(balanced(x, "y"))
+    return m.transform(x).select("row_id", F.round(clip(odds(vector_to_array("probability")[1])), 4).alias("ratio"))
 
 
 def pooled_means(df: DataFrame, by: str, vector: str, keep: Column | None = None) -> DataFrame:
@@ -256,6 +291,9 @@ QUERIES = {
     "ml_head_logistic": head_grid,
     "ml_crossfit_density": _fold_records,
     "ml_gate_fit": _gate,
+    "ml_smoke_domain_ratio": in_sample_ratio,
+    "gate_train_frame": gate_frame,
+    "scan_model": kept_model,
     "ml_embed": lambda s, d: pooled_means(table(s, d, "embeddings"), "label", "embedding"),
     "scan_memmap": lambda s, d: table(s, d, "embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("width")),
     "conf_temperature": lambda s, d: temperatures(rel.scored(s, d, "calibration")),
@@ -271,3 +309,22 @@ ORACLE = {
     "ml_embed": "WITH e AS (SELECT label, unnest(range(len(embedding)))::INT AS at, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, at, round(avg(x), 6) AS value FROM e GROUP BY 1, 2".replace(" at", ' "at"'),
     "scan_memmap": "SELECT vec_id, label, len(embedding) AS width FROM embeddings",
 }
+
+
+def _gate_sql() -> str:
+    from siftspark.operators.conformal import GATE
+    from siftspark.operators.metrics import metrics_sql
+
+    return metrics_sql(f"""WITH v AS (SELECT detector, seed, regexp_extract(method, '([0-9]+)$', 1)::DOUBLE AS clip, avg(vulnerable_violation) AS v, avg(safe_violation) AS s FROM mx
+        WHERE method LIKE 'estimated%' AND av = 0.1 AND asafe = 0.2 GROUP BY 1, 2, 3)
+        SELECT detector, seed, clip, (greatest(v / 0.1, s / 0.2) > 0.5)::INT AS severe, {', '.join(f'round(coalesce({n}, 0), 6) AS {n}' for n, *_ in GATE)} FROM v JOIN sf USING (detector, seed, clip)""")
+
+
+def _model_sql() -> str:
+    from siftspark.operators.conformal import GATE
+
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k}::DOUBLE, {m}::DOUBLE, {s}::DOUBLE)" for n, k, m, s in GATE) + ") t(feature, coefficient, mean, scale)"
+
+
+ORACLE["gate_train_frame"] = _gate_sql()
+ORACLE["scan_model"] = _model_sql()
