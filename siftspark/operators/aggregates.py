@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftspark.functions.text import near
 from siftspark.plans import relations as rel
 from siftspark.plans.relations import CLIP, CLIPS, with_sql
 from siftspark.runtime import table
@@ -98,7 +99,7 @@ def _sequence_hash(s, d) -> DataFrame:
 def _seed_mean(s, d) -> DataFrame:
     """Mean over seeds of the mean score of each detector, group and side."""
     g = rel.predictions(s, d).groupBy("detector", "target_group", "side", "seed").agg(F.avg("p").alias("m"))
-    return g.groupBy("detector", "target_group", "side").agg(F.count(F.lit(1)).alias("seeds"), F.round(F.avg("m"), 8).alias("p"))
+    return g.groupBy("detector", "target_group", "side").agg(F.count(F.lit(1)).alias("seeds"), near(F.avg("m"), 8).alias("p"))
 
 
 def kish_ess(w: Column) -> Column:
@@ -109,7 +110,7 @@ def kish_ess(w: Column) -> Column:
 def _ess(s, d) -> DataFrame:
     w = F.col("ratio")
     return rel.scored(s, d, "calibration").groupBy(*rel.CELL).agg(
-        F.round(kish_ess(w), 6).alias("ess"), F.round(kish_ess(F.when(F.col("y") == 0, w)), 6).alias("ess_safe"), F.round(kish_ess(F.when(F.col("y") == 1, w)), 6).alias("ess_vulnerable")
+        near(kish_ess(w), 6).alias("ess"), near(kish_ess(F.when(F.col("y") == 0, w)), 6).alias("ess_safe"), near(kish_ess(F.when(F.col("y") == 1, w)), 6).alias("ess_vulnerable")
     )
 
 
@@ -123,32 +124,32 @@ def weight_summary(df: DataFrame, by: list[str], upper: float) -> DataFrame:
     w = clip(F.col("ratio"), upper)
     q = F.percentile(w, F.array(*[F.lit(x) for x in QUANTILES.values()]))
     out = df.groupBy(*by).agg(
-        F.round(kish_ess(w), 6).alias("ess"), q.alias("q"), F.count(F.when(F.col("ratio") < 1.0 / upper, 1)).alias("low"), F.count(F.when(F.col("ratio") > upper, 1)).alias("high")
+        near(kish_ess(w), 6).alias("ess"), q.alias("q"), F.count(F.when(F.col("ratio") < 1.0 / upper, 1)).alias("low"), F.count(F.when(F.col("ratio") > upper, 1)).alias("high")
     )
-    return out.select(*by, "ess", "low", "high", *[F.round(F.col("q")[i], 8).alias(k) for i, k in enumerate(QUANTILES)])
+    return out.select(*by, "ess", "low", "high", *[near(F.col("q")[i], 8).alias(k) for i, k in enumerate(QUANTILES)])
 
 
 def _quantiles(s, d) -> DataFrame:
     g = _seed_mean(s, d)
     q = F.percentile("p", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))
-    return g.groupBy("detector", "side").agg(F.count(F.lit(1)).alias("groups"), q.alias("q")).select("detector", "side", "groups", *[F.round(F.col("q")[i], 7).alias(k) for i, k in enumerate(("median", "q25", "q75"))])
+    return g.groupBy("detector", "side").agg(F.count(F.lit(1)).alias("groups"), q.alias("q")).select("detector", "side", "groups", *[near(F.col("q")[i], 7).alias(k) for i, k in enumerate(("median", "q25", "q75"))])
 
 
 def _pivot_detector(s, d) -> DataFrame:
     """Per group the detectors' mean scores side by side, their difference and who wins."""
     g = rel.predictions(s, d).groupBy("target_group").pivot("detector", ["hashing_sgd", "frozen_codebert"]).agg(F.avg("p"))
-    x = F.round(F.col("frozen_codebert") - F.col("hashing_sgd"), 8)
-    return g.where("hashing_sgd is not null and frozen_codebert is not null").select("target_group", F.round("hashing_sgd", 8).alias("hashing"), F.round("frozen_codebert", 8).alias("codebert"), x.alias("difference"), F.when(x > 0, "codebert").when(x < 0, "hashing").otherwise("tie").alias("winner"))
+    x = near(F.col("frozen_codebert") - F.col("hashing_sgd"), 8)
+    return g.where("hashing_sgd is not null and frozen_codebert is not null").select("target_group", near("hashing_sgd", 8).alias("hashing"), near("frozen_codebert", 8).alias("codebert"), x.alias("difference"), F.when(x > 0, "codebert").when(x < 0, "hashing").otherwise("tie").alias("winner"))
 
 
 def _pivot_side(s, d) -> DataFrame:
-    g = rel.predictions(s, d).groupBy("detector", "seed").pivot("side", ["calibration", "target"]).agg(F.round(F.avg("p"), 8).alias("p"), F.count(F.lit(1)).alias("n"))
+    g = rel.predictions(s, d).groupBy("detector", "seed").pivot("side", ["calibration", "target"]).agg(near(F.avg("p"), 8).alias("p"), F.count(F.lit(1)).alias("n"))
     return g
 
 
 def _any_all(s, d) -> DataFrame:
     p = rel.predictions(s, d).withColumn("ok", F.col("ratio") <= 1.0)
-    return p.groupBy("detector", "target_group").agg(F.bool_and("ok").alias("every"), F.bool_or("ok").alias("some"), F.round(F.avg(F.col("ok").cast("int")), 8).alias("share"))
+    return p.groupBy("detector", "target_group").agg(F.bool_and("ok").alias("every"), F.bool_or("ok").alias("some"), near(F.avg(F.col("ok").cast("int")), 8).alias("share"))
 
 
 def _first_of_group(s, d) -> DataFrame:
@@ -162,7 +163,7 @@ def _group_max(s, d) -> DataFrame:
 
 
 def _project_span(s, d) -> DataFrame:
-    return rel.predictions(s, d).groupBy("target_group").agg(F.round(F.avg("p"), 8).alias("mean"), F.min("p").alias("least"), F.max("p").alias("most"), F.bool_and(F.col("p") < 0.5).alias("all_low"))
+    return rel.predictions(s, d).groupBy("target_group").agg(near(F.avg("p"), 8).alias("mean"), F.min("p").alias("least"), F.max("p").alias("most"), F.bool_and(F.col("p") < 0.5).alias("all_low"))
 
 
 def _fold_counts(s, d) -> DataFrame:

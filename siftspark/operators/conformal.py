@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftspark.functions.text import near
 from siftspark.operators.aggregates import kish_ess
 from siftspark.operators.joins import first_at_least
 from siftspark.operators.predicates import clip
@@ -237,7 +238,7 @@ def credibility(cal: DataFrame, tgt: DataFrame, cell: list[str]) -> DataFrame:
     forced = (F.col("p") > 0.5).cast("int")
     q = tgt.select(*ROW, forced.alias("label"), score(F.col("p"), forced).alias("own"))
     found = first_at_least(steps, q, [*cell, "label"], "score", "from_here", "own").join(total, [*cell, "label"], "left")
-    return found.select(*ROW, "label", F.round((F.coalesce("from_here", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + 1), 10).alias("credibility"))
+    return found.select(*ROW, "label", near((F.coalesce("from_here", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + 1), 10).alias("credibility"))
 
 
 def support_v1(supported: DataFrame, decided: DataFrame, cell: list[str]) -> DataFrame:
@@ -310,8 +311,8 @@ QUERIES = {
     "conf_lac_matched": lambda s, d: accept_top(credibility(_e(s, d, "calibration"), _e(s, d, "target"), CELL), CELL, F.col("credibility"), ["target_group", "position"], F.lit(5)).select("detector", "target_group", "seed", "position", "label", "accepted"),
     "supp_ess_rule": lambda s, d: gate_rules(_support(s, d), _weighted(s, d), CELL).select(*CELL, "clip", "av", "asafe", "ess_only"),
     "supp_adjust_v1": lambda s, d: support_v1(_support(s, d), _weighted(s, d), CELL),
-    "supp_features": lambda s, d: _support(s, d).select(*CELL, "clip", *[F.round(n, 6).alias(n) for n, *_ in GATE]),
-    "supp_gate": lambda s, d: gate_rules(_support(s, d), _weighted(s, d), CELL).withColumn("probability", F.round("probability", 6)),
+    "supp_features": lambda s, d: _support(s, d).select(*CELL, "clip", *[near(n, 6).alias(n) for n, *_ in GATE]),
+    "supp_gate": lambda s, d: gate_rules(_support(s, d), _weighted(s, d), CELL).withColumn("probability", near("probability", 6)),
     "eval_fold": lambda s, d: _out(decisions(stage(_e(s, d), "scored"))),
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.functions.text import presence, sql_presence
+from siftspark.functions.text import near, presence, sql_presence
 from siftspark.operators.windows import selection
 from siftspark.plans import relations as rel
 from siftspark.plans.relations import with_sql
@@ -83,7 +83,7 @@ def _baseline(spark: SparkSession, folder: str) -> DataFrame:
     p = rel.predictions(spark, folder).groupBy("target_group", "detector").agg(F.avg("p").alias("m"))
     a = p.where("detector = 'hashing_sgd'").select("target_group", F.col("m").alias("base"))
     b = p.where("detector = 'frozen_codebert'").select("target_group", F.col("m").alias("other"))
-    return a.join(b, "target_group", "full").select("target_group", F.round("base", 8).alias("base"), F.round("other", 8).alias("other"), F.round(F.col("other") - F.col("base"), 8).alias("difference"))
+    return a.join(b, "target_group", "full").select("target_group", near("base", 8).alias("base"), near("other", 8).alias("other"), near(F.col("other") - F.col("base"), 8).alias("difference"))
 
 
 def _packages(spark: SparkSession, folder: str) -> DataFrame:

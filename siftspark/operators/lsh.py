@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftspark.functions.text import near
 from siftspark.functions import minhash as mh
 from siftspark.functions.canonical import short_tokens, sql_canonical
 from siftspark.operators import scalars
@@ -72,7 +73,7 @@ def _flagged_targets(spark, folder) -> DataFrame:
     size = c.select(F.col("cid").alias("source"), "n_source")
     per = f.join(size, "source").groupBy(F.col("target").alias("cid")).agg(F.sum("n_source").alias("n_pairs"), F.max(mh.jaccard(F.col("common"), F.col("either"))).alias("j"))
     m = members(spark, folder).where(F.col("dataset") == TARGET)
-    return m.join(per, "cid").select("doc_id", "row_id", "n_pairs", F.round("j", 10).alias("jaccard"))
+    return m.join(per, "cid").select("doc_id", "row_id", "n_pairs", near("j", 10).alias("jaccard"))
 
 
 def _affected(spark, folder) -> DataFrame:
@@ -106,7 +107,7 @@ def _token_summary(spark, folder) -> DataFrame:
     m = scalars._short_sets(spark, folder).join(rel.documents(spark, folder).select("doc_id", "dataset"), "doc_id").where("tokens is not null")
     n = F.size("tokens").cast("long")
     return m.groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.min(n), F.lit(0)).alias("least"), F.coalesce(F.max(n), F.lit(0)).alias("most"), F.round(F.avg(n), 8).alias("mean"), F.count(F.when(n == 0, 1)).alias("empty")
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.min(n), F.lit(0)).alias("least"), F.coalesce(F.max(n), F.lit(0)).alias("most"), near(F.avg(n), 8).alias("mean"), F.count(F.when(n == 0, 1)).alias("empty")
     )
 
 

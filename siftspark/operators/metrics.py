@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftspark.functions.text import near
 from siftspark.operators import windows
 from siftspark.plans import relations as rel
 from siftspark.plans.relations import CELL, GROUP, PRIMARY, with_sql
@@ -127,7 +128,7 @@ def _t(s, d) -> DataFrame:
 
 
 def rounded(df: DataFrame, names: list[str], digits: int = 8) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
+    return df.select(*[near(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def _one(f, name: str, digits: int = 8):

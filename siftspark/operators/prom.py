@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftspark.functions.text import near
 from siftspark.functions.canonical import bucket, sql_bucket
 from siftspark.operators.windows import _TIES
 from siftspark.plans import relations as rel
@@ -217,12 +218,12 @@ def _e(s, d, side=None):
 def _scores(s, d) -> DataFrame:
     e = _e(s, d)
     u = uniform(F.col("row_id"), "aps")
-    return e.select(*_ID, *[F.round(expert_score(x, F.col("p"), F.col("y"), u, 1, 0.1), 10).alias(x) for x in EXPERTS])
+    return e.select(*_ID, *[near(expert_score(x, F.col("p"), F.col("y"), u, 1, 0.1), 10).alias(x) for x in EXPERTS])
 
 
 def _thresholds(s, d) -> DataFrame:
     e = _e(s, d, "calibration").withColumn("score", expert_score("aps", F.col("p"), F.col("y"), uniform(F.col("row_id"), "aps")))
-    return higher(e, CELL, "score", 0.1).select(*CELL, F.round("threshold", 10).alias("threshold"))
+    return higher(e, CELL, "score", 0.1).select(*CELL, near("threshold", 10).alias("threshold"))
 
 
 def _rank_sets(s, d) -> DataFrame:
@@ -267,7 +268,7 @@ def _pvalues(s, d) -> DataFrame:
     c = _e(s, d, "calibration").select(*CELL, F.concat_ws("|", "target_group", F.format_string("%012d", "position")).alias("idx"), expert_score("lac", F.col("p"), F.col("y")).alias("score"))
     t = _e(s, d, "target").select(*CELL, "target_group", "position", expert_score("lac", F.col("p"), (F.col("p") > 0.5).cast("int")).alias("own"))
     j = _near(s, d).join(c, [*CELL, "idx"]).join(t, [*CELL, "target_group", "position"])
-    return j.groupBy(*CELL, "target_group", "position").agg(F.round(F.avg((F.col("score") >= F.col("own")).cast("int")), 8).alias("p_value"))
+    return j.groupBy(*CELL, "target_group", "position").agg(near(F.avg((F.col("score") >= F.col("own")).cast("int")), 8).alias("p_value"))
 
 
 def _accept(s, d) -> DataFrame:

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftspark.functions.text import near
 from siftspark.functions import canonical as cn
 from siftspark.functions import lexer
 from siftspark.functions import minhash as mh
@@ -100,7 +101,7 @@ def _class_weights(spark, folder) -> DataFrame:
     w = Window.partitionBy("grp")
     c = rel.labelled(spark, folder).where("grp is not null").groupBy("grp", "target").agg(F.count(F.lit(1)).alias("n"))
     return c.withColumn("total", F.sum("n").over(w)).withColumn("k", F.count(F.lit(1)).over(w)).where("k = 2").select(
-        "grp", "target", F.round(F.col("total") / (2 * F.col("n")), 8).alias("weight")
+        "grp", "target", near(F.col("total") / (2 * F.col("n")), 8).alias("weight")
     )
 
 
@@ -143,14 +144,14 @@ QUERIES = {
     "fn_signature_blob": _signature_values,
     "fn_minhash_agreement": _agreement,
     "fn_band_keys": lambda s, d: mh.bands(_signatures(s, d), ["doc_id"]),
-    "fn_jaccard": lambda s, d: _neighbours(s, d).select("doc_id", "common", "either", F.round(mh.jaccard(F.col("common"), F.col("either")), 10).alias("jaccard")),
+    "fn_jaccard": lambda s, d: _neighbours(s, d).select("doc_id", "common", "either", near(mh.jaccard(F.col("common"), F.col("either")), 10).alias("jaccard")),
     "fn_cardinality_bound": lambda s, d: _neighbours(s, d).select("doc_id", "n_a", "n_b", mh.cardinality_fits(F.col("n_a"), F.col("n_b"), mh.THRESHOLD).alias("fits")),
-    "fn_lsh_probability": lambda s, d: s.range(101).select("id", F.round(mh.lsh_probability(F.col("id") / 100), 10).alias("probability")),
-    "fn_logit_sigmoid": lambda s, d: _scores(s, d).select(*_ID, F.round(logit(F.col("p")), 8).alias("logit"), F.round(sigmoid(logit(F.col("p")) / 2), 8).alias("halved")),
-    "fn_softmax": lambda s, d: _scores(s, d).select(*_ID, F.round(F.exp("p") / (F.exp("p") + F.exp("ratio")), 8).alias("share")),
-    "fn_odds_ratio": lambda s, d: _scores(s, d).select(*_ID, F.round(odds(F.col("p")), 8).alias("odds")),
-    "fn_log1p": lambda s, d: _scores(s, d).select(*_ID, F.round(F.log1p("ratio"), 8).alias("log1p")),
-    "fn_infinity_mass": lambda s, d: _scores(s, d).select(*_ID, F.round(F.greatest(infinity_mass(F.col("ratio"), F.lit(20.0)), infinity_mass(F.col("ratio"), F.lit(5.0))), 8).alias("mass")),
+    "fn_lsh_probability": lambda s, d: s.range(101).select("id", near(mh.lsh_probability(F.col("id") / 100), 10).alias("probability")),
+    "fn_logit_sigmoid": lambda s, d: _scores(s, d).select(*_ID, near(logit(F.col("p")), 8).alias("logit"), near(sigmoid(logit(F.col("p")) / 2), 8).alias("halved")),
+    "fn_softmax": lambda s, d: _scores(s, d).select(*_ID, near(F.exp("p") / (F.exp("p") + F.exp("ratio")), 8).alias("share")),
+    "fn_odds_ratio": lambda s, d: _scores(s, d).select(*_ID, near(odds(F.col("p")), 8).alias("odds")),
+    "fn_log1p": lambda s, d: _scores(s, d).select(*_ID, near(F.log1p("ratio"), 8).alias("log1p")),
+    "fn_infinity_mass": lambda s, d: _scores(s, d).select(*_ID, near(F.greatest(infinity_mass(F.col("ratio"), F.lit(20.0)), infinity_mass(F.col("ratio"), F.lit(5.0))), 8).alias("mass")),
     "fn_balanced_class_weight": _class_weights,
     "fn_format_fixed": lambda s, d: _scores(s, d).select(*_ID, F.format_string("%.12f", "p").alias("p12")),
     "fn_json_dumps": lambda s, d: _scores(s, d).select(*_ID, F.to_json(F.struct("detector", "position", "seed")).alias("json")),

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftspark.functions.text import near
 from siftspark.operators import metrics as mt
 from siftspark.operators.windows import holm
 from siftspark.plans import relations as rel
@@ -162,7 +163,7 @@ def attained(m: DataFrame, by: list[str]) -> DataFrame:
     """Per method: groups, those within both budgets, and medians over groups."""
     return m.groupBy(*by).agg(
         F.count(F.lit(1)).alias("groups"), F.count(F.when((F.col("vulnerable_violation") == 0) & (F.col("safe_violation") == 0), 1)).alias("attained"),
-        *[F.round(F.median(c), 7).alias(f"median_{c}") for c in OUTCOMES],
+        *[near(F.median(c), 7).alias(f"median_{c}") for c in OUTCOMES],
     )
 
 
@@ -187,7 +188,7 @@ def _gates(s, d) -> DataFrame:
 def _gate_status(s, d) -> DataFrame:
     """Over seeds: whether all pass, the share that does, the mean probability."""
     return _gates(s, d).groupBy("detector", "clip", "av", "asafe").agg(
-        F.bool_and("full").alias("pass_all"), F.round(F.avg(F.col("full").cast("int")), 8).alias("pass_rate"), F.round(F.avg("probability"), 6).alias("probability"), F.countDistinct("seed").alias("seeds")
+        F.bool_and("full").alias("pass_all"), near(F.avg(F.col("full").cast("int")), 8).alias("pass_rate"), near(F.avg("probability"), 6).alias("probability"), F.countDistinct("seed").alias("seeds")
     )
 
 
@@ -195,8 +196,8 @@ def _support_summary(s, d) -> DataFrame:
     g = _gates(s, d).where("clip = 20").groupBy("detector", "av", "asafe").agg(F.bool_and("ess_only").alias("supported"))
     m = seed_means(_m(s, d).where("method = 'gated_ess_only_clip_20'"), ["singleton_coverage"]).join(g, ["detector", "av", "asafe"])
     return m.groupBy("av", "asafe").agg(
-        F.count(F.lit(1)).alias("groups"), F.count(F.when(F.col("supported"), 1)).alias("supported"), F.round(F.median("singleton_coverage"), 7).alias("median_coverage"),
-        F.round(F.median(F.when(F.col("supported"), F.col("singleton_coverage"))), 7).alias("median_supported"),
+        F.count(F.lit(1)).alias("groups"), F.count(F.when(F.col("supported"), 1)).alias("supported"), near(F.median("singleton_coverage"), 7).alias("median_coverage"),
+        near(F.median(F.when(F.col("supported"), F.col("singleton_coverage"))), 7).alias("median_supported"),
     )
 
 
@@ -205,7 +206,7 @@ def _delta_counts(s, d) -> DataFrame:
 
     x = _differences(s, d).where((F.col("outcome") == "max_relative_violation") & _primary()).withColumn("c", delta_class(F.col("difference")))
     n = lambda k: F.count(F.when(F.col("c") == k, 1)).alias(k)
-    return x.groupBy("detector", "method").agg(n("improved"), n("tied"), n("worse"), F.round(F.max("difference"), 8).alias("worst"))
+    return x.groupBy("detector", "method").agg(n("improved"), n("tied"), n("worse"), near(F.max("difference"), 8).alias("worst"))
 
 
 def _detector_perf(s, d) -> DataFrame:
@@ -214,7 +215,7 @@ def _detector_perf(s, d) -> DataFrame:
     by = rel.GROUP
     m = mt.classification(mt.confusion(t, by), by).join(mt.average_precision(t, by, "p", "y"), by)
     names = ["pr_auc", "brier", "precision", "recall", "f1", "f2", "mcc"]
-    return m.groupBy("detector", "target_group").agg(*[F.round(F.avg(c), 8).alias(c) for c in names])
+    return m.groupBy("detector", "target_group").agg(*[near(F.avg(c), 8).alias(c) for c in names])
 
 
 def _calibration_summary(s, d) -> DataFrame:
@@ -253,7 +254,7 @@ def _discrimination(s, d) -> DataFrame:
     j = m.join(g, ["detector", "target_group"]).withColumn("severe", (F.col("max_relative_violation") > 0.5).cast("int"))
     a, p = mt.auroc(j, ["detector"], "load", "severe"), mt.average_precision(j, ["detector"], "load", "severe", "auprc")
     n = j.groupBy("detector").agg(F.count(F.lit(1)).alias("groups"), F.sum("severe").alias("severe"))
-    return n.join(a, "detector").join(p, "detector").select("detector", "groups", "severe", F.round("auroc", 8).alias("auroc"), F.round("auprc", 8).alias("auprc"))
+    return n.join(a, "detector").join(p, "detector").select("detector", "groups", "severe", near("auroc", 8).alias("auroc"), near("auprc", 8).alias("auprc"))
 
 
 def _strata(s, d) -> DataFrame:
@@ -276,8 +277,8 @@ def _runtime(s, d) -> DataFrame:
     """Totals and quartiles of a duration, per kind."""
     e = s.read.parquet(f"{d}/events.parquet")
     q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), q.alias("q"), F.min("value").alias("least"), F.max("value").alias("most"))
-    return g.select("event_type", "n", "total", "least", "most", *[F.round(F.col("q")[i], 7).alias(k) for i, k in enumerate(("q25", "median", "q75"))])
+    g = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), near(F.sum("value"), 4).alias("total"), q.alias("q"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return g.select("event_type", "n", "total", "least", "most", *[near(F.col("q")[i], 7).alias(k) for i, k in enumerate(("q25", "median", "q75"))])
 
 
 def _executed(s, d) -> DataFrame:
@@ -300,7 +301,7 @@ def _median_intervals(s, d) -> DataFrame:
 
 
 def _signs(s, d) -> DataFrame:
-    return comparisons(_differences(s, d), 100).select(*POINT, "outcome", "wins", "losses", F.round("sign_p", 8).alias("sign_p"))
+    return comparisons(_differences(s, d), 100).select(*POINT, "outcome", "wins", "losses", near("sign_p", 8).alias("sign_p"))
 
 
 def _method_summary(s, d) -> DataFrame:
@@ -318,7 +319,7 @@ QUERIES = {
     "agg_delta_counts": _delta_counts,
     "agg_runtime_summary": _runtime,
     "agg_executed_fits": _executed,
-    "stat_hodges_lehmann": lambda s, d: comparisons(_differences(s, d), 100).select(*POINT, "outcome", "groups", F.round("median", 7).alias("median"), F.round("hodges_lehmann", 7).alias("hodges_lehmann")),
+    "stat_hodges_lehmann": lambda s, d: comparisons(_differences(s, d), 100).select(*POINT, "outcome", "groups", near("median", 7).alias("median"), near("hodges_lehmann", 7).alias("hodges_lehmann")),
     "stat_bootstrap_median": _median_intervals,
     "stat_bootstrap_strata": _strata,
     "stat_wilcoxon_exact": lambda s, d: comparisons(_differences(s, d), 100).select(*POINT, "outcome", "nonzero", "wilcoxon_p"),

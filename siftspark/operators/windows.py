@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftspark.functions.text import near
 from siftspark.operators.skew import running
 from siftspark.plans import relations as rel
 from siftspark.plans.relations import with_sql
@@ -49,21 +50,21 @@ _TIES = ["target_group", "position"]
 
 def _running_weight(s, d) -> DataFrame:
     w = Window.partitionBy(*rel.CELL, "y").orderBy(1 - F.col("p"), *_TIES).rowsBetween(Window.unboundedPreceding, 0)
-    return rel.scored(s, d, "calibration").select(*_ID, F.round(F.sum("ratio").over(w), 6).alias("weight"))
+    return rel.scored(s, d, "calibration").select(*_ID, near(F.sum("ratio").over(w), 6).alias("weight"))
 
 
 def _running_error(s, d) -> DataFrame:
     """The mean over ranks of the running error rate, most certain first (area under the risk-coverage curve)."""
     t = rel.scored(s, d, "target").withColumn("e", ((F.col("p") >= 0.5).cast("int") != F.col("y")).cast("double"))
     w = Window.partitionBy(*rel.CELL).orderBy(F.greatest("p", 1 - F.col("p")).desc(), *_TIES).rowsBetween(Window.unboundedPreceding, 0)
-    return t.withColumn("r", F.avg("e").over(w)).groupBy(*rel.CELL).agg(F.round(F.avg("r"), 8).alias("aurc"))
+    return t.withColumn("r", F.avg("e").over(w)).groupBy(*rel.CELL).agg(near(F.avg("r"), 8).alias("aurc"))
 
 
 def _bins(s, d) -> DataFrame:
     t = rel.scored(s, d, "target")
     w = Window.partitionBy(*rel.CELL)
     t = t.withColumn("i", F.row_number().over(w.orderBy("p", *_TIES)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    return t.withColumn("bin", equal_bin(F.col("i"), F.col("n"))).groupBy(*rel.CELL, "bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 8).alias("p"), F.round(F.avg("y"), 8).alias("y"))
+    return t.withColumn("bin", equal_bin(F.col("i"), F.col("n"))).groupBy(*rel.CELL, "bin").agg(F.count(F.lit(1)).alias("n"), near(F.avg("p"), 8).alias("p"), near(F.avg("y"), 8).alias("y"))
 
 
 def equal_bin(i: Column, n: Column, bins: int = 15) -> Column:
@@ -109,7 +110,7 @@ def _class_rank(s, d) -> DataFrame:
 
 
 def _holm(s, d) -> DataFrame:
-    return holm(rel.predictions(s, d).select(*_ID, "p"), rel.CELL, "p", ["side", *_TIES]).select(*_ID, F.round("adjusted", 10).alias("adjusted"))
+    return holm(rel.predictions(s, d).select(*_ID, "p"), rel.CELL, "p", ["side", *_TIES]).select(*_ID, near("adjusted", 10).alias("adjusted"))
 
 
 def _top_projects(s, d) -> DataFrame:

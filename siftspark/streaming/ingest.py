@@ -12,11 +12,16 @@ def read_events(spark: SparkSession, folder: str, name: str = "events") -> DataF
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 16).parquet(folder)
 
 
+def _timed(stream: DataFrame, time: str) -> DataFrame:
+    """Event time with a zone, which watermarks need; times without one are read in the session's."""
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def first_of_each(stream: DataFrame, key: list[str], time: str, delay: str = "1 hour") -> DataFrame:
     """The first row of each key within the watermark; state of older keys is dropped, so it stays bounded."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
+    return _timed(stream, time).withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
 
 def windowed_counts(stream: DataFrame, time: str, by: list[str], width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Rows and sums per event-time window; a window is final once the watermark passed it."""
-    return stream.withWatermark(time, delay).groupBy(F.window(time, width), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return _timed(stream, time).withWatermark(time, delay).groupBy(F.window(time, width), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))

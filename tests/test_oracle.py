@@ -6,7 +6,8 @@ import pytest
 import __spark_entry__ as entry
 from compare import TABLES, rows
 
-SQL = {k: v for m in entry._modules() if not m.__name__.startswith("siftspark.llm") for k, v in getattr(m, "ORACLE", {}).items()}
+MINE = {k for m in entry._modules() if not m.__name__.startswith("siftspark.llm") for k in m.QUERIES}
+SQL = {k: v for k, v in entry.oracle_sql().items() if k in MINE}
 
 
 @pytest.fixture(scope="module")
