@@ -31,8 +31,8 @@ VECTOR = [f"v{w}" for w in range(WORDS)]
 VECTOR_SQL = ", ".join(f"{v} long" for v in VECTOR)
 #: Units up to this size are compared diagonal by diagonal, larger ones tile by tile.
 SMALL = 24
-#: Close rows of a larger unit up to which their pairs are written; beyond it links are found with the tokens at hand.
-FEW = 64
+#: Close pairs per close row of a larger unit up to which they are written; in denser ones links are found with the tokens.
+DENSE = 8
 SQUARE = 256
 
 
@@ -196,9 +196,9 @@ def _spread(tok: ts.TokenRows, v: np.ndarray, n: np.ndarray, lo: int, hi: int, t
 
 
 def _sift(t: Fraction):
-    """Close pairs (a, b) of units with few close rows; of the others the close rows themselves, with null b.
+    """Close pairs (a, b) of units; of larger ones with many for each row the close rows themselves, with null b.
 
-    Pairs come from units of up to SMALL rows or FEW close ones, so a row is in at most FEW pairs of a unit.
+    So what a unit gives is in proportion to its rows, however dense it is.
     """
 
     def run(batches):
@@ -206,15 +206,16 @@ def _sift(t: Fraction):
             u = Units(tab, starts, t)
             cid, pairs, rows = tab.column("cid").to_numpy(), list(u.small()), []
             for unit in u.large():
-                held, close = [], set()
+                held, count, close = [], 0, np.zeros(len(cid), bool)
                 for i, j in unit:
-                    close.update(np.unique(np.concatenate([i, j])).tolist())
-                    if len(close) <= FEW:
+                    close[i] = close[j] = True
+                    count += len(i)
+                    if count <= DENSE * len(cid):
                         held.append((i, j))
-                if len(close) <= FEW:
+                if count <= DENSE * close.sum():
                     pairs += held
                 else:
-                    rows.append(np.array(sorted(close)))
+                    rows.append(np.flatnonzero(close))
             i, j = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int),) * 2
             x, y = cid[i], cid[j]
             kept = tab.take(pa.array(np.concatenate(rows) if rows else np.zeros(0, int)))

@@ -101,8 +101,8 @@ def test_hot_block_is_cut_into_tiles(spark, monkeypatch):
         seen.setdefault((r["key"], r["_t"], r["_u"]), []).append((r["cid"], r["_tile"]))
     pairs = [tuple(sorted((a, b))) for (k, t, u), v in seen.items() for x, (a, ta) in enumerate(v) for b, tb in v[x + 1 :] if t == u or ta != tb]
     assert len(pairs) == len(set(pairs)) == 60 * 59 // 2 and max(map(len, seen.values())) < 60
-    for few in (64, 8):
-        monkeypatch.setattr(neardup, "FEW", few)
+    for dense in (1000, 0):
+        monkeypatch.setattr(neardup, "DENSE", dense)
         got = {tuple(r) for r in neardup.near_duplicates(spark.createDataFrame([doc(i, s) for i, s in enumerate(sets)], DOC)).collect()}
         assert got == {(i, 0) for i in range(60)}
 
