@@ -62,8 +62,14 @@ def _steps(scored: DataFrame, by: list[str], size: Column) -> DataFrame:
     return g.select(*by, "score", upto.alias("upto"), F.sum("_n").over(w).alias("total"))
 
 
-def _alphas(y: Column) -> Column:
-    return F.when(y == 1, F.array(*map(F.lit, ALPHAS[1]))).otherwise(F.array(*map(F.lit, ALPHAS[0])))
+def _alphas(y: Column, points: list[tuple[float, float]] = BUDGETS) -> Column:
+    zero, one = (F.array(*map(F.lit, sorted({b[i] for b in points}))) for i in (1, 0))
+    return F.when(y == 1, one).otherwise(zero)
+
+
+def _row(cell: list[str]) -> list[str]:
+    """A record's columns with those of the cell that aren't among them."""
+    return [*ROW, *[c for c in cell if c not in ROW]]
 
 
 def mondrian(cal: DataFrame, cell: list[str]) -> DataFrame:
@@ -83,17 +89,17 @@ def pooled(cal: DataFrame, cell: list[str]) -> DataFrame:
     return s.where(F.col("upto") >= k).groupBy(*cell, "alpha").agg(F.min("score").alias("threshold"))
 
 
-def _decided(df: DataFrame, method: Column | str, in_safe: Column, in_vulnerable: Column) -> DataFrame:
+def _decided(df: DataFrame, method: Column | str, in_safe: Column, in_vulnerable: Column, cell: list[str] = CELL) -> DataFrame:
     m = F.lit(method) if isinstance(method, str) else method
-    return df.select(*ROW, "av", "asafe", m.alias("method"), in_safe.alias("in_safe"), in_vulnerable.alias("in_vulnerable"))
+    return df.select(*_row(cell), "av", "asafe", m.alias("method"), in_safe.alias("in_safe"), in_vulnerable.alias("in_vulnerable"))
 
 
-def mondrian_sets(tgt: DataFrame, thresholds: DataFrame, cell: list[str]) -> DataFrame:
-    t = rel.with_budgets(tgt.select(*ROW))
+def mondrian_sets(tgt: DataFrame, thresholds: DataFrame, cell: list[str], points: list[tuple[float, float]] = BUDGETS) -> DataFrame:
+    t = rel.with_budgets(tgt.select(*_row(cell)), points)
     zero = thresholds.where("y = 0").select(*cell, F.col("alpha").alias("asafe"), F.col("threshold").alias("_t0"))
     one = thresholds.where("y = 1").select(*cell, F.col("alpha").alias("av"), F.col("threshold").alias("_t1"))
     j = t.join(zero, [*cell, "asafe"], "left").join(one, [*cell, "av"], "left")
-    return _decided(j, "unweighted_mondrian", F.coalesce(1 - (1 - F.col("p")) <= F.col("_t0"), F.lit(True)), F.coalesce(1 - F.col("p") <= F.col("_t1"), F.lit(True)))
+    return _decided(j, "unweighted_mondrian", F.coalesce(1 - (1 - F.col("p")) <= F.col("_t0"), F.lit(True)), F.coalesce(1 - F.col("p") <= F.col("_t1"), F.lit(True)), cell)
 
 
 def pooled_sets(tgt: DataFrame, thresholds: DataFrame, cell: list[str]) -> DataFrame:
@@ -115,35 +121,35 @@ def matched_sets(tgt: DataFrame, decided: DataFrame, cell: list[str], method: st
     return _decided(t, method, ~accepted | (F.col("p") <= 0.5), ~accepted | (F.col("p") > 0.5))
 
 
-def _clipped(df: DataFrame) -> DataFrame:
+def _clipped(df: DataFrame, clips: tuple[float, ...] = CLIPS) -> DataFrame:
     """Each row once per clip, with its clipped weight `w`."""
-    options = F.array(*[F.struct(F.lit(c).alias("clip"), clip(F.col("ratio"), c).alias("w")) for c in CLIPS])
+    options = F.array(*[F.struct(F.lit(c).alias("clip"), clip(F.col("ratio"), c).alias("w")) for c in clips])
     return df.withColumn("_c", F.explode(options)).select(*df.columns, "_c.clip", "_c.w")
 
 
-def weighted_thresholds(cal: DataFrame, tgt: DataFrame, cell: list[str]) -> DataFrame:
+def weighted_thresholds(cal: DataFrame, tgt: DataFrame, cell: list[str], points: list[tuple[float, float]] = BUDGETS, clips: tuple[float, ...] = CLIPS) -> DataFrame:
     """(row, clip, w, y-level thresholds): per record, clip, class and level the least score whose cumulative weight
     reaches level (mass + w); null where none does, which stands for infinity."""
-    c = _clipped(cal.withColumn("score", score(F.col("p"), F.col("y"))))
+    c = _clipped(cal.withColumn("score", score(F.col("p"), F.col("y"))), clips)
     steps = _steps(c, [*cell, "clip", "y"], F.sum("w"))
     mass = steps.select(*cell, "clip", F.col("y").alias("label"), "total").distinct()
-    t = _clipped(tgt.select(*ROW, "ratio")).drop("ratio")
-    q = t.join(mass, [*cell, "clip"]).withColumn("alpha", F.explode(_alphas(F.col("label"))))
+    t = _clipped(tgt.select(*_row(cell), "ratio"), clips).drop("ratio")
+    q = t.join(mass, [*cell, "clip"]).withColumn("alpha", F.explode(_alphas(F.col("label"), points)))
     q = q.withColumn("mass", (1 - F.col("alpha")) * (F.col("total") + F.col("w")))
     steps = steps.withColumnRenamed("y", "label")
     return first_at_least(steps.select(*cell, "clip", "label", "upto", "score"), q, [*cell, "clip", "label"], "upto", "score", "mass").withColumnRenamed("score", "threshold")
 
 
-def weighted_sets(cal: DataFrame, tgt: DataFrame, cell: list[str]) -> DataFrame:
-    th = weighted_thresholds(cal, tgt, cell)
+def weighted_sets(cal: DataFrame, tgt: DataFrame, cell: list[str], points: list[tuple[float, float]] = BUDGETS, clips: tuple[float, ...] = CLIPS) -> DataFrame:
+    th = weighted_thresholds(cal, tgt, cell, points, clips)
     own = F.when(F.col("label") == 1, 1 - F.col("p")).otherwise(1 - (1 - F.col("p")))
     inside = F.coalesce(own <= F.col("threshold"), F.lit(True))
     name = F.concat("label", F.lit("|"), F.col("alpha").cast("string"))
-    per = th.groupBy(*ROW, "clip").agg(F.map_from_entries(F.collect_list(F.struct(name, inside))).alias("_m"))  # six entries a row
-    b = rel.with_budgets(per)
+    per = th.groupBy(*_row(cell), "clip").agg(F.map_from_entries(F.collect_list(F.struct(name, inside))).alias("_m"))  # six entries a row
+    b = rel.with_budgets(per, points)
     pick = lambda y, a: F.coalesce(F.col("_m")[F.concat(F.lit(f"{y}|"), F.col(a).cast("string"))], F.lit(True))
     method = F.concat(F.lit("estimated_weight_no_gate_clip_"), F.col("clip").cast("int").cast("string"))
-    return _decided(b, method, pick(0, "asafe"), pick(1, "av"))
+    return _decided(b, method, pick(0, "asafe"), pick(1, "av"), cell)
 
 
 def domain_auroc(scored: DataFrame, cell: list[str]) -> DataFrame:
@@ -153,12 +159,14 @@ def domain_auroc(scored: DataFrame, cell: list[str]) -> DataFrame:
     return auroc(scored.withColumn("_hit", (F.col("side") == "target").cast("int")), cell, "ratio", "_hit", "domain_auroc")
 
 
-def support(cal: DataFrame, tgt: DataFrame, scored: DataFrame, cell: list[str]) -> DataFrame:
+def support(cal: DataFrame, tgt: DataFrame, scored: DataFrame, cell: list[str], clips: tuple[float, ...] = CLIPS) -> DataFrame:
     """Per cell and clip: effective sample sizes, class masses, infinity masses, clipping fractions and domain AUROC.
 
+    The AUROC is that of ``scored`` by the cell's columns that it has: a sample of a cell takes the whole cell's.
+
     The fractions are those of weights that are clipped already, and so 0, as the published gate is applied.
     """
-    c = _clipped(cal)
+    c = _clipped(cal, clips)
     w = F.col("w")
     s = c.groupBy(*cell, "clip").agg(
         kish_ess(w).alias("ess"),
@@ -166,14 +174,15 @@ def support(cal: DataFrame, tgt: DataFrame, scored: DataFrame, cell: list[str])
         *[F.coalesce(F.sum(F.when(F.col("y") == y, w)), F.lit(0.0)).alias(f"mass_{y}") for y in (0, 1)],
         *[F.count(F.when(F.col("y") == y, 1)).alias(f"n_{y}") for y in (0, 1)],
     )
-    t = _clipped(tgt).join(s.select(*cell, "clip", "mass_0", "mass_1"), [*cell, "clip"])
+    t = _clipped(tgt, clips).join(s.select(*cell, "clip", "mass_0", "mass_1"), [*cell, "clip"])
     m = {y: infinity_mass(F.col("w"), F.col(f"mass_{y}")) for y in (0, 1)}
     top = t.groupBy(*cell, "clip").agg(
         *[F.max(m[y]).alias(f"infinity_{y}") for y in (0, 1)],
         F.max(F.greatest(m[0], m[1])).alias("maximum_infinity_mass"),
         F.percentile(F.greatest(m[0], m[1]), F.lit(0.99)).alias("p99_infinity_mass"),
     )
-    out = s.join(top, [*cell, "clip"]).join(domain_auroc(scored, cell), cell, "left")
+    domain = [c for c in cell if c in scored.columns]
+    out = s.join(top, [*cell, "clip"]).join(domain_auroc(scored, domain), domain, "left")
     return out.select(
         "*", F.log1p("ess").alias("log1p_total_ess"), F.log1p("ess_0").alias("log1p_safe_ess"), F.log1p("ess_1").alias("log1p_vulnerable_ess"),
         F.lit(0.0).alias("lower_clipping_fraction"), F.lit(0.0).alias("upper_clipping_fraction"),
@@ -210,7 +219,7 @@ def gated_sets(decided: DataFrame, rules: DataFrame, cell: list[str]) -> DataFra
     modes = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("ok")) for n, c in (("ess_only", "ess_only"), ("infinity_only", "infinity_only"), ("full_gate", "full"))])
     j = j.withColumn("_g", F.explode(modes))
     method = F.concat(F.lit("gated_"), F.col("_g.name"), F.lit("_clip_"), F.col("clip").cast("int").cast("string"))
-    return j.select(*ROW, "av", "asafe", method.alias("method"), (~F.col("_g.ok") | F.col("in_safe")).alias("in_safe"), (~F.col("_g.ok") | F.col("in_vulnerable")).alias("in_vulnerable"))
+    return j.select(*_row(cell), "av", "asafe", method.alias("method"), (~F.col("_g.ok") | F.col("in_safe")).alias("in_safe"), (~F.col("_g.ok") | F.col("in_vulnerable")).alias("in_vulnerable"))
 
 
 def decisions(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:

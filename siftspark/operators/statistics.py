@@ -25,6 +25,8 @@ MORE_IS_BETTER = "singleton_coverage"
 BASELINE = "unweighted_mondrian"
 COMPARED = ["estimated_weight_no_gate_clip_20", "gated_ess_only_clip_20", "gated_infinity_only_clip_20", "gated_full_gate_clip_20", "pooled_split_conformal"]
 REPLICATES, LEVEL, SEED = 10_000, 0.95, 20260814
+#: Nested samples of the calibration rows.
+FRACTIONS, REPETITIONS = (0.25, 0.5, 0.75, 1.0), 5
 POINT = ["detector", "av", "asafe", "method"]
 
 
@@ -218,28 +220,54 @@ def _detector_perf(s, d) -> DataFrame:
     return m.groupBy("detector", "target_group").agg(*[near(F.avg(c), 8).alias(c) for c in names])
 
 
-def _calibration_summary(s, d) -> DataFrame:
-    """Attainment and median violation of the plain sets from nested samples of the calibration rows."""
+def sensitivity(scored: DataFrame) -> DataFrame:
+    """Metric rows of the plain, weighted and fully gated sets from nested samples of the calibration rows.
+
+    (fraction, repetition, metrics.KEYS, metrics, passed) at the primary point and the selected clip, for four fractions
+    and five repetitions of the sample; `passed` tells whether the gate let the cell's sets stand, null without a gate.
+    """
     from functools import reduce
 
-    from siftspark.operators.conformal import mondrian, mondrian_sets
+    from siftspark.operators.conformal import gate_rules, gated_sets, mondrian, mondrian_sets, support, weighted_sets
     from siftspark.operators.windows import nested_sample
 
-    e = stage(rel.scored(s, d), "scored")
-    cal, tgt = e.where("side = 'calibration'"), e.where("side = 'target'")
-    parts = []
-    for f in (0.25, 0.5, 0.75, 1.0):
-        sets = mondrian_sets(tgt, mondrian(nested_sample(cal, CELL, f, 1, "nested-1", 20, 5), CELL), CELL).where(_primary())
-        parts.append(seed_means(mt.with_targets(mt.triage(sets, mt.KEYS)), OUTCOMES).withColumn("fraction", F.lit(f)))
-    return attained(reduce(DataFrame.unionByName, parts), ["detector", "fraction", "method"])
+    drawn = ["fraction", "repetition"]
+    cell, points, clips = [*CELL, *drawn], [PRIMARY], (rel.CLIP,)
+    whole, tgt = scored.where("side = 'calibration'"), scored.where("side = 'target'")
+    tag = lambda df, f, r: df.withColumn("fraction", F.lit(f)).withColumn("repetition", F.lit(r))
+    samples = [tag(nested_sample(whole, CELL, f, r, "nested-1"), f, r) for f in FRACTIONS for r in range(REPETITIONS)]
+    cal = stage(reduce(DataFrame.unionByName, samples), "samples")
+    grid = F.array(*[F.struct(F.lit(f).alias("fraction"), F.lit(r).alias("repetition")) for f in FRACTIONS for r in range(REPETITIONS)])
+    tgt = tgt.withColumn("_s", F.explode(grid)).select(*tgt.columns, "_s.*")
+    weighted = stage(weighted_sets(cal, tgt, cell, points, clips), "weighted")
+    rules = stage(gate_rules(support(cal, tgt, scored, cell, clips), weighted, cell), "rules")
+    full = f"gated_full_gate_clip_{rel.CLIP:.0f}"
+    gated = gated_sets(weighted, rules, cell).where(F.col("method") == full)
+    plain = mondrian_sets(tgt, mondrian(cal, cell), cell, points)
+    m = mt.with_targets(mt.triage(plain.unionByName(weighted).unionByName(gated), [*drawn, *mt.KEYS]))
+    passed = rules.select(*cell, F.lit(full).alias("method"), F.col("full").alias("passed"))
+    return m.join(passed, [*cell, "method"], "left")
+
+
+def _calibration_summary(s, d) -> DataFrame:
+    """Attainment and median outcomes per fraction and method, means over seeds and repetitions being taken per group;
+    for the gate the share of cells that pass and the groups of which all or any do."""
+    m = stage(sensitivity(stage(rel.scored(s, d), "scored")), "sensitivity")
+    by = ["detector", "fraction", "method"]
+    out = attained(m.groupBy("fraction", *POINT, "target_group").agg(*[F.avg(c).alias(c) for c in OUTCOMES]), by)
+    per = m.where("passed is not null").groupBy(*by, "target_group").agg(F.sum(F.col("passed").cast("int")).alias("k"), F.count(F.lit(1)).alias("n"))
+    rates = per.groupBy(*by).agg(
+        near(F.sum("k") / F.sum("n"), 8).alias("pass_rate"), F.count(F.when(F.col("k") == F.col("n"), 1)).alias("all_pass_groups"), F.count(F.when(F.col("k") > 0, 1)).alias("any_pass_groups")
+    )
+    return out.join(rates, by, "left")
 
 
 def _neardup_summary(s, d) -> DataFrame:
-    """The plain and weighted methods on all target records and on those without a near-duplicate in the source."""
+    """The plain, weighted and fully gated methods on all target records and on those without a near-duplicate in the source."""
     from siftspark.operators.conformal import decisions
     from siftspark.operators.lsh import _clean
 
-    e = stage(decisions(stage(rel.scored(s, d), "scored")).where(_primary() & F.col("method").isin(BASELINE, "estimated_weight_no_gate_clip_20")), "sets")
+    e = stage(decisions(stage(rel.scored(s, d), "scored")).where(_primary() & F.col("method").isin(BASELINE, "estimated_weight_no_gate_clip_20", "gated_full_gate_clip_20")), "sets")
     flagged = rel.documents(s, d).where("dataset = 'diversevul'").select("row_id").join(_clean(s, d).select("row_id"), "row_id", "left_anti")
     kept = e.join(flagged.where("row_id is not null"), "row_id", "left_anti")
     both = e.withColumn("cohort", F.lit("all")).unionByName(kept.withColumn("cohort", F.lit("clean")))

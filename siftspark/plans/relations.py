@@ -65,10 +65,10 @@ def scored(spark: SparkSession, folder: str, side: str | None = None) -> DataFra
     return p if side is None else p.where(F.col("side") == side)
 
 
-def with_budgets(df: DataFrame) -> DataFrame:
-    """Each row at each of the nine operating points (av, asafe): an array of literals, no join."""
-    points = F.array(*[F.struct(F.lit(a).alias("av"), F.lit(b).alias("asafe")) for a, b in BUDGETS])
-    return df.withColumn("_b", F.explode(points)).select(*df.columns, "_b.av", "_b.asafe")
+def with_budgets(df: DataFrame, points: list[tuple[float, float]] = BUDGETS) -> DataFrame:
+    """Each row at each operating point (av, asafe), all nine if not told otherwise: an array of literals, no join."""
+    options = F.array(*[F.struct(F.lit(a).alias("av"), F.lit(b).alias("asafe")) for a, b in points])
+    return df.withColumn("_b", F.explode(options)).select(*df.columns, "_b.av", "_b.asafe")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

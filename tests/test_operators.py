@@ -215,3 +215,27 @@ def test_predicates(spark):
         spark.createDataFrame([(2,)], "t int").select(predicates.binary(F.col("t"))).collect()
     m = spark.createDataFrame([("a", "g"), ("a", "h"), ("b", "g")], "alias string, project_group string")
     assert {tuple(r) for r in predicates.alias_union([m]).collect()} == {("a", "g", True), ("b", "g", False), ("g", "g", False), ("h", "h", False)}
+
+
+def test_calibration_sensitivity_is_the_whole_grid(spark):
+    r = np.random.default_rng(11)
+    draw = lambda n, side: scores(np.round(r.random(n), 3), np.arange(n) % 8 == 0, side, np.exp(r.normal(0, 1, n)))
+    scored = spark.createDataFrame(draw(200, "calibration") + draw(30, "target"), CELLED)
+    got = statistics.sensitivity(scored).collect()
+    methods = {"unweighted_mondrian", "estimated_weight_no_gate_clip_20", "gated_full_gate_clip_20"}
+    assert {(x["fraction"], x["repetition"], x["method"]) for x in got} == set(product((0.25, 0.5, 0.75, 1.0), range(5), methods)) and len(got) == 60
+    assert all((x["passed"] is not None) == (x["method"] == "gated_full_gate_clip_20") for x in got)
+    cell, tgt = ["detector", "seed"], scored.where("side = 'target'")
+    for f, rep in ((0.25, 3), (1.0, 0)):
+        cal = windows.nested_sample(scored.where("side = 'calibration'"), cell, f, rep, "nested-1")
+        weighted = conformal.weighted_sets(cal, tgt, cell)
+        rules = conformal.gate_rules(conformal.support(cal, tgt, scored, cell), weighted, cell)
+        sets = conformal.mondrian_sets(tgt, conformal.mondrian(cal, cell), cell).unionByName(weighted).unionByName(conformal.gated_sets(weighted, rules, cell)).where("av = 0.1 and asafe = 0.2")
+        want = {x["method"]: (x["vulnerable_missed"], x["safe_missed"], x["singletons"]) for x in metrics.triage(sets, ["method"]).collect() if x["method"] in methods}
+        assert {x["method"]: (x["vulnerable_missed"], x["safe_missed"], x["singletons"]) for x in got if (x["fraction"], x["repetition"]) == (f, rep)} == want
+
+
+def test_summaries_have_the_full_gate(spark, folder):
+    methods = {"unweighted_mondrian", "estimated_weight_no_gate_clip_20", "gated_full_gate_clip_20"}
+    for name in ("agg_calibration_summary", "agg_neardup_summary"):
+        assert {x["method"] for x in statistics.QUERIES[name](spark, folder).collect()} == methods
