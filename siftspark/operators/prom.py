@@ -134,6 +134,25 @@ def _cell_cumulative_set(p: np.ndarray, threshold: float, k_reg: int | None = No
     return _cell_rank_set(p, np.where(first >= threshold, 0, 1))
 
 
+def cell_k(n: int) -> int:
+    """``neighbours`` of a number."""
+    return n if n < 200 else math.floor(0.1 * n)
+
+
+def cell_window(values: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(reach, inside, tied) per own value: the distance to the k-th nearest of the sorted values, and how many of them
+    are nearer and just as far. The window of k values is found by bisection over its first rank, without pairs."""
+    lo, hi = np.zeros(len(own), int), np.full(len(own), len(values) - k)
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        right = (lo < hi) & (own - values[mid] > values[np.minimum(mid + k, len(values) - 1)] - own)
+        lo, hi = np.where(right, mid + 1, lo), np.where(right, hi, np.where(lo < hi, mid, hi))
+    reach = np.maximum(np.abs(own - values[lo]), np.abs(values[lo + k - 1] - own))
+    span = lambda r: np.searchsorted(values, own + r, "right") - np.searchsorted(values, own - r, "left")
+    inside = np.maximum(0, span(reach - 1e-12))
+    return reach, inside, span(reach + 1e-12) - inside
+
+
 def cell_neighbours(cal: np.ndarray, value: float, k: int, by_value: np.ndarray) -> np.ndarray:
     """Indices of the k nearest calibration values, ties by index; ``by_value`` sorts ``cal``."""
     if k >= len(cal):
@@ -165,10 +184,11 @@ def cell_adapter(cal: np.ndarray, y: np.ndarray, tgt: np.ndarray, alpha: float,
     lam = LAMBDAS[int(np.argmin(sizes))]
     u = {"aps": (streams[1].random(len(cal)), streams[2].random(len(tgt))), "raps": (streams[3].random(len(rest)), streams[4].random(len(tgt)))}
     out, accepted = {}, np.ones(len(tgt), bool)
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for e in EXPERTS:
         c, l = (cal[rest], y[rest]) if e == "raps" else (cal, y)
         uc, ut = u.get(e, (None, None))
-        sc, st = cell_scores(e, c, l, uc, k_reg, lam), cell_scores(e, tgt, forced, ut, k_reg, lam)
+        held[e] = sc, _ = cell_scores(e, c, l, uc, k_reg, lam), cell_scores(e, tgt, forced, ut, k_reg, lam)
         th = cell_higher(sc, alpha)
         if e == "lac":
             sets = np.stack([1 - tgt >= 1 - th, tgt >= 1 - th], axis=1)
@@ -176,17 +196,22 @@ def cell_adapter(cal: np.ndarray, y: np.ndarray, tgt: np.ndarray, alpha: float,
             sets = _cell_rank_set(tgt, np.full(len(tgt), int(th)))
         else:
             sets = _cell_cumulative_set(tgt, th, k_reg if e == "raps" else None, lam)
-        k = len(c) if len(c) < 200 else math.floor(0.1 * len(c))
-        by = np.lexsort((np.arange(len(c)), c))
-        pv = np.array([np.mean(sc[cell_neighbours(c, v, k, by)] >= s) for v, s in zip(tgt, st, strict=True)])
-        out[e], out[f"p_{e}"] = sets, pv
-        accepted &= (sets.sum(axis=1) == 1) & (pv > 1 - alpha)
+        out[e] = sets
+    for c, experts in ((cal, EXPERTS[:3]), (cal[rest], EXPERTS[3:])):  # those on the same rows share their neighbours
+        k, by = cell_k(len(c)), np.lexsort((np.arange(len(c)), c))
+        sc, st = (np.stack([held[e][i] for e in experts]) for i in (0, 1))
+        pv = np.empty((len(experts), len(tgt)))
+        for i, v in enumerate(tgt):
+            pv[:, i] = (sc[:, cell_neighbours(c, v, k, by)] >= st[:, i, None]).mean(axis=1)
+        out |= {f"p_{e}": x for e, x in zip(experts, pv, strict=True)}
+    for e in EXPERTS:
+        accepted &= (out[e].sum(axis=1) == 1) & (out[f"p_{e}"] > 1 - alpha)
     union = np.ones((len(tgt), 2), bool)
     union[accepted] = np.stack([forced == 0, forced == 1], axis=1)[accepted]
     return out | {"union": union}
 
 
-ADAPTED = "detector string, target_group string, seed int, position long, row_id string, alpha double, expert string, in_safe boolean, in_vulnerable boolean"
+ADAPTED = "detector string, target_group string, seed int, position long, row_id string, alpha double, expert string, in_safe boolean, in_vulnerable boolean, p_value double"
 
 
 def adapter(scored: DataFrame, cell: list[str], alphas: list[float]) -> DataFrame:
@@ -201,11 +226,32 @@ def adapter(scored: DataFrame, cell: list[str], alphas: list[float]) -> DataFram
             for a in alphas:
                 got = cell_adapter(c.p.to_numpy(), c.y.to_numpy(), t.p.to_numpy(), a, int(pdf.seed.iloc[0]))
                 for e in (*EXPERTS, "union"):
-                    parts.append(t[["detector", "target_group", "seed", "position", "row_id"]].assign(alpha=a, expert=e, in_safe=got[e][:, 0], in_vulnerable=got[e][:, 1]))
+                    parts.append(t[["detector", "target_group", "seed", "position", "row_id"]].assign(alpha=a, expert=e, in_safe=got[e][:, 0], in_vulnerable=got[e][:, 1], p_value=got.get(f"p_{e}", np.nan)))
         names = [x.split()[0] for x in ADAPTED.split(", ")]
         return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
 
-    return scored.groupBy(*cell).applyInPandas(run, ADAPTED)
+    out = scored.groupBy(*cell).applyInPandas(run, ADAPTED)
+    return out.withColumn("p_value", F.when(F.col("expert") != "union", F.col("p_value")))
+
+
+WINDOW = "detector string, target_group string, seed int, position long, k long, reach double, inside long, tied long"
+
+
+def windows_1d(scored: DataFrame, cell: list[str]) -> DataFrame:
+    """The neighbourhood of each target record as k (``neighbours`` of its cell), the distance to the k-th nearest
+    calibration value, and the rows nearer and just as far; of the latter the first ones fill up to k. A cell is one task.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, t = np.sort(pdf.p[pdf.side == "calibration"].to_numpy()), pdf[pdf.side == "target"]
+        names = [x.split()[0] for x in WINDOW.split(", ")]
+        if not len(c) or not len(t):
+            return pd.DataFrame(columns=names)
+        k = cell_k(len(c))
+        reach, inside, tied = cell_window(c, t.p.to_numpy(), k)
+        return t[["detector", "target_group", "seed", "position"]].assign(k=k, reach=reach, inside=inside, tied=tied)[names]
+
+    return scored.groupBy(*cell).applyInPandas(run, WINDOW)
 
 
 _ID = ["detector", "target_group", "seed", "side", "position"]
@@ -282,6 +328,16 @@ def _counts(s, d) -> DataFrame:
     return n.withColumn("k", neighbours(F.col("n")).cast("long"))
 
 
+#: The levels in use: the lesser budget of each operating point.
+LEVELS = sorted({min(b) for b in rel.BUDGETS})
+
+
+def _local(s, d) -> DataFrame:
+    """Every expert's p-value over its cell's own number of neighbours at every level, and whether it accepts."""
+    a = adapter(_e(s, d), CELL, LEVELS).where("expert <> 'union'")
+    return a.withColumn("accepted", (F.col("in_safe") != F.col("in_vulnerable")) & (F.col("p_value") > 1 - F.col("alpha")))
+
+
 QUERIES = {
     "prom_scores": _scores,
     "prom_quantile": _thresholds,
@@ -293,6 +349,8 @@ QUERIES = {
     "join_knn_1d": _near,
     "prom_local_pvalue": _pvalues,
     "prom_accept": _accept,
+    "join_knn_window": lambda s, d: windows_1d(_e(s, d), CELL),
+    "prom_local_experts": _local,
     "prom_union": lambda s, d: adapter(_e(s, d), CELL, [0.1]).where("expert = 'union'"),
     "prom_adapter": lambda s, d: adapter(_e(s, d), CELL, [0.01, 0.05, 0.1]),
 }

@@ -239,3 +239,21 @@ def test_summaries_have_the_full_gate(spark, folder):
     methods = {"unweighted_mondrian", "estimated_weight_no_gate_clip_20", "gated_full_gate_clip_20"}
     for name in ("agg_calibration_summary", "agg_neardup_summary"):
         assert {x["method"] for x in statistics.QUERIES[name](spark, folder).collect()} == methods
+
+
+def test_local_pvalues_take_the_neighbours_of_the_cell(spark):
+    r = np.random.default_rng(17)
+    pc, yc, pt = np.round(r.random(230), 2), r.integers(0, 2, 230), np.round(r.random(25), 3)
+    scored = spark.createDataFrame(scores(pc, yc, "calibration") + scores(pt, np.zeros(25), "target"), CELLED)
+    got = {(x["position"], x["expert"], x["alpha"]): x["p_value"] for x in prom.adapter(scored, ["detector", "seed"], prom.LEVELS).collect()}
+    assert prom.LEVELS == [0.01, 0.05, 0.1] and len(got) == 25 * 5 * 3
+    lac = np.where(yc == 1, 1 - pc, pc)
+    order = sorted(range(230), key=lambda i: ("g", i, f"calibration{i}"))
+    for i, v in enumerate(pt):
+        near = sorted(order, key=lambda j: (abs(pc[j] - v), j))[:23]
+        want = np.mean(lac[near] >= (1 - v if v > 0.5 else v))
+        assert all(got[(i, "lac", a)] == pytest.approx(want) for a in prom.LEVELS) and got[(i, "union", 0.1)] is None
+    for x in prom.windows_1d(scored, ["detector", "seed"]).collect():
+        far = np.sort(np.abs(pc - pt[x["position"]]))
+        assert x["k"] == 23 and x["reach"] == pytest.approx(far[22])
+        assert x["inside"] == (far < far[22] - 1e-9).sum() < 23 <= x["inside"] + x["tied"] == (far < far[22] + 1e-9).sum()
