@@ -112,11 +112,13 @@ def forced_sets(tgt: DataFrame) -> DataFrame:
     return _decided(rel.with_budgets(tgt.select(*ROW)), "forced_argmax", F.col("p") <= 0.5, F.col("p") > 0.5)
 
 
-def matched_sets(tgt: DataFrame, decided: DataFrame, cell: list[str], method: str) -> DataFrame:
-    """As many singletons as ``decided`` has in each cell and operating point, for the most certain records."""
+def matched_sets(tgt: DataFrame, decided: DataFrame, cell: list[str], method: str, certainty: Column | None = None) -> DataFrame:
+    """As many singletons as ``decided`` has in each cell and operating point, for the most certain records: those with
+    the most probable label unless ``certainty`` says otherwise."""
     k = decided.groupBy(*cell, "av", "asafe").agg(F.count(F.when(F.col("in_safe") != F.col("in_vulnerable"), 1)).alias("_k"))
-    w = Window.partitionBy(*cell).orderBy(F.greatest("p", 1 - F.col("p")).desc(), "target_group", "position")
-    t = rel.with_budgets(tgt.select(*ROW).withColumn("_r", F.row_number().over(w))).join(k, [*cell, "av", "asafe"])
+    most = F.greatest("p", 1 - F.col("p")) if certainty is None else certainty
+    w = Window.partitionBy(*cell).orderBy(most.desc(), "target_group", "position")
+    t = rel.with_budgets(tgt.withColumn("_r", F.row_number().over(w)).select(*ROW, "_r")).join(k, [*cell, "av", "asafe"])
     accepted = F.col("_r") <= F.col("_k")
     return _decided(t, method, ~accepted | (F.col("p") <= 0.5), ~accepted | (F.col("p") > 0.5))
 
@@ -304,6 +306,22 @@ def _with_infinity(s, d) -> DataFrame:
     return first_at_least(steps.select(*CELL, "upto", "score"), q, CELL, "upto", "score", "mass").select("detector", "target_group", "seed", "position", F.col("score").alias("threshold"))
 
 
+def matched_to_both(scored: DataFrame, cell: list[str], name: str) -> DataFrame:
+    """Matched sets at every operating point, with the singletons of the plain and of the fully gated sets; ``name`` is
+    `msp` or `lac` (by credibility)."""
+    cal, tgt = scored.where("side = 'calibration'"), scored.where("side = 'target'")
+    plain = stage(mondrian_sets(tgt, mondrian(cal, cell), cell), "plain")
+    weighted = stage(weighted_sets(cal, tgt, cell, clips=(rel.CLIP,)), "weighted")
+    rules = gate_rules(support(cal, tgt, scored, cell, (rel.CLIP,)), weighted, cell)
+    full = gated_sets(weighted, rules, cell).where(f"method = 'gated_full_gate_clip_{rel.CLIP:.0f}'")
+    t, by = (stage(credibility(cal, tgt, cell), "credibility"), F.col("credibility")) if name == "lac" else (tgt, None)
+    return matched_sets(t, plain, cell, f"{name}_matched_unweighted_mondrian", by).unionByName(matched_sets(t, full, cell, f"{name}_matched_full_gate", by))
+
+
+def _matched(name: str):
+    return lambda s, d: _out(matched_to_both(stage(_e(s, d), "scored"), CELL, name).withColumn("accepted", F.col("in_safe") != F.col("in_vulnerable")))
+
+
 QUERIES = {
     "validate_probs": _validate,
     "conf_higher_quantile": _higher,
@@ -318,6 +336,8 @@ QUERIES = {
     "conf_lac_credibility": lambda s, d: _out(credibility(_e(s, d, "calibration"), _e(s, d, "target"), CELL)),
     "join_credibility_rank": lambda s, d: _out(credibility(_e(s, d, "calibration"), _e(s, d, "target"), CELL)),
     "conf_lac_matched": lambda s, d: accept_top(credibility(_e(s, d, "calibration"), _e(s, d, "target"), CELL), CELL, F.col("credibility"), ["target_group", "position"], F.lit(5)).select("detector", "target_group", "seed", "position", "label", "accepted"),
+    "conf_lac_matched_sets": _matched("lac"),
+    "topk_matched_accept": _matched("msp"),
     "supp_ess_rule": lambda s, d: gate_rules(_support(s, d), _weighted(s, d), CELL).select(*CELL, "clip", "av", "asafe", "ess_only"),
     "supp_adjust_v1": lambda s, d: support_v1(_support(s, d), _weighted(s, d), CELL),
     "supp_features": lambda s, d: _support(s, d).select(*CELL, "clip", *[near(n, 6).alias(n) for n, *_ in GATE]),

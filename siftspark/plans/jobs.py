@@ -32,7 +32,7 @@ JOBS: dict[str, dict[str, str]] = {
     "predict": {"grid": "ml_detector_sgd", "scores": "ml_predict", "density": "ml_crossfit_density"},
     "merge_parts": {"claims": "set_merge_parts", "groups": "set_intersect_union_count"},
     "gate_fit": {"frame": "gate_train_frame", "probabilities": "ml_gate_fit"},
-    "evaluate": {"decisions": "eval_fold", "metrics": "met_triage", "gates": "supp_gate", "temperatures": "conf_temperature", "adapter": "prom_adapter", "local_pvalues": "prom_local_experts"},
+    "evaluate": {"decisions": "eval_fold", "metrics": "met_triage", "gates": "supp_gate", "temperatures": "conf_temperature", "adapter": "prom_adapter", "local_pvalues": "prom_local_experts", "lac_matched": "conf_lac_matched_sets"},
     "analyse": {"comparisons": "stat_paired_comparisons", "detectors": "agg_detector_perf", "discrimination": "stat_gate_discrimination", "support": "agg_support_summary_v1"},
     "calibration_sensitivity": {"sample": "win_nested_hash_sample", "summary": "agg_calibration_summary"},
     "near_duplicate_audit": {"candidates": "join_lsh_bands", "flagged": "join_candidate_docs", "targets": "agg_flagged_targets", "projects": "agg_affected_projects", "clean": "join_anti_flagged", "counts": "agg_counts", "tokens": "agg_token_summary"},

@@ -257,3 +257,21 @@ def test_local_pvalues_take_the_neighbours_of_the_cell(spark):
         far = np.sort(np.abs(pc - pt[x["position"]]))
         assert x["k"] == 23 and x["reach"] == pytest.approx(far[22])
         assert x["inside"] == (far < far[22] - 1e-9).sum() < 23 <= x["inside"] + x["tied"] == (far < far[22] + 1e-9).sum()
+
+
+def test_matched_sets_accept_as_many_as_those_matched(spark):
+    r = np.random.default_rng(19)
+    pc, yc, pt = np.round(r.random(300), 2), r.integers(0, 2, 300), np.round(r.random(60), 2)
+    scored = spark.createDataFrame(scores(pc, yc, "calibration") + scores(pt, np.zeros(60), "target"), CELLED)
+    cell, tgt = ["detector", "seed"], scored.where("side = 'target'")
+    plain = conformal.mondrian_sets(tgt, conformal.mondrian(scored.where("side = 'calibration'"), cell), cell)
+    k = {(x["av"], x["asafe"]): x["k"] for x in plain.where("in_safe <> in_vulnerable").groupBy("av", "asafe").agg(F.count(F.lit(1)).alias("k")).collect()}
+    assert max(k.values()) > 7
+    own = [(v > 0.5, 1 - v if v > 0.5 else 1 - (1 - v)) for v in pt]
+    sc = np.where(yc == 1, 1 - pc, 1 - (1 - pc))
+    cred = [((sc[yc == f] >= o).sum() + 1) / ((yc == f).sum() + 1) for f, o in own]
+    for name, best in (("lac", cred), ("msp", np.maximum(pt, 1 - pt))):
+        order = sorted(range(60), key=lambda i: (-best[i], i))
+        got = conformal.matched_to_both(scored, cell, name).where(f"method = '{name}_matched_unweighted_mondrian' and in_safe <> in_vulnerable").collect()
+        for b in conformal.BUDGETS:
+            assert {x["position"] for x in got if (x["av"], x["asafe"]) == b} == set(order[: k.get(b, 0)])
