@@ -7,8 +7,9 @@ population counts differ beyond the radius are skipped. What passes is counted e
 missed and nothing false comes out. Groups need links, not all pairs: within a tile pair rows that are linked already
 aren't compared with each other.
 
-Comparing all tiles with all would be quadratic, so tiles are laid within blocks of sets that share the first tokens of
-a global order (tokensets.block_keys) - a necessary condition, which loses no pair.
+Comparing all tiles with all would be quadratic, so tiles are laid within strata of some hundred sets: blocks of sets
+that share the first tokens of a global order (tokensets.block_keys), a necessary condition which loses no pair, put
+together by hash (blocks.tiled). `tile_figures` counts what the tiles skip.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm import tokensets as ts
-from siftspark.llm.blocks import tiled, whole_blocks
+from siftspark.llm.blocks import strata_of, tiled, whole_blocks
 from siftspark.llm.forest import components
 from siftspark.runtime import stage
 
@@ -29,11 +30,11 @@ SIMILAR = Fraction(4, 5)
 WORDS = 4
 VECTOR = [f"v{w}" for w in range(WORDS)]
 VECTOR_SQL = ", ".join(f"{v} long" for v in VECTOR)
-#: Units up to this size are compared diagonal by diagonal, larger ones tile by tile.
-SMALL = 24
-#: Close pairs per close row of a larger unit up to which they are written; in denser ones links are found with the tokens.
+#: Close pairs per close row of a unit up to which they are written; in denser ones links are found with the tokens.
 DENSE = 8
-SQUARE = 256
+#: Rows of a tile, and tile pairs compared together.
+SQUARE = 16
+TOGETHER = 2048
 
 
 def bit_vectors(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -70,101 +71,92 @@ def vector_rows(order, total: int, t: Fraction):
     return run
 
 
-def _close(v: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, t: Fraction) -> np.ndarray:
-    """Which index pairs lie within the radius."""
-    apart = np.bitwise_count(v[i] ^ v[j]).sum(axis=1, dtype=np.int32)
-    lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    p, q = t.numerator, t.denominator
-    return (apart * (q + p) <= (q - p) * (n[i] + n[j])) & (lo * q >= hi * p)
-
-
-def _squares(v, n, lo, hi, t):
-    """Pairs within rows lo..hi, by squares of the unit sorted by population count."""
-    pop = np.bitwise_count(v[lo:hi]).sum(axis=1, dtype=np.int32)
-    by = lo + np.argsort(pop, kind="stable")
-    pop, p, q = np.sort(pop), t.numerator, t.denominator
-    edges = [*range(0, len(by), SQUARE), len(by)]
-    for x in range(len(edges) - 1):
-        a = by[edges[x] : edges[x + 1]]
-        for y in range(x, len(edges) - 1):
-            b = by[edges[y] : edges[y + 1]]
-            radius = (q - p) * (int(n[a].max()) + int(n[b].max())) // (q + p)
-            if pop[edges[y]] - pop[edges[x + 1] - 1] > radius:
-                continue
-            apart = np.zeros((len(a), len(b)), np.int32)
-            for w in range(v.shape[1]):
-                apart += np.bitwise_count(v[a, w][:, None] ^ v[b, w][None, :])
-            i, j = np.nonzero(apart <= radius)
-            i, j = a[i], b[j]
-            if x == y:
-                keep = i < j
-                i, j = i[keep], j[keep]
-            ok = _close(v, n, i, j, t)
-            yield i[ok], j[ok]
-
-
 class Units:
     """The units of a table, with what comparing their rows needs."""
 
     def __init__(self, tab: pa.Table, starts: np.ndarray, t: Fraction):
         self.t, self.starts, self.sizes = t, starts, np.diff(starts)
         self.tile, self.a, self.b = (tab.column(c).to_numpy() for c in ("_tile", "_t", "_u"))
-        self.n = tab.column("n").to_numpy().astype(np.int32)
+        self.hot = self.b > 0
+        self.n = tab.column("n").to_numpy().astype(np.int64)
         self.v = np.stack([tab.column(c).to_numpy() for c in VECTOR], axis=1).view(np.uint64)
 
-    def _across(self, i: np.ndarray, j: np.ndarray):
-        """Of a unit of two tiles only pairs across them."""
-        keep = (self.a[i] == self.b[i]) | (self.tile[i] != self.tile[j])
-        return i[keep], j[keep]
-
-    def small(self):
-        """Close index pairs of all units of up to SMALL rows, diagonal by diagonal."""
-        unit = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        small = np.repeat(self.sizes <= SMALL, self.sizes)
-        for d in range(1, min(SMALL, len(unit))):
-            i = np.flatnonzero((unit[d:] == unit[:-d]) & small[:-d])
-            if not len(i):
-                return
-            i = i[_close(self.v, self.n, i, i + d, self.t)]
-            yield self._across(i, i + d)
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Pairs of a unit of two tiles count only across them."""
+        return (self.a[i] == self.b[i]) | (self.tile[i] != self.tile[j])
 
-    def large(self):
-        """For each larger unit its close index pairs, square by square."""
-        for k in np.flatnonzero(self.sizes > SMALL):
-            yield (self._across(i, j) for i, j in _squares(self.v, self.n, int(self.starts[k]), int(self.starts[k + 1]), self.t))
+    def close(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs lie within the radius."""
+        return self._within(np.bitwise_count(self.v[i] ^ self.v[j]).sum(axis=1, dtype=np.int64), i, j)
 
+    def _within(self, apart: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        lo, hi = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        p, q = self.t.numerator, self.t.denominator
+        return (apart * (q + p) <= (q - p) * (lo + hi)) & (lo * q >= hi * p)
 
-def close_pairs(tab: pa.Table, starts: np.ndarray, t: Fraction):
-    """Index pairs within the radius in each unit."""
-    u = Units(tab, starts, t)
-    yield from u.small()
-    for unit in u.large():
-        yield from unit
+    def tile_pairs(self):
+        """(x, y) row numbers of tile pairs, SQUARE each with -1 for none, whose population counts allow a close pair.
 
-
-def partnered(t: Fraction, left: str | None = None, right: str | None = None):
-    """Rows of units that have a partner within the radius, for mapInArrow; with ``left`` and ``right``, the names of
-    boolean columns, a partner of the other side. Vectors are kept, what was only needed to find partners isn't."""
-
-    def run(batches):
-        for tab, starts in whole_blocks(batches, "key"):
-            keep = np.zeros(len(tab), bool)
-            if left:
-                a, b = sides(tab, left, right)
-            for i, j in close_pairs(tab, starts, t):
-                if left:
-                    across = (a[i] & b[j]) | (b[i] & a[j])
-                    i, j = i[across], j[across]
-                keep[i] = keep[j] = True
-            yield from tab.filter(pa.array(keep)).to_batches()
-
-    return run
+        Rows of a unit are sorted by population count and cut into tiles. Two counts differ by no more than the vectors'
+        distance, so a pair of tiles whose counts are further apart than the radius of its largest sets is skipped.
+        Counts of all tile pairs and of skipped ones add up in `seen` and `skipped`.
+        """
+        self.seen = self.skipped = 0
+        pop = np.bitwise_count(self.v).sum(axis=1, dtype=np.int64)
+        unit = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        by = np.lexsort((pop, unit))
+        tiles = -(-self.sizes // SQUARE)
+        of = np.repeat(np.arange(len(tiles)), tiles)
+        at = self.starts[:-1][of] + SQUARE * (np.arange(len(of)) - np.repeat(np.cumsum(tiles) - tiles, tiles))
+        end = np.minimum(at + SQUARE, self.starts[1:][of])
+        slot = at[:, None] + np.arange(SQUARE)
+        rows = np.where(slot < end[:, None], by[np.minimum(slot, len(by) - 1)], -1)
+        least, most = pop[by[at]], pop[by[end - 1]]
+        largest = np.maximum.reduceat(self.n[by], at)
+        p, q = self.t.numerator, self.t.denominator
+        for d in range(int(tiles.max(initial=0))):
+            x = np.flatnonzero(of[d:] == of[: len(of) - d])
+            near = (least[x + d] - most[x]) * (q + p) <= (q - p) * (largest[x] + largest[x + d])
+            self.seen += len(x)
+            self.skipped += int((~near).sum())
+            x = x[near]
+            for lo in range(0, len(x), TOGETHER):
+                yield rows[x[lo : lo + TOGETHER]], rows[x[lo : lo + TOGETHER] + d], d == 0
+
+    def close_pairs(self):
+        """Close index pairs of all units, tile pair by tile pair."""
+        self.compared = 0
+        for a, b, same in self.tile_pairs():
+            h = np.zeros((len(a), SQUARE, SQUARE), np.int16)
+            for w in range(self.v.shape[1]):
+                h += np.bitwise_count(self.v[a, w][:, :, None] ^ self.v[b, w][:, None, :])
+            p, q = self.t.numerator, self.t.denominator
+            size = self.n[a][:, :, None] + self.n[b][:, None, :]
+            ok = (h.astype(np.int64) * (q + p) <= (q - p) * size) & (a >= 0)[:, :, None] & (b >= 0)[:, None, :]
+            if same:
+                ok &= np.arange(SQUARE)[:, None] < np.arange(SQUARE)
+            self.compared += int(((a >= 0).sum(axis=1) * (b >= 0).sum(axis=1)).sum())
+            k, x, y = np.nonzero(ok)
+            i, j = a[k, x], b[k, y]
+            lo, hi = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+            ok = (lo * q >= hi * p) & self.apart(i, j)
+            yield i[ok], j[ok]
 
 
 def sides(tab: pa.Table, left: str, right: str) -> tuple[np.ndarray, np.ndarray]:
     return tuple(tab.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in (left, right))
 
 
+def unit_tables(batches):
+    """Tables of whole units with their starts, each row once: a row may be in several blocks of a stratum."""
+    for tab, _ in whole_blocks(batches, "key"):
+        key, a, b, cid = (tab.column(c).to_numpy() for c in ("key", "_t", "_u", "cid"))
+        unit = np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        once = unit | np.concatenate([[True], cid[1:] != cid[:-1]])
+        tab = tab.filter(pa.array(once)).combine_chunks()
+        yield tab, np.append(np.flatnonzero(unit[once]), len(tab))
+
+
 def with_tokens(units: DataFrame, sets: DataFrame) -> DataFrame:
     """The rows of units with their token sets, whole units together again."""
     held = units.join(sets.select("cid", "tokens"), "cid").repartition("key", "_t", "_u").sortWithinPartitions("key", "_t", "_u", "cid")
@@ -173,10 +165,11 @@ def with_tokens(units: DataFrame, sets: DataFrame) -> DataFrame:
 
 UNIT_SQL = f"key long, cid long, n int, {VECTOR_SQL}"
 PLACE_SQL = "_tile int, _t int, _u int"
+FIGURES = ["units", "sets_in_units", "tile_pairs", "tile_pairs_skipped", "pairs_in_units", "pairs_compared", "pairs_close"]
 SIFTED = ["key", "cid", "n", *VECTOR, "_tile", "_t", "_u", "b"]
 
 
-def _spread(tok: ts.TokenRows, v: np.ndarray, n: np.ndarray, lo: int, hi: int, t: Fraction):
+def _spread(tok: ts.TokenRows, u: Units, lo: int, hi: int, t: Fraction):
     """Links of a spanning forest of the similar rows lo..hi.
 
     Each row is compared with those that no row reached yet, so a family of m copies of each other costs about m
@@ -187,7 +180,7 @@ def _spread(tok: ts.TokenRows, v: np.ndarray, n: np.ndarray, lo: int, hi: int, t
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             x = front.pop()
-            near = np.flatnonzero(_close(v, n, np.full(len(rest), x), rest, t))
+            near = np.flatnonzero(u.close(np.full(len(rest), x), rest))
             hit = near[tok.similar(np.full(len(near), x), rest[near], t)]
             if len(hit):
                 yield np.full(len(hit), x), rest[hit]
@@ -195,30 +188,32 @@ def _spread(tok: ts.TokenRows, v: np.ndarray, n: np.ndarray, lo: int, hi: int, t
                 rest = np.delete(rest, hit)
 
 
-def _sift(t: Fraction):
-    """Close pairs (a, b) of units; of larger ones with many for each row the close rows themselves, with null b.
+def _sift(t: Fraction, figures: bool = False):
+    """Close pairs (a, b) of units; of those with many for each row the close rows themselves, with null b.
 
-    So what a unit gives is in proportion to its rows, however dense it is.
+    So what a unit gives, and what is held of it, is in proportion to its rows, however dense it is. With ``figures``,
+    counts of what the tiles did.
     """
 
     def run(batches):
-        for tab, starts in whole_blocks(batches, "key"):
-            u = Units(tab, starts, t)
-            cid, pairs, rows = tab.column("cid").to_numpy(), list(u.small()), []
-            for unit in u.large():
-                held, count, close = [], 0, np.zeros(len(cid), bool)
-                for i, j in unit:
-                    close[i] = close[j] = True
-                    count += len(i)
-                    if count <= DENSE * len(cid):
-                        held.append((i, j))
-                if count <= DENSE * close.sum():
-                    pairs += held
-                else:
-                    rows.append(np.flatnonzero(close))
-            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int),) * 2
+        for tab, starts in unit_tables(batches):
+            u, cid = Units(tab, starts, t), tab.column("cid").to_numpy()
+            unit = np.repeat(np.arange(len(u.sizes)), u.sizes)
+            close, count, held = np.zeros(len(cid), bool), np.zeros(len(u.sizes), np.int64), []
+            for i, j in u.close_pairs():
+                close[i] = close[j] = True
+                count += np.bincount(unit[i], minlength=len(count))
+                fits = count[unit[i]] <= DENSE * u.sizes[unit[i]]
+                held.append((i[fits], j[fits]))
+            if figures:
+                n = [len(u.sizes), len(cid), u.seen, u.skipped, int((u.sizes * (u.sizes - 1) // 2).sum()), u.compared, int(count.sum())]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in n], names=FIGURES)
+                continue
+            dense = count > DENSE * np.bincount(unit[close], minlength=len(count))
+            i, j = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, int),) * 2
+            i, j = i[~dense[unit[i]]], j[~dense[unit[i]]]
             x, y = cid[i], cid[j]
-            kept = tab.take(pa.array(np.concatenate(rows) if rows else np.zeros(0, int)))
+            kept = tab.take(pa.array(np.flatnonzero(close & dense[unit])))
             yield from pa.concat_tables(
                 [
                     pa.table({"cid": np.minimum(x, y), "b": np.maximum(x, y)}),
@@ -236,7 +231,7 @@ def _link(t: Fraction):
     def run(batches):
         for tab, starts in whole_blocks(batches, "key", least=4_000):
             u, tok, cid = Units(tab, starts, t), ts.TokenRows(tab.column("tokens")), tab.column("cid").to_numpy()
-            found = [p for s, e in zip(starts[:-1], starts[1:], strict=True) for p in _spread(tok, u.v, u.n, int(s), int(e), t)]
+            found = [p for s, e in zip(starts[:-1], starts[1:], strict=True) for p in _spread(tok, u, int(s), int(e), t)]
             if found:
                 i, j = (np.concatenate(x) for x in zip(*found, strict=True))
                 x, y = cid[i], cid[j]
@@ -245,13 +240,16 @@ def _link(t: Fraction):
     return run
 
 
+def _units(c: ts.Classes, t: Fraction) -> DataFrame:
+    spark, total = c.sets.sparkSession, c.sets.count()
+    order = ts.share(spark, ts.order_table(c.sets, "tokens"))
+    rows = c.sets.select("cid", "tokens").mapInArrow(vector_rows(order, total, t), UNIT_SQL)
+    return tiled(rows, "key", "cid", F.lit(True), [], strata=strata_of(total))
+
+
 def similar_links(c: ts.Classes, t: Fraction = SIMILAR) -> DataFrame:
     """(a, b): links between classes with Jaccard >= t whose connected components are those of all similar pairs."""
-    spark = c.sets.sparkSession
-    order = ts.share(spark, ts.order_table(c.sets, "tokens"))
-    rows = c.sets.select("cid", "tokens").mapInArrow(vector_rows(order, c.sets.count(), t), UNIT_SQL)
-    units = tiled(rows, "key", "cid", F.lit(True), [])
-    sifted = stage(units.mapInArrow(_sift(t), f"{UNIT_SQL}, {PLACE_SQL}, b long"), "sifted")
+    sifted = stage(_units(c, t).mapInArrow(_sift(t), f"{UNIT_SQL}, {PLACE_SQL}, b long"), "sifted")
     few = ts.exact_pairs(sifted.where("b is not null").select(F.col("cid").alias("a"), "b").distinct(), c.sets, t)
     many = with_tokens(sifted.where("b is null").drop("b"), c.sets).mapInArrow(_link(t), "a long, b long")
     return few.unionByName(many).distinct()
@@ -272,8 +270,14 @@ def near_duplicates(documents: DataFrame, t: Fraction = SIMILAR) -> DataFrame:
     return placed.join(big, "group_doc_id", "left_semi").select("doc_id", "group_doc_id")
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(ts.documents(spark, folder))
+def tile_figures(documents: DataFrame, t: Fraction = SIMILAR) -> DataFrame:
+    """One row of counts (FIGURES) of what the tiles did; zeros for an empty table."""
+    c = ts.classes(stage(ts.token_sets(documents), "tokens"))
+    counts = _units(c, t).mapInArrow(_sift(t, True), ", ".join(f"{f} long" for f in FIGURES))
+    return counts.agg(*[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in FIGURES])
 
 
-QUERIES = {"p2_found": p2_found}
+QUERIES = {
+    "p2_found": lambda s, d: near_duplicates(ts.documents(s, d)),
+    "p2_tiles": lambda s, d: tile_figures(ts.documents(s, d)),
+}

@@ -1,19 +1,26 @@
 """Records of evaluation splits that stand, exactly or almost, in the training split (problem 1).
 
 Content-defined chunks: a normalised record is cut where a rolling hash of its content says so, chunk digests are joined
-across splits, and the lengths of shared chunks add up to overlap fractions. Edits change only the chunks they touch.
+across splits, and the lengths of shared chunks add up to overlap fractions. Edits change only the chunks near them.
 
 Two normal forms are cut. For the overlap fractions of `record_overlap` it is the text, lower-case and with single
 spaces, under a hash that rolls over 16 bytes. For `contaminated`, whose measure is the Jaccard of token sets, it is the
-set in hash order, under a hash that rolls over one token, so that chunk sharing can be proved: a token that is missing
-in the other set spoils at most two chunks (its own and, if it ended a chunk, the next) and a token that the other set
-adds spoils at most one. For Jaccard >= t that is D chunks in all (`spoiled`), so of a set's c chunks c - D are shared,
-and one of its D + 1 rarest chunks is among them. Sets with c <= D are also cut into single tokens. Pairs that share a
-chunk go through the bit vectors' radius and the exact count.
+set in hash order, under a hash that rolls over the last `window` tokens. A token that is missing in the other set then
+spoils at most window + 1 chunks (its own and those that begin less than a window behind it), one that the other set
+adds at most `window`. For Jaccard >= t that is D chunks in all (`spoiled`). So of a set's c chunks at least c - D are
+shared, with at least the length of the c - D shortest, and if c > D, one of the D + 1 rarest is among them.
+
+Records are cut in two LEVELS. The coarse one joins all chunks and lets a pair pass if a quarter of either's length is
+shared. Evaluation records that found no partner there are cut again, finer, where c > D is the rule; sets with c <= D
+are cut into single tokens as well, for which D is the number of tokens that may be missing. There the D + 1 rarest
+chunks are joined and a pair passes if it shares the length just proved, so that nothing is missed. With chunks longer
+than two or three tokens there is no such proof: at Jaccard 0.85 every seventh token may differ. What passes is counted
+exactly on the tokens.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -24,8 +31,8 @@ from pyspark.sql import functions as F
 
 from siftspark.functions.text import presence
 from siftspark.llm import tokensets as ts
-from siftspark.llm.blocks import tiled, whole_blocks
-from siftspark.llm.neardup import PLACE_SQL, UNIT_SQL, VECTOR, bit_vectors, close_pairs, partnered, sides, with_tokens
+from siftspark.llm.blocks import expanded, tiled, whole_blocks
+from siftspark.llm.neardup import sides
 from siftspark.runtime import stage, table
 
 SIMILAR = Fraction(17, 20)
@@ -34,6 +41,23 @@ WINDOW = 16
 MEAN_BYTES = 64
 
 
+@dataclass(frozen=True)
+class Level:
+    """Tokens under the rolling hash, mean chunk length in tokens, and whether pairs pass by what is proved."""
+
+    window: int
+    mean: int
+    proved: bool
+
+
+LEVELS = [Level(4, 4, False), Level(1, 2, True)]
+#: Share of a record's tokens in shared chunks from which a pair passes at an unproved level.
+LEAST_SHARE = Fraction(1, 4)
+#: Pairs of a unit that are looked at together, and the largest length that a packed chunk tells.
+CHUNK = 1 << 16
+LENGTH = (1 << 12) - 1
+
+
 def record_splits(records: DataFrame, documents: DataFrame) -> DataFrame:
     """(dataset, row_id, split, key) of the distinct records, with the split and the key as TESTDATA.md defines them.
 
@@ -59,151 +83,262 @@ def record_splits(records: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def spoiled(n: np.ndarray, t: Fraction) -> np.ndarray:
+def spoiled(n: np.ndarray, t: Fraction, window: int) -> np.ndarray:
     """The most chunks of a set of n tokens that a set with Jaccard >= t can spoil.
 
-    With x tokens missing and y added, (n - x) / (n + y) >= t, and 2 x + y is largest at the largest x or just below.
+    With x tokens missing and y added, (n - x) / (n + y) >= t, and (window + 1) x + window y is largest at the largest
+    x, or within a few of it, because whole numbers of added tokens fit unevenly.
     """
     p, q = t.numerator, t.denominator
     x = n * (q - p) // q
-    worst = [2 * k + (n * (q - p) - q * k) // p for k in (x, np.maximum(x - 1, 0))]
-    return np.maximum(*worst)
+    worst = np.zeros(len(n), np.int64)
+    for back in range(q):
+        k = np.maximum(x - back, 0)
+        worst = np.maximum(worst, (window + 1) * k + window * ((n * (q - p) - q * k) // p))
+    return worst
+
 
+def rolled(values: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
+    """A hash of each token and the up to window - 1 before it in its row."""
+    m = ts.mix(values.view(np.uint64))
+    place = np.arange(len(values)) - np.repeat(offsets[:-1], np.diff(offsets))
+    h = m.copy()
+    for k in range(1, min(window, len(values))):
+        turned = (m[:-k] << np.uint64(11 * k % 64)) | (m[:-k] >> np.uint64(64 - 11 * k % 64))
+        h[k:] += np.where(place[k:] >= k, turned, np.uint64(0))
+    return ts.mix(h)
 
-def set_chunks(values: np.ndarray, offsets: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(digest, row, take): chunks of each set, and how many of the rarest must be joined.
 
-    Rows numbered from the count of sets on are the single tokens of sets with too few chunks.
+@dataclass
+class Chunks:
+    """Chunks of sets: row numbers in rising order, packed digest and length, and of each row the most spoiled chunks.
+
+    Rows from the count of sets on are the single tokens of sets with too few chunks.
     """
+
+    row: np.ndarray
+    packed: np.ndarray
+    most: np.ndarray
+
+    def least(self) -> np.ndarray:
+        """Of each row the length that a similar row shares at least: that of its c - D shortest chunks."""
+        length = self.packed & LENGTH
+        by = np.lexsort((length, self.row))
+        count = np.bincount(self.row, minlength=len(self.most))
+        place = np.arange(len(by)) - np.repeat(np.cumsum(count) - count, count)
+        kept = place < np.repeat(count - self.most, count)
+        return np.bincount(self.row[by][kept], weights=length[by][kept], minlength=len(self.most)).astype(np.int64)
+
+
+def set_chunks(values: np.ndarray, offsets: np.ndarray, t: Fraction, level: Level) -> Chunks:
     n = np.diff(offsets)
     row = np.repeat(np.arange(len(n)), n)
-    mixed = _mix(values.view(np.uint64))
-    cut = (mixed >> np.uint64(63)).astype(bool)
+    mixed = ts.mix(values.view(np.uint64))
+    cut = rolled(values, offsets, level.window) % np.uint64(level.mean) == 0
     starts = np.zeros(len(values), bool)
     starts[offsets[:-1][n > 0]] = True
     starts[1:] |= cut[:-1]
     at = np.flatnonzero(starts)
-    digest = np.add.reduceat(_mix(mixed), at) if len(at) else np.zeros(0, np.uint64)
+    digest = np.add.reduceat(ts.mix(mixed), at) if len(at) else np.zeros(0, np.uint64)
+    length = np.diff(np.append(at, len(values)))
     chunk_row = row[at]
-    count = np.bincount(chunk_row, minlength=len(n))
-    most = spoiled(n, t)
-    few = count <= most
+    most = spoiled(n, t, level.window)
+    few = (np.bincount(chunk_row, minlength=len(n)) <= most) & level.proved
     single = few[row]
-    digest = np.concatenate([digest, mixed[single] ^ np.uint64(0x5851F42D4C957F2D)])
-    chunk_row = np.concatenate([chunk_row, row[single] + len(n)])
-    take = np.concatenate([np.minimum(most + 1, count), np.where(few, ts.prefix_lengths(n, t), 0)])
-    return digest.view(np.int64), chunk_row, take
+    digest = ts.mix(np.concatenate([digest, mixed[single] ^ np.uint64(0x5851F42D4C957F2D)]) + np.uint64(level.window))
+    length = np.concatenate([length, np.ones(int(single.sum()), np.int64)])
+    packed = (digest & ~np.uint64(LENGTH)) | np.minimum(length, LENGTH).astype(np.uint64)
+    singles = np.where(few, ts.prefix_lengths(n, t) - 1, 0)
+    return Chunks(np.concatenate([chunk_row, row[single] + len(n)]), packed.view(np.int64), np.concatenate([most, singles]))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+CHUNKED_SQL = "cid long, fine boolean, train boolean, eval boolean, most int, least int, n int, chunks array<long>"
 
 
-def _digests(t: Fraction):
+def _chunked(t: Fraction, level: Level):
+    """(cid, fine, train, eval, most, least, n, chunks): one row for each set, and one more if it is cut into single tokens."""
+
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                digest, _, _ = set_chunks(*ts.flat(b.column("tokens")), t)
-                yield pa.RecordBatch.from_arrays([pa.array((digest & ts.MASK).astype(np.int32))], names=["slot"])
+            if not b.num_rows:
+                continue
+            values, offsets = ts.flat(b.column("tokens"))
+            n = np.diff(offsets)
+            c = set_chunks(values, offsets, t, level)
+            count = np.bincount(c.row, minlength=len(c.most))
+            least = c.least() if level.proved else np.tile(-(-n * LEAST_SHARE.numerator // LEAST_SHARE.denominator), 2)
+            keep = np.flatnonzero(count)
+            of = pa.array(keep % len(n))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count[keep])).astype(np.int32)), pa.array(c.packed))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("cid").take(of), pa.array(keep >= len(n)), b.column("train").take(of), b.column("eval").take(of),
+                 *[pa.array(x[keep].astype(np.int32)) for x in (c.most, least, np.tile(n, 2))], lists],
+                names=["cid", "fine", "train", "eval", "most", "least", "n", "chunks"],
+            )
 
     return run
 
 
-def _rare_chunks(order, t: Fraction):
+def _low(packed: np.ndarray) -> np.ndarray:
+    """The counter of a packed chunk."""
+    return (packed >> np.int64(12)) & ts.MASK
+
+
+def _slots(batches):
+    for b in batches:
+        values, _ = ts.flat(b.column("chunks"))
+        yield pa.RecordBatch.from_arrays([pa.array(_low(values).astype(np.int32))], names=["slot"])
+
+
+def _joined_chunks(order, level: Level):
+    """(key, cid, fine, train, eval): the chunks that are joined, all or the most + 1 rarest; those of one set only make no key."""
+
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            values, offsets = ts.flat(b.column("tokens"))
-            n = np.diff(offsets).astype(np.int32)
-            vectors = bit_vectors(values, offsets)
-            digest, row, take = set_chunks(values, offsets, t)
-            count = order.value[digest & ts.MASK]
-            by = np.lexsort((digest, count, row))
-            digest, row, count = digest[by], row[by], count[by]
-            begins = np.searchsorted(row, np.arange(2 * len(n)))
-            rare = (np.arange(len(row)) - begins[row] < take[row]) & (count > 1)
-            digest, row = digest[rare], row[rare] % len(n)
-            rest = b.drop_columns(["cid", "tokens"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digest), b.column("cid").take(pa.array(row)), pa.array(n[row]), *[pa.array(vectors[row, w]) for w in range(vectors.shape[1])], *rest.columns],
-                names=["key", "cid", "n", *VECTOR, *rest.schema.names],
-            )
+            values, offsets = ts.flat(b.column("chunks"))
+            take = b.column("most").to_numpy() + 1 if level.proved else np.diff(offsets)
+            row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+            count = order.value[_low(values)]
+            by = np.lexsort((values, count, row))
+            place = np.arange(len(by)) - np.repeat(offsets[:-1], np.diff(offsets))
+            by = by[(place < take[row]) & (count[by] > 1)]
+            of = pa.array(row[by])
+            yield pa.RecordBatch.from_arrays([pa.array(values[by]), *[b.column(c).take(of) for c in ("cid", "fine", "train", "eval")]], names=["key", "cid", "fine", "train", "eval"])
 
     return run
 
 
+def _across(tab: pa.Table, starts: np.ndarray, needed):
+    """(x, y) of the units: an evaluation row and a training row; pairs whose outcome isn't ``needed`` any more drop out."""
+    train, ev = sides(tab, "train", "eval")
+    tile, a, b = (tab.column(c).to_numpy() for c in ("_tile", "_t", "_u"))
+    sizes = np.diff(starts)
+    first, count = np.repeat(starts[:-1], sizes), np.repeat(sizes, sizes)
+    for x, y in expanded(first, np.where(ev, count, 0), CHUNK):
+        ok = train[y] & ((a[x] == b[x]) | (tile[x] != tile[y])) & (x != y)
+        x, y = x[ok], y[ok]
+        ok = needed(x, y)
+        yield x[ok], y[ok]
+
+
+UNIT = ["key", "_t", "_u", "_tile", "cid", "train", "eval"]
+UNIT_SQL = "key long, _t int, _u int, _tile int, cid long, train boolean, eval boolean"
+
+
+def _overlapping(batches):
+    """Rows of units with a row of the other side with which they share as much length in chunks as is asked for."""
+    for tab, starts in whole_blocks(batches, "key", least=4_000):
+        most, least = (tab.column(c).to_numpy() for c in ("most", "least"))
+        chunks = ts.TokenRows(tab.column("chunks"), lambda packed: packed & LENGTH)
+        keep = np.zeros(len(tab), bool)
+        for x, y in _across(tab, starts, lambda x, y: ~(keep[x] & keep[y])):  # noqa: B023
+            shared, length = chunks.shared(x, y)
+            left = np.maximum(chunks.n[x] - most[x], chunks.n[y] - most[y])
+            ok = (shared >= left) & (length >= np.maximum(least[x], least[y])) & (shared > 0)
+            keep[x[ok]] = keep[y[ok]] = True
+        yield from tab.select(UNIT).filter(pa.array(keep)).combine_chunks().to_batches()
+
+
 def _beside_train(t: Fraction):
-    """(cid) of evaluation classes with Jaccard >= t to a training class of the unit.
+    """(cid, partner): an evaluation class and a training class of the unit with Jaccard >= t.
 
-    One partner is enough: candidates are checked in turns, one for each class that has none yet, so a unit gives at
-    most one row per class, however many pairs it holds.
+    One partner is enough: pairs are checked in turns, one for each class that has none yet, so a unit gives at most one
+    row per class, however many pairs it holds.
     """
 
     def run(batches):
         for tab, starts in whole_blocks(batches, "key", least=4_000):
-            train, ev = sides(tab, "train", "eval")
             cid, tok = tab.column("cid").to_numpy(), ts.TokenRows(tab.column("tokens"))
-            done = np.zeros(len(tab), bool)
-            for i, j in close_pairs(tab, starts, t):
-                for x, y in ((i, j), (j, i)):
-                    open_ = ev[x] & train[y] & ~done[x]
-                    x, y = x[open_], y[open_]
-                    while len(x):
-                        _, first = np.unique(x, return_index=True)
-                        ok = tok.similar(x[first], y[first], t)
-                        done[x[first[ok]]] = True
-                        rest = np.ones(len(x), bool)
-                        rest[first] = False
-                        rest &= ~done[x]
-                        x, y = x[rest], y[rest]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(cid[done]))], names=["cid"])
+            partner = np.full(len(tab), -1)
+            for x, y in _across(tab, starts, lambda x, y: partner[x] < 0):  # noqa: B023
+                while len(x):
+                    _, first = np.unique(x, return_index=True)
+                    ok = tok.similar(x[first], y[first], t)
+                    partner[x[first[ok]]] = y[first[ok]]
+                    rest = np.ones(len(x), bool)
+                    rest[first] = False
+                    rest &= partner[x] < 0
+                    x, y = x[rest], y[rest]
+            at = np.flatnonzero(partner >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(cid[at]), pa.array(cid[partner[at]])], names=["cid", "partner"])
 
     return run
 
 
+def _level_links(sets: DataFrame, t: Fraction, level: Level) -> DataFrame:
+    """(cid, partner) of evaluation classes among ``sets`` for which the level finds a training class with Jaccard >= t."""
+    spark = sets.sparkSession
+    chunked = stage(sets.select("cid", "tokens", "train", "eval").mapInArrow(_chunked(t, level), CHUNKED_SQL), "chunks")
+    order = ts.share(spark, ts.counters(chunked.select("chunks").mapInArrow(_slots, "slot int")))
+    keys = chunked.select("cid", "fine", "train", "eval", "most", "chunks").mapInArrow(_joined_chunks(order, level), "key long, cid long, fine boolean, train boolean, eval boolean")
+    units = tiled(keys, "key", "cid", F.col("_l") & F.col("_r"), [F.max("train").alias("_l"), F.max("eval").alias("_r")], ordered=False)
+    held = units.join(chunked.select("cid", "fine", "most", "least", "chunks"), ["cid", "fine"])
+    kept = _together(held.select(*UNIT, "most", "least", "chunks")).mapInArrow(_overlapping, UNIT_SQL)
+    return _together(kept.join(sets.select("cid", "tokens"), "cid").select(*UNIT, "tokens")).mapInArrow(_beside_train(t), "cid long, partner long")
+
+
+def _together(units: DataFrame) -> DataFrame:
+    return units.repartition("key", "_t", "_u").sortWithinPartitions("key", "_t", "_u", "cid")
+
+
+def near_train(docs: DataFrame, t: Fraction = SIMILAR, levels: list[Level] | None = None) -> tuple[ts.Classes, DataFrame]:
+    """Classes with flags train and eval, and (cid, partner, level) of each evaluation class with a document of the
+    training split in it (level 0) or in a class with Jaccard >= t (the level that found it, from 1)."""
+    c = ts.classes(docs, {"train": F.col("split") == "train", "eval": F.col("split") != "train"})
+    found = [c.sets.where("train and eval").select("cid", F.col("cid").alias("partner"), F.lit(0).alias("level"))]
+    left = c.sets.withColumn("eval", F.col("eval") & ~F.col("train")).where("train or eval")
+    for k, level in enumerate(levels or LEVELS, 1):
+        links = stage(_level_links(left, t, level).groupBy("cid").agg(F.min("partner").alias("partner"), F.lit(k).alias("level")), "links")
+        found.append(links)
+        left = left.join(links.select("cid"), "cid", "left_anti") if level != (levels or LEVELS)[-1] else left
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return c, out
+
+
 def _placed_sets(splits: DataFrame, documents: DataFrame) -> DataFrame:
     """Token sets of documents that belong to a record of known split, with `split`."""
     of = splits.where("split is not null").select("dataset", "row_id", "split").distinct()
     return stage(ts.token_sets(documents).join(of, ["dataset", "row_id"]), "tokens")
 
 
-def _near_train(docs: DataFrame, t: Fraction) -> tuple[ts.Classes, DataFrame]:
-    """Classes with flags train and eval, and the (cid) of those with an evaluation document and a training document
-    in them or in another class with Jaccard >= t."""
-    spark = docs.sparkSession
-    c = ts.classes(docs, {"train": F.col("split") == "train", "eval": F.col("split") != "train"})
-    slots = c.sets.select("tokens").mapInArrow(_digests(t), "slot int")
-    order = ts.share(spark, ts.counters(slots))
-    schema = f"{UNIT_SQL}, train boolean, eval boolean"
-    rows = c.sets.select("cid", "tokens", "train", "eval").mapInArrow(_rare_chunks(order, t), schema)
-    units = tiled(rows, "key", "cid", F.col("_l") & F.col("_r"), [F.max("train").alias("_l"), F.max("eval").alias("_r")])
-    kept = units.mapInArrow(partnered(t, "train", "eval"), f"{schema}, {PLACE_SQL}")
-    found = with_tokens(kept, c.sets).mapInArrow(_beside_train(t), "cid long")
-    return c, found.unionByName(c.sets.where("train and eval").select("cid")).distinct()
-
+def links(records: DataFrame, documents: DataFrame, t: Fraction = SIMILAR) -> DataFrame:
+    """(dataset, origin_split, row_id, train_dataset, train_row_id, found_by): each record outside train whose key is
+    that of a train record or whose document has Jaccard >= t with that of a train record, with such a record.
 
-def contaminated(records: DataFrame, documents: DataFrame, t: Fraction = SIMILAR) -> DataFrame:
-    """(dataset, origin_split, row_id) of each record outside train whose key is that of a train record, or whose
-    document has Jaccard >= t with that of a train record.
-
-    Repeated records count once; records without key take part through their document only; records without a split
-    are on neither side; documents with fewer than 20 distinct tokens take part through their key only. Empty tables
-    give no rows; further columns change nothing.
+    found_by is `key`, or for others `set` (equal token sets) or `chunks 1`, `chunks 2` (the level of the cut). With a
+    key the train record is the least of that key; else it belongs to one of the similar classes, of which the level
+    that found one needs no more. Repeated records count once; records without key take part through their document
+    only; records without a split are on neither side; documents with fewer than 20 distinct tokens take part through
+    their key only. Empty tables give no rows; further columns change nothing.
     """
     splits = stage(record_splits(records, documents), "splits")
     outside = splits.where("split <> 'train'")
-    keys = splits.where("split = 'train' and key is not null").select("key").distinct()
-    exact = outside.join(keys, "key", "left_semi").select("dataset", "split", "row_id")
-    c, hit = _near_train(_placed_sets(splits, documents), t)
-    near = c.members.join(hit, "cid", "left_semi").select("dataset", "row_id").distinct()
-    near = outside.join(near, ["dataset", "row_id"], "left_semi").select("dataset", "split", "row_id")
-    return exact.unionByName(near).distinct().select("dataset", F.col("split").alias("origin_split"), "row_id")
+    first = F.min(F.struct(F.col("dataset").alias("train_dataset"), F.col("row_id").alias("train_row_id"))).alias("_p")
+    keys = splits.where("split = 'train' and key is not null").groupBy("key").agg(first)
+    by_key = outside.join(keys, "key").select("dataset", "split", "row_id", "_p", F.lit("key").alias("found_by"))
+    docs = _placed_sets(splits, documents)
+    c, near = near_train(docs, t)
+    near = stage(near, "near")
+    placed = docs.select("doc_id", "dataset", "row_id", "split").join(c.members.select("doc_id", "cid").distinct(), "doc_id")
+    partners = placed.where("split = 'train'").groupBy(F.col("cid").alias("partner")).agg(first)
+    named = F.when(F.col("level") == 0, F.lit("set")).otherwise(F.concat(F.lit("chunks "), F.col("level")))
+    by_doc = placed.where("split <> 'train'").join(near, "cid").join(partners, "partner").select("dataset", "split", "row_id", "_p", named.alias("found_by"))
+    # The least found_by by rank: key, set, chunks 1, chunks 2.
+    rank = F.when(F.col("found_by") == "key", 0).when(F.col("found_by") == "set", 1).otherwise(2)
+    both = by_key.unionByName(by_doc).groupBy("dataset", F.col("split").alias("origin_split"), "row_id").agg(F.min(F.struct(rank.alias("rank"), "found_by", "_p")).alias("x"))
+    return both.select("dataset", "origin_split", "row_id", "x._p.train_dataset", "x._p.train_row_id", "x.found_by")
+
+
+def contaminated(records: DataFrame, documents: DataFrame, t: Fraction = SIMILAR) -> DataFrame:
+    """(dataset, origin_split, row_id) of the records that `links` names."""
+    return links(records, documents, t).select("dataset", "origin_split", "row_id")
 
 
-_GEAR = _mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
+_GEAR = ts.mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 
 
 def text_chunks(text: bytes) -> list[bytes]:
@@ -271,4 +406,4 @@ def _of(f):
     return lambda spark, folder: f(table(spark, folder, "records"), ts.documents(spark, folder))
 
 
-QUERIES = {"p1_found": _of(contaminated), "p1_overlap": _of(record_overlap), "p1_report": _of(overlap_report)}
+QUERIES = {"p1_found": _of(contaminated), "p1_links": _of(links), "p1_overlap": _of(record_overlap), "p1_report": _of(overlap_report)}

@@ -181,32 +181,49 @@ def block_keys(values: np.ndarray, offsets: np.ndarray, order: np.ndarray, t: Fr
     return np.concatenate(keys).view(np.int64), np.concatenate(rows)
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A well spread one-to-one image of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _within(lengths: np.ndarray) -> np.ndarray:
     """0, 1, ... within each of consecutive stretches."""
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-#: Pairs whose tokens are intersected at a time.
-CHUNK = 50_000
+#: Tokens of pairs that are intersected at a time.
+CHUNK = 1 << 22
 
 
 class TokenRows:
-    """Sizes of intersections of rows' token sets, many pairs at a time."""
+    """Sizes of intersections of rows' token sets, many pairs at a time; ``weight`` gives the weight of each value."""
 
-    def __init__(self, column: pa.ChunkedArray):
+    def __init__(self, column: pa.ChunkedArray, weight=None):
         values, self.offsets = flat(column.combine_chunks() if column.num_chunks != 1 else column.chunk(0))
         self.n = np.diff(self.offsets)
         names, self.codes = np.unique(values, return_inverse=True)
         self.width = max(len(names), 1)
+        self.weight = weight(names) if weight else None
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.int64)
-        for lo in range(0, len(i), CHUNK):
-            a, b = i[lo : lo + CHUNK], j[lo : lo + CHUNK]
-            codes = np.sort(np.concatenate([self._codes(a), self._codes(b)]))
-            twice = codes[1:][codes[1:] == codes[:-1]] // self.width
-            out[lo : lo + CHUNK] = np.bincount(twice, minlength=len(a))
-        return out
+        return self.shared(i, j)[0]
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many values two rows share, and the weights of those together. Memory is bounded by tokens, not pairs."""
+        count, total = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        ends = np.cumsum(self.n[i] + self.n[j])
+        lo = 0
+        while lo < len(i):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK, side="right")))
+            codes = np.sort(np.concatenate([self._codes(i[lo:hi]), self._codes(j[lo:hi])]))
+            twice = codes[1:][codes[1:] == codes[:-1]]
+            count[lo:hi] = np.bincount(twice // self.width, minlength=hi - lo)
+            if self.weight is not None:
+                total[lo:hi] = np.bincount(twice // self.width, weights=self.weight[twice % self.width], minlength=hi - lo)
+            lo = hi
+        return count, total
 
     def _codes(self, rows: np.ndarray) -> np.ndarray:
         n = self.n[rows]

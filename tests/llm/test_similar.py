@@ -1,3 +1,4 @@
+import random
 from fractions import Fraction
 
 import numpy as np
@@ -57,27 +58,48 @@ def test_similar_sets_share_a_block(monkeypatch, limit, t):
         assert keys[i] & keys[j] or sets[i] == sets[j]
 
 
-def test_similar_sets_share_a_chunk():
-    t = overlap.SIMILAR
+@pytest.mark.parametrize("window", [1, 2, 3])
+def test_similar_sets_share_what_is_proved(window):
+    """Of every similar pair: a rarest chunk in common, as many chunks and as much length as the bound says."""
+    t, level = overlap.SIMILAR, overlap.Level(window, 2, True)
     sets = [s for s in families(5, 250) if len(s) >= 20]
     values, offsets = arrays(sets)
-    digest, row, take = overlap.set_chunks(values, offsets, t)
-    count = np.bincount(digest & ts.MASK, minlength=ts.MASK + 1)[digest & ts.MASK]
-    by = np.lexsort((digest, count, row))
-    digest, row = digest[by], row[by]
-    rare = [set(digest[row == r][: take[r]].tolist()) for r in range(len(take))]
-    n = len(sets)
+    c = overlap.set_chunks(values, offsets, t, level)
+    low = overlap._low(c.packed)
+    count = np.bincount(low, minlength=ts.MASK + 1)[low]
+    by = np.lexsort((c.packed, count, c.row))
+    own = [c.packed[by][c.row[by] == r] for r in range(len(c.most))]
+    rare = [set(x[: m + 1].tolist()) for x, m in zip(own, c.most.tolist(), strict=True)]
+    least, n, fine = c.least(), len(sets), 0
     for i, j in brute(sets, t):
-        assert (rare[i] | rare[i + n]) & (rare[j] | rare[j + n])
-
-
-def test_spoiled_bound():
-    t = overlap.SIMILAR
-    n = np.arange(20, 300)
-    got = overlap.spoiled(n, t)
+        rows = [(k + i, k + j) for k in (0, n) if rare[k + i] & rare[k + j]]
+        assert rows
+        fine += rows[-1][0] >= n
+        for x, y in rows:
+            shared = set(own[x].tolist()) & set(own[y].tolist())
+            length = sum(v & overlap.LENGTH for v in shared)
+            assert len(shared) >= max(len(own[x]) - c.most[x], len(own[y]) - c.most[y]) and length >= max(least[x], least[y])
+    assert fine or window < 3
+
+
+def test_coarse_chunks_are_long():
+    values, offsets = arrays([{f"t{i}" for i in range(20_000)}])
+    level = overlap.LEVELS[0]
+    length = overlap.set_chunks(values, offsets, overlap.SIMILAR, level).packed & overlap.LENGTH
+    assert length.sum() == 20_000 and abs(length.mean() - level.mean) < 0.2
+    gone = np.delete(values, [5_000, 15_000])
+    other = overlap.set_chunks(gone, np.array([0, len(gone)]), overlap.SIMILAR, level)
+    whole = overlap.set_chunks(values, offsets, overlap.SIMILAR, level)
+    assert len(set(whole.packed.tolist()) - set(other.packed.tolist())) <= 2 * (level.window + 1)
+
+
+@pytest.mark.parametrize("window", [1, 2, 4])
+def test_spoiled_bound(window):
+    n = np.arange(20, 200)
+    got = overlap.spoiled(n, overlap.SIMILAR, window)
     for size, d in zip(n.tolist(), got.tolist(), strict=True):
-        worst = max(2 * x + y for x in range(size) for y in range(size) if (size - x) * 20 >= 17 * (size + y))
-        assert worst <= d
+        worst = max((window + 1) * x + window * y for x in range(size) for y in range(size) if (size - x) * 20 >= 17 * (size + y))
+        assert worst <= d <= worst + window
 
 
 def test_near_duplicates(spark):
@@ -147,6 +169,23 @@ def test_contaminated(spark):
         if s and s != "train" and (k in keys or near):
             want.add((d, s, r))
     assert got == want and len(got) > 5
+    linked = overlap.links(spark.createDataFrame(recs * 2, RECORD), spark.createDataFrame(docs, DOC)).collect()
+    assert len(linked) == len(want)
+    for r in linked:
+        s, k, x = info[(r["dataset"], r["row_id"])]
+        ts_, tk, y = info[(r["train_dataset"], r["train_row_id"])]
+        assert ts_ == "train" and (k == tk and k if r["found_by"] == "key" else jaccard(x, y)[0] * 20 >= jaccard(x, y)[1] * 17)
+    assert {r["found_by"] for r in linked} >= {"key"}
+
+
+def test_train_partner_of_each_level(spark):
+    """The coarse cut finds most and the fine one the rest; the fine cut alone finds all."""
+    docs = [(*doc(i, s), ["train", "test"][i % 2]) for i, s in enumerate(families(11, 400, size=60))]
+    df = ts.token_sets(spark.createDataFrame(docs, DOC + ", split string")).join(spark.createDataFrame([(d[0], d[-1]) for d in docs], "doc_id long, split string"), "doc_id")
+    _, two = overlap.near_train(df)
+    _, one = overlap.near_train(df, levels=[overlap.LEVELS[1]])
+    a, b = {r["cid"]: r["level"] for r in two.collect()}, {r["cid"] for r in one.collect()}
+    assert set(a) == b and {1, 2} <= set(a.values())
 
 
 def test_text_chunks():
@@ -178,19 +217,56 @@ def test_empty(spark):
     assert overlap.record_overlap(r, d).count() == 0
 
 
-def test_cells_lose_no_pair(monkeypatch):
-    """Pivot cells of one block, against all pairs: many pivots, sets of one family at all distances."""
-    import random
-
+def units(sets, t, keys=None):
+    """One table of units over the sets, sorted, for the functions that run on Arrow batches."""
     import pyarrow as pa
 
-    r = random.Random(6)
+    values, offsets = arrays(sets)
+    vectors = neardup.bit_vectors(values, offsets)
+    keys = np.zeros(len(sets), np.int64) if keys is None else keys
+    by = np.argsort(keys, kind="stable")
+    zero = np.zeros(len(sets), np.int32)
+    columns = {"key": keys[by], "_t": zero, "_u": zero, "_tile": zero, "cid": by, "n": np.diff(offsets)[by].astype(np.int32)}
+    tab = pa.table(columns | {v: vectors[by, w] for w, v in enumerate(neardup.VECTOR)})
+    return by, neardup.Units(tab, np.append(np.unique(keys[by], return_index=True)[1], len(sets)), t)
+
+
+def crowd(seed=6):
+    r = random.Random(seed)
     core = list(range(70))
-    sets = [set(r.sample(core, r.randint(38, 60))) for _ in range(150)] + [set(range(1000 + 50 * i, 1050 + 50 * i)) for i in range(10)]
-    tok = ts.TokenRows(pa.chunked_array([pa.array([sorted(s) for s in sets], pa.list_(pa.int64()))]))
-    t = setjoin.SIMILAR
-    monkeypatch.setattr(setjoin, "ONE_CELL", 2)
-    met = {tuple(sorted((int(a), int(b)))) for x, y in setjoin._cells(tok, 0, len(sets), float(1 - t)) for a, b in zip(x, y, strict=True)}
-    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) * 10 >= 7 * len(sets[i] | sets[j])}
-    assert want <= met and len(want) > 100
-    assert not any(i < 150 <= j for i, j in met)
+    return [set(r.sample(core, r.randint(38, 60))) for _ in range(150)] + [set(range(1000 + 50 * i, 1050 + 50 * i)) for i in range(10)] + families(seed, 120, size=60)
+
+
+@pytest.mark.parametrize("radius", [0.0, 0.15, 0.5])
+def test_cells_lose_no_pair(radius):
+    """Pivot cells of three strata, against all pairs: sets of one family at all distances, and strangers."""
+    t, sets = setjoin.SIMILAR, crowd()
+    keys = np.array([(0 if len(s) < 46 else 1) if i % 7 else 2 for i, s in enumerate(sets)])
+    by, u = units(sets, t, keys)
+    cells = setjoin.Cells(u, ts.mix(by.astype(np.uint64)), t, radius)
+    met = [tuple(sorted((int(by[i]), int(by[j])))) for x, y in cells.pairs() for i, j in zip(cells.rows[x], cells.rows[y], strict=True)]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if keys[i] == keys[j] and len(sets[i] & sets[j]) * 10 >= 7 * len(sets[i] | sets[j])}
+    assert want <= set(met) and len(want) > 100
+    assert cells.k.min() > 1 and cells.home.sum() == len(sets)
+    # Each set is at home at its nearest pivot, and cells rule most pairs out.
+    assert len(set(met)) < 0.7 * sum(m * (m - 1) // 2 for m in u.sizes)
+
+
+def test_tiles_lose_no_pair():
+    t, sets = neardup.SIMILAR, crowd(8)
+    keys = np.array([i % 3 for i in range(len(sets))])
+    by, u = units(sets, t, keys)
+    got = {tuple(sorted((int(by[a]), int(by[b])))) for i, j in u.close_pairs() for a, b in zip(i, j, strict=True)}
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if keys[i] == keys[j] and len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])}
+    assert want <= got and want and u.skipped > 0.1 * u.seen
+
+
+def test_figures(spark):
+    sides = ["primevul", "diversevul"]
+    df = spark.createDataFrame([doc(i, s, sides[i % 2]) for i, s in enumerate(families(7, 120))], DOC)
+    cells = setjoin.partition_figures(df).first().asDict()
+    pairs = setjoin.document_pairs(df).count()
+    assert 0 < cells["found_among_cells"] <= cells["found"] <= pairs and cells["homes"] == cells["sets_in_strata"] and cells["cells"] > cells["strata"]
+    tiles = neardup.tile_figures(df).first().asDict()
+    assert 0 < tiles["pairs_close"] < tiles["pairs_in_units"] and tiles["tile_pairs"] > tiles["tile_pairs_skipped"] > 0
+    assert set(neardup.tile_figures(df.limit(0)).first()) == {0} == set(setjoin.partition_figures(df.limit(0)).first())
