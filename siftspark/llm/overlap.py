@@ -10,8 +10,8 @@ spoils at most window + 1 chunks (its own and those that begin less than a windo
 adds at most `window`. For Jaccard >= t that is D chunks in all (`spoiled`). So of a set's c chunks at least c - D are
 shared, with at least the length of the c - D shortest, and if c > D, one of the D + 1 rarest is among them.
 
-Records are cut in two LEVELS. The coarse one joins all chunks and lets a pair pass if a quarter of either's length is
-shared. Evaluation records that found no partner there are cut again, finer, where c > D is the rule; sets with c <= D
+Records are cut in two LEVELS. The coarse one joins the chunks of at least mean length and lets a pair pass if a
+quarter of either's length is shared, in chunks of any length. Evaluation records that found no partner there are cut again, finer, where c > D is the rule; sets with c <= D
 are cut into single tokens as well, for which D is the number of tokens that may be missing. There the D + 1 rarest
 chunks are joined and a pair passes if it shares the length just proved, so that nothing is missed. With chunks longer
 than two or three tokens there is no such proof: at Jaccard 0.85 every seventh token may differ. What passes is counted
@@ -191,7 +191,8 @@ def _slots(batches):
 
 
 def _joined_chunks(order, level: Level):
-    """(key, cid, fine, train, eval): the chunks that are joined, all or the most + 1 rarest; those of one set only make no key."""
+    """(key, cid, fine, train, eval): the chunks that are joined, the most + 1 rarest or, if nothing is proved, those of at
+    least mean length; those of one set only make no key."""
 
     def run(batches):
         for b in batches:
@@ -203,7 +204,8 @@ def _joined_chunks(order, level: Level):
             count = order.value[_low(values)]
             by = np.lexsort((values, count, row))
             place = np.arange(len(by)) - np.repeat(offsets[:-1], np.diff(offsets))
-            by = by[(place < take[row]) & (count[by] > 1)]
+            long = (values[by] & LENGTH) >= (1 if level.proved else level.mean)
+            by = by[(place < take[row]) & (count[by] > 1) & long]
             of = pa.array(row[by])
             yield pa.RecordBatch.from_arrays([pa.array(values[by]), *[b.column(c).take(of) for c in ("cid", "fine", "train", "eval")]], names=["key", "cid", "fine", "train", "eval"])
 
@@ -227,18 +229,27 @@ UNIT = ["key", "_t", "_u", "_tile", "cid", "train", "eval"]
 UNIT_SQL = "key long, _t int, _u int, _tile int, cid long, train boolean, eval boolean"
 
 
-def _overlapping(batches):
-    """Rows of units with a row of the other side with which they share as much length in chunks as is asked for."""
-    for tab, starts in whole_blocks(batches, "key", least=4_000):
-        most, least = (tab.column(c).to_numpy() for c in ("most", "least"))
-        chunks = ts.TokenRows(tab.column("chunks"), lambda packed: packed & LENGTH)
-        keep = np.zeros(len(tab), bool)
-        for x, y in _across(tab, starts, lambda x, y: ~(keep[x] & keep[y])):  # noqa: B023
-            shared, length = chunks.shared(x, y)
-            left = np.maximum(chunks.n[x] - most[x], chunks.n[y] - most[y])
-            ok = (shared >= left) & (length >= np.maximum(least[x], least[y])) & (shared > 0)
-            keep[x[ok]] = keep[y[ok]] = True
-        yield from tab.select(UNIT).filter(pa.array(keep)).combine_chunks().to_batches()
+def _overlapping(t: Fraction):
+    """Rows of units with a row of the other side, of a size that allows it, with which they share as much length in
+    chunks as is asked for."""
+
+    def run(batches):
+        for tab, starts in whole_blocks(batches, "key", least=4_000):
+            most, least, n = (tab.column(c).to_numpy().astype(np.int64) for c in ("most", "least", "n"))
+            chunks = ts.TokenRows(tab.column("chunks"), lambda packed: packed & LENGTH)
+            keep = np.zeros(len(tab), bool)
+
+            def needed(x, y):
+                return ~(keep[x] & keep[y]) & (np.minimum(n[x], n[y]) * t.denominator >= np.maximum(n[x], n[y]) * t.numerator)  # noqa: B023
+
+            for x, y in _across(tab, starts, needed):
+                shared, length = chunks.shared(x, y)
+                left = np.maximum(chunks.n[x] - most[x], chunks.n[y] - most[y])
+                ok = (shared >= left) & (length >= np.maximum(least[x], least[y])) & (shared > 0)
+                keep[x[ok]] = keep[y[ok]] = True
+            yield from tab.select(UNIT).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
 
 
 def _beside_train(t: Fraction):
@@ -274,8 +285,8 @@ def _level_links(sets: DataFrame, t: Fraction, level: Level) -> DataFrame:
     order = ts.share(spark, ts.counters(chunked.select("chunks").mapInArrow(_slots, "slot int")))
     keys = chunked.select("cid", "fine", "train", "eval", "most", "chunks").mapInArrow(_joined_chunks(order, level), "key long, cid long, fine boolean, train boolean, eval boolean")
     units = tiled(keys, "key", "cid", F.col("_l") & F.col("_r"), [F.max("train").alias("_l"), F.max("eval").alias("_r")], ordered=False)
-    held = units.join(chunked.select("cid", "fine", "most", "least", "chunks"), ["cid", "fine"])
-    kept = _together(held.select(*UNIT, "most", "least", "chunks")).mapInArrow(_overlapping, UNIT_SQL)
+    held = units.join(chunked.select("cid", "fine", "most", "least", "n", "chunks"), ["cid", "fine"])
+    kept = _together(held.select(*UNIT, "most", "least", "n", "chunks")).mapInArrow(_overlapping(t), UNIT_SQL)
     return _together(kept.join(sets.select("cid", "tokens"), "cid").select(*UNIT, "tokens")).mapInArrow(_beside_train(t), "cid long, partner long")
 
 
