@@ -14,25 +14,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm import tokensets as ts
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: Where the vocabulary file lies if a query isn't told: a path on every executor, or the bare name of a file that was
+#: shipped with SparkContext.addFile.
+VOCABULARY = os.environ.get("SIFTSPARK_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
 #: Characters encoded at a time; a longer text goes alone, and whole.
 SLICE = 1 << 18
 
 _LOADED: dict[str, object] = {}
 
 
+def _place(path: str) -> str:
+    """The file itself, or where Spark put it if ``path`` is the name of a file shipped with SparkContext.addFile."""
+    return path if os.path.sep in path else SparkFiles.get(path)
+
+
 def _tokenizer(path: str):
     """The tokenizer of this worker process, single-threaded: Spark's tasks already use all cores."""
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        t = Tokenizer.from_file(_place(path))
         t.encode_special_tokens = True
         _LOADED[path] = t
     return _LOADED[path]
@@ -49,7 +57,7 @@ def token_bytes(path: str) -> list[bytes]:
     """The bytes of every id of a byte-level vocabulary file."""
     key = f"bytes of {path}"
     if key not in _LOADED:
-        with open(path, encoding="utf-8") as f:
+        with open(_place(path), encoding="utf-8") as f:
             model = json.load(f)
         back = {c: b for b, c in enumerate(byte_characters())}
         spelled = dict(model["model"]["vocab"])
@@ -151,7 +159,12 @@ def round_trip(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
 QUERIES = {
     "p7_ids": lambda s, d: token_ids(ts.documents(s, d)),
     "p7_spans": lambda s, d: token_spans(ts.documents(s, d)),
+    # Where the last token ends is where the text ends.
+    "p7_bytes": lambda s, d: token_spans(ts.documents(s, d)).select("doc_id", "n_bytes", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).alias("last_end")),
     "p7_round_trip": lambda s, d: round_trip(ts.documents(s, d)),
 }
 
-ORACLE = {"p7_round_trip": "SELECT doc_id, true AS same FROM documents"}
+ORACLE = {
+    "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
+    "p7_bytes": "SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes, n_bytes AS last_end FROM documents",
+}

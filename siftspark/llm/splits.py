@@ -29,19 +29,27 @@ def commit(c: Column) -> Column:
 
 
 def grouped(records: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(row_id, grp, commit) of the distinct records; the group by alias, by project or, without one, as recorded."""
-    r = records.distinct().select("row_id", presence(F.col("project")).alias("project"), presence(F.col("project_group")).alias("given"), commit(F.col("commit_id")).alias("commit"))
-    a = aliases.where("alias is not null").groupBy("alias").agg(F.min("project_group").alias("to"))
-    joined = r.join(a, r["project"] == a["alias"], "left")
-    return joined.select("row_id", F.coalesce("to", "project", "given").alias("grp"), "commit")
+    """``records`` with `grp`, the group by alias, by project or, without one, as recorded, and `commit`."""
+    r = records.withColumn("_p", presence(F.col("project"))).withColumn("_g", presence(F.col("project_group"))).withColumn("commit", commit(F.col("commit_id")))
+    a = aliases.where("alias is not null").groupBy(F.col("alias").alias("_p")).agg(F.min("project_group").alias("_to"))
+    # The alias table is small as a rule; it is left to the optimiser, by its size, whether it is broadcast.
+    return r.join(a, "_p", "left").withColumn("grp", F.coalesce("_to", "_p", "_g")).drop("_p", "_g", "_to")
+
+
+def named_records(records: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(row_id, mark, grp, commit) of the distinct records. ``mark`` is a hash of all columns: it tells records apart
+    that share what else is kept, and stands in for the rest of the row where rows are shuffled."""
+    marked = grouped(records.withColumn("mark", F.xxhash64(*[F.col(c) for c in records.columns])), aliases)
+    return marked.select("row_id", "mark", "grp", "commit").distinct()
 
 
 def bonds(rows: DataFrame) -> DataFrame:
     """(a, b, w): groups that share commits, w being less the number of them that link the two.
 
-    A commit of k groups gives k - 1 edges, from its least group to each other one, not one for each pair.
+    A commit of k groups gives k - 1 edges, from its least group to each other one, not one for each pair. Only group and
+    commit are shuffled, once, and repeated rows are dropped before that.
     """
-    pairs = rows.where("grp is not null and commit is not null").select("grp", "commit").distinct()
+    pairs = stage(rows.where("grp is not null and commit is not null").select("grp", "commit").distinct(), "pairs")
     hubs = pairs.groupBy("commit").agg(F.min("grp").alias("a"), F.max("grp").alias("z")).where("a <> z").select("commit", "a")
     return pairs.join(hubs, "commit").where("grp <> a").groupBy("a", F.col("grp").alias("b")).agg((-F.count(F.lit(1))).alias("w"))
 
@@ -58,17 +66,18 @@ def bound_groups(records: DataFrame, aliases: DataFrame) -> DataFrame:
 def assign(records: DataFrame, aliases: DataFrame, proportions: dict[str, float] = PROPORTIONS) -> DataFrame:
     """(row_id, unit, split) of the distinct records; a unit is never parted.
 
-    A record without a group goes with the unit of its commit, else with the records of that commit, else alone. Units
+    A record without a group goes with the unit of its commit, else with the records of that commit, else alone, named by
+    its row_id or, without one, by a hash of its row. Units
     of at least LARGE of all records, at most 1,000, are given one by one, largest first, to the split that is furthest
     below its share. The rest is dealt by rank within its band of sizes (powers of two) in proportion to what the
     splits still lack.
     """
-    rows = stage(grouped(records, aliases), "grouped")
+    rows = stage(named_records(records, aliases), "grouped")
     _, roots = spanning_forest(bonds(rows))
     named = rows.join(roots.withColumnRenamed("node", "grp"), "grp", "left").withColumn("unit", F.coalesce("root", "grp"))
     by_commit = named.where("unit is not null and commit is not null").groupBy("commit").agg(F.min("unit").alias("of_commit"))
     lone = named.where("unit is null").join(by_commit, "commit", "left")
-    lone = lone.withColumn("unit", F.coalesce("of_commit", F.concat(F.lit("commit "), "commit"), F.concat(F.lit("record "), "row_id")))
+    lone = lone.withColumn("unit", F.coalesce("of_commit", F.concat(F.lit("commit "), "commit"), F.concat(F.lit("record "), "row_id"), F.concat(F.lit("row "), F.col("mark").cast("string"))))
     placed = stage(named.where("unit is not null").select("row_id", "unit").unionByName(lone.select("row_id", "unit")), "placed")
     sizes = stage(placed.groupBy("unit").agg(F.count(F.lit(1)).alias("n")), "sizes")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

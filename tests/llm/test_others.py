@@ -61,6 +61,69 @@ def test_currency_without_timestamps(spark):
     assert got["k1"]["project"] == "new" and got["k1"]["source_role"] == "train"
 
 
+def test_precedence_without_cycles(spark):
+    """Chains reach through values that no group holds, and of a cycle the weakest link gives way."""
+    steps = [("f", "a", "b", 5), ("f", "b", "c", 4), ("f", "c", "a", 1), ("f", "c", "d", 2), ("g", "d", "a", 9)]
+    order = spark.createDataFrame(steps, "field string, value string, later string, seen long")
+    wanted = spark.createDataFrame([("f", x) for x in "acd"], "field string, value string")
+    assert {tuple(r) for r in survivor.precedence(order, wanted).collect()} == {("f", "a", "c"), ("f", "a", "d"), ("f", "c", "d")}
+    assert survivor.precedence(order, wanted.limit(0)).count() == 0
+
+
+def undated(seed=5):
+    """Groups whose projects run through versions in time, some rows without one, and a cycle now and then."""
+    r = random.Random(seed)
+    recs = []
+    for k in range(120):
+        at = sorted(r.sample(range(1, 28), 3))
+        versions = sorted(r.sample(range(8), 3))
+        if k % 10 == 0:
+            versions.reverse()
+        for i, (day, v) in enumerate(zip(at, versions, strict=True)):
+            role = r.choice([None, "train", "calibration"])
+            recs.append(record(f"r{k}.{i}", f"k{k}", f"v{v}", f"g{v // 2}", role=role, at=1000 * k + i, day=day if k < 60 or r.random() < 0.5 else None))
+    return recs
+
+
+def duck(records, name):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.sql("SET TimeZone='UTC'")
+    for table, schema, rows in (("records", RECORD, records), ("documents", DOCS, []), ("labels", LABEL, [])):
+        columns = ", ".join(c.strip().replace("long", "BIGINT").replace("string", "VARCHAR") for c in schema.split(","))
+        con.sql(f"CREATE TABLE {table} ({columns})")
+        if rows:
+            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])  # noqa: F841
+            con.sql(f"INSERT INTO {table} SELECT * FROM frame")
+    return con.sql(survivor.ORACLE[name])
+
+
+def test_fused_against_sql(spark):
+    from compare import rows as same
+
+    recs = undated()
+    want = duck(recs, "p4_fused")
+    got = survivor.fused(survived(spark, recs, []))
+    assert sorted(got.columns) == sorted(want.columns)
+    a, b = same(got.collect(), got.columns), same(want.fetchall(), want.columns)
+    assert a == b and len(a) == 120
+
+
+def test_survivor_without_timestamp(spark):
+    """An undated row wins over the latest dated one only if its values are known to come later."""
+    recs = []
+    for i in range(4):
+        recs += [record(f"{i}x", f"k{i}", "old", at=2 * i, day=1), record(f"{i}y", f"k{i}", "mid", at=2 * i + 1, day=2)]
+        recs += [record(f"{i}z", f"m{i}", "mid", at=2 * i, day=1), record(f"{i}w", f"m{i}", "new", at=2 * i + 1, day=2)]
+    recs += [record("u", "q", "old", at=100, day=9), record("v", "q", "new", at=101), record("w", "q", "new", at=99)]
+    recs += [record("a", "s", "new", at=100, day=1), record("b", "s", "old", at=1)]
+    recs += [record("c", "t", "x", at=100, day=1), record("d", "t", "y", at=1), record("e", "e", "x", at=3), record("f", "e", "x", at=2)]
+    got = {r["exact_code_key"]: r["row_id"] for r in survivor.survivors(survived(spark, recs, [])).collect()}
+    assert got == {**{f"k{i}": f"{i}y" for i in range(4)}, **{f"m{i}": f"{i}w" for i in range(4)}, "q": "w", "s": "a", "t": "c", "e": "f"}
+
+
 def test_forest(spark):
     r = random.Random(1)
     edges = [(r.randrange(120), r.randrange(120), r.randrange(9)) for _ in range(90)] + [(i, i + 1, 0) for i in range(200, 240)] + [(5, 5, 1), (None, 3, 1)]
@@ -150,31 +213,65 @@ def test_byte_characters():
     assert len(set(table)) == 256 and table[ord("A")] == "A" and table[32] == "Ġ"
 
 
-@pytest.mark.parametrize("shares", [{"a": 0.5, "b": 0.5}, {"a": 0.61, "b": 0.3, "c": 0.09}, {f"s{i}": i + 1 for i in range(12)}])
+@pytest.mark.parametrize("shares", [{"a": 0.5, "b": 0.5}, {"a": 0.61, "b": 0.3, "c": 0.09}, {f"s{i}": i + 1 for i in range(12)}, {"a": 0.99999, "b": 0.00001}, {"a": 1 / 3, "b": 2 / 3}])
 def test_schedule_stays_within_a_block(shares):
-    blocks = mixing.period(shares)
+    blocks = mixing.period(shares, 200_000)
     slots, q = mixing.schedule(blocks), sum(blocks.values())
+    assert set(blocks) == set(shares)
     assert sorted(t for v in slots.values() for t in v) == list(range(q))
     for s, n in blocks.items():
         for j, t in enumerate(slots[s]):
             assert j * q // n <= t < -(-(j + 1) * q // n)
 
 
+def test_no_source_is_left_out():
+    assert mixing.period({"a": 0.99996, "b": 0.00004}) == {"a": 24999, "b": 1}
+    tiny = mixing.period({"a": 1.0, "b": 1e-12, "c": 0.1234567890123})
+    assert set(tiny) == {"a", "b", "c"} and min(tiny.values()) >= 1
+    assert mixing.period({}) == {} == mixing.period({"a": 0.0})
+
+
 def test_mixture(spark):
-    rows = [(i, "c", None, None, "word " * (1 + i % 7), [" Big\n", "big", "small", "none", None, "empty"][i % 6 if i > 120 else 0], "clash") for i in range(400)]
-    rows += [(1000, "c", None, None, None, "big", ""), (1001, "c", None, None, "", "empty", "")]
+    """Documents that are longer than a block, a source with a share of 1e-5, sources without text or name."""
+    rows = [(i, "c", None, None, "word " * (90 if i % 50 == 0 else 1 + i % 7), [" Big\n", "big", "small", "none", None, "empty"][i % 6 if i > 120 else 0], "clash") for i in range(400)]
+    rows += [(1000, "c", None, None, None, "big", ""), (1001, "c", None, None, "", "empty", ""), (1002, "c", None, None, "word " * 5, "tiny", "")]
     rows = [r if r[5] != "empty" else (*r[:4], "", *r[5:]) for r in rows]
-    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.4, 3), ("empty", 0.1, 2), (None, 0.2, 1), ("null", None, 1)], "source string, target_share double, max_repeats int")
-    df = spark.createDataFrame(rows, DOCS)
-    mix = mixing.mixture(df, targets, block=16)
+    asked = [("big", 0.5, 200), ("small", 0.4, 999), ("empty", 0.1, 2), ("tiny", 0.00001, 1), (None, 0.2, 1), ("null", None, 1)]
+    targets = spark.createDataFrame(asked, "source string, target_share double, max_repeats int")
+    df, size = spark.createDataFrame(rows, DOCS), 16
+    mix = mixing.mixture(df, targets, block=size)
     got = {r["source"]: r for r in mixing.shares(mix, targets).collect()}
-    assert abs(got["big"]["share"] - 5 / 9) < 0.02 and got["small"]["most_uses"] <= 3 and got["big"]["most_uses"] == 1 and got["empty"]["n_uses"] == 0
+    total = 0.90001
+    assert abs(got["big"]["share"] - 0.5 / total) < 0.005 and abs(got["small"]["share"] - 0.4 / total) < 0.005
+    assert got["small"]["most_uses"] <= 999 and got["big"]["most_uses"] <= 200 and got["empty"]["n_uses"] == 0 and got["tiny"]["most_uses"] == 1
     p = mix.toPandas()
-    assert not p.duplicated(["doc_id", "use"]).any() and set(p.source) == {"big", "small"}
-    p = p.sort_values(["slot", "place"])
-    dev = ((p.n_tokens * (p.source == "big")).cumsum() - p.n_tokens.cumsum() * 5 / 9).abs().max()
-    assert dev <= 16 + 8
+    assert not p.duplicated(["doc_id", "use"]).any() and set(p.source) == {"big", "small", "tiny"}
+
+    pieces = mixing.blocks(df, targets, block=size)
+    b = pieces.toPandas()
+    # The pieces of a use are the document, in order, and a slot has one block of one source.
+    whole = b.groupby(["doc_id", "use"]).n_tokens.sum().sort_index()
+    assert whole.equals(p.set_index(["doc_id", "use"]).n_tokens.sort_index())
+    starts = b.sort_values(["doc_id", "use", "start"])
+    assert (starts.groupby(["doc_id", "use"]).n_tokens.cumsum() - starts.n_tokens == starts.start).all()
+    per_slot = b.groupby("slot").agg(tokens=("n_tokens", "sum"), sources=("source", "nunique"), numbers=("number", "nunique"))
+    assert (per_slot.sources == 1).all() and (per_slot.numbers == 1).all() and per_slot.tokens.max() == size
+    assert (per_slot.tokens < size).sum() <= 3
+    # Block by block, by brute force: less than one block from the share at every slot while all sources run.
+    order = b.groupby(["slot", "source"]).n_tokens.sum().reset_index()
+    end = int(order.groupby("source").slot.max().drop("tiny").min())
+    weight = {"big": 0.5 / total, "small": 0.4 / total, "tiny": 0.00001 / total}
+    given, worst = dict.fromkeys(weight, 0), 0.0
+    dealt = dict(zip(order.slot, zip(order.source, order.n_tokens, strict=True), strict=True))
+    for t in range(end):
+        s, n = dealt.get(t, ("tiny", 0))
+        given[s] += n
+        worst = max(worst, *(abs(given[x] / size - weight[x] * (t + 1)) for x in ("big", "small")))
+    assert worst < 1
+    lags = {r["source"]: r for r in mixing.lag(pieces, targets, block=size).collect()}
+    assert all((r["ahead"] or 0) < 1 and r["behind"] < 1 for r in lags.values()) and lags["big"]["n_blocks"] == b[b.source == "big"].number.nunique()
     assert mixing.mixture(df.limit(0), targets).count() == 0 and mixing.mixture(df, targets.limit(0)).count() == 0
+    assert mixing.blocks(df.limit(0), targets).count() == 0
 
 
 PROSE = "The lock was taken before the buffer had been freed, which is why the test fails. We have not seen this in the last run."
