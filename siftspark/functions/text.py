@@ -26,31 +26,3 @@ def sql_strip(name: str) -> str:
 
 def sql_presence(name: str) -> str:
     return f"nullif({sql_strip(name)}, '')"
-
-
-def near(c: Column | str, digits: int) -> Column:
-    """Rounded half up, where half reaches a little lower: sums that differ in their last bits, as those of other orders
-    of addition do, give the same digits even if they stand at a decimal tie."""
-    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(10.0 ** -(digits + 4)), digits)
-
-
-def sql_near(sql: str) -> str:
-    """``sql`` with each round(x, digits) as `near` has it."""
-    out, at = [], 0
-    while (i := sql.find("round(", at)) >= 0:
-        depth, j, comma = 1, i + 6, 0
-        while depth:
-            ch = sql[j]
-            if ch == "'":
-                j = sql.index("'", j + 1)
-            elif ch in "([{":
-                depth += 1
-            elif ch in ")]}":
-                depth -= 1
-            elif ch == "," and depth == 1:
-                comma = j
-            j += 1
-        digits = int(sql[comma + 1 : j - 1])
-        out += [sql[at:i], "round(", sql_near(sql[i + 6 : comma]), f" + 1e-{digits + 4}, {digits})"]
-        at = j
-    return "".join([*out, sql[at:]])

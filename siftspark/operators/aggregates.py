@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftspark.functions.text import near
 from siftspark.plans import relations as rel
 from siftspark.plans.relations import CLIP, CLIPS, with_sql
 from siftspark.runtime import table
@@ -99,7 +98,7 @@ def _sequence_hash(s, d) -> DataFrame:
 def _seed_mean(s, d) -> DataFrame:
     """Mean over seeds of the mean score of each detector, group and side."""
     g = rel.predictions(s, d).groupBy("detector", "target_group", "side", "seed").agg(F.avg("p").alias("m"))
-    return g.groupBy("detector", "target_group", "side").agg(F.count(F.lit(1)).alias("seeds"), near(F.avg("m"), 8).alias("p"))
+    return g.groupBy("detector", "target_group", "side").agg(F.count(F.lit(1)).alias("seeds"), F.round(F.avg("m"), 11).alias("p"))
 
 
 def kish_ess(w: Column) -> Column:
@@ -110,7 +109,7 @@ def kish_ess(w: Column) -> Column:
 def _ess(s, d) -> DataFrame:
     w = F.col("ratio")
     return rel.scored(s, d, "calibration").groupBy(*rel.CELL).agg(
-        near(kish_ess(w), 6).alias("ess"), near(kish_ess(F.when(F.col("y") == 0, w)), 6).alias("ess_safe"), near(kish_ess(F.when(F.col("y") == 1, w)), 6).alias("ess_vulnerable")
+        F.round(kish_ess(w), 6).alias("ess"), F.round(kish_ess(F.when(F.col("y") == 0, w)), 6).alias("ess_safe"), F.round(kish_ess(F.when(F.col("y") == 1, w)), 6).alias("ess_vulnerable")
     )
 
 
@@ -124,32 +123,32 @@ def weight_summary(df: DataFrame, by: list[str], upper: float) -> DataFrame:
     w = clip(F.col("ratio"), upper)
     q = F.percentile(w, F.array(*[F.lit(x) for x in QUANTILES.values()]))
     out = df.groupBy(*by).agg(
-        near(kish_ess(w), 6).alias("ess"), q.alias("q"), F.count(F.when(F.col("ratio") < 1.0 / upper, 1)).alias("low"), F.count(F.when(F.col("ratio") > upper, 1)).alias("high")
+        F.round(kish_ess(w), 6).alias("ess"), q.alias("q"), F.count(F.when(F.col("ratio") < 1.0 / upper, 1)).alias("low"), F.count(F.when(F.col("ratio") > upper, 1)).alias("high")
     )
-    return out.select(*by, "ess", "low", "high", *[near(F.col("q")[i], 8).alias(k) for i, k in enumerate(QUANTILES)])
+    return out.select(*by, "ess", "low", "high", *[F.round(F.col("q")[i], 9).alias(k) for i, k in enumerate(QUANTILES)])
 
 
 def _quantiles(s, d) -> DataFrame:
     g = _seed_mean(s, d)
     q = F.percentile("p", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))
-    return g.groupBy("detector", "side").agg(F.count(F.lit(1)).alias("groups"), q.alias("q")).select("detector", "side", "groups", *[near(F.col("q")[i], 7).alias(k) for i, k in enumerate(("median", "q25", "q75"))])
+    return g.groupBy("detector", "side").agg(F.count(F.lit(1)).alias("groups"), q.alias("q")).select("detector", "side", "groups", *[F.round(F.col("q")[i], 13).alias(k) for i, k in enumerate(("median", "q25", "q75"))])
 
 
 def _pivot_detector(s, d) -> DataFrame:
     """Per group the detectors' mean scores side by side, their difference and who wins."""
     g = rel.predictions(s, d).groupBy("target_group").pivot("detector", ["hashing_sgd", "frozen_codebert"]).agg(F.avg("p"))
-    x = near(F.col("frozen_codebert") - F.col("hashing_sgd"), 8)
-    return g.where("hashing_sgd is not null and frozen_codebert is not null").select("target_group", near("hashing_sgd", 8).alias("hashing"), near("frozen_codebert", 8).alias("codebert"), x.alias("difference"), F.when(x > 0, "codebert").when(x < 0, "hashing").otherwise("tie").alias("winner"))
+    x = F.round(F.col("frozen_codebert") - F.col("hashing_sgd"), 9)
+    return g.where("hashing_sgd is not null and frozen_codebert is not null").select("target_group", F.round("hashing_sgd", 9).alias("hashing"), F.round("frozen_codebert", 9).alias("codebert"), x.alias("difference"), F.when(x > 0, "codebert").when(x < 0, "hashing").otherwise("tie").alias("winner"))
 
 
 def _pivot_side(s, d) -> DataFrame:
-    g = rel.predictions(s, d).groupBy("detector", "seed").pivot("side", ["calibration", "target"]).agg(near(F.avg("p"), 8).alias("p"), F.count(F.lit(1)).alias("n"))
+    g = rel.predictions(s, d).groupBy("detector", "seed").pivot("side", ["calibration", "target"]).agg(F.round(F.avg("p"), 9).alias("p"), F.count(F.lit(1)).alias("n"))
     return g
 
 
 def _any_all(s, d) -> DataFrame:
     p = rel.predictions(s, d).withColumn("ok", F.col("ratio") <= 1.0)
-    return p.groupBy("detector", "target_group").agg(F.bool_and("ok").alias("every"), F.bool_or("ok").alias("some"), near(F.avg(F.col("ok").cast("int")), 8).alias("share"))
+    return p.groupBy("detector", "target_group").agg(F.bool_and("ok").alias("every"), F.bool_or("ok").alias("some"), F.round(F.avg(F.col("ok").cast("int")), 9).alias("share"))
 
 
 def _first_of_group(s, d) -> DataFrame:
@@ -163,7 +162,7 @@ def _group_max(s, d) -> DataFrame:
 
 
 def _project_span(s, d) -> DataFrame:
-    return rel.predictions(s, d).groupBy("target_group").agg(near(F.avg("p"), 8).alias("mean"), F.min("p").alias("least"), F.max("p").alias("most"), F.bool_and(F.col("p") < 0.5).alias("all_low"))
+    return rel.predictions(s, d).groupBy("target_group").agg(F.round(F.avg("p"), 9).alias("mean"), F.min("p").alias("least"), F.max("p").alias("most"), F.bool_and(F.col("p") < 0.5).alias("all_low"))
 
 
 def _fold_counts(s, d) -> DataFrame:
@@ -197,7 +196,7 @@ _DD = f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {_PL
     FROM rl WHERE dataset = 'primevul' AND key IS NOT NULL),
   dd AS (SELECT 'primevul' AS dataset, key, max(row_id) FILTER (i = 1) AS row_id, max(t1) AS target, count(*) AS n, count(*) FILTER (target = t1) - 1 AS same_label, count(DISTINCT target) > 1 AS conflicting FROM o GROUP BY key)"""
 _SEED = """WITH g AS (SELECT detector, target_group, side, seed, avg(p) AS m FROM prd GROUP BY 1, 2, 3, 4),
-  sm AS (SELECT detector, target_group, side, count(*) AS seeds, round(avg(m), 8) AS p FROM g GROUP BY 1, 2, 3)"""
+  sm AS (SELECT detector, target_group, side, count(*) AS seeds, round(avg(m), 11) AS p FROM g GROUP BY 1, 2, 3)"""
 _ESS = "CASE WHEN sum({0} * {0}) > 0 THEN pow(sum({0}), 2) / sum({0} * {0}) ELSE 0 END"
 _W = f"greatest(1 / {CLIP}, least({CLIP}, ratio))"
 ORACLE = {
@@ -217,15 +216,15 @@ ORACLE = {
     "agg_kish_ess": with_sql("cal", f"""SELECT detector, seed, round({_ESS.format('ratio')}, 6) AS ess, round({_ESS.format('CASE WHEN y = 0 THEN ratio END')}, 6) AS ess_safe,
         round({_ESS.format('CASE WHEN y = 1 THEN ratio END')}, 6) AS ess_vulnerable FROM cal GROUP BY 1, 2"""),
     "agg_weight_summary": with_sql("prd", f"""SELECT detector, seed, side, round({_ESS.format(_W)}, 6) AS ess, count(*) FILTER (ratio < 1 / {CLIP}) AS low, count(*) FILTER (ratio > {CLIP}) AS high, """
-        + ", ".join(f"round(quantile_cont({_W}, {q}), 8) AS {k}" for k, q in QUANTILES.items()) + " FROM prd GROUP BY 1, 2, 3"),
-    "agg_quantile_summary": with_sql("prd", f"""{_SEED} SELECT detector, side, count(*) AS groups, round(quantile_cont(p, 0.5), 7) AS median, round(quantile_cont(p, 0.25), 7) AS q25, round(quantile_cont(p, 0.75), 7) AS q75 FROM sm GROUP BY 1, 2"""),
-    "agg_pivot_detector": with_sql("prd", """WITH m AS (SELECT target_group, avg(p) FILTER (detector = 'hashing_sgd') AS a, avg(p) FILTER (detector = 'frozen_codebert') AS b FROM prd GROUP BY 1), x AS (SELECT *, round(b - a, 8) AS difference FROM m WHERE a IS NOT NULL AND b IS NOT NULL)
-        SELECT target_group, round(a, 8) AS hashing, round(b, 8) AS codebert, difference, CASE WHEN difference > 0 THEN 'codebert' WHEN difference < 0 THEN 'hashing' ELSE 'tie' END AS winner FROM x"""),
-    "agg_pivot_method": with_sql("prd", """SELECT detector, seed, round(avg(p) FILTER (side = 'calibration'), 8) AS calibration_p, count(*) FILTER (side = 'calibration') AS calibration_n,
-        round(avg(p) FILTER (side = 'target'), 8) AS target_p, count(*) FILTER (side = 'target') AS target_n FROM prd GROUP BY 1, 2"""),
-    "agg_any_all": with_sql("prd", "SELECT detector, target_group, bool_and(ratio <= 1) AS every, bool_or(ratio <= 1) AS some, round(avg((ratio <= 1)::INT), 8) AS share FROM prd GROUP BY 1, 2"),
+        + ", ".join(f"round(quantile_cont({_W}, {q}), 9) AS {k}" for k, q in QUANTILES.items()) + " FROM prd GROUP BY 1, 2, 3"),
+    "agg_quantile_summary": with_sql("prd", f"""{_SEED} SELECT detector, side, count(*) AS groups, round(quantile_cont(p, 0.5), 13) AS median, round(quantile_cont(p, 0.25), 13) AS q25, round(quantile_cont(p, 0.75), 13) AS q75 FROM sm GROUP BY 1, 2"""),
+    "agg_pivot_detector": with_sql("prd", """WITH m AS (SELECT target_group, avg(p) FILTER (detector = 'hashing_sgd') AS a, avg(p) FILTER (detector = 'frozen_codebert') AS b FROM prd GROUP BY 1), x AS (SELECT *, round(b - a, 9) AS difference FROM m WHERE a IS NOT NULL AND b IS NOT NULL)
+        SELECT target_group, round(a, 9) AS hashing, round(b, 9) AS codebert, difference, CASE WHEN difference > 0 THEN 'codebert' WHEN difference < 0 THEN 'hashing' ELSE 'tie' END AS winner FROM x"""),
+    "agg_pivot_method": with_sql("prd", """SELECT detector, seed, round(avg(p) FILTER (side = 'calibration'), 9) AS calibration_p, count(*) FILTER (side = 'calibration') AS calibration_n,
+        round(avg(p) FILTER (side = 'target'), 9) AS target_p, count(*) FILTER (side = 'target') AS target_n FROM prd GROUP BY 1, 2"""),
+    "agg_any_all": with_sql("prd", "SELECT detector, target_group, bool_and(ratio <= 1) AS every, bool_or(ratio <= 1) AS some, round(avg((ratio <= 1)::INT), 9) AS share FROM prd GROUP BY 1, 2"),
     "agg_first_per_group": with_sql("prd", "SELECT detector, target_group, side, arg_min(p, (seed, position, row_id)) AS p, count(DISTINCT seed) AS seeds FROM prd GROUP BY 1, 2, 3"),
     "agg_group_max": with_sql("prd", "SELECT detector, seed, max(p) AS p, max(ratio) AS ratio FROM prd GROUP BY 1, 2"),
-    "agg_project_automation": with_sql("prd", "SELECT target_group, round(avg(p), 8) AS mean, min(p) AS least, max(p) AS most, bool_and(p < 0.5) AS all_low FROM prd GROUP BY 1"),
+    "agg_project_automation": with_sql("prd", "SELECT target_group, round(avg(p), 9) AS mean, min(p) AS least, max(p) AS most, bool_and(p < 0.5) AS all_low FROM prd GROUP BY 1"),
     "agg_fold_counts": with_sql("rl", "SELECT grp, role, count(*) AS n, sum(target)::BIGINT AS vulnerable, sum(1 - target)::BIGINT AS safe FROM rl WHERE dataset = 'primevul' AND grp IS NOT NULL GROUP BY 1, 2"),
 }

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.functions.text import near
 from siftspark.operators.aggregates import kish_ess
 from siftspark.operators.joins import first_at_least
 from siftspark.operators.predicates import clip
+from siftspark.operators.prom import DERIVED_SQL
 from siftspark.operators.scalars import infinity_mass, sigmoid
+from siftspark.operators.skew import ordered_sums, size_slot, unit_slot
 from siftspark.operators.windows import accept_top
 from siftspark.plans import relations as rel
 from siftspark.plans.relations import BUDGETS, CELL, CLIPS, with_sql
@@ -37,6 +38,13 @@ GATE = [
     ("upper_clipping_fraction", -1.2318486782946183, 0.0006624224601897667, 0.0014125568623459895),
 ]
 INTERCEPT = -0.6609051367966677
+#: The 25 methods of the evaluation.
+METHODS = [
+    "unweighted_mondrian", "pooled_split_conformal", "forced_argmax", "msp_matched_unweighted_mondrian", "entropy_matched_unweighted_mondrian",
+    "temperature_msp_matched_unweighted_mondrian", "msp_matched_full_gate", "temperature_msp_matched_full_gate",
+    *[f"prom_derived_{e}" for e in ("lac", "topk", "aps", "raps", "union")], *[f"estimated_weight_no_gate_clip_{c:.0f}" for c in CLIPS],
+    *[f"gated_{m}_clip_{c:.0f}" for m in ("ess_only", "infinity_only", "full_gate") for c in CLIPS],
+]
 ROW = ["detector", "target_group", "seed", "position", "row_id", "y", "p"]
 
 
@@ -57,9 +65,7 @@ def finite_sample_level(n: Column, alpha: Column) -> Column:
 def _steps(scored: DataFrame, by: list[str], size: Column) -> DataFrame:
     """Distinct scores per group with the size up to each and in all."""
     g = scored.groupBy(*by, "score").agg(size.alias("_n"))
-    w = Window.partitionBy(*by)
-    upto = F.sum("_n").over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
-    return g.select(*by, "score", upto.alias("upto"), F.sum("_n").over(w).alias("total"))
+    return ordered_sums(g, by, size_slot(F.col("score")), [F.col("score")], {"upto": F.col("_n")}, totals={"upto": "total"}).drop("_n")
 
 
 def _alphas(y: Column, points: list[tuple[float, float]] = BUDGETS) -> Column:
@@ -112,15 +118,45 @@ def forced_sets(tgt: DataFrame) -> DataFrame:
     return _decided(rel.with_budgets(tgt.select(*ROW)), "forced_argmax", F.col("p") <= 0.5, F.col("p") > 0.5)
 
 
+def _singletons(decided: DataFrame, cell: list[str]) -> DataFrame:
+    """(cell, av, asafe, _k): the records with one label."""
+    return decided.groupBy(*cell, "av", "asafe").agg(F.count(F.when(F.col("in_safe") != F.col("in_vulnerable"), 1)).alias("_k"))
+
+
+def _ranked(tgt: DataFrame, by: list[str], certainty: Column | None = None) -> DataFrame:
+    """``tgt`` with `_r`, the rank by certainty: that of the most probable label unless told otherwise."""
+    most = F.greatest("p", 1 - F.col("p")) if certainty is None else certainty
+    order = [F.desc("_m"), F.col("target_group"), F.col("position")]
+    return ordered_sums(tgt.withColumn("_m", most), by, unit_slot(F.col("_m"), down=True), order, {"_r": F.lit(1)}).drop("_m")
+
+
+def _accepted(ranked: DataFrame, k: DataFrame, on: list[str], method: Column | str, cell: list[str]) -> DataFrame:
+    """Singletons for the first ``_k`` of each group and operating point, both labels for the others."""
+    t = ranked.join(k, on)
+    inside = F.col("_r") <= F.col("_k")
+    return _decided(t, method, ~inside | (F.col("p") <= 0.5), ~inside | (F.col("p") > 0.5), cell)
+
+
 def matched_sets(tgt: DataFrame, decided: DataFrame, cell: list[str], method: str, certainty: Column | None = None) -> DataFrame:
     """As many singletons as ``decided`` has in each cell and operating point, for the most certain records: those with
     the most probable label unless ``certainty`` says otherwise."""
-    k = decided.groupBy(*cell, "av", "asafe").agg(F.count(F.when(F.col("in_safe") != F.col("in_vulnerable"), 1)).alias("_k"))
-    most = F.greatest("p", 1 - F.col("p")) if certainty is None else certainty
-    w = Window.partitionBy(*cell).orderBy(most.desc(), "target_group", "position")
-    t = rel.with_budgets(tgt.withColumn("_r", F.row_number().over(w)).select(*ROW, "_r")).join(k, [*cell, "av", "asafe"])
-    accepted = F.col("_r") <= F.col("_k")
-    return _decided(t, method, ~accepted | (F.col("p") <= 0.5), ~accepted | (F.col("p") > 0.5))
+    return _accepted(_ranked(tgt, cell, certainty), _singletons(decided, cell), cell, method, cell)
+
+
+def all_matched(cal: DataFrame, tgt: DataFrame, plain: DataFrame, full: DataFrame, cell: list[str]) -> DataFrame:
+    """The five matched methods at once: records are ranked by plain and by temperature-scaled probability, and meet the
+    counts of the sets matched, a few rows for each cell. With two classes entropy ranks as probability does."""
+    from siftspark.operators.learning import temperatures
+
+    inner = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("p")))
+    scaled = sigmoid(F.log(inner / (1 - inner)) / F.col("temperature"))
+    warm = tgt.join(temperatures(cal, cell).select(*cell, "temperature"), cell)
+    two = warm.withColumn("_v", F.explode(F.array(F.struct(F.lit("plain").alias("scale"), F.col("p").alias("p")), F.struct(F.lit("warm").alias("scale"), scaled.alias("p")))))
+    ranked = _ranked(two.select(*[c for c in _row(cell) if c != "p"], "_v.*"), [*cell, "scale"])
+    of = [("plain", "msp"), ("plain", "entropy"), ("warm", "temperature_msp")]
+    named = lambda df, name, rows: df.withColumn("_x", F.explode(F.array(*[F.struct(F.lit(v).alias("scale"), F.lit(f"{m}_matched_{name}").alias("method")) for v, m in rows]))).select(*cell, "av", "asafe", "_k", "_x.*")
+    k = named(_singletons(plain, cell), "unweighted_mondrian", of).unionByName(named(_singletons(full, cell), "full_gate", [of[0], of[2]]))
+    return _accepted(ranked, k, [*cell, "scale"], F.col("method"), cell)
 
 
 def _clipped(df: DataFrame, clips: tuple[float, ...] = CLIPS) -> DataFrame:
@@ -139,7 +175,7 @@ def weighted_thresholds(cal: DataFrame, tgt: DataFrame, cell: list[str], points:
     q = t.join(mass, [*cell, "clip"]).withColumn("alpha", F.explode(_alphas(F.col("label"), points)))
     q = q.withColumn("mass", (1 - F.col("alpha")) * (F.col("total") + F.col("w")))
     steps = steps.withColumnRenamed("y", "label")
-    return first_at_least(steps.select(*cell, "clip", "label", "upto", "score"), q, [*cell, "clip", "label"], "upto", "score", "mass").withColumnRenamed("score", "threshold")
+    return first_at_least(steps.select(*cell, "clip", "label", "upto", "score"), q, [*cell, "clip", "label"], "upto", "score", "mass", size_slot).withColumnRenamed("score", "threshold")
 
 
 def weighted_sets(cal: DataFrame, tgt: DataFrame, cell: list[str], points: list[tuple[float, float]] = BUDGETS, clips: tuple[float, ...] = CLIPS) -> DataFrame:
@@ -225,16 +261,23 @@ def gated_sets(decided: DataFrame, rules: DataFrame, cell: list[str]) -> DataFra
 
 
 def decisions(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
-    """The sets of all methods without random numbers, one row per record, operating point and method."""
+    """The sets of all METHODS, one row per record, operating point and method.
+
+    Those after temperature scaling carry the scaled probability; scaling keeps the order of records, so they accept what
+    their plain counterparts do unless scaled values tie. What the adapter draws at random it draws from hashes here.
+    """
+    from siftspark.operators.prom import LEVELS, hashed_adapter
+
     cal, tgt = scored.where("side = 'calibration'"), scored.where("side = 'target'")
     plain = stage(mondrian_sets(tgt, mondrian(cal, cell), cell), "plain")
     weighted = stage(weighted_sets(cal, tgt, cell), "weighted")
     rules = gate_rules(support(cal, tgt, scored, cell), weighted, cell)
     gated = stage(gated_sets(weighted, rules, cell), "gated")
     full = gated.where("method = 'gated_full_gate_clip_20'")
+    derived = rel.with_budgets(hashed_adapter(scored, cell, LEVELS)).where(F.col("alpha") == F.least("av", "asafe"))
     parts = [
-        plain, pooled_sets(tgt, pooled(cal, cell), cell), forced_sets(tgt), matched_sets(tgt, plain, cell, "msp_matched_unweighted_mondrian"),
-        matched_sets(tgt, plain, cell, "entropy_matched_unweighted_mondrian"), weighted, gated, matched_sets(tgt, full, cell, "msp_matched_full_gate"),
+        plain, pooled_sets(tgt, pooled(cal, cell), cell), forced_sets(tgt), all_matched(cal, tgt, plain, full, cell), weighted, gated,
+        _decided(derived, F.concat(F.lit("prom_derived_"), "expert"), F.col("in_safe"), F.col("in_vulnerable"), cell),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -243,13 +286,12 @@ def credibility(cal: DataFrame, tgt: DataFrame, cell: list[str]) -> DataFrame:
     """Label-conditional p-value of the forced label: (1 + calibration scores >= own) / (n + 1)."""
     c = cal.select(*cell, F.col("y").alias("label"), score(F.col("p"), F.col("y")).alias("score"))
     g = c.groupBy(*cell, "label", "score").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*cell, "label")
-    steps = g.select(*cell, "label", "score", F.sum("_n").over(w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)).alias("from_here"))
+    steps = ordered_sums(g, [*cell, "label"], unit_slot(F.col("score"), down=True), [F.desc("score")], {"from_here": F.col("_n")}).select(*cell, "label", "score", "from_here")
     total = g.groupBy(*cell, "label").agg(F.sum("_n").alias("total"))
     forced = (F.col("p") > 0.5).cast("int")
     q = tgt.select(*ROW, forced.alias("label"), score(F.col("p"), forced).alias("own"))
-    found = first_at_least(steps, q, [*cell, "label"], "score", "from_here", "own").join(total, [*cell, "label"], "left")
-    return found.select(*ROW, "label", near((F.coalesce("from_here", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + 1), 10).alias("credibility"))
+    found = first_at_least(steps, q, [*cell, "label"], "score", "from_here", "own", unit_slot).join(total, [*cell, "label"], "left")
+    return found.select(*ROW, "label", F.round((F.coalesce("from_here", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + 1), 10).alias("credibility"))
 
 
 def support_v1(supported: DataFrame, decided: DataFrame, cell: list[str]) -> DataFrame:
@@ -303,7 +345,7 @@ def _with_infinity(s, d) -> DataFrame:
     c = _e(s, d, "calibration").withColumn("score", score(F.col("p"), F.col("y")))
     steps = _steps(c, CELL, F.sum("ratio"))
     q = _e(s, d, "target").select(*ROW, "ratio").join(steps.select(*CELL, "total").distinct(), CELL).withColumn("mass", F.lit(0.9) * (F.col("total") + F.col("ratio")))
-    return first_at_least(steps.select(*CELL, "upto", "score"), q, CELL, "upto", "score", "mass").select("detector", "target_group", "seed", "position", F.col("score").alias("threshold"))
+    return first_at_least(steps.select(*CELL, "upto", "score"), q, CELL, "upto", "score", "mass", size_slot).select("detector", "target_group", "seed", "position", F.col("score").alias("threshold"))
 
 
 def matched_to_both(scored: DataFrame, cell: list[str], name: str) -> DataFrame:
@@ -340,8 +382,8 @@ QUERIES = {
     "topk_matched_accept": _matched("msp"),
     "supp_ess_rule": lambda s, d: gate_rules(_support(s, d), _weighted(s, d), CELL).select(*CELL, "clip", "av", "asafe", "ess_only"),
     "supp_adjust_v1": lambda s, d: support_v1(_support(s, d), _weighted(s, d), CELL),
-    "supp_features": lambda s, d: _support(s, d).select(*CELL, "clip", *[near(n, 6).alias(n) for n, *_ in GATE]),
-    "supp_gate": lambda s, d: gate_rules(_support(s, d), _weighted(s, d), CELL).withColumn("probability", near("probability", 6)),
+    "supp_features": lambda s, d: _support(s, d).select(*CELL, "clip", *[F.round(n, 6).alias(n) for n, *_ in GATE]),
+    "supp_gate": lambda s, d: gate_rules(_support(s, d), _weighted(s, d), CELL).withColumn("probability", F.round("probability", 6)),
     "eval_fold": lambda s, d: _out(decisions(stage(_e(s, d), "scored"))),
 }
 
@@ -398,10 +440,15 @@ SUPPORT_SQL = f"""su AS (SELECT detector, seed, clip, {_KISH.format('w')} AS ess
   ga AS (SELECT {", ".join("we." + c.strip() for c in _R.split(","))}, we.ratio, we.av, we.asafe, 'gated_' || mode || '_clip_' || clip::INT AS method, NOT ok OR in_safe AS in_safe, NOT ok OR in_vulnerable AS in_vulnerable
     FROM we JOIN (SELECT detector, seed, clip, av, asafe, unnest(['ess_only', 'infinity_only', 'full_gate']) AS mode, unnest([ess_only, infinity_only, full_ok]) AS ok FROM rg) g
     ON g.detector = we.detector AND g.seed = we.seed AND g.av = we.av AND g.asafe = we.asafe AND g.clip = regexp_extract(method, '([0-9]+)$', 1)::DOUBLE)"""
-_ALL = ["md", "po", "fo", "mm", "me", "we", "ga", "mg"]
+def _warm_sql(of: str, method: str) -> str:
+    return f"(SELECT * REPLACE ('{method}' AS method) FROM {of})"
+
+
+_ALL = ["md", "po", "fo", "mm", "me", "we", "ga", "mg", _warm_sql("mm", "temperature_msp_matched_unweighted_mondrian"), _warm_sql("mg", "temperature_msp_matched_full_gate"), "pd"]
 DECISIONS_SQL = ", ".join(
     [MONDRIAN_SQL, POOLED_SQL, matched_sql("mm", "md", "msp_matched_unweighted_mondrian"), matched_sql("me", "md", "entropy_matched_unweighted_mondrian"), WEIGHTED_SQL, SUPPORT_SQL,
      matched_sql("mg", "(SELECT * FROM ga WHERE method = 'gated_full_gate_clip_20')", "msp_matched_full_gate"),
+     DERIVED_SQL, "pd AS (SELECT ad.*, tgt.y, tgt.p, av, asafe, 'prom_derived_' || expert AS method FROM ad JOIN bud ON alpha = least(av, asafe) JOIN tgt USING (detector, seed, target_group, position, row_id))",
      "de AS (" + " UNION ALL ".join(f"SELECT {_R}, av, asafe, method, in_safe, in_vulnerable FROM {n}" for n in _ALL) + ")"]
 )
 _OUT = "detector, target_group, seed, position, row_id, av, asafe, method, in_safe, in_vulnerable"

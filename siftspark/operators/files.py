@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.functions.text import near
 from siftspark.plans import relations as rel
 from siftspark.plans.relations import with_sql
 from siftspark.runtime import shared_dir, table
@@ -141,7 +140,7 @@ def _refused(s, d) -> DataFrame:
 
 def _figures(s, d) -> DataFrame:
     """What a figure of automation per group plots: mean, least and greatest score, in order."""
-    g = rel.predictions(s, d).groupBy("detector", "target_group").agg(near(F.avg("p"), 8).alias("mean"), F.min("p").alias("least"), F.max("p").alias("most"))
+    g = rel.predictions(s, d).groupBy("detector", "target_group").agg(F.round(F.avg("p"), 9).alias("mean"), F.min("p").alias("least"), F.max("p").alias("most"))
     return g
 
 
@@ -192,7 +191,7 @@ QUERIES = {
     "scan_bibtex": _bibliography,
     "fn_strip_latex": lambda s, d: _titles(s, d, lambda t, b: t.select("doc_id", b.strip_markup(F.col("t")).alias("title"))),
     "fn_normalize_title": lambda s, d: _titles(s, d, lambda t, b: t.select("doc_id", b.normal_title("t").alias("title"))),
-    "fn_similarity": lambda s, d: _titles(s, d, lambda t, b: t.select("doc_id", near(b.similarity("t", "u"), 6).alias("similarity"))),
+    "fn_similarity": lambda s, d: _titles(s, d, lambda t, b: t.select("doc_id", F.round(b.similarity("t", "u"), 6).alias("similarity"))),
     "sink_snapshot": _snapshot,
     "sink_gz_csv_det": _csv,
     "sink_split_meta_labels": _split_sink,
@@ -233,6 +232,6 @@ ORACLE = {
     "sink_csv_union_schema": with_sql("prd", "SELECT row_id, CASE WHEN side = 'target' THEN p END AS p, CASE WHEN side <> 'target' THEN ratio END AS ratio FROM prd"),
     "sink_csv": with_sql("prd", "SELECT side AS phase, count(*) AS n, count(DISTINCT row_id) AS ids FROM prd GROUP BY 1"),
     "sink_no_overwrite": "SELECT true AS refused",
-    "sink_figures": with_sql("prd", "SELECT detector, target_group, round(avg(p), 8) AS mean, min(p) AS least, max(p) AS most FROM prd GROUP BY 1, 2"),
+    "sink_figures": with_sql("prd", "SELECT detector, target_group, round(avg(p), 9) AS mean, min(p) AS least, max(p) AS most FROM prd GROUP BY 1, 2"),
     "val_contiguous": with_sql("rec", """SELECT count(*) AS n, min(first_position) = 0 AND max(first_position) = count(*) - 1 AND count(DISTINCT first_position) = count(*) AS contiguous FROM rec WHERE dataset = 'diversevul'"""),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions.text import presence, sql_presence
 from siftspark.operators.skew import keyed_states, running
-from siftspark.runtime import table
+from siftspark.runtime import stage, table
 
 HEAVY_PERCENT = 2
 
@@ -42,23 +42,19 @@ def project_rows(spark: SparkSession, folder: str) -> DataFrame:
 def heavy_projects(spark: SparkSession, folder: str, percent: int = HEAVY_PERCENT) -> DataFrame:
     """Projects with at least ``percent`` % of all rows of their table.
 
-    The totals come from the same states: two rows, so that join's broadcast side has a fixed size.
+    The totals are sums over the same states, combined map-side; there is one row for each of the two tables, which is
+    the proven bound of the broadcast side.
     """
-    states = keyed_states(_rows(spark, folder), ["table_name", "project"], ["row_id"], {"n_rows": (F.lit(1), "count")})
-    all_rows = F.sum("n_rows").over(_by_table())
+    states = stage(keyed_states(_rows(spark, folder), ["table_name", "project"], ["row_id"], {"n_rows": (F.lit(1), "count")}), "states")
+    totals = states.groupBy("table_name").agg(F.sum("n_rows").alias("all_rows"))
     return (
-        states.withColumn("all_rows", all_rows)
-        .where(F.col("project").isNotNull() & (F.col("n_rows") * 100 >= F.col("all_rows") * percent))
+        states.where(F.col("project").isNotNull())
+        .join(F.broadcast(totals), "table_name")
+        .where(F.col("n_rows") * 100 >= F.col("all_rows") * percent)
         .select("table_name", "project")
     )
 
 
-def _by_table():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("table_name")
-
-
 def project_ranks(spark: SparkSession, folder: str) -> DataFrame:
     """Rank of each distinct record within its project by (ingested_at, row_id), and the rows so far with a commit."""
     rows = (

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.functions.text import near, presence, sql_presence
+from siftspark.functions.text import presence, sql_presence
 from siftspark.operators.windows import selection
 from siftspark.plans import relations as rel
 from siftspark.plans.relations import with_sql
@@ -28,21 +30,28 @@ def contract(left: DataFrame, right: DataFrame, on: list[str], one_to_one: bool
     )
 
 
-def first_at_least(steps: DataFrame, queries: DataFrame, by: list[str], step: str, value: str, query: str) -> DataFrame:
+def first_at_least(steps: DataFrame, queries: DataFrame, by: list[str], step: str, value: str, query: str, slot: Callable[[Column], Column]) -> DataFrame:
     """``queries`` with ``value`` of the least step >= query in the same group, or null: an as-of join looking ahead.
 
     Steps and queries are united and sorted once, downwards, with equal steps before queries; the last value seen is the
-    answer. That is linear after the sort, where a join on >= would be quadratic. A null query finds nothing.
+    answer. That is linear after the sort, where a join on >= would be quadratic. The sort is within (group, slot), where
+    ``slot`` makes a small number of a step or query that never falls with it; a query with no step in its slot takes the
+    least step of the next slot that has one. A null query finds nothing.
     """
     from pyspark.sql import Window
 
     cols = [c for c in queries.columns if c not in by]
     kept = F.struct(*cols) if cols else F.struct(F.lit(1).alias("_none"))
     kind = queries.select(kept.alias("q")).schema["q"].dataType
-    one = steps.select(*by, F.col(step).alias("_at"), F.lit(0).alias("_kind"), F.col(value).alias("_value"), F.lit(None).cast(kind).alias("_q"))
-    two = queries.select(*by, F.col(query).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(steps.schema[value].dataType).alias("_value"), kept.alias("_q"))
-    w = Window.partitionBy(*by).orderBy(F.desc("_at"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = one.unionByName(two).withColumn("_found", F.last("_value", ignorenulls=True).over(w)).where("_kind = 1")
+    one = steps.select(*by, slot(F.col(step)).alias("_slot"), F.col(step).alias("_at"), F.lit(0).alias("_kind"), F.col(value).alias("_value"), F.lit(None).cast(kind).alias("_q"))
+    two = queries.select(*by, F.coalesce(slot(F.col(query)), F.lit(0)).alias("_slot"), F.col(query).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(steps.schema[value].dataType).alias("_value"), kept.alias("_q"))
+    w = Window.partitionBy(*by, "_slot").orderBy(F.desc("_at"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    # One row for each slot of a group, with or without steps.
+    least = F.min(F.when(F.col("_kind") == 0, F.struct("_at", "_value"))).alias("_least")
+    ahead = Window.partitionBy(*by).orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+    both = one.unionByName(two)
+    slots = both.groupBy(*by, "_slot").agg(least).select(*by, "_slot", F.last("_least", ignorenulls=True).over(ahead)["_value"].alias("_next"))
+    found = both.join(slots, [*by, "_slot"]).withColumn("_found", F.coalesce(F.last("_value", ignorenulls=True).over(w), "_next")).where("_kind = 1")
     return found.select(*by, *[F.col(f"_q.{c}").alias(c) for c in cols], F.when(F.col("_at").isNotNull(), F.col("_found")).alias(value))
 
 
@@ -83,7 +92,7 @@ def _baseline(spark: SparkSession, folder: str) -> DataFrame:
     p = rel.predictions(spark, folder).groupBy("target_group", "detector").agg(F.avg("p").alias("m"))
     a = p.where("detector = 'hashing_sgd'").select("target_group", F.col("m").alias("base"))
     b = p.where("detector = 'frozen_codebert'").select("target_group", F.col("m").alias("other"))
-    return a.join(b, "target_group", "full").select("target_group", near("base", 8).alias("base"), near("other", 8).alias("other"), near(F.col("other") - F.col("base"), 8).alias("difference"))
+    return a.join(b, "target_group", "full").select("target_group", F.round("base", 9).alias("base"), F.round("other", 9).alias("other"), F.round(F.col("other") - F.col("base"), 9).alias("difference"))
 
 
 def _packages(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,7 +191,7 @@ ORACLE = {
     "join_self_suffix": with_sql("prd", """SELECT detector, row_id, max(p) FILTER (seed = 13) AS p_13, max(p) FILTER (seed = 37) AS p_37 FROM prd GROUP BY 1, 2
         HAVING count(*) FILTER (seed = 13) > 0 AND count(*) FILTER (seed = 37) > 0"""),
     "join_paired_baseline": with_sql("prd", """WITH m AS (SELECT target_group, avg(p) FILTER (detector = 'hashing_sgd') AS a, avg(p) FILTER (detector = 'frozen_codebert') AS b FROM prd GROUP BY 1)
-        SELECT target_group, round(a, 8) AS base, round(b, 8) AS other, round(b - a, 8) AS difference FROM m"""),
+        SELECT target_group, round(a, 9) AS base, round(b, 9) AS other, round(b - a, 9) AS difference FROM m"""),
     "join_position_zip": with_sql("rec", """WITH r AS (SELECT feature_position AS f, row_id AS x FROM rec WHERE feature_position IS NOT NULL),
         c AS (SELECT feature_position AS f, row_id AS y FROM (SELECT DISTINCT * FROM cache_locations) WHERE feature_position IS NOT NULL)
         SELECT count(*) AS n, count(*) FILTER (y IS NULL) AS uncached, count(*) FILTER (x IS NULL) AS unrecorded, count(*) FILTER (x <> y) AS unequal FROM r FULL JOIN c USING (f)"""),

@@ -15,7 +15,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.functions.text import near
 from siftspark.functions.canonical import bucket, hash_prefix, sql_hash_prefix
 from siftspark.operators.metrics import average_precision
 from siftspark.operators.predicates import role
@@ -44,7 +43,7 @@ def hashed_grams(docs: DataFrame, key: str, n: int = BUCKETS) -> DataFrame:
     g = docs.select(key, F.explode(grams(F.col("text"))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
     c = g.groupBy(key, (hash_prefix(F.col("gram")) % n).cast("int").alias("idx")).agg(F.sum("n").alias("n"))
     length = c.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
-    return c.join(length, key).select(key, "idx", near(F.col("n") / F.col("length"), 8).alias("value"))
+    return c.join(length, key).select(key, "idx", F.round(F.col("n") / F.col("length"), 9).alias("value"))
 
 
 def sparse_features(docs: DataFrame, n: int = BUCKETS) -> DataFrame:
@@ -96,13 +95,13 @@ def _detector(spark: SparkSession, folder: str) -> tuple:
 def detector_grid(spark: SparkSession, folder: str) -> DataFrame:
     """(reg, pr_auc, chosen) of the hashing detector."""
     _, (_, tried, best) = _detector(spark, folder)
-    return spark.createDataFrame([(r, round(a, 8), r == best) for r, a in tried], "reg double, pr_auc double, chosen boolean")
+    return spark.createDataFrame([(r, round(a, 9), r == best) for r, a in tried], "reg double, pr_auc double, chosen boolean")
 
 
 def detector_scores(spark: SparkSession, folder: str) -> DataFrame:
     """(row_id, p): the chosen detector's scores of the calibration rows."""
     f, (model, _, _) = _detector(spark, folder)
-    return model.transform(f.where("role = 'calibration'")).select("row_id", near(vector_to_array("probability")[1], 6).alias("p"))
+    return model.transform(f.where("role = 'calibration'")).select("row_id", F.round(vector_to_array("probability")[1], 6).alias("p"))
 
 
 def head_grid(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,7 +195,7 @@ def gate_fit(rows: DataFrame, names: list[str]) -> DataFrame:
                 scale[scale == 0] = 1
                 b = fit_logistic((x - mean) / scale, y, np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))))
                 p = 1 / (1 + np.exp(-(np.hstack([(h[names].to_numpy(float) - mean) / scale, np.ones((len(h), 1))]) @ b)))
-            out.append(h[["detector", "seed", "clip", "severe"]].assign(probability=np.round(p, 8)))
+            out.append(h[["detector", "seed", "clip", "severe"]].assign(probability=np.round(p, 9)))
         return pd.concat(out)
 
     return rows.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: run(pdf), GATE_OUT)
@@ -214,7 +213,7 @@ def gate_frame(spark: SparkSession, folder: str) -> DataFrame:
     m = fold_metrics(spark, folder).where("method like 'estimated%'").withColumn("clip", F.regexp_extract("method", r"([0-9]+)\z", 1).try_cast("double"))
     v = m.where(F.abs(F.col("av") - 0.1) + F.abs(F.col("asafe") - 0.2) < 1e-12).groupBy(*CELL, "clip").agg(F.avg("vulnerable_violation").alias("v"), F.avg("safe_violation").alias("s"))
     bad = v.select(*CELL, "clip", severe(F.col("v"), F.col("s"), F.lit(0.1), F.lit(0.2)).cast("int").alias("severe"))
-    return _support(spark, folder).join(bad, [*CELL, "clip"]).select(*CELL, "clip", "severe", *[near(F.coalesce(n, F.lit(0.0)), 6).alias(n) for n, *_ in GATE])
+    return _support(spark, folder).join(bad, [*CELL, "clip"]).select(*CELL, "clip", "severe", *[F.round(F.coalesce(n, F.lit(0.0)), 6).alias(n) for n, *_ in GATE])
 
 
 def _gate(spark, folder) -> DataFrame:
@@ -230,13 +229,13 @@ def in_sample_ratio(spark: SparkSession, folder: str) -> DataFrame:
 
     x = stage(sparse_features(_domains(spark, folder), 1 << 14).select("row_id", F.col("domain").alias("y"), "features"), "domains")
     m = _logistic(1e-4, 10).fit(balanced(x, "y"))
-    return m.transform(x).select("row_id", near(clip(odds(vector_to_array("probability")[1])), 4).alias("ratio"))
+    return m.transform(x).select("row_id", F.round(clip(odds(vector_to_array("probability")[1])), 4).alias("ratio"))
 
 
 def pooled_means(df: DataFrame, by: str, vector: str, keep: Column | None = None) -> DataFrame:
     """(by, at, value): means over the kept rows of a group, element by element."""
     rows = df if keep is None else df.where(keep)
-    return rows.select(by, F.posexplode(vector).alias("at", "x")).groupBy(by, "at").agg(near(F.avg(F.col("x").cast("double")), 6).alias("value"))
+    return rows.select(by, F.posexplode(vector).alias("at", "x")).groupBy(by, "at").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("value"))
 
 
 TEMPERATURE = "detector string, seed int, temperature double, loss_before double, loss_after double"
@@ -274,19 +273,19 @@ def temperatures(cal: DataFrame, cell: list[str] = CELL) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t, before, after = fit_temperature(pdf.p.to_numpy(), pdf.y.to_numpy(float), pdf.n.to_numpy(float))
-        return pd.DataFrame({"detector": [pdf.detector.iloc[0]], "seed": [pdf.seed.iloc[0]], "temperature": [round(t, 5)], "loss_before": [round(before, 8)], "loss_after": [round(after, 8)]})
+        return pd.DataFrame({"detector": [pdf.detector.iloc[0]], "seed": [pdf.seed.iloc[0]], "temperature": [round(t, 5)], "loss_before": [round(before, 9)], "loss_after": [round(after, 9)]})
 
     return cal.groupBy(*cell, "p", "y").agg(F.count(F.lit(1)).alias("n")).groupBy(*cell).applyInPandas(run, TEMPERATURE)
 
 
 def _fold_records(spark, folder) -> DataFrame:
     r = _ratios(spark, folder)
-    return r.groupBy("fold").agg(F.count(F.when(F.col("domain") == 0, 1)).alias("held_source"), F.count(F.when(F.col("domain") == 1, 1)).alias("held_target"), near(F.avg("ratio"), 6).alias("mean_ratio"))
+    return r.groupBy("fold").agg(F.count(F.when(F.col("domain") == 0, 1)).alias("held_source"), F.count(F.when(F.col("domain") == 1, 1)).alias("held_target"), F.round(F.avg("ratio"), 6).alias("mean_ratio"))
 
 
 QUERIES = {
     "ml_hash_vectorize": lambda s, d: hashed_grams(rel.documents(s, d).where("dataset <> 'context'"), "doc_id"),
-    "scan_sparse": lambda s, d: hashed_grams(rel.documents(s, d), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_set"), near(F.sum(F.col("value") * F.col("value")), 5).alias("length")),
+    "scan_sparse": lambda s, d: hashed_grams(rel.documents(s, d), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_set"), F.round(F.sum(F.col("value") * F.col("value")), 5).alias("length")),
     "ml_detector_sgd": detector_grid,
     "ml_predict": detector_scores,
     "ml_head_logistic": head_grid,
@@ -303,7 +302,7 @@ QUERIES = {
 _GRAMS = f"""w AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS w FROM documents WHERE text IS NOT NULL {{}}),
   g AS (SELECT doc_id, unnest(w || list_transform(range(greatest(len(w) - 1, 0)), lambda i: w[i + 1] || ' ' || w[i + 2])) AS gram FROM w),
   c AS (SELECT doc_id, ({sql_hash_prefix('gram')} % {BUCKETS})::INT AS idx, count(*) AS n FROM g GROUP BY 1, 2), l AS (SELECT doc_id, sqrt(sum(n * n)) AS length FROM c GROUP BY 1),
-  v AS (SELECT doc_id, idx, round(n / length, 8) AS value FROM c JOIN l USING (doc_id))"""
+  v AS (SELECT doc_id, idx, round(n / length, 9) AS value FROM c JOIN l USING (doc_id))"""
 ORACLE = {
     "ml_hash_vectorize": f"WITH {_GRAMS.format('AND dataset <> ' + chr(39) + 'context' + chr(39))} SELECT doc_id, idx, value FROM v",
     "scan_sparse": f"WITH {_GRAMS.format('')} SELECT doc_id, count(*) AS n_set, round(sum(value * value), 5) AS length FROM v GROUP BY 1",

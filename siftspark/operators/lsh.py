@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.functions.text import near
 from siftspark.functions import minhash as mh
 from siftspark.functions.canonical import short_tokens, sql_canonical
 from siftspark.operators import scalars
@@ -73,7 +72,7 @@ def _flagged_targets(spark, folder) -> DataFrame:
     size = c.select(F.col("cid").alias("source"), "n_source")
     per = f.join(size, "source").groupBy(F.col("target").alias("cid")).agg(F.sum("n_source").alias("n_pairs"), F.max(mh.jaccard(F.col("common"), F.col("either"))).alias("j"))
     m = members(spark, folder).where(F.col("dataset") == TARGET)
-    return m.join(per, "cid").select("doc_id", "row_id", "n_pairs", near("j", 10).alias("jaccard"))
+    return m.join(per, "cid").select("doc_id", "row_id", "n_pairs", F.round("j", 10).alias("jaccard"))
 
 
 def _affected(spark, folder) -> DataFrame:
@@ -107,7 +106,7 @@ def _token_summary(spark, folder) -> DataFrame:
     m = scalars._short_sets(spark, folder).join(rel.documents(spark, folder).select("doc_id", "dataset"), "doc_id").where("tokens is not null")
     n = F.size("tokens").cast("long")
     return m.groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.min(n), F.lit(0)).alias("least"), F.coalesce(F.max(n), F.lit(0)).alias("most"), near(F.avg(n), 8).alias("mean"), F.count(F.when(n == 0, 1)).alias("empty")
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.min(n), F.lit(0)).alias("least"), F.coalesce(F.max(n), F.lit(0)).alias("most"), F.round(F.avg(n), 9).alias("mean"), F.count(F.when(n == 0, 1)).alias("empty")
     )
 
 
@@ -173,7 +172,7 @@ ORACLE = {
         (SELECT max(cid) FROM c) AS last_class, (SELECT coalesce(sum(b.n_source * a.n_target), 0) FROM f JOIN c a ON a.cid = target JOIN c b ON b.cid = source)::BIGINT AS n_pairs""",
     "agg_having_incomplete": "SELECT doc_id AS cid, doc_id AS n FROM documents WHERE false",
     "agg_token_summary": f"""WITH s AS (SELECT dataset, len(list_distinct(regexp_extract_all({sql_canonical('text')}, '{scalars.cn.SHORT}'))) AS n FROM documents WHERE text IS NOT NULL)
-        SELECT dataset, count(*) AS n, min(s.n) AS least, max(s.n) AS most, round(avg(s.n), 8) AS mean, count(*) FILTER (s.n = 0) AS empty FROM s GROUP BY 1""",
+        SELECT dataset, count(*) AS n, min(s.n) AS least, max(s.n) AS most, round(avg(s.n), 9) AS mean, count(*) FILTER (s.n = 0) AS empty FROM s GROUP BY 1""",
     "agg_retained_by_project": with_sql("rec", f"WITH {_FLAG} SELECT grp, count(*) AS n FROM mem LEFT JOIN rec USING (dataset, row_id) WHERE dataset = '{TARGET}' AND cid NOT IN (SELECT target FROM f) GROUP BY 1"),
     "val_pair_idempotent": "SELECT doc_id AS target, doc_id AS source FROM documents WHERE false",
     "val_band_complete": "SELECT doc_id AS cid, doc_id AS n FROM documents WHERE false",

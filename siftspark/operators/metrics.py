@@ -5,11 +5,11 @@ Ranking metrics work on the table of distinct scores with their counts of either
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.functions.text import near
 from siftspark.operators import windows
+from siftspark.operators.skew import ordered_sums, size_slot, unit_slot
 from siftspark.plans import relations as rel
 from siftspark.plans.relations import CELL, GROUP, PRIMARY, with_sql
 from siftspark.runtime import stage
@@ -22,19 +22,15 @@ def score_table(df: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
 
 def auroc(df: DataFrame, by: list[str], score: str, y: str, name: str = "auroc") -> DataFrame:
     """The chance that a positive scores above a negative, ties half; null where a class is missing."""
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    t = score_table(df, by, score, y).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    t = ordered_sums(score_table(df, by, score, y), by, size_slot(F.col(score)), [F.col(score)], {"upto": F.col("neg")})
+    wins = F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2))
     pairs = F.sum("pos") * F.sum("neg")
     return t.groupBy(*by).agg(F.when(pairs > 0, wins / pairs).alias(name))
 
 
 def _cumulative(df: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
-    w = Window.partitionBy(*by)
-    o = w.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return score_table(df, by, score, y).select(
-        *by, score, "pos", F.sum("pos").over(o).alias("tp"), F.sum("neg").over(o).alias("fp"), F.sum("pos").over(w).alias("all_pos"), F.sum("neg").over(w).alias("all_neg")
-    )
+    sums, totals = {"tp": F.col("pos"), "fp": F.col("neg")}, {"tp": "all_pos", "fp": "all_neg"}
+    return ordered_sums(score_table(df, by, score, y), by, -size_slot(F.col(score)), [F.desc(score)], sums, totals).drop("neg")
 
 
 def average_precision(df: DataFrame, by: list[str], score: str, y: str, name: str = "pr_auc") -> DataFrame:
@@ -53,17 +49,17 @@ def fnr_at_fpr(df: DataFrame, by: list[str], score: str, y: str, most: float = 0
 
 def ece(df: DataFrame, by: list[str], ties: list[str], bins: int = 15, name: str = "ece") -> DataFrame:
     """Expected calibration error over bins of equal size in order of the score."""
-    w = Window.partitionBy(*by)
-    t = df.withColumn("_i", F.row_number().over(w.orderBy("p", *ties)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    t = t.withColumn("_b", windows.equal_bin(F.col("_i"), F.col("_n"), bins))
+    t = ordered_sums(df, by, unit_slot(F.col("p")), [F.col("p"), *map(F.col, ties)], {"_i": F.lit(1)}, {"_i": "_n"})
+    t = t.withColumn("_b", windows.equal_bin(F.col("_i") - 1, F.col("_n"), bins))
     b = t.groupBy(*by, "_b", "_n").agg((F.count(F.lit(1)) / F.first("_n") * F.abs(F.avg("y") - F.avg("p"))).alias("_e"))
     return b.groupBy(*by).agg(F.sum("_e").alias(name))
 
 
 def aurc(df: DataFrame, by: list[str], ties: list[str], name: str = "aurc") -> DataFrame:
     t = df.withColumn("_e", ((F.col("p") >= 0.5).cast("int") != F.col("y")).cast("double"))
-    w = Window.partitionBy(*by).orderBy(F.greatest("p", 1 - F.col("p")).desc(), *ties).rowsBetween(Window.unboundedPreceding, 0)
-    return t.withColumn("_r", F.avg("_e").over(w)).groupBy(*by).agg(F.avg("_r").alias(name))
+    sure = F.greatest("p", 1 - F.col("p"))
+    t = ordered_sums(t, by, unit_slot(sure, down=True), [sure.desc(), *map(F.col, ties)], {"_s": F.col("_e"), "_i": F.lit(1)})
+    return t.groupBy(*by).agg(F.avg(F.col("_s") / F.col("_i")).alias(name))
 
 
 def confusion(df: DataFrame, by: list[str]) -> DataFrame:
@@ -127,11 +123,11 @@ def _t(s, d) -> DataFrame:
     return rel.scored(s, d, "target")
 
 
-def rounded(df: DataFrame, names: list[str], digits: int = 8) -> DataFrame:
-    return df.select(*[near(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
+def rounded(df: DataFrame, names: list[str], digits: int = 9) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
-def _one(f, name: str, digits: int = 8):
+def _one(f, name: str, digits: int = 9):
     return lambda s, d: rounded(f(_t(s, d)), [name], digits)
 
 
@@ -184,23 +180,24 @@ def metrics_sql(query: str) -> str:
 
 _CUM = """WITH g AS (SELECT detector, seed, p, sum(y) AS pos, sum(1 - y) AS neg FROM tgt GROUP BY 1, 2, 3),
   c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY detector, seed) AS ap, sum(neg) OVER (PARTITION BY detector, seed) AS an FROM g WINDOW w AS (PARTITION BY detector, seed ORDER BY p DESC))"""
-_RANK = "WITH x AS ({}), r AS (SELECT *, rank() OVER (PARTITION BY detector, seed ORDER BY s) + (count(*) OVER (PARTITION BY detector, seed, s) - 1) / 2 AS r FROM x), q AS (SELECT detector, seed, sum(hit) AS np, sum(1 - hit) AS nn, sum(r) FILTER (hit = 1) AS sr FROM r GROUP BY 1, 2) SELECT detector, seed, CASE WHEN np * nn > 0 THEN round((sr - np * (np + 1) / 2) / (np * nn), 8) END AS {} FROM q"
+_RANK = "WITH x AS ({}), r AS (SELECT *, rank() OVER (PARTITION BY detector, seed ORDER BY s) + (count(*) OVER (PARTITION BY detector, seed, s) - 1) / 2 AS r FROM x), q AS (SELECT detector, seed, sum(hit) AS np, sum(1 - hit) AS nn, sum(r) FILTER (hit = 1) AS sr FROM r GROUP BY 1, 2) SELECT detector, seed, CASE WHEN np * nn > 0 THEN round((sr - np * (np + 1) / 2) / (np * nn), 9) END AS {} FROM q"
 _CONF = "WITH c AS (SELECT detector, seed, count(*) FILTER (p >= 0.5 AND y = 1)::DOUBLE AS tp, count(*) FILTER (p >= 0.5 AND y = 0)::DOUBLE AS fp, count(*) FILTER (p < 0.5 AND y = 1)::DOUBLE AS fn, count(*) FILTER (p < 0.5 AND y = 0)::DOUBLE AS tn, avg(pow(p - y, 2)) AS b FROM tgt GROUP BY 1, 2)"
-_DIV = "round(CASE WHEN {1} > 0 THEN ({0}) / ({1}) ELSE 0 END, 8)"
+_DIV = "round(CASE WHEN {1} > 0 THEN ({0}) / ({1}) ELSE 0 END, 9)"
 _BIN = windows._BIN
 ORACLE = {
-    "met_triage": metrics_sql("SELECT * REPLACE (" + ", ".join(f"round({c}, 8) AS {c}" for c in [*RATES, *VIOLATIONS]) + ") FROM mx"),
+    "met_triage": metrics_sql("SELECT * REPLACE (" + ", ".join(f"round({c}, 9) AS {c}" for c in [*RATES, *VIOLATIONS]) + ") FROM mx"),
     "met_ece": with_sql("tgt", f"""WITH r AS (SELECT detector, seed, p, y, row_number() OVER (PARTITION BY detector, seed ORDER BY p, target_group, position) - 1 AS i, count(*) OVER (PARTITION BY detector, seed) AS n FROM tgt),
-        b AS (SELECT *, {_BIN} AS bin FROM (SELECT *, least(15, n) AS k FROM r)), e AS (SELECT detector, seed, bin, count(*) / max(n) * abs(avg(y) - avg(p)) AS e FROM b GROUP BY 1, 2, 3) SELECT detector, seed, round(sum(e), 8) AS ece FROM e GROUP BY 1, 2"""),
-    "met_aurc": windows.ORACLE["win_running_mean_error"],
-    "met_fnr_at_fpr": with_sql("tgt", f"{_CUM} SELECT detector, seed, CASE WHEN max(ap) > 0 THEN round(1 - coalesce(max(tp / ap) FILTER (an = 0 OR fp / an <= 0.005 + {2.0**-52}), 0), 8) END AS fnr_at_fpr FROM c GROUP BY 1, 2"),
-    "met_auprc": with_sql("tgt", f"{_CUM} SELECT detector, seed, round(coalesce(sum(pos / ap * tp / (tp + fp)) FILTER (ap > 0), 0), 8) AS pr_auc FROM c GROUP BY 1, 2"),
+        b AS (SELECT *, {_BIN} AS bin FROM (SELECT *, least(15, n) AS k FROM r)), e AS (SELECT detector, seed, bin, count(*) / max(n) * abs(avg(y) - avg(p)) AS e FROM b GROUP BY 1, 2, 3) SELECT detector, seed, round(sum(e), 9) AS ece FROM e GROUP BY 1, 2"""),
+    "met_aurc": with_sql("tgt", """WITH r AS (SELECT detector, seed, avg(CASE WHEN (p >= 0.5)::INT <> y THEN 1.0::DOUBLE ELSE 0.0 END) OVER (PARTITION BY detector, seed
+        ORDER BY greatest(p, 1 - p) DESC, target_group, position ROWS UNBOUNDED PRECEDING) AS r FROM tgt) SELECT detector, seed, round(avg(r), 9) AS aurc FROM r GROUP BY 1, 2"""),
+    "met_fnr_at_fpr": with_sql("tgt", f"{_CUM} SELECT detector, seed, CASE WHEN max(ap) > 0 THEN round(1 - coalesce(max(tp / ap) FILTER (an = 0 OR fp / an <= 0.005 + {2.0**-52}), 0), 9) END AS fnr_at_fpr FROM c GROUP BY 1, 2"),
+    "met_auprc": with_sql("tgt", f"{_CUM} SELECT detector, seed, round(coalesce(sum(pos / ap * tp / (tp + fp)) FILTER (ap > 0), 0), 9) AS pr_auc FROM c GROUP BY 1, 2"),
     "met_auroc": with_sql("tgt", _RANK.format("SELECT detector, seed, p AS s, y AS hit FROM tgt", "auroc")),
     "met_error_detection_auroc": with_sql("tgt", _RANK.format("SELECT detector, seed, 1 - greatest(p, 1 - p) AS s, ((p >= 0.5)::INT <> y)::INT AS hit FROM tgt", "error_detection_auroc")),
-    "met_brier": with_sql("tgt", f"{_CONF} SELECT detector, seed, round(b, 8) AS brier FROM c"),
+    "met_brier": with_sql("tgt", f"{_CONF} SELECT detector, seed, round(b, 9) AS brier FROM c"),
     "met_prf": with_sql("tgt", f"{_CONF} SELECT detector, seed, {_DIV.format('tp', 'tp + fp')} AS precision, {_DIV.format('tp', 'tp + fn')} AS recall, {_DIV.format('2 * tp', '2 * tp + fp + fn')} AS f1 FROM c"),
     "met_f2": with_sql("tgt", f"{_CONF} SELECT detector, seed, {_DIV.format('5 * tp', '5 * tp + fp + 4 * fn')} AS f2 FROM c"),
     "met_mcc": with_sql("tgt", f"{_CONF} SELECT detector, seed, {_DIV.format('tp * tn - fp * fn', 'sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))')} AS mcc FROM c"),
     "met_accuracy_gate": with_sql("tgt", f"{_CONF} SELECT detector, seed, {_DIV.format('tp + tn', 'tp + fp + fn + tn')} AS accuracy FROM c"),
-    "dec_add_targets": metrics_sql(f"SELECT {_KEYS}, " + ", ".join(f"round({c}, 8) AS {c}" for c in VIOLATIONS) + " FROM mx WHERE av = 0.1"),
+    "dec_add_targets": metrics_sql(f"SELECT {_KEYS}, " + ", ".join(f"round({c}, 9) AS {c}" for c in VIOLATIONS) + " FROM mx WHERE av = 0.1"),
 }

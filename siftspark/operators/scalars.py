@@ -6,7 +6,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.functions.text import near
 from siftspark.functions import canonical as cn
 from siftspark.functions import lexer
 from siftspark.functions import minhash as mh
@@ -101,7 +100,7 @@ def _class_weights(spark, folder) -> DataFrame:
     w = Window.partitionBy("grp")
     c = rel.labelled(spark, folder).where("grp is not null").groupBy("grp", "target").agg(F.count(F.lit(1)).alias("n"))
     return c.withColumn("total", F.sum("n").over(w)).withColumn("k", F.count(F.lit(1)).over(w)).where("k = 2").select(
-        "grp", "target", near(F.col("total") / (2 * F.col("n")), 8).alias("weight")
+        "grp", "target", F.round(F.col("total") / (2 * F.col("n")), 9).alias("weight")
     )
 
 
@@ -144,14 +143,14 @@ QUERIES = {
     "fn_signature_blob": _signature_values,
     "fn_minhash_agreement": _agreement,
     "fn_band_keys": lambda s, d: mh.bands(_signatures(s, d), ["doc_id"]),
-    "fn_jaccard": lambda s, d: _neighbours(s, d).select("doc_id", "common", "either", near(mh.jaccard(F.col("common"), F.col("either")), 10).alias("jaccard")),
+    "fn_jaccard": lambda s, d: _neighbours(s, d).select("doc_id", "common", "either", F.round(mh.jaccard(F.col("common"), F.col("either")), 10).alias("jaccard")),
     "fn_cardinality_bound": lambda s, d: _neighbours(s, d).select("doc_id", "n_a", "n_b", mh.cardinality_fits(F.col("n_a"), F.col("n_b"), mh.THRESHOLD).alias("fits")),
-    "fn_lsh_probability": lambda s, d: s.range(101).select("id", near(mh.lsh_probability(F.col("id") / 100), 10).alias("probability")),
-    "fn_logit_sigmoid": lambda s, d: _scores(s, d).select(*_ID, near(logit(F.col("p")), 8).alias("logit"), near(sigmoid(logit(F.col("p")) / 2), 8).alias("halved")),
-    "fn_softmax": lambda s, d: _scores(s, d).select(*_ID, near(F.exp("p") / (F.exp("p") + F.exp("ratio")), 8).alias("share")),
-    "fn_odds_ratio": lambda s, d: _scores(s, d).select(*_ID, near(odds(F.col("p")), 8).alias("odds")),
-    "fn_log1p": lambda s, d: _scores(s, d).select(*_ID, near(F.log1p("ratio"), 8).alias("log1p")),
-    "fn_infinity_mass": lambda s, d: _scores(s, d).select(*_ID, near(F.greatest(infinity_mass(F.col("ratio"), F.lit(20.0)), infinity_mass(F.col("ratio"), F.lit(5.0))), 8).alias("mass")),
+    "fn_lsh_probability": lambda s, d: s.range(101).select("id", F.round(mh.lsh_probability(F.col("id") / 100), 10).alias("probability")),
+    "fn_logit_sigmoid": lambda s, d: _scores(s, d).select(*_ID, F.round(logit(F.col("p")), 9).alias("logit"), F.round(sigmoid(logit(F.col("p")) / 2), 9).alias("halved")),
+    "fn_softmax": lambda s, d: _scores(s, d).select(*_ID, F.round(F.exp("p") / (F.exp("p") + F.exp("ratio")), 9).alias("share")),
+    "fn_odds_ratio": lambda s, d: _scores(s, d).select(*_ID, F.round(odds(F.col("p")), 9).alias("odds")),
+    "fn_log1p": lambda s, d: _scores(s, d).select(*_ID, F.round(F.log1p("ratio"), 9).alias("log1p")),
+    "fn_infinity_mass": lambda s, d: _scores(s, d).select(*_ID, F.round(F.greatest(infinity_mass(F.col("ratio"), F.lit(20.0)), infinity_mass(F.col("ratio"), F.lit(5.0))), 9).alias("mass")),
     "fn_balanced_class_weight": _class_weights,
     "fn_format_fixed": lambda s, d: _scores(s, d).select(*_ID, F.format_string("%.12f", "p").alias("p12")),
     "fn_json_dumps": lambda s, d: _scores(s, d).select(*_ID, F.to_json(F.struct("detector", "position", "seed")).alias("json")),
@@ -219,14 +218,14 @@ ORACLE = {
     "fn_jaccard": f"{_PAIRS} SELECT doc_id, common::INT AS common, (n_a + n_b - common)::INT AS either, round(CASE WHEN n_a + n_b = 0 THEN 1.0 ELSE common / (n_a + n_b - common) END, 10) AS jaccard FROM n",
     "fn_cardinality_bound": f"{_PAIRS} SELECT doc_id, n_a::INT AS n_a, n_b::INT AS n_b, CASE WHEN greatest(n_a, n_b) = 0 THEN true WHEN least(n_a, n_b) = 0 THEN false ELSE least(n_a, n_b) / greatest(n_a, n_b) + 1e-15 >= 0.9 END AS fits FROM n",
     "fn_lsh_probability": f"SELECT id, round(1 - pow(1 - pow(id / 100, {mh.ROWS}), {mh.BANDS}), 10) AS probability FROM range(101) t(id)",
-    "fn_logit_sigmoid": with_sql("prd", f"SELECT {_IDS}, round({_LOGIT}, 8) AS logit, round(1 / (1 + exp(-{_LOGIT} / 2)), 8) AS halved FROM prd"),
-    "fn_softmax": with_sql("prd", f"SELECT {_IDS}, round(exp(p) / (exp(p) + exp(ratio)), 8) AS share FROM prd"),
-    "fn_odds_ratio": with_sql("prd", f"SELECT {_IDS}, round(p / (1 - p), 8) AS odds FROM prd"),
-    "fn_log1p": with_sql("prd", f"SELECT {_IDS}, round(ln(1 + ratio), 8) AS log1p FROM prd"),
-    "fn_infinity_mass": with_sql("prd", f"SELECT {_IDS}, round(greatest(ratio / (20 + ratio), ratio / (5 + ratio)), 8) AS mass FROM prd"),
+    "fn_logit_sigmoid": with_sql("prd", f"SELECT {_IDS}, round({_LOGIT}, 9) AS logit, round(1 / (1 + exp(-{_LOGIT} / 2)), 9) AS halved FROM prd"),
+    "fn_softmax": with_sql("prd", f"SELECT {_IDS}, round(exp(p) / (exp(p) + exp(ratio)), 9) AS share FROM prd"),
+    "fn_odds_ratio": with_sql("prd", f"SELECT {_IDS}, round(p / (1 - p), 9) AS odds FROM prd"),
+    "fn_log1p": with_sql("prd", f"SELECT {_IDS}, round(ln(1 + ratio), 9) AS log1p FROM prd"),
+    "fn_infinity_mass": with_sql("prd", f"SELECT {_IDS}, round(greatest(ratio / (20 + ratio), ratio / (5 + ratio)), 9) AS mass FROM prd"),
     "fn_balanced_class_weight": with_sql("rl", """WITH c AS (SELECT grp, target, count(*) AS n FROM rl WHERE grp IS NOT NULL GROUP BY 1, 2),
         t AS (SELECT *, sum(n) OVER (PARTITION BY grp) AS total, count(*) OVER (PARTITION BY grp) AS k FROM c)
-        SELECT grp, target, round(total / (2 * n), 8) AS weight FROM t WHERE k = 2"""),
+        SELECT grp, target, round(total / (2 * n), 9) AS weight FROM t WHERE k = 2"""),
     "fn_format_fixed": with_sql("prd", f"SELECT {_IDS}, printf('%.12f', p) AS p12 FROM prd"),
     "fn_json_dumps": with_sql("prd", f"SELECT {_IDS}, to_json({{detector: detector, position: position, seed: seed}})::VARCHAR AS json FROM prd"),
 }

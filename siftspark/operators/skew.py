@@ -7,11 +7,11 @@ state per key, and only the states - at most one more per partition than there a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,3 +101,50 @@ def running(
         (done[total] + F.coalesce("_ds", F.lit(0))).alias(total),
         (done[rank] + F.coalesce("_dn", F.lit(0))).alias(rank),
     )
+
+
+#: Slots that the order of a group is cut into.
+GRAINS = 1024
+
+
+def unit_slot(x: Column, down: bool = False) -> Column:
+    """The slot of a number between 0 and 1 (scores a little outside go to the last ones), in rising or falling order."""
+    slot = F.greatest(F.lit(0), F.least(F.lit(GRAINS - 1), F.floor(x * GRAINS))).cast("int")
+    return F.lit(GRAINS - 1) - slot if down else slot
+
+
+def size_slot(x: Column) -> Column:
+    """The slot of any number by sign, size and a few digits: 128 for each power of two."""
+    far = F.least(F.lit(16384.0), F.greatest(F.lit(0.0), F.log2(F.abs(x)) * 128 + 8192))
+    return F.when(x == 0, 0).when(x > 0, far + 1).otherwise(-far - 1).cast("int")
+
+
+def hex_slot(digest: Column) -> Column:
+    """The slot of a hexadecimal digest by its first three digits."""
+    return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
+
+
+def ordered_sums(
+    df: DataFrame, by: Sequence[str], slot: Column, order: list[Column], sums: dict[str, Column], totals: dict[str, str] | None = None, how: Callable[[Column], Column] = F.sum
+) -> DataFrame:
+    """``df`` with running sums in ``order`` within each group, each row's own value included.
+
+    ``slot`` is a small number that never falls in that order. Windows run within (group, slot), so a group isn't one
+    task; what the slots before add is a window over one row for each slot, combined map-side, and joined back on the
+    same key. ``totals``: of sums, names of columns with the group's whole sums. ``how``: F.max for running maxima instead.
+    Groups must not be null; without ``by`` all rows are one group.
+    """
+    cols = df.columns
+    t = df.select(*cols, slot.alias("_slot"), *[c.alias(f"_v_{n}") for n, c in sums.items()])
+    per = t.groupBy(*by, "_slot").agg(*[how(F.col(f"_v_{n}")).alias(f"_p_{n}") for n in sums])
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(*by, "_slot", *[how(F.col(f"_p_{n}")).over(before).alias(f"_b_{n}") for n in sums], *[how(F.col(f"_p_{n}")).over(group).alias(out) for n, out in (totals or {}).items()])
+    inside = Window.partitionBy(*by, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = t.join(offsets, [*by, "_slot"])
+
+    def whole(n: str) -> Column:
+        here, earlier = how(F.col(f"_v_{n}")).over(inside), F.col(f"_b_{n}")
+        return (F.greatest(here, earlier) if how is F.max else here + F.coalesce(earlier, F.lit(0))).alias(n)
+
+    return joined.select(*cols, *map(whole, sums), *(totals or {}).values())

@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftspark.functions.text import near
 from siftspark.operators import metrics as mt
 from siftspark.operators.windows import holm
 from siftspark.plans import relations as rel
@@ -28,6 +27,9 @@ REPLICATES, LEVEL, SEED = 10_000, 0.95, 20260814
 #: Nested samples of the calibration rows.
 FRACTIONS, REPETITIONS = (0.25, 0.5, 0.75, 1.0), 5
 POINT = ["detector", "av", "asafe", "method"]
+#: Differences are put on a grid that no decimal or binary fraction lies between, about 3e-9 wide: means that are equal
+#: but for the order of their addition stay equal, and so do their differences.
+GRID = 314159265.35
 
 
 def hodges_lehmann(x: np.ndarray, direct: int = 2000) -> float:
@@ -60,25 +62,38 @@ def hodges_lehmann(x: np.ndarray, direct: int = 2000) -> float:
     return (kth((total + 1) // 2) + kth(total // 2 + 1)) / 2
 
 
-def bootstrap_median(x: np.ndarray, seed: int, replicates: int = REPLICATES, level: float = LEVEL) -> tuple[float, float]:
-    """Percentile interval of the median over resamples with PCG64."""
-    if not len(x):
-        return math.nan, math.nan
-    at = np.random.default_rng(seed).integers(0, len(x), size=(replicates, len(x)))
-    tail = (1 - level) / 2
-    lo, hi = np.quantile(np.median(np.asarray(x, float)[at], axis=1), [tail, 1 - tail])
-    return float(lo), float(hi)
+#: Draws of a resample that are held at a time.
+DRAWS = 1 << 21
+
+
+def resampled_medians(x: np.ndarray, rng: np.random.Generator, replicates: int) -> np.ndarray:
+    """Medians of resamples of ``x``. Resamples are drawn as ranks, some at a time; only their middle ranks are selected."""
+    values = np.sort(np.asarray(x, float))
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(x, kind="stable")] = np.arange(len(values))
+    middle = ((len(values) - 1) // 2, len(values) // 2)
+    step, parts = max(1, DRAWS // len(values)), []
+    for at in range(0, replicates, step):
+        drawn = rank[rng.integers(0, len(values), size=(min(step, replicates - at), len(values)))]
+        drawn.partition(middle, axis=1)
+        parts.append((values[drawn[:, middle[0]]] + values[drawn[:, middle[1]]]) / 2)
+    return np.concatenate(parts)
+
 
+def percentile_interval(samples: np.ndarray, level: float = LEVEL) -> tuple[float, float]:
+    """Where the middle ``level`` of the samples begins and ends."""
+    ends = np.quantile(samples, [0.5 - level / 2, 0.5 + level / 2])
+    return float(ends[0]), float(ends[1])
 
-def bootstrap_strata(a: np.ndarray, b: np.ndarray, seed: int, replicates: int = REPLICATES, level: float = LEVEL) -> tuple[float, float]:
-    """Interval of the difference of two medians, either side resampled within itself; NaN if one is empty."""
-    if not len(a) or not len(b):
+
+def bootstrap_interval(seed: int, *samples: np.ndarray, replicates: int = REPLICATES) -> tuple[float, float]:
+    """Interval of the median of a sample, or of the difference of two samples' medians, each resampled within itself with
+    PCG64; NaN if a sample is empty."""
+    if not all(len(x) for x in samples):
         return math.nan, math.nan
     rng = np.random.default_rng(seed)
-    i, j = rng.integers(0, len(a), size=(replicates, len(a))), rng.integers(0, len(b), size=(replicates, len(b)))
-    tail = (1 - level) / 2
-    lo, hi = np.quantile(np.median(np.asarray(a, float)[i], axis=1) - np.median(np.asarray(b, float)[j], axis=1), [tail, 1 - tail])
-    return float(lo), float(hi)
+    first, *others = [resampled_medians(x, rng, replicates) for x in samples]
+    return percentile_interval(first - others[0] if others else first)
 
 
 def wilcoxon_exact(d: np.ndarray, least: int = 10) -> float:
@@ -121,12 +136,16 @@ def seed_means(m: DataFrame, names: list[str]) -> DataFrame:
 
 
 def paired(means: DataFrame, names: list[str]) -> DataFrame:
-    """(detector, av, asafe, method, outcome, target_group, difference) against the baseline of the same group."""
+    """(detector, av, asafe, method, outcome, target_group, difference) against the baseline of the same group.
+
+    Equal means added up in another order may differ in their last bits, which would break ties; see GRID.
+    """
     stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("outcome"), F.col(c).alias("value")) for c in names]))
     long = means.select(*POINT, "target_group", stacked.alias("o")).select(*POINT, "target_group", "o.outcome", "o.value")
     base = long.where(F.col("method") == BASELINE).select("detector", "av", "asafe", "outcome", "target_group", F.col("value").alias("base"))
     other = long.where(F.col("method").isin(COMPARED))
-    return other.join(base, ["detector", "av", "asafe", "outcome", "target_group"]).select(*POINT, "outcome", "target_group", (F.col("value") - F.col("base")).alias("difference"))
+    apart = F.col("value") - F.col("base")
+    return other.join(base, ["detector", "av", "asafe", "outcome", "target_group"]).select(*POINT, "outcome", "target_group", (F.round(apart * GRID) / GRID).alias("difference"))
 
 
 COMPARISON = (
@@ -151,7 +170,7 @@ def comparisons(differences: DataFrame, replicates: int = REPLICATES) -> DataFra
         d = pdf.sort_values("target_group").difference.to_numpy(float)
         good, bad = (d > 0, d < 0) if r.outcome == MORE_IS_BETTER else (d < 0, d > 0)
         seed = SEED + zlib.crc32(f"{r.detector}|{r.av}|{r.asafe}|{r.method}|{r.outcome}".encode())
-        lo, hi = bootstrap_median(d, seed, replicates)
+        lo, hi = bootstrap_interval(seed, d, replicates=replicates)
         wins, losses = int(good.sum()), int(bad.sum())
         row = [r.detector, r.av, r.asafe, r.method, r.outcome, len(d), int((d != 0).sum()), float(np.median(d)), hodges_lehmann(d), lo, hi, wins, int((d == 0).sum()), losses, _null(sign_test(wins, losses)), _null(wilcoxon_exact(d))]
         return pd.DataFrame([row], columns=[c.split()[0] for c in COMPARISON.split(", ")])
@@ -165,7 +184,7 @@ def attained(m: DataFrame, by: list[str]) -> DataFrame:
     """Per method: groups, those within both budgets, and medians over groups."""
     return m.groupBy(*by).agg(
         F.count(F.lit(1)).alias("groups"), F.count(F.when((F.col("vulnerable_violation") == 0) & (F.col("safe_violation") == 0), 1)).alias("attained"),
-        *[near(F.median(c), 7).alias(f"median_{c}") for c in OUTCOMES],
+        *[F.round(F.median(c), 9).alias(f"median_{c}") for c in OUTCOMES],
     )
 
 
@@ -178,7 +197,7 @@ def _m(s, d) -> DataFrame:
 
 
 def _differences(s, d) -> DataFrame:
-    return paired(seed_means(_m(s, d), OUTCOMES), OUTCOMES)
+    return paired(stage(seed_means(_m(s, d), OUTCOMES), "means"), OUTCOMES)
 
 
 def _gates(s, d) -> DataFrame:
@@ -190,7 +209,7 @@ def _gates(s, d) -> DataFrame:
 def _gate_status(s, d) -> DataFrame:
     """Over seeds: whether all pass, the share that does, the mean probability."""
     return _gates(s, d).groupBy("detector", "clip", "av", "asafe").agg(
-        F.bool_and("full").alias("pass_all"), near(F.avg(F.col("full").cast("int")), 8).alias("pass_rate"), near(F.avg("probability"), 6).alias("probability"), F.countDistinct("seed").alias("seeds")
+        F.bool_and("full").alias("pass_all"), F.round(F.avg(F.col("full").cast("int")), 9).alias("pass_rate"), F.round(F.avg("probability"), 6).alias("probability"), F.countDistinct("seed").alias("seeds")
     )
 
 
@@ -198,8 +217,8 @@ def _support_summary(s, d) -> DataFrame:
     g = _gates(s, d).where("clip = 20").groupBy("detector", "av", "asafe").agg(F.bool_and("ess_only").alias("supported"))
     m = seed_means(_m(s, d).where("method = 'gated_ess_only_clip_20'"), ["singleton_coverage"]).join(g, ["detector", "av", "asafe"])
     return m.groupBy("av", "asafe").agg(
-        F.count(F.lit(1)).alias("groups"), F.count(F.when(F.col("supported"), 1)).alias("supported"), near(F.median("singleton_coverage"), 7).alias("median_coverage"),
-        near(F.median(F.when(F.col("supported"), F.col("singleton_coverage"))), 7).alias("median_supported"),
+        F.count(F.lit(1)).alias("groups"), F.count(F.when(F.col("supported"), 1)).alias("supported"), F.round(F.median("singleton_coverage"), 9).alias("median_coverage"),
+        F.round(F.median(F.when(F.col("supported"), F.col("singleton_coverage"))), 9).alias("median_supported"),
     )
 
 
@@ -208,7 +227,7 @@ def _delta_counts(s, d) -> DataFrame:
 
     x = _differences(s, d).where((F.col("outcome") == "max_relative_violation") & _primary()).withColumn("c", delta_class(F.col("difference")))
     n = lambda k: F.count(F.when(F.col("c") == k, 1)).alias(k)
-    return x.groupBy("detector", "method").agg(n("improved"), n("tied"), n("worse"), near(F.max("difference"), 8).alias("worst"))
+    return x.groupBy("detector", "method").agg(n("improved"), n("tied"), n("worse"), F.round(F.max("difference"), 9).alias("worst"))
 
 
 def _detector_perf(s, d) -> DataFrame:
@@ -217,7 +236,7 @@ def _detector_perf(s, d) -> DataFrame:
     by = rel.GROUP
     m = mt.classification(mt.confusion(t, by), by).join(mt.average_precision(t, by, "p", "y"), by)
     names = ["pr_auc", "brier", "precision", "recall", "f1", "f2", "mcc"]
-    return m.groupBy("detector", "target_group").agg(*[near(F.avg(c), 8).alias(c) for c in names])
+    return m.groupBy("detector", "target_group").agg(*[F.round(F.avg(c), 9).alias(c) for c in names])
 
 
 def sensitivity(scored: DataFrame) -> DataFrame:
@@ -257,7 +276,7 @@ def _calibration_summary(s, d) -> DataFrame:
     out = attained(m.groupBy("fraction", *POINT, "target_group").agg(*[F.avg(c).alias(c) for c in OUTCOMES]), by)
     per = m.where("passed is not null").groupBy(*by, "target_group").agg(F.sum(F.col("passed").cast("int")).alias("k"), F.count(F.lit(1)).alias("n"))
     rates = per.groupBy(*by).agg(
-        near(F.sum("k") / F.sum("n"), 8).alias("pass_rate"), F.count(F.when(F.col("k") == F.col("n"), 1)).alias("all_pass_groups"), F.count(F.when(F.col("k") > 0, 1)).alias("any_pass_groups")
+        F.round(F.sum("k") / F.sum("n"), 9).alias("pass_rate"), F.count(F.when(F.col("k") == F.col("n"), 1)).alias("all_pass_groups"), F.count(F.when(F.col("k") > 0, 1)).alias("any_pass_groups")
     )
     return out.join(rates, by, "left")
 
@@ -282,7 +301,7 @@ def _discrimination(s, d) -> DataFrame:
     j = m.join(g, ["detector", "target_group"]).withColumn("severe", (F.col("max_relative_violation") > 0.5).cast("int"))
     a, p = mt.auroc(j, ["detector"], "load", "severe"), mt.average_precision(j, ["detector"], "load", "severe", "auprc")
     n = j.groupBy("detector").agg(F.count(F.lit(1)).alias("groups"), F.sum("severe").alias("severe"))
-    return n.join(a, "detector").join(p, "detector").select("detector", "groups", "severe", near("auroc", 8).alias("auroc"), near("auprc", 8).alias("auprc"))
+    return n.join(a, "detector").join(p, "detector").select("detector", "groups", "severe", F.round("auroc", 9).alias("auroc"), F.round("auprc", 9).alias("auprc"))
 
 
 def _strata(s, d) -> DataFrame:
@@ -295,7 +314,7 @@ def _strata(s, d) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("target_group")
         a, b = pdf.v[pdf.passed].to_numpy(), pdf.v[~pdf.passed].to_numpy()
-        lo, hi = bootstrap_strata(a, b, SEED)
+        lo, hi = bootstrap_interval(SEED, a, b)
         return pd.DataFrame({"detector": [pdf.detector.iloc[0]], "passed": [len(a)], "failed": [len(b)], "ci_lower": [_null(lo)], "ci_upper": [_null(hi)]})
 
     return raw.join(g, ["detector", "target_group"]).groupBy("detector").applyInPandas(run, "detector string, passed long, failed long, ci_lower double, ci_upper double")
@@ -305,8 +324,8 @@ def _runtime(s, d) -> DataFrame:
     """Totals and quartiles of a duration, per kind."""
     e = s.read.parquet(f"{d}/events.parquet")
     q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), near(F.sum("value"), 4).alias("total"), q.alias("q"), F.min("value").alias("least"), F.max("value").alias("most"))
-    return g.select("event_type", "n", "total", "least", "most", *[near(F.col("q")[i], 7).alias(k) for i, k in enumerate(("q25", "median", "q75"))])
+    g = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), q.alias("q"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return g.select("event_type", "n", "total", "least", "most", *[F.round(F.col("q")[i], 9).alias(k) for i, k in enumerate(("q25", "median", "q75"))])
 
 
 def _executed(s, d) -> DataFrame:
@@ -322,14 +341,14 @@ def _median_intervals(s, d) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("target_group").p.to_numpy()
-        lo, hi = bootstrap_median(x, SEED)
+        lo, hi = bootstrap_interval(SEED, x)
         return pd.DataFrame({"detector": [pdf.detector.iloc[0]], "groups": [len(x)], "median": [float(np.median(x))], "ci_lower": [lo], "ci_upper": [hi]})
 
     return g.groupBy("detector").applyInPandas(run, "detector string, groups long, median double, ci_lower double, ci_upper double")
 
 
 def _signs(s, d) -> DataFrame:
-    return comparisons(_differences(s, d), 100).select(*POINT, "outcome", "wins", "losses", near("sign_p", 8).alias("sign_p"))
+    return comparisons(_differences(s, d), 100).select(*POINT, "outcome", "wins", "losses", "sign_p")
 
 
 def _method_summary(s, d) -> DataFrame:
@@ -347,7 +366,7 @@ QUERIES = {
     "agg_delta_counts": _delta_counts,
     "agg_runtime_summary": _runtime,
     "agg_executed_fits": _executed,
-    "stat_hodges_lehmann": lambda s, d: comparisons(_differences(s, d), 100).select(*POINT, "outcome", "groups", near("median", 7).alias("median"), near("hodges_lehmann", 7).alias("hodges_lehmann")),
+    "stat_hodges_lehmann": lambda s, d: comparisons(_differences(s, d), 100).select(*POINT, "outcome", "groups", F.round("median", 9).alias("median"), F.round("hodges_lehmann", 9).alias("hodges_lehmann")),
     "stat_bootstrap_median": _median_intervals,
     "stat_bootstrap_strata": _strata,
     "stat_wilcoxon_exact": lambda s, d: comparisons(_differences(s, d), 100).select(*POINT, "outcome", "nonzero", "wilcoxon_p"),
@@ -359,9 +378,9 @@ QUERIES = {
 
 _PT = ", ".join(POINT)
 _MEANS = f"sm AS (SELECT {_PT}, target_group, " + ", ".join(f"avg({c}) AS {c}" for c in OUTCOMES) + f" FROM mx GROUP BY {_PT}, target_group)"
-_AGG = "count(*) AS groups, count(*) FILTER (vulnerable_violation = 0 AND safe_violation = 0) AS attained, " + ", ".join(f"round(median({c}), 7) AS median_{c}" for c in OUTCOMES)
+_AGG = "count(*) AS groups, count(*) FILTER (vulnerable_violation = 0 AND safe_violation = 0) AS attained, " + ", ".join(f"round(median({c}), 9) AS median_{c}" for c in OUTCOMES)
 _DIFF = f"""{_MEANS}, lo AS (UNPIVOT sm ON {', '.join(OUTCOMES)} INTO NAME outcome VALUE value),
-  df AS (SELECT a.{_PT.replace(', ', ', a.')}, a.outcome, a.target_group, a.value - b.value AS difference FROM lo a JOIN lo b ON b.detector = a.detector AND b.av = a.av AND b.asafe = a.asafe AND b.outcome = a.outcome
+  df AS (SELECT a.{_PT.replace(', ', ', a.')}, a.outcome, a.target_group, round((a.value - b.value) * {GRID}::DOUBLE) / {GRID}::DOUBLE AS difference FROM lo a JOIN lo b ON b.detector = a.detector AND b.av = a.av AND b.asafe = a.asafe AND b.outcome = a.outcome
     AND b.target_group = a.target_group WHERE b.method = '{BASELINE}' AND a.method IN ({', '.join(f"'{c}'" for c in COMPARED)}))"""
 _PERF = """WITH c AS (SELECT detector, target_group, seed, count(*) FILTER (p >= 0.5 AND y = 1)::DOUBLE AS tp, count(*) FILTER (p >= 0.5 AND y = 0)::DOUBLE AS fp, count(*) FILTER (p < 0.5 AND y = 1)::DOUBLE AS fn,
     count(*) FILTER (p < 0.5 AND y = 0)::DOUBLE AS tn, avg(pow(p - y, 2)) AS brier FROM tgt GROUP BY 1, 2, 3),
@@ -386,31 +405,43 @@ _DISC = f"""WITH {{}}, j AS (SELECT a.detector, a.target_group, (a.max_relative_
   g AS (SELECT detector, load, sum(severe) AS pos, sum(1 - severe) AS neg FROM j GROUP BY 1, 2),
   u AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY detector) AS ap FROM g WINDOW w AS (PARTITION BY detector ORDER BY load DESC)),
   p AS (SELECT detector, coalesce(sum(pos / ap * tp / (tp + fp)) FILTER (ap > 0), 0) AS auprc FROM u GROUP BY 1)
-  SELECT detector, groups, severe, round(auroc, 8) AS auroc, round(auprc, 8) AS auprc FROM q JOIN p USING (detector)"""
-_BINOM = "exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))"
+  SELECT detector, groups, severe, round(auroc, 9) AS auroc, round(auprc, 9) AS auprc FROM q JOIN p USING (detector)"""
+#: Binomial coefficients in whole numbers, which keeps the p-values exact.
+_BINOM = "bi AS (SELECT 0 AS n, 0 AS i, 1::HUGEINT AS c UNION ALL SELECT n + 1, i + step, sum(c)::HUGEINT FROM (SELECT n, i, c, unnest([0, 1]) AS step FROM bi WHERE n < 120) GROUP BY 1, 2)"
+_KEY = f"{_PT}, outcome"
+#: Ways to reach each sum of ranks; `wi` has the exact signed-rank p of each comparison, `ho` Holm's adjustment.
+_WILCOXON = f"""{_DIFF}, ways AS (SELECT 0 AS r, 0 AS s, 1::HUGEINT AS c UNION ALL SELECT r + 1, s + step, sum(c)::HUGEINT FROM (SELECT r, s, c, unnest([0, r + 1]) AS step FROM ways WHERE r < 60) GROUP BY 1, 2),
+  mr AS (SELECT *, rank() OVER (PARTITION BY {_KEY} ORDER BY abs(difference)) + (count(*) OVER (PARTITION BY {_KEY}, abs(difference)) - 1) / 2 AS mid FROM df WHERE difference <> 0),
+  pl AS (SELECT {_KEY}, count(*) AS n, n * (n + 1) // 2 AS top, floor(least(coalesce(sum(mid) FILTER (difference > 0), 0), n * (n + 1) // 2 - coalesce(sum(mid) FILTER (difference > 0), 0))) AS w FROM mr GROUP BY ALL),
+  nn AS (SELECT {_KEY}, count(*) FILTER (difference <> 0) AS nonzero FROM df GROUP BY ALL),
+  wi AS (SELECT nn.*, CASE WHEN nonzero >= 10 THEN least(1, 2 * (SELECT sum(c) FROM ways WHERE r = n AND s <= w)::DOUBLE / pow(2, n)) END AS wilcoxon_p FROM nn LEFT JOIN pl USING ({_KEY})),
+  hs AS (SELECT *, least(1, (count(*) OVER g - row_number() OVER o + 1) * wilcoxon_p) AS step FROM wi WHERE wilcoxon_p IS NOT NULL WINDOW g AS (PARTITION BY detector, av, asafe, outcome), o AS (PARTITION BY detector, av, asafe, outcome ORDER BY wilcoxon_p, method)),
+  ho AS (SELECT wi.*, holm_p FROM wi LEFT JOIN (SELECT {_KEY}, max(step) OVER (PARTITION BY detector, av, asafe, outcome ORDER BY wilcoxon_p, method) AS holm_p FROM hs) USING ({_KEY}))"""
 ORACLE = {
-    "agg_detector_perf": with_sql("tgt", f"""{_PERF} SELECT detector, target_group, round(avg(pr_auc), 8) AS pr_auc, round(avg(brier), 8) AS brier, round(avg({_D.format('tp', 'tp + fp')}), 8) AS precision,
-        round(avg({_D.format('tp', 'tp + fn')}), 8) AS recall, round(avg({_D.format('2 * tp', '2 * tp + fp + fn')}), 8) AS f1, round(avg({_D.format('5 * tp', '5 * tp + fp + 4 * fn')}), 8) AS f2,
-        round(avg({_D.format('tp * tn - fp * fn', 'sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))')}), 8) AS mcc FROM c JOIN a USING (detector, target_group, seed) GROUP BY 1, 2"""),
-    "agg_gate_status": _rules_sql("SELECT detector, clip, av, asafe, bool_and(full_ok) AS pass_all, round(avg(full_ok::INT), 8) AS pass_rate, round(avg(probability), 6) AS probability, count(DISTINCT seed) AS seeds FROM rg GROUP BY 1, 2, 3, 4"),
-    "agg_support_summary_v1": _rules_sql("""SELECT av, asafe, count(*) AS groups, count(*) FILTER (ok) AS supported, round(median(singleton_coverage), 7) AS median_coverage, round(median(singleton_coverage) FILTER (ok), 7) AS median_supported
+    "agg_detector_perf": with_sql("tgt", f"""{_PERF} SELECT detector, target_group, round(avg(pr_auc), 9) AS pr_auc, round(avg(brier), 9) AS brier, round(avg({_D.format('tp', 'tp + fp')}), 9) AS precision,
+        round(avg({_D.format('tp', 'tp + fn')}), 9) AS recall, round(avg({_D.format('2 * tp', '2 * tp + fp + fn')}), 9) AS f1, round(avg({_D.format('5 * tp', '5 * tp + fp + 4 * fn')}), 9) AS f2,
+        round(avg({_D.format('tp * tn - fp * fn', 'sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))')}), 9) AS mcc FROM c JOIN a USING (detector, target_group, seed) GROUP BY 1, 2"""),
+    "agg_gate_status": _rules_sql("SELECT detector, clip, av, asafe, bool_and(full_ok) AS pass_all, round(avg(full_ok::INT), 9) AS pass_rate, round(avg(probability), 6) AS probability, count(DISTINCT seed) AS seeds FROM rg GROUP BY 1, 2, 3, 4"),
+    "agg_support_summary_v1": _rules_sql("""SELECT av, asafe, count(*) AS groups, count(*) FILTER (ok) AS supported, round(median(singleton_coverage), 9) AS median_coverage, round(median(singleton_coverage) FILTER (ok), 9) AS median_supported
         FROM sm JOIN (SELECT detector, av, asafe, bool_and(ess_only) AS ok FROM rg WHERE clip = 20 GROUP BY 1, 2, 3) g USING (detector, av, asafe) WHERE method = 'gated_ess_only_clip_20' GROUP BY 1, 2"""),
     "agg_method_summary": _rules_sql(f"SELECT detector, method, {_AGG} FROM sm WHERE {_P} GROUP BY 1, 2"),
     "agg_delta_counts": mt.metrics_sql(f"""WITH {_DIFF} SELECT detector, method, count(*) FILTER (difference < -1e-15) AS improved, count(*) FILTER (abs(difference) <= 1e-15) AS tied, count(*) FILTER (difference > 1e-15) AS worse,
-        round(max(difference), 8) AS worst FROM df WHERE outcome = 'max_relative_violation' AND {_P} GROUP BY 1, 2"""),
+        round(max(difference), 9) AS worst FROM df WHERE outcome = 'max_relative_violation' AND {_P} GROUP BY 1, 2"""),
     "agg_gate_summary": "",
-    "agg_runtime_summary": """SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most, round(quantile_cont(value, 0.25), 7) AS q25, round(median(value), 7) AS median,
-        round(quantile_cont(value, 0.75), 7) AS q75 FROM events GROUP BY 1""",
+    "agg_runtime_summary": """SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most, round(quantile_cont(value, 0.25), 9) AS q25, round(median(value), 9) AS median,
+        round(quantile_cont(value, 0.75), 9) AS q75 FROM events GROUP BY 1""",
     "agg_executed_fits": with_sql("prd", """WITH f AS (SELECT detector, target_group, seed, count(*) AS n FROM prd GROUP BY 1, 2, 3)
         SELECT * FROM f QUALIFY detector = 'hashing_sgd' OR seed = min(seed) OVER (PARTITION BY detector, target_group)"""),
     "stat_hodges_lehmann": mt.metrics_sql(f"""WITH {_DIFF}, n AS (SELECT *, row_number() OVER (PARTITION BY {_PT}, outcome ORDER BY target_group) AS i FROM df),
         h AS (SELECT {', '.join('a.' + c for c in POINT)}, a.outcome, median((a.difference + b.difference) / 2) AS h FROM n a JOIN n b USING ({_PT}, outcome) WHERE a.i <= b.i GROUP BY ALL),
         k AS (SELECT {_PT}, outcome, count(*) AS groups, median(difference) AS m FROM df GROUP BY ALL)
-        SELECT {_PT}, outcome, groups, round(m, 7) AS median, round(h, 7) AS hodges_lehmann FROM k JOIN h USING ({_PT}, outcome)"""),
+        SELECT {_PT}, outcome, groups, round(m, 9) AS median, round(h, 9) AS hodges_lehmann FROM k JOIN h USING ({_PT}, outcome)"""),
     "stat_sign_test": mt.metrics_sql(f"""WITH {_DIFF}, c AS (SELECT {_PT}, outcome, count(*) FILTER (difference > 0) AS up, count(*) FILTER (difference < 0) AS down FROM df GROUP BY ALL),
         w AS (SELECT {_PT}, outcome, CASE WHEN outcome = '{MORE_IS_BETTER}' THEN up ELSE down END AS wins, CASE WHEN outcome = '{MORE_IS_BETTER}' THEN down ELSE up END AS losses FROM c),
-        t AS (SELECT *, wins + losses AS n, unnest(range(least(wins, losses) + 1)) AS i FROM w),
-        s AS (SELECT {_PT}, outcome, wins, losses, CASE WHEN max(n) = 0 THEN NULL WHEN wins = losses THEN 1 ELSE least(1, 2 * sum({_BINOM})) END AS p FROM t GROUP BY {_PT}, outcome, wins, losses)
-        SELECT {_PT}, outcome, wins, losses, round(p, 8) AS sign_p FROM s"""),
+        {_BINOM}
+        SELECT {_PT}, outcome, wins, losses, CASE WHEN wins + losses = 0 THEN NULL WHEN wins = losses THEN 1 ELSE least(1, 2 * (SELECT sum(c) FROM bi WHERE n = wins + losses AND i <= least(wins, losses))::DOUBLE / pow(2, wins + losses)) END AS sign_p
+        FROM w""").replace("WITH ", "WITH RECURSIVE ", 1),
+    "stat_wilcoxon_exact": mt.metrics_sql(f"WITH {_WILCOXON} SELECT {_KEY}, nonzero, wilcoxon_p FROM wi").replace("WITH ", "WITH RECURSIVE ", 1),
+    "stat_holm": mt.metrics_sql(f"WITH {_WILCOXON} SELECT {_KEY}, wilcoxon_p, holm_p FROM ho").replace("WITH ", "WITH RECURSIVE ", 1),
 }
 ORACLE["agg_gate_summary"] = ORACLE["stat_gate_discrimination"] = mt.metrics_sql(_DISC.format(_MEANS))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftspark.functions.text import near
-from siftspark.operators.skew import running
+from siftspark.operators.skew import GRAINS, hex_slot, ordered_sums, running, size_slot, unit_slot
 from siftspark.plans import relations as rel
 from siftspark.plans.relations import with_sql
 
@@ -18,8 +17,9 @@ def selection(spark: SparkSession, folder: str, chosen: int = CHOSEN) -> DataFra
     """(grp, n, vulnerable, place, chosen): groups of the external records that have both classes, by the most vulnerable
     records, the most records, the name in lower case and the name."""
     g = rel.labelled(spark, folder).where("dataset = 'diversevul' and grp is not null").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("vulnerable"))
-    w = Window.orderBy(F.desc("vulnerable"), F.desc("n"), F.lower("grp"), "grp")  # groups are few beside records
-    return g.where("vulnerable between 1 and n - 1").withColumn("place", F.row_number().over(w)).withColumn("chosen", F.col("place") <= chosen)
+    order = [F.desc("vulnerable"), F.desc("n"), F.lower("grp"), F.col("grp")]
+    r = ordered_sums(g.where("vulnerable between 1 and n - 1"), [], -size_slot(F.col("vulnerable")), order, {"place": F.lit(1)})
+    return r.withColumn("chosen", F.col("place") <= chosen)
 
 
 def dense_position(df: DataFrame, group: str, order: list[str], name: str = "position") -> DataFrame:
@@ -29,18 +29,17 @@ def dense_position(df: DataFrame, group: str, order: list[str], name: str = "pos
 
 
 def accept_top(df: DataFrame, cell: list[str], score: Column, ties: list[str], k: Column) -> DataFrame:
-    """Whether each row is among the k best of its cell; ties go by the given columns."""
-    w = Window.partitionBy(*cell).orderBy(score.desc(), *ties)
-    return df.withColumn("accepted", F.row_number().over(w) <= k)
+    """Whether each row is among the k best of its cell by a score between 0 and 1; ties go by the given columns."""
+    r = ordered_sums(df.withColumn("_s", score), cell, unit_slot(F.col("_s"), down=True), [F.desc("_s"), *map(F.col, ties)], {"_r": F.lit(1)})
+    return r.withColumn("accepted", F.col("_r") <= k).drop("_s", "_r")
 
 
 def holm(df: DataFrame, by: list[str], p: str, ties: list[str]) -> DataFrame:
     """Step-down adjusted p-values: running maximum of (m - rank) p in rising order, at most 1. Null p takes no part."""
-    known = df.where(F.col(p).isNotNull())
-    w = Window.partitionBy(*by)
-    o = w.orderBy(p, *ties)
-    step = F.least(F.lit(1.0), (F.count(F.lit(1)).over(w) - F.row_number().over(o) + 1) * F.col(p))
-    return known.withColumn("_s", step).withColumn("adjusted", F.max("_s").over(o.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
+    order = [F.col(p), *map(F.col, ties)]
+    ranked = ordered_sums(df.where(F.col(p).isNotNull()), by, unit_slot(F.col(p)), order, {"_i": F.lit(1)}, {"_i": "_m"})
+    step = F.least(F.lit(1.0), (F.col("_m") - F.col("_i") + 1) * F.col(p))
+    return ordered_sums(ranked, by, unit_slot(F.col(p)), order, {"adjusted": step}, how=F.max).drop("_i", "_m")
 
 
 _ID = ["detector", "target_group", "seed", "side", "position"]
@@ -49,22 +48,23 @@ _TIES = ["target_group", "position"]
 
 
 def _running_weight(s, d) -> DataFrame:
-    w = Window.partitionBy(*rel.CELL, "y").orderBy(1 - F.col("p"), *_TIES).rowsBetween(Window.unboundedPreceding, 0)
-    return rel.scored(s, d, "calibration").select(*_ID, near(F.sum("ratio").over(w), 6).alias("weight"))
+    own = 1 - F.col("p")
+    r = ordered_sums(rel.scored(s, d, "calibration"), [*rel.CELL, "y"], unit_slot(own), [own, *map(F.col, _TIES)], {"weight": F.col("ratio")})
+    return r.select(*_ID, F.round("weight", 6).alias("weight"))
 
 
 def _running_error(s, d) -> DataFrame:
-    """The mean over ranks of the running error rate, most certain first (area under the risk-coverage curve)."""
+    """Each record's rank by certainty within its cell and the error rate up to there."""
     t = rel.scored(s, d, "target").withColumn("e", ((F.col("p") >= 0.5).cast("int") != F.col("y")).cast("double"))
-    w = Window.partitionBy(*rel.CELL).orderBy(F.greatest("p", 1 - F.col("p")).desc(), *_TIES).rowsBetween(Window.unboundedPreceding, 0)
-    return t.withColumn("r", F.avg("e").over(w)).groupBy(*rel.CELL).agg(near(F.avg("r"), 8).alias("aurc"))
+    sure = F.greatest("p", 1 - F.col("p"))
+    t = ordered_sums(t, rel.CELL, unit_slot(sure, down=True), [sure.desc(), *map(F.col, _TIES)], {"errors": F.col("e"), "place": F.lit(1)})
+    return t.select(*_ID, "place", F.round(F.col("errors") / F.col("place"), 9).alias("error_rate"))
 
 
 def _bins(s, d) -> DataFrame:
     t = rel.scored(s, d, "target")
-    w = Window.partitionBy(*rel.CELL)
-    t = t.withColumn("i", F.row_number().over(w.orderBy("p", *_TIES)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    return t.withColumn("bin", equal_bin(F.col("i"), F.col("n"))).groupBy(*rel.CELL, "bin").agg(F.count(F.lit(1)).alias("n"), near(F.avg("p"), 8).alias("p"), near(F.avg("y"), 8).alias("y"))
+    t = ordered_sums(t, rel.CELL, unit_slot(F.col("p")), [F.col("p"), *map(F.col, _TIES)], {"i": F.lit(1)}, {"i": "n"})
+    return t.withColumn("bin", equal_bin(F.col("i") - 1, F.col("n"))).groupBy(*rel.CELL, "bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 9).alias("p"), F.round(F.avg("y"), 9).alias("y"))
 
 
 def equal_bin(i: Column, n: Column, bins: int = 15) -> Column:
@@ -77,8 +77,7 @@ def equal_bin(i: Column, n: Column, bins: int = 15) -> Column:
 def _tie_groups(s, d) -> DataFrame:
     """Cumulative true and false positives at each distinct score, highest first."""
     g = rel.scored(s, d, "target").groupBy(*rel.CELL, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    w = Window.partitionBy(*rel.CELL).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    return g.select(*rel.CELL, "p", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
+    return ordered_sums(g, rel.CELL, unit_slot(F.col("p"), down=True), [F.desc("p")], {"tp": F.col("pos"), "fp": F.col("neg")}).select(*rel.CELL, "p", "tp", "fp")
 
 
 def nested_sample(df: DataFrame, cell: list[str], fraction: float, repetition: int, salt: str, least: int = 40, per_class: int = 20) -> DataFrame:
@@ -88,9 +87,9 @@ def nested_sample(df: DataFrame, cell: list[str], fraction: float, repetition: i
     is added from its next rows in that order. Prefixes of a larger fraction hold those of a smaller one.
     """
     digest = F.sha2(F.concat(F.lit(f"{salt}|{repetition}|"), F.col("row_id")), 256)
-    w = Window.partitionBy(*cell)
-    by, of_class = w.orderBy("_h", *_TIES), Window.partitionBy(*cell, "y").orderBy("_h", *_TIES)
-    r = df.withColumn("_h", digest).withColumn("_i", F.row_number().over(by)).withColumn("_c", F.row_number().over(of_class)).withColumn("_n", F.count(F.lit(1)).over(w))
+    r = df.withColumn("_h", digest)
+    for by, name, totals in ((cell, "_i", {"_i": "_n"}), ([*cell, "y"], "_c", None)):
+        r = ordered_sums(r, by, hex_slot(F.col("_h")), [F.col("_h"), *map(F.col, _TIES)], {name: F.lit(1)}, totals)
     inside = F.col("_i") <= F.greatest(F.ceil(F.lit(fraction) * F.col("_n")), F.lit(least))
     return r.where(inside | (F.col("_c") <= per_class)).drop("_h", "_i", "_c", "_n")
 
@@ -101,7 +100,7 @@ def _signed_ranks(s, d) -> DataFrame:
 
     b = _baseline(s, d).where("difference <> 0").select("target_group", "difference", F.abs("difference").alias("a"))
     sizes = b.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
-    before = sizes.withColumn("before", F.sum("k").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k"))
+    before = ordered_sums(sizes, [], size_slot(F.col("a")), [F.col("a")], {"upto": F.col("k")}).withColumn("before", F.col("upto") - F.col("k"))
     return b.join(before, "a").select("target_group", "difference", (F.col("before") + (F.col("k") + 1) / 2).alias("mid_rank"))
 
 
@@ -110,25 +109,24 @@ def _class_rank(s, d) -> DataFrame:
 
 
 def _holm(s, d) -> DataFrame:
-    return holm(rel.predictions(s, d).select(*_ID, "p"), rel.CELL, "p", ["side", *_TIES]).select(*_ID, near("adjusted", 10).alias("adjusted"))
+    return holm(rel.predictions(s, d).select(*_ID, "p"), rel.CELL, "p", ["side", *_TIES]).select(*_ID, F.round("adjusted", 10).alias("adjusted"))
 
 
 def _top_projects(s, d) -> DataFrame:
     g = rel.records(s, d).where("project is not null").groupBy("source_file", "project").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("source_file").orderBy(F.desc("n"), "project")
-    return g.withColumn("place", F.row_number().over(w)).where("place <= 20")
+    r = ordered_sums(g, ["source_file"], -size_slot(F.col("n")), [F.desc("n"), F.col("project")], {"place": F.lit(1)})
+    return r.where("place <= 20")
 
 
 def _batches(s, d) -> DataFrame:
     """Documents per range of 2,000 ids, with running totals."""
     g = rel.documents(s, d).groupBy(F.floor(F.col("doc_id") / 2000).alias("batch")).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("so_far", F.sum("n").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)))
+    return ordered_sums(g, [], F.floor(F.col("batch") / GRAINS), [F.col("batch")], {"so_far": F.col("n")})
 
 
-def _ordered(s, d, *by) -> DataFrame:
+def _ordered(s, d, slot: Column, *by: Column) -> DataFrame:
     g = rel.labelled(s, d).where("grp is not null").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("v"))
-    w = Window.orderBy(*by)
-    return g.withColumn("place", F.row_number().over(w))
+    return ordered_sums(g, [], slot, list(by), {"place": F.lit(1)})
 
 
 def _selection(s, d):
@@ -152,9 +150,9 @@ QUERIES = {
     "win_holm": _holm,
     "win_signed_ranks": _signed_ranks,
     "win_binary_class_rank": _class_rank,
-    "sort_nocase": lambda s, d: _ordered(s, d, F.lower("grp"), "grp").select("grp", "place"),
-    "sort_multi": lambda s, d: _ordered(s, d, F.desc("v"), "n", "grp").select("grp", "n", "v", "place"),
-    "sort_ids": lambda s, d: rel.predictions(s, d).select("target_group", "row_id").distinct().withColumn("place", F.row_number().over(Window.partitionBy("target_group").orderBy("row_id"))),
+    "sort_nocase": lambda s, d: _ordered(s, d, F.ascii(F.lower("grp")), F.lower("grp"), F.col("grp")).select("grp", "place"),
+    "sort_multi": lambda s, d: _ordered(s, d, -size_slot(F.col("v")), F.desc("v"), F.col("n"), F.col("grp")).select("grp", "n", "v", "place"),
+    "sort_ids": lambda s, d: rel.predictions(s, d).select("target_group", "row_id").distinct().transform(lambda t: ordered_sums(t, ["target_group"], hex_slot(F.col("row_id")), [F.col("row_id")], {"place": F.lit(1)})),
     "limit_k": _top_projects,
     "batch_ranges": _batches,
 }
@@ -170,11 +168,11 @@ ORACLE = {
     "win_selection_rank": with_sql("rl", f"{SELECTION_SQL} SELECT grp, n, vulnerable, place, place <= {CHOSEN} AS chosen FROM sel"),
     "topk_stable_accept": with_sql("tgt", f"SELECT {_IDS}, row_number() OVER (PARTITION BY detector, seed ORDER BY greatest(p, 1 - p) DESC, {_TIE}) <= 7 AS accepted FROM tgt"),
     "win_running_weight": with_sql("cal", f"SELECT {_IDS}, round(sum(ratio) OVER (PARTITION BY detector, seed, y ORDER BY 1 - p, {_TIE} ROWS UNBOUNDED PRECEDING), 6) AS weight FROM cal"),
-    "win_running_mean_error": with_sql("tgt", f"""WITH r AS (SELECT detector, seed, avg(CASE WHEN (p >= 0.5)::INT <> y THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY detector, seed
-        ORDER BY greatest(p, 1 - p) DESC, {_TIE} ROWS UNBOUNDED PRECEDING) AS r FROM tgt) SELECT detector, seed, round(avg(r), 8) AS aurc FROM r GROUP BY 1, 2"""),
+    "win_running_mean_error": with_sql("tgt", f"""SELECT {_IDS}, row_number() OVER w AS place, round(avg(CASE WHEN (p >= 0.5)::INT <> y THEN 1.0::DOUBLE ELSE 0.0 END) OVER w, 9) AS error_rate
+        FROM tgt WINDOW w AS (PARTITION BY detector, seed ORDER BY greatest(p, 1 - p) DESC, {_TIE} ROWS UNBOUNDED PRECEDING)"""),
     "win_equal_mass_bins": with_sql("tgt", f"""WITH r AS (SELECT detector, seed, p, y, row_number() OVER (PARTITION BY detector, seed ORDER BY p, {_TIE}) - 1 AS i,
         count(*) OVER (PARTITION BY detector, seed) AS n FROM tgt), b AS (SELECT *, ({_BIN})::INT AS bin FROM (SELECT *, least(15, n) AS k FROM r))
-        SELECT detector, seed, bin, count(*) AS n, round(avg(p), 8) AS p, round(avg(y), 8) AS y FROM b GROUP BY 1, 2, 3"""),
+        SELECT detector, seed, bin, count(*) AS n, round(avg(p), 9) AS p, round(avg(y), 9) AS y FROM b GROUP BY 1, 2, 3"""),
     "win_tie_groups": with_sql("tgt", """WITH g AS (SELECT detector, seed, p, sum(y) AS pos, sum(1 - y) AS neg FROM tgt GROUP BY 1, 2, 3)
         SELECT detector, seed, p, (sum(pos) OVER w)::BIGINT AS tp, (sum(neg) OVER w)::BIGINT AS fp FROM g WINDOW w AS (PARTITION BY detector, seed ORDER BY p DESC)"""),
     "win_nested_hash_sample": with_sql("cal", f"""WITH h AS (SELECT *, sha256('nested-1|1|' || row_id) AS h FROM cal),
@@ -183,7 +181,7 @@ ORACLE = {
     "win_holm": with_sql("prd", f"""WITH r AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY detector, seed) - row_number() OVER w + 1) * p) AS s,
         row_number() OVER w AS i FROM prd WINDOW w AS (PARTITION BY detector, seed ORDER BY p, side, {_TIE}))
         SELECT {_IDS}, round(max(s) OVER (PARTITION BY detector, seed ORDER BY i), 10) AS adjusted FROM r"""),
-    "win_signed_ranks": with_sql("prd", """WITH m AS (SELECT target_group, round(avg(p) FILTER (detector = 'frozen_codebert') - avg(p) FILTER (detector = 'hashing_sgd'), 8) AS difference FROM prd GROUP BY 1),
+    "win_signed_ranks": with_sql("prd", """WITH m AS (SELECT target_group, round(avg(p) FILTER (detector = 'frozen_codebert') - avg(p) FILTER (detector = 'hashing_sgd'), 9) AS difference FROM prd GROUP BY 1),
         a AS (SELECT * FROM m WHERE difference <> 0)
         SELECT target_group, difference, rank() OVER (ORDER BY abs(difference)) + (count(*) OVER (PARTITION BY abs(difference)) - 1) / 2 AS mid_rank FROM a"""),
     "win_binary_class_rank": with_sql("prd", f"SELECT {_IDS}, (p >= 1 - p)::INT AS first_class FROM prd"),

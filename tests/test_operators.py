@@ -6,15 +6,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftspark.operators import aggregates, conformal, joins, learning, metrics, predicates, prom, statistics, validation, windows
+from siftspark.operators import aggregates, conformal, joins, learning, metrics, predicates, prom, skew, statistics, validation, windows
 from siftspark.operators import sets as so
 
 
-def test_first_at_least(spark):
+@pytest.mark.parametrize("slot", [skew.size_slot, lambda x: F.floor(x / 10).cast("int"), lambda x: F.lit(0)])
+def test_first_at_least(spark, slot):
     r = random.Random(1)
     steps = [(g, float(x), f"v{g}{x}") for g in (0, 1) for x in r.sample(range(40), 12)]
     qs = [(i, i % 3, float(r.randrange(45)) if i % 7 else None) for i in range(60)]
-    got = joins.first_at_least(spark.createDataFrame(steps, "g int, at double, v string"), spark.createDataFrame(qs, "i int, g int, q double"), ["g"], "at", "v", "q").collect()
+    got = joins.first_at_least(spark.createDataFrame(steps, "g int, at double, v string"), spark.createDataFrame(qs, "i int, g int, q double"), ["g"], "at", "v", "q", slot).collect()
     want = {i: min(((a, v) for k, a, v in steps if k == g and q is not None and a >= q), default=(None, None))[1] for i, g, q in qs}
     assert {x["i"]: x["v"] for x in got} == want
 
@@ -141,8 +142,7 @@ def test_adapter_parts(spark):
     assert prom.cell_higher(np.array([0.1, 0.2, 0.9]), 0.5) == 0.9
     assert [r[0] for r in spark.createDataFrame([(199,), (200,), (209,), (210,)], "n int").select(prom.neighbours(F.col("n"))).collect()] == [199, 20, 20, 21]
     cal = np.array([0.2, 0.1, 0.3, 0.1])
-    assert sorted(prom.cell_neighbours(cal, 0.1, 2, np.lexsort((np.arange(4), cal))).tolist()) == [1, 3]
-    a, b = (prom.cell_adapter(np.linspace(0.05, 0.95, 60), np.arange(60) % 2, np.linspace(0.1, 0.9, 20), 0.1, 13) for _ in range(2))
+    a, b = (prom.cell_adapter(np.linspace(0.05, 0.95, 60), np.arange(60) % 2, np.linspace(0.1, 0.9, 20), 0.1, prom.Draws.seeded(60, 20, 13)) for _ in range(2))
     assert all((a[k] == b[k]).all() for k in a) and a["union"].shape == (20, 2) and a["union"].any(axis=1).all()
 
 
@@ -171,9 +171,9 @@ def test_statistics():
     low = min(plus, 55 - plus)
     assert statistics.wilcoxon_exact(d) == pytest.approx(min(1, 2 * np.mean(np.array(every) <= low)))
     assert math.isnan(statistics.wilcoxon_exact(d[:5]))
-    lo, hi = statistics.bootstrap_strata(np.array([0.1, 0.2, 0.3]), np.array([0.8, 0.9, 1.0]), 7)
-    assert hi < 0 and math.isnan(statistics.bootstrap_strata(np.array([]), d, 7)[0])
-    assert statistics.bootstrap_median(d, 3) == statistics.bootstrap_median(d, 3)
+    lo, hi = statistics.bootstrap_interval(7, np.array([0.1, 0.2, 0.3]), np.array([0.8, 0.9, 1.0]))
+    assert hi < 0 and math.isnan(statistics.bootstrap_interval(7, np.array([]), d)[0])
+    assert statistics.bootstrap_interval(3, d) == statistics.bootstrap_interval(3, d)
 
 
 def test_temperature():
@@ -275,3 +275,71 @@ def test_matched_sets_accept_as_many_as_those_matched(spark):
         got = conformal.matched_to_both(scored, cell, name).where(f"method = '{name}_matched_unweighted_mondrian' and in_safe <> in_vulnerable").collect()
         for b in conformal.BUDGETS:
             assert {x["position"] for x in got if (x["av"], x["asafe"]) == b} == set(order[: k.get(b, 0)])
+
+
+def test_range_counts():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 7, 300):
+        v = r.integers(0, 12, n) / 10
+        lo = r.integers(0, n + 1, 200)
+        hi = np.maximum(lo, r.integers(0, n + 1, 200))
+        bound = r.integers(-1, 14, 200) / 10
+        assert prom.RangeCounts(v).at_least(lo, hi, bound).tolist() == [(v[a:b] >= x).sum() for a, b, x in zip(lo, hi, bound, strict=True)]
+
+
+@pytest.mark.parametrize("n", [1, 5, 60, 240])
+def test_local_pvalues_by_definition(n):
+    """Ties on one side, on both and among equal values; values beyond both ends."""
+    r = np.random.default_rng(n)
+    cal, own = r.integers(0, 9, n) / 8, np.concatenate([r.integers(-1, 19, 60) / 16, [-1.0, 2.0]])
+    scores, bounds = r.integers(0, 6, (2, n)) / 5, r.integers(0, 7, (2, 62)) / 5
+    for k in {1, max(1, n // 3), n}:
+        got = prom.local_pvalues(cal, own, scores, bounds, k)
+        for i, v in enumerate(own):
+            near = sorted(range(n), key=lambda j: (abs(cal[j] - v), j))[:k]
+            assert got[:, i].tolist() == [(scores[e, near] >= bounds[e, i]).sum() / k for e in (0, 1)]
+
+
+def test_ordered_sums(spark):
+    r = random.Random(4)
+    rows = [(g, r.choice([0.0, 0.25, 0.5, r.random()]), i, r.randrange(5)) for i in range(300) for g in ("hot" if i % 4 else "b",)]
+    df = spark.createDataFrame(rows, "g string, x double, i int, v int")
+    for down in (False, True):
+        x = F.desc("x") if down else F.col("x")
+        got = skew.ordered_sums(df, ["g"], skew.unit_slot(F.col("x"), down), [x, F.col("i")], {"upto": F.col("v"), "place": F.lit(1)}, {"upto": "whole"}).collect()
+        for g in ("hot", "b"):
+            mine = sorted((q for q in rows if q[0] == g), key=lambda q: (-q[1] if down else q[1], q[2]))
+            want = {q[2]: (sum(z[3] for z in mine[: k + 1]), k + 1, sum(z[3] for z in mine)) for k, q in enumerate(mine)}
+            assert {q["i"]: (q["upto"], q["place"], q["whole"]) for q in got if q["g"] == g} == want
+    numbers = [-1e300, -5.0, -1e-9, 0.0, 1e-300, 0.3, 0.30001, 7.0, 1e9]
+    slots = [q[0] for q in spark.createDataFrame([(z,) for z in numbers], "x double").select(skew.size_slot(F.col("x"))).collect()]
+    assert slots == sorted(slots) and len(set(slots)) > 6
+
+
+def test_bootstrap_against_whole_resamples():
+    r = np.random.default_rng(6)
+    for n in (1, 4, 31):
+        x = r.integers(0, 9, n) / 4
+        at = np.random.default_rng(11).integers(0, n, size=(500, n))
+        want = np.median(x[at], axis=1)
+        assert statistics.resampled_medians(x, np.random.default_rng(11), 500).tolist() == want.tolist()
+
+
+def test_resamples_in_parts_are_the_same(monkeypatch):
+    x = np.arange(17.0)
+    whole = statistics.bootstrap_interval(5, x, x[:6] * 2)
+    monkeypatch.setattr(statistics, "DRAWS", 40)
+    assert statistics.bootstrap_interval(5, x, x[:6] * 2) == whole
+
+
+def test_equal_means_are_ties(spark):
+    rows = [("d", 0.1, 0.2, m, "g", 0.1 + 0.2 if m == statistics.BASELINE else 0.3) for m in (statistics.BASELINE, statistics.COMPARED[0])]
+    df = spark.createDataFrame(rows, "detector string, av double, asafe double, method string, target_group string, singleton_coverage double")
+    assert statistics.paired(df, ["singleton_coverage"]).first()["difference"] == 0.0
+
+
+def test_all_methods_in_every_cell(spark):
+    r = np.random.default_rng(23)
+    scored = spark.createDataFrame(scores(r.random(80), r.integers(0, 2, 80), "calibration") + scores(r.random(15), np.zeros(15), "target"), CELLED)
+    got = conformal.decisions(scored).groupBy("method").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {x["method"] for x in got} == set(conformal.METHODS) and len(conformal.METHODS) == 25 and {x["n"] for x in got} == {15 * 9}
