@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,27 +33,49 @@ def sql_token_hash(expr: str) -> str:
     return f"({sql_hash_prefix(expr)} % {PRIME})::BIGINT"
 
 
-def signature(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least (a x + b) mod P of the token hashes; PRIME throughout for no tokens. Products stay below 2**64."""
-    if not len(values):
-        return np.full(len(a), PRIME, np.int64)
-    out = np.full(len(a), PRIME, np.uint64)
-    for at in range(0, len(values), 2048):
-        out = np.minimum(out, ((a[:, None] * values[None, at : at + 2048] + b[:, None]) % np.uint64(PRIME)).min(axis=1))
-    return out.astype(np.int64)
+#: Products of functions and tokens that are held at a time.
+HELD = 1 << 20
+
+
+def signatures(values: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Per row the least (a x + b) mod P of its token hashes, rows one after another in ``values``; PRIME throughout for a
+    row without tokens. Tokens are taken in stretches, whatever rows they belong to; products stay below 2**64."""
+    out = np.full((len(sizes), len(a)), PRIME, np.uint64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    step = max(1, HELD // len(a))
+    for at in range(0, len(values), step):
+        part, mine = values[at : at + step], row[at : at + step]
+        begins = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        least = np.minimum.reduceat((part[:, None] * a + b) % np.uint64(PRIME), begins, axis=0)
+        out[mine[begins]] = np.minimum(out[mine[begins]], least)
+    return out.view(np.int64)
+
+
+def _hash(token: str) -> int:
+    """The number of `token_hash`."""
+    return int.from_bytes(hashlib.sha256(token.encode()).digest()[:8], "big") % PRIME
 
 
 def with_signature(df: DataFrame, keep: list[str], n: int = FUNCTIONS, seed: str = SEED) -> DataFrame:
-    """``keep`` and `signature` of the column `hashes` (token hashes); null hashes count as none."""
+    """``keep`` and `signature` of the column `tokens`; null tokens count as none. A batch's distinct tokens are hashed once."""
     a, b = (np.array(x, np.uint64) for x in coefficients(n, seed))
 
     def run(batches):
         for batch in batches:
-            rows = [signature(np.array(x or [], np.uint64), a, b) for x in batch.column("hashes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array([r.tolist() for r in rows], pa.list_(pa.int64()))], names=[*keep, "signature"])
+            lists = batch.column("tokens")
+            sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+            words = pc.list_flatten(lists).dictionary_encode()
+            hashes = np.array([_hash(x) for x in words.dictionary.to_pylist()] or [0], np.uint64)
+            rows = signatures(hashes[words.indices.to_numpy()], sizes, a, b)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.FixedSizeListArray.from_arrays(pa.array(rows.reshape(-1)), n).cast(pa.list_(pa.int64()))], names=[*keep, "signature"])
 
     types = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, "hashes").mapInArrow(run, f"{types}, signature array<long>")
+    return df.select(*keep, "tokens").mapInArrow(run, f"{types}, signature array<long>")
+
+
+def band_keys(n_bands: int = BANDS, rows: int = ROWS) -> Column:
+    """A 64-bit key of each band of `signature`, in an array."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.xxhash64(F.slice("signature", i * rows + 1, rows)))
 
 
 def bands(df: DataFrame, keep: list[str], n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -43,13 +43,8 @@ def _short_sets(spark, folder) -> DataFrame:
     return _docs(spark, folder).select("doc_id", F.array_sort(F.array_distinct(cn.short_tokens(F.col("text")))).alias("tokens"))
 
 
-def _hashes(spark, folder) -> DataFrame:
-    hashed = F.transform("tokens", mh.token_hash)
-    return _short_sets(spark, folder).where("tokens is not null").select("doc_id", hashed.alias("hashes"))
-
-
 def _signatures(spark, folder) -> DataFrame:
-    return mh.with_signature(_hashes(spark, folder), ["doc_id"])
+    return mh.with_signature(_short_sets(spark, folder).where("tokens is not null"), ["doc_id"])
 
 
 def _neighbours(spark, folder) -> DataFrame:

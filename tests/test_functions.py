@@ -54,23 +54,39 @@ def test_signatures(spark):
     a, b = mh.coefficients()
     assert len(set(a)) == 128 and 0 < min(a) and max(a + b) < mh.PRIME
     x = np.array([0, 1, mh.PRIME - 1], np.uint64)
-    got = mh.signature(x, np.array(a, np.uint64), np.array(b, np.uint64))
-    assert got.tolist() == [min((p * int(v) + q) % mh.PRIME for v in x) for p, q in zip(a, b, strict=True)]
-    assert set(mh.signature(np.zeros(0, np.uint64), np.array(a, np.uint64), np.array(b, np.uint64)).tolist()) == {mh.PRIME}
+    ab = np.array(a, np.uint64), np.array(b, np.uint64)
+    want = [min((p * int(v) + q) % mh.PRIME for v in x) for p, q in zip(a, b, strict=True)]
+    # Empty rows before, between and after; a row that goes over several stretches.
+    sizes = np.array([0, 3, 0, 3, 0])
+    for held in (mh.HELD, 256):
+        mh.HELD, kept = held, mh.HELD
+        got = mh.signatures(np.concatenate([x, x]), sizes, *ab)
+        mh.HELD = kept
+        assert got[1].tolist() == got[3].tolist() == want and {*got[0], *got[2], *got[4]} == {mh.PRIME}
+    assert (mh.signatures(np.zeros(0, np.uint64), np.array([0, 0]), *ab) == mh.PRIME).all()
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, None), (3, [])], "i int, tokens array<string>")
+    rows = {r["i"]: r["signature"] for r in mh.with_signature(df, ["i"]).collect()}
+    hashed = {r["t"]: r["h"] for r in df.select(F.explode("tokens").alias("t")).distinct().select("t", mh.token_hash(F.col("t")).alias("h")).collect()}
+    assert rows[1] == [min((p * v + q) % mh.PRIME for v in hashed.values()) for p, q in zip(a, b, strict=True)] and set(rows[2]) == set(rows[3]) == {mh.PRIME}
     p = spark.range(1).select(mh.lsh_probability(F.lit(0.9)), mh.cardinality_fits(F.lit(9), F.lit(10), 0.9), mh.cardinality_fits(F.lit(8), F.lit(10), 0.9), mh.cardinality_fits(F.lit(0), F.lit(0), 0.9), mh.jaccard(F.lit(0), F.lit(0))).first()
     assert p[0] > 0.9998 and list(p)[1:] == [True, False, True, 1.0]
 
 
-def test_lsh_recall(spark, folder):
-    """Of the pairs of classes with Jaccard >= 0.9, by brute force, the bands find at least nine tenths."""
+@pytest.mark.parametrize("lexed", [False, True])
+def test_lsh_recall(spark, lexed):
+    """Of the pairs of classes with Jaccard >= 0.9, by brute force, the bands find at least nine tenths, whatever the
+    tiles, and the exact join finds all."""
     from siftspark.operators import lsh
 
-    c = lsh.token_classes(spark, "/root/testdata/sf0.01").collect()
-    found = {tuple(r) for r in lsh.candidates(lsh.token_classes(spark, "/root/testdata/sf0.01")).collect()}
-    sets = [(r["cid"], set(r["tokens"]), r["n_source"], r["n_target"]) for r in c]
+    held = lsh.token_classes(spark, "/root/testdata/sf0.01", lexed).classes
+    rows = [tuple(r) for r in lsh.candidates(held).collect()]
+    found = set(rows)
+    assert len(rows) == len(found) and {tuple(r) for r in lsh.candidates(held, tile=1).collect()} == found
+    sets = [(r["cid"], set(r["tokens"]), r["n_source"], r["n_target"]) for r in held.collect()]
     true = set()
     for i, x, _, nt in sets:
         for j, y, ns, _ in sets:
             if nt and ns and (len(x & y) >= 0.9 * len(x | y)):
                 true.add((i, j))
+    assert {tuple(r) for r in lsh.exact_pairs(held).collect()} == true
     assert len(true) > 5 and len(true & found) >= 0.9 * len(true)
