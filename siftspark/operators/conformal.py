@@ -282,8 +282,8 @@ def decisions(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def credibility(cal: DataFrame, tgt: DataFrame, cell: list[str]) -> DataFrame:
-    """Label-conditional p-value of the forced label: (1 + calibration scores >= own) / (n + 1)."""
+def credibility(cal: DataFrame, tgt: DataFrame, cell: list[str], counts: bool = False) -> DataFrame:
+    """Label-conditional p-value of the forced label: (1 + calibration scores >= own) / (n + 1); or the two ``counts``."""
     c = cal.select(*cell, F.col("y").alias("label"), score(F.col("p"), F.col("y")).alias("score"))
     g = c.groupBy(*cell, "label", "score").agg(F.count(F.lit(1)).alias("_n"))
     steps = ordered_sums(g, [*cell, "label"], unit_slot(F.col("score"), down=True), [F.desc("score")], {"from_here": F.col("_n")}).select(*cell, "label", "score", "from_here")
@@ -291,7 +291,16 @@ def credibility(cal: DataFrame, tgt: DataFrame, cell: list[str]) -> DataFrame:
     forced = (F.col("p") > 0.5).cast("int")
     q = tgt.select(*ROW, forced.alias("label"), score(F.col("p"), forced).alias("own"))
     found = first_at_least(steps, q, [*cell, "label"], "score", "from_here", "own", unit_slot).join(total, [*cell, "label"], "left")
-    return found.select(*ROW, "label", F.round((F.coalesce("from_here", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + 1), 10).alias("credibility"))
+    n_above, n_scores = F.coalesce("from_here", F.lit(0)), F.coalesce("total", F.lit(0))
+    if counts:
+        return found.select(*ROW, "label", n_above.alias("n_above"), n_scores.alias("n_scores"))
+    return found.select(*ROW, "label", F.round((n_above + 1) / (n_scores + 1), 10).alias("credibility"))
+
+
+def _above(s, d) -> DataFrame:
+    """Per record, the calibration scores of its forced label that are at least its own, and how many there are."""
+    c = credibility(_e(s, d, "calibration"), _e(s, d, "target"), CELL, counts=True)
+    return c.select("detector", "target_group", "seed", "position", "row_id", "label", F.col("n_above").cast("long").alias("n_above"), F.col("n_scores").cast("long").alias("n_scores"))
 
 
 def support_v1(supported: DataFrame, decided: DataFrame, cell: list[str]) -> DataFrame:
@@ -376,7 +385,7 @@ QUERIES = {
     "conf_forced_argmax": lambda s, d: _out(forced_sets(_e(s, d, "target"))),
     "conf_msp_matched": lambda s, d: _out(matched_sets(_e(s, d, "target"), mondrian_sets(_e(s, d, "target"), mondrian(_e(s, d, "calibration"), CELL), CELL), CELL, "msp_matched_unweighted_mondrian")),
     "conf_lac_credibility": lambda s, d: _out(credibility(_e(s, d, "calibration"), _e(s, d, "target"), CELL)),
-    "join_credibility_rank": lambda s, d: _out(credibility(_e(s, d, "calibration"), _e(s, d, "target"), CELL)),
+    "join_credibility_rank": _above,
     "conf_lac_matched": lambda s, d: accept_top(credibility(_e(s, d, "calibration"), _e(s, d, "target"), CELL), CELL, F.col("credibility"), ["target_group", "position"], F.lit(5)).select("detector", "target_group", "seed", "position", "label", "accepted"),
     "conf_lac_matched_sets": _matched("lac"),
     "topk_matched_accept": _matched("msp"),
@@ -472,7 +481,8 @@ ORACLE = {
     "conf_forced_argmax": with_sql(_NEED, f"WITH {MONDRIAN_SQL}, {POOLED_SQL} SELECT {_OUT} FROM fo"),
     "conf_msp_matched": with_sql(_NEED, f"WITH {MONDRIAN_SQL}, {matched_sql('mm', 'md', 'msp_matched_unweighted_mondrian')} SELECT {_OUT} FROM mm"),
     "conf_lac_credibility": with_sql(_NEED, f"{_CRED} SELECT * FROM cr"),
-    "join_credibility_rank": with_sql(_NEED, f"{_CRED} SELECT * FROM cr"),
+    "join_credibility_rank": with_sql(_NEED, f"""{_CRED} SELECT o.detector, o.target_group, o.seed, o.position, o.row_id, label, count(*) FILTER (sc.score >= own) AS n_above, count(sc.score) AS n_scores
+        FROM o LEFT JOIN sc ON sc.detector = o.detector AND sc.seed = o.seed AND sc.y = label GROUP BY ALL"""),
     "conf_lac_matched": with_sql(_NEED, f"""{_CRED} SELECT detector, target_group, seed, position, label,
         row_number() OVER (PARTITION BY detector, seed ORDER BY credibility DESC, target_group, position) <= 5 AS accepted FROM cr"""),
     "supp_ess_rule": with_sql(_NEED, f"WITH {DECISIONS_SQL} SELECT detector, seed, clip, av, asafe, ess_only FROM rg"),

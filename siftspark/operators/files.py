@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,10 @@ from siftspark.plans import relations as rel
 from siftspark.plans.relations import with_sql
 from siftspark.runtime import shared_dir, table
 from siftspark.sources import lines, sinks
+from siftspark.sources.arrays import local, registered
 
 LABEL_NAMES = {"target", "label", "labels", "y"}
+_CSV_ORDER = ["detector", "target_group", "seed", "side", "position"]
 PREDICTION = "detector string, target_group string, seed int, side string, position long, row_id string, p double, ratio double"
 
 
@@ -55,7 +58,7 @@ def _single_scan(s, d) -> DataFrame:
 
 def _csv(s, d) -> DataFrame:
     p = _path(s, "scores.csv.gz")
-    sinks.write_csv(rel.predictions(s, d), p, ["detector", "target_group", "seed", "side", "position"])
+    sinks.write_csv(rel.predictions(s, d), p, _CSV_ORDER)
     return sinks.read_csv(s, p, PREDICTION)
 
 
@@ -77,11 +80,84 @@ def _json(s, d) -> DataFrame:
     return s.read.schema("source string, target_share double, max_repeats int").json(p)
 
 
+def _arrays(s, d) -> DataFrame:
+    """Scores kept as archives of arrays, one for each task, and read back."""
+    p = _path(s, "scores")
+    registered(s)
+    rel.predictions(s, d).write.format("npz").mode("append").save(p)
+    return s.read.format("npz").schema(PREDICTION).option("range", 200).load(p)
+
+
+def _arrays_whole(s, d) -> DataFrame:
+    """A table's content before and after a round through archives, files left unfinished, and whether a second write is refused."""
+    p = _path(s, "whole")
+    registered(s)
+    df = rel.predictions(s, d)
+    df.write.format("npz").mode("append").save(p)
+    unfinished = sum(f.startswith(".") for f in os.listdir(local(p)))
+    a, b = sinks.content_digest(df).withColumnRenamed("digest", "before"), sinks.content_digest(s.read.format("npz").schema(PREDICTION).load(p)).withColumnRenamed("digest", "after")
+    again = refused(lambda: df.write.format("npz").mode("append").save(p), "exists already")
+    return a.join(b, "n").select("n", (F.col("before") == F.col("after")).alias("same"), F.lit(unfinished).cast("long").alias("unfinished"), F.lit(again).alias("refused"))
+
+
+def refused(write, reason: str) -> bool:
+    """Whether ``write`` fails for that reason; any other error is an error."""
+    try:
+        write()
+    except Exception as x:
+        if reason not in str(x):
+            raise
+        return True
+    return False
+
+
+def _database(s, d) -> DataFrame:
+    """Documents kept in SQLite files, opened for reading only: rows and characters by dataset."""
+    p = _path(s, "documents")
+    registered(s)
+    rel.documents(s, d).select("doc_id", "dataset", "n_chars").write.format("sqlite").option("table", "documents").mode("append").save(p)
+    t = s.read.format("sqlite").schema("dataset string, n_chars long").option("table", "documents").option("range", 500).load(p)
+    return t.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+def _mapped(s, d) -> DataFrame:
+    """Embeddings kept as matrices and read through memory maps: rows, width and the sum of all numbers."""
+    p = _path(s, "embeddings")
+    registered(s)
+    table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<float>")).write.format("npy").mode("append").save(p)
+    t = s.read.format("npy").option("range", 100).load(p)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return t.groupBy(F.size("vector").cast("long").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(total), 3).alias("total"))
+
+
 def _packages(s, d) -> DataFrame:
-    """Scores partitioned by group, counted per folder and side."""
+    """Labelled scores in a folder for each group; per group the rows of each side and label."""
     p = _path(s, "packages")
-    sinks.write_parquet(rel.predictions(s, d).withColumn("folder", F.xxhash64("target_group") % 8), p, ["folder"])
-    return s.read.parquet(p).groupBy("target_group", "side").agg(F.count(F.lit(1)).alias("n"))
+    sinks.write_parquet(rel.scored(s, d).withColumn("folder", F.col("target_group")), p, ["folder"])
+    t = s.read.parquet(p)
+    n = lambda side, y: F.count(F.when((F.col("side") == side) & (F.col("y") == y), 1)).alias(f"{side}_{y}")
+    return t.groupBy("target_group").agg(*[n(side, y) for side in ("calibration", "target") for y in (0, 1)])
+
+
+def _same_bytes(s, d) -> DataFrame:
+    """Rows, and whether the files of two writes of one table are the same byte for byte."""
+    df, seen = rel.predictions(s, d).repartition(4, "row_id").sortWithinPartitions(*_CSV_ORDER), []
+    for _ in range(2):
+        p = _path(s, "twice.csv.gz")
+        sinks.write_csv(df, p, _CSV_ORDER)
+        # One row for each file; the name of a part is its number and an id of the write.
+        seen.append(sorted((r["file"][:10], r["digest"]) for r in sinks.inventory(s, p).where("file like 'part-%'").collect()))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.lit(seen[0] == seen[1] and bool(seen[0])).alias("same_bytes"))
+
+
+def _json_whole(s, d) -> DataFrame:
+    """Rows of JSON lines, whether a reader finds a finished folder, and whether a second write is refused."""
+    p = _path(s, "mix-once")
+    t = table(s, d, "mix_targets")
+    sinks.write_json(t, p)
+    done = os.path.exists(os.path.join(local(p), "_SUCCESS")) and not os.path.exists(os.path.join(local(p), "_temporary"))
+    again = refused(lambda: sinks.write_json(t, p), "PATH_ALREADY_EXISTS")
+    return s.read.schema(t.schema).json(p).agg(F.count(F.lit(1)).alias("n"), F.lit(done).alias("finished"), F.lit(again).alias("refused"))
 
 
 def _sidecar(s, d) -> DataFrame:
@@ -118,24 +194,31 @@ def _append(s, d) -> DataFrame:
 
 
 def _seal(s, d) -> DataFrame:
-    """Digest of a table's content before writing and after reading."""
-    p = _path(s, "sealed")
-    df = rel.predictions(s, d)
-    sinks.write_parquet(df, p)
-    a, b = sinks.content_digest(df).withColumnRenamed("digest", "before"), sinks.content_digest(s.read.parquet(p)).withColumnRenamed("digest", "after")
-    return a.join(b, "n").select("n", (F.col("before") == F.col("after")).alias("same"))
+    """A seal of each seed's scores against a copy in which seed 13 is left out, seed 37 altered and seed 999 added."""
+    from siftspark.operators.validation import sealed
+
+    def seal(df: DataFrame) -> DataFrame:
+        row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
+        return df.groupBy(F.col("seed").cast("string").alias("name")).agg(F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.sum(row.cast("decimal(38,0)")).cast("string")).alias("digest"))
+
+    p, df = _path(s, "sealed"), rel.predictions(s, d)
+    added = df.where("seed = 73").withColumn("seed", F.lit(999))
+    sinks.write_parquet(df.where("seed <> 13").withColumn("p", F.when(F.col("seed") == 37, F.col("p") / 2).otherwise(F.col("p"))).unionByName(added), p)
+    return sealed(seal(df), seal(s.read.parquet(p)))
 
 
 def _refused(s, d) -> DataFrame:
-    """Whether a second write to the same path is refused."""
-    p = _path(s, "once")
-    sinks.write_json(table(s, d, "mix_targets"), p)
-    try:
-        sinks.write_json(table(s, d, "mix_targets"), p)
-        refused = False
-    except Exception:
-        refused = True
-    return s.createDataFrame([(refused,)], "refused boolean")
+    """Per kind of sink whether a second write to the same path is refused, for the reason that it exists."""
+    t, found = table(s, d, "mix_targets"), []
+    kinds = {
+        "json": sinks.write_json, "parquet": sinks.write_parquet, "csv": lambda df, p: sinks.write_csv(df, p, ["source"]),
+        "labels": lambda df, p: sinks.split_labels(df.withColumn("row_id", F.col("source")).withColumn("y", F.lit(1)), "y", "max_repeats", p),
+    }
+    for kind, write in kinds.items():
+        p = _path(s, f"once-{kind}")
+        write(t, p)
+        found.append((kind, refused(lambda: write(t, p), "PATH_ALREADY_EXISTS"), s.read.format("binaryFile").option("recursiveFileLookup", "true").load(p).count() > 0))  # noqa: B023
+    return s.createDataFrame(found, "kind string, refused boolean, kept boolean")
 
 
 def _figures(s, d) -> DataFrame:
@@ -185,19 +268,20 @@ QUERIES = {
     "scan_manifest_labelfree": _label_free,
     "scan_csv": _csv,
     "scan_json": _json,
-    "scan_npz": _packages,
-    "scan_sqlite_ro": lambda s, d: table(s, d, "documents").agg(F.count(F.lit(1)).alias("n")),
+    "scan_npz": _arrays,
+    "scan_sqlite_ro": _database,
+    "scan_memmap": _mapped,
     "scan_rowid_sidecar": _sidecar,
     "scan_bibtex": _bibliography,
     "fn_strip_latex": lambda s, d: _titles(s, d, lambda t, b: t.select("doc_id", b.strip_markup(F.col("t")).alias("title"))),
     "fn_normalize_title": lambda s, d: _titles(s, d, lambda t, b: t.select("doc_id", b.normal_title("t").alias("title"))),
     "fn_similarity": lambda s, d: _titles(s, d, lambda t, b: t.select("doc_id", F.round(b.similarity("t", "u"), 6).alias("similarity"))),
     "sink_snapshot": _snapshot,
-    "sink_gz_csv_det": _csv,
+    "sink_gz_csv_det": _same_bytes,
     "sink_split_meta_labels": _split_sink,
     "sink_fold_packages": _packages,
-    "sink_npz_atomic": _seal,
-    "sink_json_atomic": _json,
+    "sink_npz_atomic": _arrays_whole,
+    "sink_json_atomic": _json_whole,
     "sink_csv_union_schema": _union_schema,
     "sink_csv": _append,
     "sink_seal": _seal,
@@ -205,7 +289,7 @@ QUERIES = {
     "sink_figures": _figures,
     "val_contiguous": lambda s, d: contiguous(rel.records(s, d).where("dataset = 'diversevul'"), "first_position"),
 }
-_PKG = with_sql("prd", "SELECT target_group, side, count(*) AS n FROM prd GROUP BY 1, 2")
+_PKG = with_sql("ev", "SELECT target_group, " + ", ".join(f"count(*) FILTER (side = '{side}' AND y = {y}) AS {side}_{y}" for side in ("calibration", "target") for y in (0, 1)) + " FROM ev GROUP BY 1")
 _ORD = "CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 WHEN 'test' THEN 2 END"
 ORACLE = {
     "scan_jsonl_ordered": with_sql("rec", f"""SELECT ({_ORD})::INT AS file_ord, row_number() OVER (PARTITION BY split ORDER BY first_position) AS line_number, row_id, project, commit_id FROM rec
@@ -214,12 +298,13 @@ ORACLE = {
     "scan_manifest_gz": with_sql("rec", "SELECT first_position, row_id, grp FROM rec WHERE dataset = 'diversevul'"),
     "scan_manifest_labelfree": with_sql("rec", "SELECT feature_position, row_id, source_file, line_number FROM rec WHERE dataset = 'primevul' AND feature_position IS NOT NULL"),
     "scan_csv": with_sql("prd", f"SELECT {_ROW} FROM prd"),
-    "sink_gz_csv_det": with_sql("prd", f"SELECT {_ROW} FROM prd"),
+    "sink_gz_csv_det": with_sql("prd", "SELECT count(*) AS n, true AS same_bytes FROM prd"),
     "scan_json": "SELECT * FROM mix_targets",
-    "sink_json_atomic": "SELECT * FROM mix_targets",
-    "scan_npz": _PKG,
+    "sink_json_atomic": "SELECT count(*) AS n, true AS finished, true AS refused FROM mix_targets",
+    "scan_npz": with_sql("prd", f"SELECT {_ROW} FROM prd"),
     "sink_fold_packages": _PKG,
-    "scan_sqlite_ro": "SELECT count(*) AS n FROM documents",
+    "scan_sqlite_ro": "SELECT dataset, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY 1",
+    "scan_memmap": "SELECT len(embedding) AS width, count(*) AS n, round(sum(list_sum(embedding::DOUBLE[])), 3) AS total FROM embeddings GROUP BY 1",
     "scan_rowid_sidecar": with_sql("rec", "SELECT count(*) AS n_left, count(*) AS n_right, 0::BIGINT AS unequal FROM rec WHERE dataset = 'diversevul'"),
     "scan_bibtex": "SELECT 'article' AS kind, 'doc' || doc_id AS key, 'notes on ' || trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')) || ' ete' AS title FROM documents WHERE dataset = 'context' AND text IS NOT NULL AND source IS NOT NULL",
     "fn_strip_latex": "SELECT doc_id, 'Notes on ' || source AS title FROM documents",
@@ -227,11 +312,12 @@ ORACLE = {
     "sink_snapshot": """SELECT 'records' AS table_name, count(*) AS n, 14::BIGINT AS columns FROM records UNION ALL SELECT 'predictions', count(*), 7 FROM predictions
         UNION ALL SELECT 'mix_targets', count(*), 3 FROM mix_targets UNION ALL SELECT 'project_aliases', count(*), 2 FROM project_aliases""",
     "sink_split_meta_labels": with_sql("rl", "SELECT dataset, count(*) AS n, sum(target)::BIGINT AS vulnerable FROM rl GROUP BY 1"),
-    "sink_npz_atomic": with_sql("prd", "SELECT count(*) AS n, true AS same FROM prd"),
-    "sink_seal": with_sql("prd", "SELECT count(*) AS n, true AS same FROM prd"),
+    "sink_npz_atomic": with_sql("prd", "SELECT count(*) AS n, true AS same, 0::BIGINT AS unfinished, true AS refused FROM prd"),
+    "sink_seal": with_sql("prd", """SELECT DISTINCT CASE seed WHEN 73 THEN '999' ELSE seed::VARCHAR END AS name, CASE seed WHEN 13 THEN 'missing' WHEN 37 THEN 'differs' ELSE 'unexpected' END AS status
+        FROM prd WHERE seed IN (13, 37, 73)"""),
     "sink_csv_union_schema": with_sql("prd", "SELECT row_id, CASE WHEN side = 'target' THEN p END AS p, CASE WHEN side <> 'target' THEN ratio END AS ratio FROM prd"),
     "sink_csv": with_sql("prd", "SELECT side AS phase, count(*) AS n, count(DISTINCT row_id) AS ids FROM prd GROUP BY 1"),
-    "sink_no_overwrite": "SELECT true AS refused",
+    "sink_no_overwrite": "SELECT unnest(['json', 'parquet', 'csv', 'labels']) AS kind, true AS refused, true AS kept",
     "sink_figures": with_sql("prd", "SELECT detector, target_group, round(avg(p), 9) AS mean, min(p) AS least, max(p) AS most FROM prd GROUP BY 1, 2"),
     "val_contiguous": with_sql("rec", """SELECT count(*) AS n, min(first_position) = 0 AND max(first_position) = count(*) - 1 AND count(DISTINCT first_position) = count(*) AS contiguous FROM rec WHERE dataset = 'diversevul'"""),
 }

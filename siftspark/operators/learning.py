@@ -295,7 +295,6 @@ QUERIES = {
     "gate_train_frame": gate_frame,
     "scan_model": kept_model,
     "ml_embed": lambda s, d: pooled_means(table(s, d, "embeddings"), "label", "embedding"),
-    "scan_memmap": lambda s, d: table(s, d, "embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("width")),
     "conf_temperature": lambda s, d: temperatures(rel.scored(s, d, "calibration")),
 }
 
@@ -307,7 +306,6 @@ ORACLE = {
     "ml_hash_vectorize": f"WITH {_GRAMS.format('AND dataset <> ' + chr(39) + 'context' + chr(39))} SELECT doc_id, idx, value FROM v",
     "scan_sparse": f"WITH {_GRAMS.format('')} SELECT doc_id, count(*) AS n_set, round(sum(value * value), 5) AS length FROM v GROUP BY 1",
     "ml_embed": "WITH e AS (SELECT label, unnest(range(len(embedding)))::INT AS at, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, at, round(avg(x), 6) AS value FROM e GROUP BY 1, 2".replace(" at", ' "at"'),
-    "scan_memmap": "SELECT vec_id, label, len(embedding) AS width FROM embeddings",
 }
 
 

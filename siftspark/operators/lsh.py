@@ -81,6 +81,48 @@ def candidates(classes: DataFrame, t: float = mh.THRESHOLD, tile: int = TILE) ->
     return x.join(s, ["band", "key", "_t", "_s"]).where(fits & (first == F.col("band"))).select("target", "source")
 
 
+#: What an index must have been made with, and of how many rows.
+MANIFEST = "functions int, bands int, rows int, seed string, n_documents long, n_classes long"
+
+
+@dataclass
+class Index:
+    """documents: (doc_id, dataset, row_id, cid); signatures: (cid, n, n_source, n_target, signature)."""
+
+    documents: DataFrame
+    signatures: DataFrame
+
+
+def write_index(sets: Sets, path: str) -> None:
+    """Documents, signatures and a manifest under ``path``; an error if there is something already."""
+    spark = sets.classes.sparkSession
+    docs = sets.docs.join(sets.classes.select("set_key", "cid"), "set_key").select("doc_id", "dataset", "row_id", "cid")
+    docs.write.mode("errorifexists").parquet(f"{path}/documents")
+    mh.with_signature(sets.classes, ["cid", "n", "n_source", "n_target"]).write.mode("errorifexists").parquet(f"{path}/signatures")
+    row = (mh.FUNCTIONS, mh.BANDS, mh.ROWS, mh.SEED, sets.docs.count(), sets.classes.count())
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """The index under ``path``, or a ValueError if it isn't whole: other parameters or columns, other counts than its
+    manifest's, signatures of a wrong length, or documents of a class that isn't there. One aggregate for each table."""
+    m = spark.read.schema(MANIFEST).json(f"{path}/manifest").first()
+    if m is None or (m["functions"], m["bands"], m["rows"], m["seed"]) != (mh.FUNCTIONS, mh.BANDS, mh.ROWS, mh.SEED):
+        raise ValueError(f"the index under {path} has other parameters")
+    docs, signed = spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/signatures")
+    if docs.columns != ["doc_id", "dataset", "row_id", "cid"] or signed.columns != ["cid", "n", "n_source", "n_target", "signature"]:
+        raise ValueError(f"the index under {path} has other columns")
+    d = docs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids")).first()
+    g = signed.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cid").alias("ids"), F.count(F.when(F.size("signature") != mh.FUNCTIONS, 1)).alias("bad"), F.sum(F.col("n_source") + F.col("n_target")).alias("of")).first()
+    if g["bad"]:
+        raise ValueError(f"{g['bad']} signatures under {path} have another length")
+    if (d["n"], d["ids"], g["n"], g["ids"], g["of"] or 0) != (m["n_documents"], m["n_documents"], m["n_classes"], m["n_classes"], m["n_documents"]):
+        raise ValueError(f"the index under {path} has other counts than its manifest")
+    if docs.join(signed.select("cid"), "cid", "left_anti").limit(1).count():
+        raise ValueError(f"documents under {path} belong to no class")
+    return Index(docs, signed)
+
+
 def verified(pairs: DataFrame, classes: DataFrame, t: float = mh.THRESHOLD) -> DataFrame:
     """(target, source, common, either): the pairs with Jaccard >= t, counted on the tokens."""
     a = classes.select(F.col("cid").alias("target"), F.col("tokens").alias("x"))

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from siftspark.operators.skew import running
 from siftspark.plans import relations as rel
 from siftspark.plans.relations import with_sql
-from siftspark.runtime import table
-
-METHODS = ["calibration", "target"]
+from siftspark.runtime import stage, table
 
 
 def stacked(parts: list[DataFrame], order: list[str], name: str = "position") -> DataFrame:
@@ -60,11 +58,19 @@ def _groups(s, d) -> DataFrame:
     return r.intersect(p).withColumn("where", F.lit("both")).unionByName(r.subtract(p).withColumn("where", F.lit("records"))).unionByName(p.subtract(r).withColumn("where", F.lit("scores")))
 
 
+def lacking(rows: DataFrame, cell: list[str], item: str, needed: list[str]) -> DataFrame:
+    """(cell, missing): cells that lack some of the needed items."""
+    seen = rows.groupBy(*cell).agg(F.collect_set(item).alias("seen"))
+    missing = F.sort_array(F.array_except(F.array(*[F.lit(m) for m in needed]), F.col("seen")))
+    return seen.withColumn("missing", missing).where(F.size("missing") > 0).select(*cell, "missing")
+
+
 def _superset(s, d) -> DataFrame:
-    """Cells without a row on one of the sides."""
-    seen = rel.predictions(s, d).groupBy(*rel.GROUP).agg(F.collect_set("side").alias("seen"))
-    missing = F.sort_array(F.array_except(F.array(*[F.lit(m) for m in METHODS]), F.col("seen")))
-    return seen.withColumn("missing", missing).where(F.size("missing") > 0).select(*rel.GROUP, "missing")
+    """Cells that lack some of the evaluation's methods; of seed 13 two methods are planted to be left out."""
+    from siftspark.operators.conformal import METHODS, decisions
+
+    rows = decisions(stage(rel.scored(s, d), "scored")).where("seed <> 13 or method not in ('forced_argmax', 'prom_derived_union')")
+    return lacking(rows, rel.GROUP, "method", METHODS)
 
 
 QUERIES = {
@@ -75,6 +81,13 @@ QUERIES = {
     "set_intersect_union_count": _groups,
     "set_superset_methods": _superset,
 }
+def _superset_sql() -> str:
+    from siftspark.operators.conformal import DECISIONS_SQL, METHODS
+
+    return with_sql("cal tgt bud ev", f"""WITH {DECISIONS_SQL}, s AS (SELECT detector, target_group, seed, list(DISTINCT method) FILTER (seed <> 13 OR method NOT IN ('forced_argmax', 'prom_derived_union')) AS seen FROM de GROUP BY 1, 2, 3)
+        SELECT detector, target_group, seed, list_sort(list_filter({METHODS}, lambda x: NOT list_contains(seen, x))) AS missing FROM s WHERE len(missing) > 0""")
+
+
 ORACLE = {
     "set_union_all": with_sql("rec", """SELECT dataset, row_id, CASE WHEN dataset = 'primevul' THEN role END AS role,
         row_number() OVER (ORDER BY dataset DESC, first_position) - 1 AS position FROM rec WHERE dataset IN ('primevul', 'diversevul')"""),
@@ -84,6 +97,5 @@ ORACLE = {
         SELECT row_id, 'left' AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT row_id, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)"""),
     "set_intersect_union_count": with_sql("rec prd", """WITH a AS (SELECT DISTINCT grp FROM rec WHERE dataset = 'diversevul' AND grp IS NOT NULL), b AS (SELECT DISTINCT target_group AS grp FROM prd)
         SELECT grp, CASE WHEN a.grp IS NULL THEN 'scores' WHEN b.grp IS NULL THEN 'records' ELSE 'both' END AS "where" FROM a FULL JOIN b USING (grp)"""),
-    "set_superset_methods": with_sql("prd", """WITH s AS (SELECT detector, target_group, seed, list(DISTINCT side) AS seen FROM prd GROUP BY 1, 2, 3)
-        SELECT detector, target_group, seed, list_sort(list_filter(['calibration', 'target'], lambda x: NOT list_contains(seen, x))) AS missing FROM s WHERE len(seen) < 2"""),
+    "set_superset_methods": _superset_sql(),
 }

@@ -294,16 +294,32 @@ def _neardup_summary(s, d) -> DataFrame:
     return attained(m, ["cohort", "detector", "method"])
 
 
+def _severity(s, d) -> DataFrame:
+    """(detector, target_group, severe, load): groups with a severe violation of the ungated sets, and what the gate sends to review."""
+    m = stage(seed_means(_m(s, d).where(_primary() & F.col("method").isin("estimated_weight_no_gate_clip_20", "gated_full_gate_clip_20")), ["max_relative_violation", "review_load"]), "severity")
+    raw = m.where("method = 'estimated_weight_no_gate_clip_20'").select("detector", "target_group", (F.col("max_relative_violation") > 0.5).cast("int").alias("severe"))
+    return raw.join(m.where("method = 'gated_full_gate_clip_20'").select("detector", "target_group", F.col("review_load").alias("load")), ["detector", "target_group"])
+
+
 def _discrimination(s, d) -> DataFrame:
     """How the share of passing seeds tells groups with a severe violation of the ungated sets, per detector."""
-    m = seed_means(_m(s, d).where(_primary() & (F.col("method") == "estimated_weight_no_gate_clip_20")), ["max_relative_violation"])
-    g = _m(s, d).where(_primary() & (F.col("method") == "gated_full_gate_clip_20")).groupBy("detector", "target_group").agg(F.avg("review_load").alias("load"))
-    j = m.join(g, ["detector", "target_group"]).withColumn("severe", (F.col("max_relative_violation") > 0.5).cast("int"))
+    j = _severity(s, d)
     a, p = mt.auroc(j, ["detector"], "load", "severe"), mt.average_precision(j, ["detector"], "load", "severe", "auprc")
     n = j.groupBy("detector").agg(F.count(F.lit(1)).alias("groups"), F.sum("severe").alias("severe"))
     return n.join(a, "detector").join(p, "detector").select("detector", "groups", "severe", F.round("auroc", 9).alias("auroc"), F.round("auprc", 9).alias("auprc"))
 
 
+def _gate_summary(s, d) -> DataFrame:
+    """Per detector and for all together: groups, prevalence of severe violations, of groups that pass in part and that don't,
+    and how well the review load tells them."""
+    j = _severity(s, d)
+    j = stage(j.unionByName(j.withColumn("detector", F.lit("all"))), "cohorts")
+    n = j.groupBy("detector").agg(
+        F.count(F.lit(1)).alias("groups"), F.round(F.avg("severe"), 9).alias("prevalence"), F.count(F.when(F.col("load") < 1, 1)).alias("passed"), F.sum(F.when(F.col("load") < 1, F.col("severe")).otherwise(0)).alias("severe_passed")
+    )
+    return n.join(mt.auroc(j, ["detector"], "load", "severe"), "detector").withColumn("auroc", F.round("auroc", 9))
+
+
 def _strata(s, d) -> DataFrame:
     """Per detector the interval of the difference in median violation between groups that the gate sends to review in
     part and those it sends there whole."""
@@ -362,7 +378,7 @@ QUERIES = {
     "agg_method_summary": _method_summary,
     "agg_calibration_summary": _calibration_summary,
     "agg_neardup_summary": _neardup_summary,
-    "agg_gate_summary": _discrimination,
+    "agg_gate_summary": _gate_summary,
     "agg_delta_counts": _delta_counts,
     "agg_runtime_summary": _runtime,
     "agg_executed_fits": _executed,
@@ -444,4 +460,8 @@ ORACLE = {
     "stat_wilcoxon_exact": mt.metrics_sql(f"WITH {_WILCOXON} SELECT {_KEY}, nonzero, wilcoxon_p FROM wi").replace("WITH ", "WITH RECURSIVE ", 1),
     "stat_holm": mt.metrics_sql(f"WITH {_WILCOXON} SELECT {_KEY}, wilcoxon_p, holm_p FROM ho").replace("WITH ", "WITH RECURSIVE ", 1),
 }
-ORACLE["agg_gate_summary"] = ORACLE["stat_gate_discrimination"] = mt.metrics_sql(_DISC.format(_MEANS))
+ORACLE["stat_gate_discrimination"] = mt.metrics_sql(_DISC.format(_MEANS))
+_ALL_TOO = f"{_MEANS}, j0 AS" + _DISC[_DISC.index(", j AS") + 6 : _DISC.index("  r AS")].rstrip().rstrip(",") + ", j AS (SELECT * FROM j0 UNION ALL SELECT 'all', * EXCLUDE (detector) FROM j0)"
+ORACLE["agg_gate_summary"] = mt.metrics_sql(f"""WITH {_ALL_TOO}, r AS (SELECT *, rank() OVER (PARTITION BY detector ORDER BY load) + (count(*) OVER (PARTITION BY detector, load) - 1) / 2 AS r FROM j)
+  SELECT detector, count(*) AS groups, round(avg(severe), 9) AS prevalence, count(*) FILTER (load < 1) AS passed, coalesce(sum(severe) FILTER (load < 1), 0)::BIGINT AS severe_passed,
+    round((sum(r) FILTER (severe = 1) - sum(severe) * (sum(severe) + 1) / 2) / nullif(sum(severe) * sum(1 - severe), 0), 9) AS auroc FROM r GROUP BY 1""")

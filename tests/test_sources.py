@@ -59,3 +59,59 @@ def test_stream_dedup(spark, folder):
     w.processAllAvailable()
     w.stop()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{folder}/events.parquet").count()
+
+
+def test_array_files(spark, tmp_path):
+    from siftspark.sources.arrays import registered
+
+    registered(spark)
+    df = spark.createDataFrame([(i, i / 3, f"s{i}" if i % 9 else "", [float(i), 1.0]) for i in range(500)], "i long, x double, s string, v array<float>")
+    df.write.format("npz").mode("append").save(f"file://{tmp_path}/a")
+    back = spark.read.format("npz").schema("s string, v array<float>, i long").option("range", 64).load(f"{tmp_path}/a")
+    assert back.count() == 500 and back.exceptAll(df.select("s", "v", "i")).count() == 0
+    with pytest.raises(Exception, match="exists already"):
+        df.write.format("npz").mode("append").save(f"{tmp_path}/a")
+    with pytest.raises(Exception, match="nulls"):
+        df.withColumn("i", F.lit(None).cast("long")).write.format("npz").mode("append").save(f"{tmp_path}/null")
+    with pytest.raises(Exception, match="file system"):
+        df.write.format("npz").mode("append").save("hdfs://nowhere/a")
+    df.limit(0).write.format("npz").mode("append").save(f"{tmp_path}/none")
+    assert spark.read.format("npz").schema("i long").load(f"{tmp_path}/none").count() == 0
+
+
+def test_sqlite_files(spark, tmp_path):
+    import sqlite3
+
+    from siftspark.sources.arrays import registered
+
+    registered(spark)
+    con = sqlite3.connect(f"{tmp_path}/x.sqlite")
+    con.execute('CREATE TABLE "a b" (i, "odd ""name""", t)')
+    con.executemany('INSERT INTO "a b" VALUES (?, ?, ?)', [(i, i * 0.5 if i % 3 else None, f"t{i}") for i in range(300)])
+    con.execute('DELETE FROM "a b" WHERE i % 10 = 0')
+    con.commit()
+    con.close()
+    before = (tmp_path / "x.sqlite").read_bytes()
+    t = spark.read.format("sqlite").schema('t string, `odd "name"` double').option("table", "a b").option("range", 40).load(f"{tmp_path}/x.sqlite")
+    rows = {r["t"]: r['odd "name"'] for r in t.collect()}
+    assert rows == {f"t{i}": (i * 0.5 if i % 3 else None) for i in range(300) if i % 10} and (tmp_path / "x.sqlite").read_bytes() == before
+    with pytest.raises(Exception):
+        spark.read.format("sqlite").schema("i long").option("table", "a b").load(f"{tmp_path}/gone.sqlite").count()
+
+
+def test_index_reopens_whole_only(spark, tmp_path):
+    from siftspark.operators import lsh
+
+    rows = [(i, lsh.SOURCE if i % 2 else lsh.TARGET, f"r{i}", f"int f{i % 5}(int a) {{ return a + {i % 3}; }}") for i in range(20)]
+    sets = lsh.classes_of(spark.createDataFrame(rows, "doc_id long, dataset string, row_id string, text string"))
+    p = f"{tmp_path}/index"
+    lsh.write_index(sets, p)
+    index = lsh.open_index(spark, p)
+    assert index.documents.count() == 20 and index.signatures.count() == sets.classes.count()
+    index.documents.limit(19).write.parquet(f"{tmp_path}/short/documents")
+    index.signatures.write.parquet(f"{tmp_path}/short/signatures")
+    spark.read.json(f"{p}/manifest").write.json(f"{tmp_path}/short/manifest")
+    with pytest.raises(ValueError, match="counts"):
+        lsh.open_index(spark, f"{tmp_path}/short")
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        lsh.write_index(sets, p)
