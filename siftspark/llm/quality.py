@@ -4,6 +4,9 @@ Thresholds on statistics are noisy labelling functions: each votes for one type
 accuracies of the functions and the shares of the types are learned by expectation-maximization from how the functions
 agree. A text's posterior depends on its votes only, so EM runs on the counts of distinct vote patterns: the corpus is
 aggregated once, over all documents, into at most as many rows as there are patterns, whatever the number of documents.
+Should there be very many patterns, the sums of a round are made where they lie (`_fit`).
+
+Which words are common is learned from the corpus too (`common_words`): those in a tenth of the texts of a language.
 """
 
 from __future__ import annotations
@@ -19,18 +22,10 @@ from siftspark.runtime import stage
 
 TYPES = ["prose", "list", "table", "junk"]
 
-#: Common function words of English and German (fixed values).
-COMMON = (
-    "a about after again all also an and any are as at be because been before both but by can did do does few first "
-    "for from had has have he her his how however i if in into is it its may more most neither no nor not of off on "
-    "once one only or other our out over please she should since so some such than that the their them then there "
-    "therefore these they this those to too twice under until up us was way we were what when where which while who why "
-    "will with without would you your "
-    "aber alle als am an auch auf aus bei beim bis da dabei dadurch damit danach das dass dem den der des die dies diese "
-    "diesem dieser dieses durch ein eine einem einen einer eines er erst es für gleichzeitig hat haben hinaus ich ihr im "
-    "immer in ist kann kein keine mehr mit nach nicht noch nur ob obwohl oder ohne sein seit sich sie siehe sind so über "
-    "um und unter vom von vor war warum was weil wenn werden wie wir wird worden wurde wurden zu zum zur zwischen"
-).split()
+#: A word of letters is common if it is in this share of the texts of a language, and in at least so many of them.
+COMMON_SHARE, COMMON_TEXTS = 0.1, 5
+#: Vote patterns up to which EM runs on the driver.
+PATTERNS = 1 << 18
 
 #: Characters that a wrong decoding leaves behind: signs that no word contains (fixed values).
 BROKEN = r"[\x{80}-\x{9f}\x{a2}-\x{b4}\x{b6}-\x{bf}\x{c2}\x{c3}\x{e2}\x{20ac}\x{2122}\x{fffd}]"
@@ -50,16 +45,38 @@ def _share(n: Column, of: Column) -> Column:
     return F.when(of > 0, F.round(n / of, 6)).otherwise(F.lit(0.0))
 
 
-def statistics(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def _bare(w: Column) -> Column:
+    """A word in lower case without what isn't a letter or digit at its ends."""
+    return F.lower(F.regexp_replace(w, r"^[^\pL\pN]+|[^\pL\pN]+\z", ""))
+
+
+def common_words(documents: DataFrame) -> list[str]:
+    """Words of letters that stand in at least COMMON_SHARE of the texts of a language, and in COMMON_TEXTS of them.
+
+    Texts without `lang` are a language of their own, blank ones don't count. A text of w different words counts w times,
+    so a language has at most w / COMMON_SHARE common words, w being the mean of its texts: the bound of what the driver
+    gets. Counts are over whole texts of all documents, combined map-side.
+    """
+    lang = F.coalesce("lang", F.lit("")) if "lang" in documents.columns else F.lit("")
+    d = documents.where(presence(F.col("text")).isNotNull()).select(lang.alias("_g"), F.array_distinct(F.transform(F.split("text", f"{SPACE}+"), _bare)).alias("_w"))
+    texts = F.lit("")  # counts the text itself: no word of letters is empty
+    words = d.select("_g", F.explode(F.array_append(F.filter("_w", lambda w: w.rlike(r"^\pL+\z")), texts)).alias("w"))
+    counts = stage(words.groupBy("_g", "w").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= COMMON_TEXTS), "words")
+    sizes = counts.where("w = ''").select("_g", F.col("k").alias("n"))
+    return sorted(r["w"] for r in counts.where("w <> ''").join(sizes, "_g").where(F.col("k") >= F.lit(COMMON_SHARE) * F.col("n")).select("w").distinct().collect())
+
+
+def statistics(documents: DataFrame, keep: list[str] | None = None, common: list[str] | None = None) -> DataFrame:
     """Per document with a text that isn't blank: doc_id, the columns ``keep`` and the statistics of its whole text.
 
     n_chars counts code points, words are what white space parts, lines those that aren't blank; all shares are rounded
-    to six digits and 0 where there is nothing to share. Null and blank texts give no row.
+    to six digits and 0 where there is nothing to share. Null and blank texts give no row. ``common`` are the common
+    words, by default those of ``documents``.
     """
+    common = common_words(documents) if common is None else common
     d = documents.where(presence(F.col("text")).isNotNull()).select(*dict.fromkeys(["doc_id", *(keep or [])]), F.col("text").alias("_t"))
     d = d.withColumn("_w", F.filter(F.split("_t", f"{SPACE}+"), lambda w: w != ""))
     d = d.withColumn("_l", F.filter(F.transform(F.split("_t", LINE), lambda x: F.regexp_replace(x, rf"{SPACE}+\z", "")), lambda x: x != ""))
-    bare = lambda w: F.lower(F.regexp_replace(w, r"^[^\pL\pN]+|[^\pL\pN]+\z", ""))
     d = d.withColumn("n_words", F.size("_w").cast("long")).withColumn("n_lines", F.size("_l").cast("long"))
     solid = F.aggregate("_w", F.lit(0).cast("long"), lambda a, w: a + F.length(w))
     lines, words, n, m = F.col("_l"), F.col("_w"), F.col("n_words"), F.col("n_lines")
@@ -71,10 +88,10 @@ def statistics(documents: DataFrame, keep: list[str] | None = None) -> DataFrame
         _share(F.length(F.regexp_replace("_t", rf"[\pL\pN]|{SPACE}", "")), F.col("_s")).alias("symbol_ratio"),
         _share(F.length(F.regexp_replace("_t", r"[^0-9]", "")), F.col("_s")).alias("digit_ratio"),
         _share(_count(lines, lambda x: x.rlike(r"[.!?…][\"'”’)]*\z")), m).alias("lines_ending_in_punctuation"),
-        _share(_count(words, lambda w: bare(w).isin(COMMON)), n).alias("common_words"),
+        _share(_count(words, lambda w: _bare(w).isin(common)), n).alias("common_words"),
         _share(_count(words, lambda w: w.rlike(r"^[(\"'„“]*\pL[\pL’'-]*[.,;:!?)\"'”“]*\z")), n).alias("plain_words"),
         _share(_count(words, lambda w: w.rlike(rf"\pL{BROKEN}|{BROKEN}\pL|^{BROKEN}")), n).alias("broken_words"),
-        _share(_count(words, lambda w: bare(w).rlike(r"^[b-df-hj-np-tv-z]{5,}|[b-df-hj-np-tv-xz]{5}")), n).alias("unspeakable_words"),
+        _share(_count(words, lambda w: _bare(w).rlike(r"^[b-df-hj-np-tv-z]{5,}|[b-df-hj-np-tv-xz]{5}")), n).alias("unspeakable_words"),
         _share(_count(words, lambda w: w.rlike(r"\pL[.!?][\"')]*\z|\)[.!?]\z")), n).alias("sentence_ends"),
         _share(F.size(F.array_distinct(words)), n).alias("distinct_words"),
         _share(_count(words, lambda w: w.rlike(r"[,;]\z")), n).alias("comma_words"),
@@ -127,6 +144,28 @@ def _reach() -> dict[tuple[int, int], np.ndarray]:
     return {(j, i): np.array([t in types for t in TYPES]) for j, (_, cs) in enumerate(FUNCTIONS) for i, (_, types) in enumerate(cs, 1)}
 
 
+def _start() -> tuple[np.ndarray, np.ndarray]:
+    return np.full(len(FUNCTIONS), 0.8), np.full(len(TYPES), 1 / len(TYPES))
+
+
+def _sums(v: np.ndarray, n: np.ndarray, acc: np.ndarray, prior: np.ndarray, reach) -> np.ndarray:
+    """What a round needs of (votes, number of documents): documents of each type, and of each function the votes that
+    hold the true type and all votes."""
+    post = _posterior(v, acc, prior, reach)
+    right, cast = np.zeros(len(acc)), np.zeros(len(acc))
+    for (j, i), types in reach.items():
+        at = v[:, j] == i
+        right[j] += n[at] @ post[at][:, types].sum(axis=1)
+        cast[j] += n[at].sum()
+    return np.concatenate([n @ post, right, cast])
+
+
+def _update(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    k, m = len(TYPES), len(FUNCTIONS)
+    of_type, right, cast = sums[:k], sums[k : k + m], sums[k + m :]
+    return np.clip((right + 8) / (cast + 10), 0.55, 0.999), (of_type + 1) / (of_type.sum() + k)
+
+
 def learn(patterns: list[tuple[list[int], int]], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(accuracies, prior) by expectation-maximization on (votes, number of documents) patterns.
 
@@ -134,21 +173,31 @@ def learn(patterns: list[tuple[list[int], int]], rounds: int = ROUNDS) -> tuple[
     proportion to the size of the set. Accuracies start at 0.8, are smoothed and kept between 0.55 and 0.999: functions
     are better than chance, which also settles which type is which.
     """
-    reach, k = _reach(), len(TYPES)
-    acc, prior = np.full(len(FUNCTIONS), 0.8), np.full(k, 1 / k)
+    acc, prior = _start()
     if not patterns:
         return acc, prior
-    v = np.array([p for p, _ in patterns])
-    n = np.array([c for _, c in patterns], float)
+    reach, v, n = _reach(), np.array([p for p, _ in patterns]), np.array([c for _, c in patterns], float)
     for _ in range(rounds):
-        post = _posterior(v, acc, prior, reach)
-        prior = (n @ post + 1) / (n.sum() + k)
-        right, cast = np.full(len(acc), 8.0), np.full(len(acc), 10.0)
-        for (j, i), types in reach.items():
-            at = v[:, j] == i
-            right[j] += n[at] @ post[at][:, types].sum(axis=1)
-            cast[j] += n[at].sum()
-        acc = np.clip(right / cast, 0.55, 0.999)
+        acc, prior = _update(_sums(v, n, acc, prior, reach))
+    return acc, prior
+
+
+def learn_spread(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """`learn` on a table of (votes, n): each round adds up partial sums of the table's parts, one row for each."""
+    acc, prior = _start()
+    names = [f"s{i}" for i in range(len(TYPES) + 2 * len(FUNCTIONS))]
+    for _ in range(rounds):
+
+        def part(batches, acc=acc, prior=prior):
+            total, reach = np.zeros(len(names)), _reach()
+            for b in batches:
+                if b.num_rows:
+                    v = b.column("votes").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(FUNCTIONS))
+                    total += _sums(v, b.column("n").to_numpy().astype(float), acc, prior, reach)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=names)
+
+        sums = patterns.mapInArrow(part, ", ".join(f"{x} double" for x in names)).agg(*[F.sum(x) for x in names]).first()
+        acc, prior = _update(np.array([x or 0.0 for x in sums]))
     return acc, prior
 
 
@@ -164,10 +213,13 @@ def _posterior(v, acc, prior, reach) -> np.ndarray:
     return score / score.sum(axis=1, keepdims=True)
 
 
-def _fit(voted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    # Distinct vote patterns: their number depends on the functions, not on the documents.
-    rows = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
-    return learn(sorted((list(r["votes"]), r["n"]) for r in rows))
+def _fit(voted: DataFrame, most: int = PATTERNS) -> tuple[np.ndarray, np.ndarray]:
+    """The model of all vote patterns: on the driver if there are at most ``most``, whose number depends on the functions
+    and not on the documents, else in rounds over their table."""
+    patterns = stage(voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    if patterns.count() > most:
+        return learn_spread(patterns)
+    return learn(sorted((list(r["votes"]), r["n"]) for r in patterns.collect()))
 
 
 def _scored(voted: DataFrame, acc: np.ndarray, prior: np.ndarray) -> DataFrame:
@@ -205,6 +257,20 @@ def not_prose(documents: DataFrame) -> DataFrame:
     return typed(documents.where(F.col("dataset") == "context")).where("p_prose < 0.5").select("doc_id")
 
 
+def halves(documents: DataFrame) -> DataFrame:
+    """(half, type, other_type, n): the context documents of each half (by hash of doc_id), by their type under the model
+    learned on that half and under the one learned on the other, which never saw them."""
+    voted = stage(_voted(documents.where(F.col("dataset") == "context")).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")), "voted")
+    models = [_fit(voted.where(F.col("half") == h)) for h in (0, 1)]
+    out = None
+    for h in (0, 1):
+        mine = voted.where(F.col("half") == h).select("doc_id", "votes")
+        own, other = (_scored(mine, *models[m]).select("doc_id", F.col("type").alias(name)) for m, name in ((h, "type"), (1 - h, "other_type")))
+        g = own.join(other, "doc_id").groupBy("type", "other_type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(h).alias("half"), "type", "other_type", "n")
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
 def function_accuracies(documents: DataFrame) -> DataFrame:
     """(function, accuracy, n_votes): what was learned of each labelling function, over all of dataset `context`."""
     voted = _voted(documents.where(F.col("dataset") == "context"))
@@ -234,7 +300,7 @@ def _sql_match(pattern: str) -> str:
 _BARE = r"lower(regexp_replace(x, '^[^\pL\pN]+|[^\pL\pN]+\z', '', 'g'))"
 _SHARES = {
     "lines_ending_in_punctuation": _sql_share(_sql_count("l", _sql_match(r"[.!?…][\"'”’)]*\z")), "m"),
-    "common_words": _sql_share(_sql_count("w", f"{_BARE} IN ({', '.join(repr(c) for c in COMMON)})"), "n"),
+    "common_words": _sql_share(_sql_count("w", f"list_contains(cw, {_BARE})"), "n"),
     "plain_words": _sql_share(_sql_count("w", _sql_match(r"^[(\"'„“]*\pL[\pL’'-]*[.,;:!?)\"'”“]*\z")), "n"),
     "broken_words": _sql_share(_sql_count("w", _sql_match(rf"\pL{BROKEN}|{BROKEN}\pL|^{BROKEN}")), "n"),
     "unspeakable_words": _sql_share(_sql_count("w", f"regexp_matches({_BARE}, '^[b-df-hj-np-tv-z]{{5,}}|[b-df-hj-np-tv-xz]{{5}}')"), "n"),
@@ -251,7 +317,11 @@ ORACLE = {
     "p9_statistics": f"""WITH a AS (SELECT doc_id, text AS t, list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda x: x <> '') AS w,
         list_filter(list_transform(regexp_split_to_array(text, '{LINE}'), lambda x: regexp_replace(x, '{SPACE}+\\z', '')), lambda x: x <> '') AS l
         FROM documents WHERE dataset = 'context' AND {sql_presence('text')} IS NOT NULL),
-      b AS (SELECT *, len(w) AS n, len(l) AS m, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS s FROM a)
+      f AS (SELECT coalesce(lang, '') AS g, unnest(list_append(list_filter(list_distinct(list_transform(regexp_split_to_array(text, '{SPACE}+'), lambda x: {_BARE})), lambda x: regexp_matches(x, '^{chr(92)}pL+{chr(92)}z')), '')) AS x
+        FROM documents WHERE dataset = 'context' AND {sql_presence('text')} IS NOT NULL),
+      k AS (SELECT g, x, count(*) AS k FROM f GROUP BY 1, 2 HAVING count(*) >= {COMMON_TEXTS}),
+      o AS (SELECT coalesce(list(DISTINCT a.x), []) AS cw FROM k a JOIN k b ON a.g = b.g AND b.x = '' AND a.x <> '' AND a.k >= {COMMON_SHARE}::DOUBLE * b.k),
+      b AS (SELECT *, len(w) AS n, len(l) AS m, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS s FROM a, o)
       SELECT doc_id, length(t) AS n_chars, n AS n_words, m AS n_lines, {_sql_share('s', 'n')} AS mean_word_length,
         {_sql_share(f"length(regexp_replace(t, '[{chr(92)}pL{chr(92)}pN]|{SPACE}', '', 'g'))", 's')} AS symbol_ratio, {_sql_share("length(regexp_replace(t, '[^0-9]', '', 'g'))", 's')} AS digit_ratio,
         {', '.join(f'{v} AS {k}' for k, v in _SHARES.items())} FROM b""",
@@ -261,4 +331,5 @@ QUERIES = {
     "p9_statistics": _context(lambda d: statistics(d.where(F.col("dataset") == "context"))),
     "p9_types": _context(lambda d: typed(d.where(F.col("dataset") == "context")).drop("votes")),
     "p9_functions": _context(function_accuracies),
+    "p9_halves": _context(halves),
 }

@@ -284,8 +284,13 @@ def test_types(spark):
         9: "T€he loÃck waÂs ta™ken befo€re th¿e bufÃfer h�ad be™en frÃeed b€y the te¿st.", 10: PROSE * 2000,
     }
     rows = [(i, "context", None, None, t, "s", "clash") for i, t in texts.items()] + [(100 + i, "context", None, None, f"{PROSE} {i}", "s", "") for i in range(60)]
+    german = "Die Sperre wurde erst nach dem Puffer freigegeben, weil die Länge noch nicht belegt war und der Leser wartet."
+    rows += [(200 + i, "context", None, None, f"{german} {i}", "s", "") for i in range(30)]
     rows += [(300 + i, "context", None, None, f"k{i}: 1\nv_{i}: no\nx{i}: 0x1\n", "s", "") for i in range(20)] + [(999, "primevul", None, None, "{};", "s", "")]
-    df = spark.createDataFrame(rows, DOCS)
+    df = spark.createDataFrame(rows, DOCS).withColumn("lang", F.when(F.col("doc_id").between(200, 299) | (F.col("doc_id") == 8), "de").when(F.col("doc_id") % 5 > 0, "en"))
+    words = quality.common_words(df)
+    assert {"the", "was", "der", "wurde", "nicht"} <= set(words) and "qwrtp" not in words and "" not in words
+    assert quality.common_words(df.drop("lang")) and quality.common_words(df.limit(0)) == []
     found = {r["doc_id"] for r in quality.not_prose(df).collect()}
     assert {x for x in found if x < 100} == {2, 3, 6, 9} and {x for x in found if x >= 100} == set(range(300, 320))
     t = {r["doc_id"]: r for r in quality.typed(df.where("dataset = 'context'")).collect()}
@@ -306,4 +311,17 @@ def test_em_learns_accuracies():
             v[j] = 1 if (r.random() < acc) == prose else 2
         patterns[tuple(v)] = patterns.get(tuple(v), 0) + 1
     acc, prior = quality.learn([(list(k), n) for k, n in patterns.items()])
+    assert len(patterns) > 4
     assert abs(acc[0] - 0.95) < 0.04 and abs(acc[1] - 0.9) < 0.04 and abs(acc[2] - 0.7) < 0.05 and abs(prior[0] - 0.7) < 0.05
+
+
+def test_em_in_parts(spark):
+    """Rounds over a table give what the driver learns, and a model learned on one half types the other as its own does."""
+    rows = [(i, "context", None, None, [f"{PROSE} {i}", f"- a{i}\n- b\n- c\n- d", f"a|b|{i}\n1|2|3\n4|5|6\n7|8|9"][i % 3], "s", "") for i in range(120)]
+    df = spark.createDataFrame(rows, DOCS)
+    voted = quality._voted(df)
+    (a, p), (b, q) = quality._fit(voted), quality._fit(voted, most=0)
+    assert abs(a - b).max() < 1e-9 and abs(p - q).max() < 1e-9
+    cells = quality.halves(df).collect()
+    same = sum(r["n"] for r in cells if r["type"] == r["other_type"])
+    assert sum(r["n"] for r in cells) == 120 and same >= 118 and {r["half"] for r in cells} == {0, 1}
