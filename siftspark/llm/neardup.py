@@ -55,18 +55,13 @@ def vector_rows(order, total: int, t: Fraction):
             values, offsets = ts.flat(b.column("tokens"))
             n = np.diff(offsets).astype(np.int32)
             vectors = bit_vectors(values, offsets)
-            key, row = ts.block_keys(values, offsets, order.value, t, total)
-            rest = b.drop_columns(["cid", "tokens"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(key),
-                    b.column("cid").take(pa.array(row)),
-                    pa.array(n[row]),
-                    *[pa.array(vectors[row, w]) for w in range(WORDS)],
-                    *rest.columns,
-                ],
-                names=["key", "cid", "n", *VECTOR, *rest.schema.names],
-            )
+            rest = b.drop_columns(["cid", "tokens"])
+            for key, row in ts.block_keys(values, offsets, order.value, t, total):
+                of = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), b.column("cid").take(of), pa.array(n[row]), *[pa.array(vectors[row, w]) for w in range(WORDS)], *rest.take(of).columns],
+                    names=["key", "cid", "n", *VECTOR, *rest.schema.names],
+                )
 
     return run
 
@@ -242,7 +237,7 @@ def _link(t: Fraction):
 
 def _units(c: ts.Classes, t: Fraction) -> DataFrame:
     spark, total = c.sets.sparkSession, c.sets.count()
-    order = ts.share(spark, ts.order_table(c.sets, "tokens"))
+    order = ts.share(spark, ts.order_table(c.sets, "tokens", total))
     rows = c.sets.select("cid", "tokens").mapInArrow(vector_rows(order, total, t), UNIT_SQL)
     return tiled(rows, "key", "cid", F.lit(True), [], strata=strata_of(total))
 

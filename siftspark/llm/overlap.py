@@ -179,15 +179,18 @@ def _chunked(t: Fraction, level: Level):
     return run
 
 
-def _low(packed: np.ndarray) -> np.ndarray:
-    """The counter of a packed chunk."""
-    return (packed >> np.int64(12)) & ts.MASK
+def _digest(packed: np.ndarray) -> np.ndarray:
+    """A packed chunk without its length, in the low bits."""
+    return packed >> np.int64(12)
 
 
-def _slots(batches):
-    for b in batches:
-        values, _ = ts.flat(b.column("chunks"))
-        yield pa.RecordBatch.from_arrays([pa.array(_low(values).astype(np.int32))], names=["slot"])
+def _slots(bits: int):
+    def run(batches):
+        for b in batches:
+            values, _ = ts.flat(b.column("chunks"))
+            yield pa.RecordBatch.from_arrays([pa.array((_digest(values) & ((1 << bits) - 1)).astype(np.int32))], names=["slot"])
+
+    return run
 
 
 def _joined_chunks(order, level: Level):
@@ -201,7 +204,7 @@ def _joined_chunks(order, level: Level):
             values, offsets = ts.flat(b.column("chunks"))
             take = b.column("most").to_numpy() + 1 if level.proved else np.diff(offsets)
             row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
-            count = order.value[_low(values)]
+            count = order.value.of(_digest(values))
             by = np.lexsort((values, count, row))
             place = np.arange(len(by)) - np.repeat(offsets[:-1], np.diff(offsets))
             long = (values[by] & LENGTH) >= (1 if level.proved else level.mean)
@@ -282,7 +285,8 @@ def _level_links(sets: DataFrame, t: Fraction, level: Level) -> DataFrame:
     """(cid, partner) of evaluation classes among ``sets`` for which the level finds a training class with Jaccard >= t."""
     spark = sets.sparkSession
     chunked = stage(sets.select("cid", "tokens", "train", "eval").mapInArrow(_chunked(t, level), CHUNKED_SQL), "chunks")
-    order = ts.share(spark, ts.counters(chunked.select("chunks").mapInArrow(_slots, "slot int")))
+    bits = ts.bits_for(chunked.count())
+    order = ts.share(spark, ts.counters(chunked.select("chunks").mapInArrow(_slots(bits), "slot int"), bits))
     keys = chunked.select("cid", "fine", "train", "eval", "most", "chunks").mapInArrow(_joined_chunks(order, level), "key long, cid long, fine boolean, train boolean, eval boolean")
     units = tiled(keys, "key", "cid", F.col("_l") & F.col("_r"), [F.max("train").alias("_l"), F.max("eval").alias("_r")], ordered=False)
     held = units.join(chunked.select("cid", "fine", "most", "least", "n", "chunks"), ["cid", "fine"])

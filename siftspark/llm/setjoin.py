@@ -195,7 +195,7 @@ def _join(t: Fraction):
 
 def _units(c: ts.Classes, t: Fraction) -> DataFrame:
     spark, total = c.sets.sparkSession, c.sets.count()
-    order = ts.share(spark, ts.order_table(c.sets, "tokens"))
+    order = ts.share(spark, ts.order_table(c.sets, "tokens", total))
     rows = c.sets.select("cid", "tokens", "left", "right").mapInArrow(vector_rows(order, total, t), f"{UNIT_SQL}, left boolean, right boolean")
     useful = F.col("_l") & F.col("_r")
     return tiled(rows, "key", "cid", useful, [F.max("left").alias("_l"), F.max("right").alias("_r")], strata=strata_of(total))

@@ -22,12 +22,18 @@ from siftspark.runtime import stage, table
 
 #: Documents with fewer distinct tokens take no part in similarity.
 LEAST_TOKENS = 20
-#: Counters of the token order's frequency table: 2**20 four-byte counters, whatever the corpus size.
-COUNTERS_BITS = 20
-#: A block that is expected to hold more rows than this is keyed by one more token; at most CHAIN tokens make a key.
+#: Bits of the numbers of the token order's counters: as many as the corpus asks for, within these bounds. A counter takes
+#: a byte, so the table is 64 MB at most.
+LEAST_BITS, MOST_BITS = 20, 26
+#: A block that is expected to hold more rows than this is keyed by one more token, as far as CHAINS allow.
 BLOCK = 1024
-CHAIN = 3
-MASK = (1 << COUNTERS_BITS) - 1
+#: Tokens of a key at most, by the size of the larger set of a pair. A set of n tokens has p = n - ceil(t n) + 1 first ones,
+#: so it makes at most C(p + 2, 3), C(p + 1, 2) or p keys, near a bound those of both sides: 11,500 at t = 0.7, less at larger t.
+CHAINS = ((128, 3), (400, 2), (1 << 40, 1))
+#: Keys that are made at a time.
+KEYS = 1 << 20
+#: Rows of counters that come to the driver as one value.
+STRIPE = 14
 
 
 def decode(blob: bytes | None) -> np.ndarray | None:
@@ -105,22 +111,68 @@ def classes(docs: DataFrame, flags: dict[str, Column] | None = None) -> Classes:
     return Classes(docs, members, stage(sets, "sets"))
 
 
-def counters(slots: DataFrame) -> np.ndarray:
-    """Occurrences of each `slot`: 2**20 counters, a fixed 4 MB."""
-    counts = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).toArrow()
-    out = np.zeros(MASK + 1, dtype=np.uint32)
-    out[counts.column("slot").to_numpy()] = np.minimum(counts.column("n").to_numpy(), 2**32 - 1)
-    return out
+@dataclass
+class Order:
+    """How often values occur, by their low bits: a byte for each counter, eight steps for each power of two, rounded up.
+
+    Counters are never too low, and exact for 0 and 1. Different values may share one; then either seems as frequent as
+    both, which costs time but no result: any order that all sets share will do.
+    """
+
+    codes: np.ndarray
+
+    @property
+    def mask(self) -> int:
+        return len(self.codes) - 1
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        return _COUNTS[self.codes[values & self.mask]]
+
+
+_COUNTS = np.concatenate([[0.0], 2.0 ** (np.arange(255) / 8)])
+
 
+def codes(counts: np.ndarray) -> np.ndarray:
+    """The byte of each count."""
+    c = np.asarray(counts, float)
+    return np.where(c > 0, np.minimum(1 + np.ceil(np.log2(np.maximum(c, 1)) * 8 - 1e-9), 255), 0).astype(np.uint8)
 
-def order_table(items: DataFrame, column: str) -> np.ndarray:
-    """Occurrences of all array elements of ``column`` by their low bits."""
-    low = F.explode(F.transform(column, lambda t: t.bitwiseAND(F.lit(MASK).cast("long")).cast("int")))
-    return counters(items.select(low.alias("slot")))
 
+def bits_for(sets: int) -> int:
+    """Bits of the counters' numbers for so many sets."""
+    return min(MOST_BITS, max(LEAST_BITS, (8 * sets).bit_length()))
 
-def share(spark: SparkSession, order: np.ndarray):
-    """A broadcast of the order table; its size is fixed."""
+
+def counters(slots: DataFrame, bits: int) -> Order:
+    """The order of (slot) rows: counts are combined map-side and come to the driver as stripes of bytes."""
+    counts = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).withColumn("stripe", F.shiftright("slot", STRIPE))
+    width = 1 << STRIPE
+
+    def striped(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            slot, c = b.column("slot").to_numpy(), codes(b.column("n").to_numpy())
+            for k in np.unique(slot >> STRIPE):
+                at = slot >> STRIPE == k
+                held.setdefault(int(k), np.zeros(width, np.uint8))[slot[at] & (width - 1)] = c[at]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["stripe", "bytes"])
+
+    out = np.zeros(1 << bits, np.uint8)
+    # At most 2 ** MOST_BITS bytes.
+    for r in counts.repartition("stripe").select("slot", "n").mapInArrow(striped, "stripe int, bytes binary").collect():
+        out[r["stripe"] << STRIPE : (r["stripe"] + 1) << STRIPE] |= np.frombuffer(r["bytes"], np.uint8)
+    return Order(out)
+
+
+def order_table(items: DataFrame, column: str, sets: int) -> Order:
+    """Occurrences of all array elements of ``column``, of ``sets`` rows."""
+    bits = bits_for(sets)
+    low = F.explode(F.transform(column, lambda t: t.bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")))
+    return counters(items.select(low.alias("slot")), bits)
+
+
+def share(spark: SparkSession, order: Order):
+    """A broadcast of the order; its size is bounded by MOST_BITS."""
     return spark.sparkContext.broadcast(order)
 
 
@@ -135,50 +187,73 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def first_of_each(values: np.ndarray, offsets: np.ndarray, order: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values sorted in the global order within each row, and the mask of the first ``take`` of each."""
-    sizes = np.diff(offsets)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    by = np.lexsort((values, order[values & MASK], row))
-    place = np.arange(len(values)) - np.repeat(offsets[:-1], sizes)
-    return values[by], place < np.repeat(take, sizes)
+def _depths(n: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the most tokens of a key that partners of sets of n tokens allow: those of n and of n / t tokens."""
+    ends, depth = (np.array(x) for x in zip(*CHAINS, strict=True))
+    return depth[np.searchsorted(ends, n * t.denominator // t.numerator)], depth[np.searchsorted(ends, n)]
 
 
-def block_keys(values: np.ndarray, offsets: np.ndarray, order: np.ndarray, t: Fraction, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of the blocks that each row of token sets belongs to.
+def block_keys(values: np.ndarray, offsets: np.ndarray, order: Order, t: Fraction, total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, row) of the blocks that each row of token sets belongs to, some rows at a time.
 
     Sets with Jaccard >= t share ceil(t n) tokens of either, so the k-th of their common tokens in the global order lies
     among the first n - ceil(t n) + k of both. A key is the chain of a pair's first common tokens: of one if the token
     is rare, of two if it is in more than BLOCK sets, of three if both are expected together in more than BLOCK. Whether
-    a chain goes on depends on its tokens only, so both sets of a pair make the key of their common chain. Tokens that
+    a chain goes on depends on its tokens, and on how long a chain the larger set of the pair allows (CHAINS), so both
+    sets of a pair make the key of their common chain; a set near a bound makes the keys of either length. Tokens that
     are in one set only make no key; their counters, which are never too low, show it.
     """
     sizes = np.diff(offsets)
-    take = prefix_lengths(sizes, t)
-    by, _ = first_of_each(values, offsets, order, take)
-    count = order[by & MASK].astype(np.float64)
-    start = np.repeat(offsets[:-1], np.minimum(take, sizes))
-    at = start + _within(np.minimum(take, sizes))
-    row = np.repeat(np.arange(len(sizes)), np.minimum(take, sizes))
+    if not len(sizes):
+        return
+    take = np.minimum(prefix_lengths(sizes, t), sizes)
+    row_of = np.repeat(np.arange(len(sizes)), sizes)
+    by = np.lexsort((values, order.of(values), row_of))
+    ranked, count = values[by].view(np.uint64), order.of(values[by])
+    low, high = _depths(sizes, t)
+    # The most keys a row may make; rows are taken together up to KEYS.
+    frequent = np.bincount(row_of, weights=(count > BLOCK) & (np.arange(len(by)) - np.repeat(offsets[:-1], sizes) < np.repeat(take, sizes)), minlength=len(sizes))
+    most = take + np.where(high > 1, (frequent + 1) * (take + 2) / 2, 0) * np.where(high > 2, (take + 3) / 3, 1)
+    edge = np.append(0, np.cumsum(most))
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(edge, edge[at] + KEYS, side="right")) - 1)
+        rows = np.arange(at, end)
+        parts = [_chains(rows[high[rows] == d], ranked, count, offsets, take, d, total) for _, d in CHAINS]
+        parts += [_chains(rows[(low[rows] == d) & (high[rows] != d)], ranked, count, offsets, take, d, total) for _, d in CHAINS]
+        key, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # Keys of rare tokens come with either length.
+        first = np.lexsort((key, row))
+        key, row = key[first], row[first]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+        yield key[new].view(np.int64), row[new]
+        at = end
+
+
+def _chains(rows: np.ndarray, ranked: np.ndarray, count: np.ndarray, offsets: np.ndarray, take: np.ndarray, depth: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of the chains of up to ``depth`` tokens of some rows."""
+    at = np.repeat(offsets[rows], take[rows]) + _within(take[rows])
+    row = np.repeat(rows, take[rows])
     keep = count[at] > 1
     at, row = at[keep], row[keep]
-    key, expected = by[at].view(np.uint64), count[at]
-    keys, rows = [], []
-    for k in range(1, CHAIN + 1):
-        ends = (expected <= BLOCK) if k < CHAIN else np.ones(len(at), bool)
+    key, expected = ranked[at], count[at]
+    keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for k in range(1, depth + 1):
+        ends = (expected <= BLOCK) if k < depth else np.ones(len(at), bool)
         keys.append(key[ends])
-        rows.append(row[ends])
+        of.append(row[ends])
         at, row, key, expected = (x[~ends] for x in (at, row, key, expected))
         if not len(at):
             break
         # The next token of the chain: any later one among the first n - ceil(t n) + k + 1.
-        more = np.maximum(np.minimum(take[row] + k, sizes[row]) - (at - offsets[row]) - 1, 0)
+        more = np.maximum(np.minimum(take[row] + k, offsets[row + 1] - offsets[row]) - (at - offsets[row]) - 1, 0)
         prev = np.repeat(np.arange(len(at)), more)
         nxt = at[prev] + 1 + _within(more)
         at, row = nxt, row[prev]
-        key = (key[prev] ^ (key[prev] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + by[at].view(np.uint64)
+        key = (key[prev] ^ (key[prev] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ranked[at]
         expected = expected[prev] * count[at] / max(total, 1)
-    return np.concatenate(keys).view(np.int64), np.concatenate(rows)
+    return np.concatenate(keys), np.concatenate(of)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -45,19 +45,47 @@ def arrays(sets):
     return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
 
 
+def order_of(values):
+    return ts.Order(ts.codes(np.bincount(values & ((1 << ts.LEAST_BITS) - 1), minlength=1 << ts.LEAST_BITS)))
+
+
+@pytest.mark.parametrize("chains", [ts.CHAINS, ((30, 3), (38, 2), (1 << 40, 1)), ((1 << 40, 1),)])
 @pytest.mark.parametrize("limit", [0, 2, 10, 10**6])
 @pytest.mark.parametrize("t", [Fraction(7, 10), Fraction(4, 5)])
-def test_similar_sets_share_a_block(monkeypatch, limit, t):
+def test_similar_sets_share_a_block(monkeypatch, limit, t, chains):
     monkeypatch.setattr(ts, "BLOCK", limit)
+    monkeypatch.setattr(ts, "CHAINS", chains)
+    monkeypatch.setattr(ts, "KEYS", 500)
     sets = [s for s in families(3, 150) if len(s) >= 20]
     values, offsets = arrays(sets)
-    order = np.bincount(values & ts.MASK, minlength=ts.MASK + 1)
-    key, row = ts.block_keys(values, offsets, order, t, len(sets))
+    parts = list(ts.block_keys(values, offsets, order_of(values), t, len(sets)))
+    key, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+    assert len(parts) > 1 and len(set(zip(key.tolist(), row.tolist(), strict=True))) == len(key)
     keys = [set(key[row == i].tolist()) for i in range(len(sets))]
     for i, j in brute(sets, t):
         assert keys[i] & keys[j] or sets[i] == sets[j]
 
 
+def test_keys_are_bounded():
+    """Sets of nothing but frequent tokens, of any size, make no more keys than is said."""
+    r, t = np.random.default_rng(1), Fraction(7, 10)
+    for n, most in ((60, 1_600), (128, 11_500), (129, 7_600), (400, 7_600), (659, 7_600), (4_000, 1_300)):
+        values = np.sort(r.integers(0, 2**62, n))
+        order = ts.Order(np.full(1 << ts.LEAST_BITS, ts.codes(np.array([200_000]))[0]))
+        keys = sum(len(k) for k, _ in ts.block_keys(values, np.array([0, n]), order, t, 10**6))
+        assert 0 < keys <= most
+
+
+def test_counters(spark):
+    counts = np.array([0, 1, 2, 3, 9, 1000, 10**6, 10**9])
+    got = ts._COUNTS[ts.codes(counts)]
+    assert (got >= counts - 1e-6).all() and (got <= counts * 1.1).all() and got[:2].tolist() == [0, 1]
+    slots = [5] * 7 + [1 << 19] + [(1 << 20) - 1] * 2
+    order = ts.counters(spark.createDataFrame([(x,) for x in slots], "slot int"), 20)
+    assert [round(x) for x in order.of(np.array([5, 1 << 19, (1 << 20) - 1, 6, (1 << 20) + 5]))] == [7, 1, 2, 0, 7] and len(order.codes) == 1 << 20
+    assert ts.bits_for(10) == 20 and ts.bits_for(10**6) == 23 and ts.bits_for(10**12) == 26
+
+
 @pytest.mark.parametrize("window", [1, 2, 3])
 def test_similar_sets_share_what_is_proved(window):
     """Of every similar pair: a rarest chunk in common, as many chunks and as much length as the bound says."""
@@ -65,8 +93,7 @@ def test_similar_sets_share_what_is_proved(window):
     sets = [s for s in families(5, 250) if len(s) >= 20]
     values, offsets = arrays(sets)
     c = overlap.set_chunks(values, offsets, t, level)
-    low = overlap._low(c.packed)
-    count = np.bincount(low, minlength=ts.MASK + 1)[low]
+    count = order_of(overlap._digest(c.packed)).of(overlap._digest(c.packed))
     by = np.lexsort((c.packed, count, c.row))
     own = [c.packed[by][c.row[by] == r] for r in range(len(c.most))]
     rare = [set(x[: m + 1].tolist()) for x, m in zip(own, c.most.tolist(), strict=True)]
