@@ -103,6 +103,25 @@ def running(
     )
 
 
+#: A key is hot if it has at least this part of all rows, so there are no more hot keys than its denominator.
+HOT = 1000
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which has at most one row for each key, without a task for a hot key.
+
+    ``sizes``: (key, _k), the rows of ``big`` for each key, or for those that matter. Rows of keys with at least one in HOT
+    of all rows meet their rows of ``small`` as a broadcast, which HOT bounds; the others are shuffled. ``how`` is inner or
+    left. Null keys find nothing.
+    """
+    total = sizes.agg(F.sum("_k")).first()[0] or 0
+    hot = sizes.where(F.col(key).isNotNull() & (F.col("_k") * HOT >= F.lit(total))).select(F.col(key).alias("_key"))
+    few = F.broadcast(small.join(F.broadcast(hot), F.col(key) == F.col("_key")).drop("_key"))
+    marked = big.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left")
+    ours, theirs = marked.where("_key is not null").drop("_key"), marked.where("_key is null").drop("_key")
+    return ours.join(few, key, how).unionByName(theirs.join(small, key, how))
+
+
 #: Slots that the order of a group is cut into.
 GRAINS = 1024
 

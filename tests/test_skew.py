@@ -2,7 +2,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from siftspark.operators import heavy
-from siftspark.operators.skew import keyed_states, running
+from siftspark.operators.skew import join_hot, keyed_states, running
 
 ROWS = [("hot", i, i % 7) for i in range(300)] + [("b", 1, None), (None, 5, 2), (None, 5, 2), ("", 0, 1), ("c", None, 4)]
 
@@ -45,3 +45,17 @@ def test_heavy_projects(spark, folder):
         n = t.project.dropna().str.strip().value_counts()
         want = set(n[(n * 100 >= 2 * len(t))].index) - {""}
         assert {r["project"] for r in got.where(F.col("table_name") == name).collect()} == want
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from siftspark.operators import skew
+
+    big = spark.createDataFrame([("a", i) for i in range(60)] + [("b", 1), ("c", 2), (None, 3), ("none", 4)], "k string, x int")
+    small = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C"), ("unused", "U")], "k string, v string")
+    sizes = big.groupBy("k").agg(F.count(F.lit(1)).alias("_k"))
+    for parts in (1, 2, 1000):
+        monkeypatch.setattr(skew, "HOT", parts)
+        for how in ("inner", "left"):
+            got, want = join_hot(big, small, "k", sizes, how), big.join(small, "k", how)
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert join_hot(big.limit(0), small, "k", sizes.limit(0)).count() == 0
