@@ -259,10 +259,10 @@ def near_duplicates(documents: DataFrame, t: Fraction = SIMILAR) -> DataFrame:
     c = ts.classes(stage(ts.token_sets(documents), "tokens"))
     links = stage(similar_links(c, t), "links")
     roots = components(links)  # (node, root): classes that are linked
-    placed = c.members.select("doc_id", "cid").distinct().join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    placed = placed.select("doc_id", F.coalesce("root", "cid").alias("group_doc_id"))
-    big = placed.groupBy("group_doc_id").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("group_doc_id")
-    return placed.join(big, "group_doc_id", "left_semi").select("doc_id", "group_doc_id")
+    # A class is in a group of two or more if it is linked or has two documents.
+    of = c.sizes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").where("root is not null or _k > 1")
+    groups = stage(of.select("cid", F.coalesce("root", "cid").alias("group_doc_id")), "groups")
+    return c.of_members(groups, c.members.select("doc_id", "cid"), "inner").select("doc_id", "group_doc_id").distinct()
 
 
 def tile_figures(documents: DataFrame, t: Fraction = SIMILAR) -> DataFrame:

@@ -33,6 +33,7 @@ from siftspark.functions.text import presence
 from siftspark.llm import tokensets as ts
 from siftspark.llm.blocks import expanded, tiled, whole_blocks
 from siftspark.llm.neardup import sides
+from siftspark.operators.skew import join_hot
 from siftspark.runtime import stage, table
 
 SIMILAR = Fraction(17, 20)
@@ -338,10 +339,11 @@ def links(records: DataFrame, documents: DataFrame, t: Fraction = SIMILAR) -> Da
     docs = _placed_sets(splits, documents)
     c, near = near_train(docs, t)
     near = stage(near, "near")
-    placed = docs.select("doc_id", "dataset", "row_id", "split").join(c.members.select("doc_id", "cid").distinct(), "doc_id")
+    placed = stage(docs.select("doc_id", "dataset", "row_id", "split").join(c.members.select("doc_id", "cid").distinct(), "doc_id"), "placed")
     partners = placed.where("split = 'train'").groupBy(F.col("cid").alias("partner")).agg(first)
     named = F.when(F.col("level") == 0, F.lit("set")).otherwise(F.concat(F.lit("chunks "), F.col("level")))
-    by_doc = placed.where("split <> 'train'").join(near, "cid").join(partners, "partner").select("dataset", "split", "row_id", "_p", named.alias("found_by"))
+    beside = near.join(partners, "partner").select("cid", "level", "_p")
+    by_doc = c.of_members(beside, placed.where("split <> 'train'"), "inner").select("dataset", "split", "row_id", "_p", named.alias("found_by"))
     # The least found_by by rank: key, set, chunks 1, chunks 2.
     rank = F.when(F.col("found_by") == "key", 0).when(F.col("found_by") == "set", 1).otherwise(2)
     both = by_key.unionByName(by_doc).groupBy("dataset", F.col("split").alias("origin_split"), "row_id").agg(F.min(F.struct(rank.alias("rank"), "found_by", "_p")).alias("x"))
@@ -393,9 +395,10 @@ def record_overlap(records: DataFrame, documents: DataFrame) -> DataFrame:
     chunks = documents.select("doc_id", "text").mapInArrow(_text_chunk_batches, "doc_id long, digest binary, length long")
     placed = stage(chunks.join(docs.select("doc_id", "split"), "doc_id"), "chunks")
     seen = placed.where("split = 'train'").select("digest").distinct().withColumn("seen", F.lit(True))
-    # A digest meets one row of `seen`, so a hot digest costs no more than its own rows, and those are combined first.
+    # A digest meets one row of `seen`; rows of a hot one are combined first and aren't shuffled.
     own = placed.where("split <> 'train'").groupBy("digest", "doc_id").agg(F.sum("length").alias("length"))
-    sums = own.join(seen, "digest", "left").groupBy("doc_id").agg(
+    sizes = placed.where("split <> 'train'").groupBy("digest").agg(F.count(F.lit(1)).alias("_k"))
+    sums = join_hot(own, seen, "digest", sizes, "left").groupBy("doc_id").agg(
         F.sum("length").alias("n_bytes"), F.sum(F.when(F.col("seen"), F.col("length")).otherwise(0)).alias("shared_bytes")
     )
     out = docs.where("split <> 'train'").join(sums, "doc_id", "left").na.fill(0, ["n_bytes", "shared_bytes"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions.text import presence, sql_presence
 from siftspark.llm.forest import spanning_forest
-from siftspark.operators.skew import running
+from siftspark.operators.skew import join_hot, running
 from siftspark.runtime import stage, table
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -50,8 +50,8 @@ def bonds(rows: DataFrame) -> DataFrame:
     commit are shuffled, once, and repeated rows are dropped before that.
     """
     pairs = stage(rows.where("grp is not null and commit is not null").select("grp", "commit").distinct(), "pairs")
-    hubs = pairs.groupBy("commit").agg(F.min("grp").alias("a"), F.max("grp").alias("z")).where("a <> z").select("commit", "a")
-    return pairs.join(hubs, "commit").where("grp <> a").groupBy("a", F.col("grp").alias("b")).agg((-F.count(F.lit(1))).alias("w"))
+    hubs = stage(pairs.groupBy("commit").agg(F.min("grp").alias("a"), F.count(F.lit(1)).alias("_k")).where("_k > 1"), "hubs")
+    return join_hot(pairs, hubs.select("commit", "a"), "commit", hubs.select("commit", "_k")).where("grp <> a").groupBy("a", F.col("grp").alias("b")).agg((-F.count(F.lit(1))).alias("w"))
 
 
 def bound_groups(records: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftspark.operators.skew import join_hot
 from siftspark.runtime import stage, table
 
 #: Documents with fewer distinct tokens take no part in similarity.
@@ -90,11 +91,17 @@ def token_sets(documents: DataFrame) -> DataFrame:
 
 @dataclass
 class Classes:
-    """docs: (doc_id, dataset, row_id, set_key); members: (doc_id, cid) for all; sets: (cid, n, tokens, *flags)."""
+    """docs: as given; members: (doc_id, dataset, row_id, cid) for all; sets: (cid, n, tokens, *flags); sizes: (cid, _k),
+    the members of each class."""
 
     docs: DataFrame
     members: DataFrame
     sets: DataFrame
+    sizes: DataFrame
+
+    def of_members(self, small: DataFrame, rows: DataFrame | None = None, how: str = "left") -> DataFrame:
+        """Members, or other ``rows`` with a cid, with what ``small`` has for their class; a class of very many is no task."""
+        return join_hot(self.members if rows is None else rows, small, "cid", self.sizes, how)
 
 
 def classes(docs: DataFrame, flags: dict[str, Column] | None = None) -> Classes:
@@ -104,11 +111,11 @@ def classes(docs: DataFrame, flags: dict[str, Column] | None = None) -> Classes:
     (set_key, doc_id). ``flags``: boolean columns of ``docs`` that hold for a class if they do for a member.
     """
     flags = flags or {}
-    narrow = docs.groupBy("set_key").agg(F.min("doc_id").alias("cid"), *[F.max(c).alias(k) for k, c in flags.items()])
+    narrow = docs.groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("_k"), *[F.max(c).alias(k) for k, c in flags.items()])
     narrow = stage(narrow, "classes")
-    members = docs.select("doc_id", "dataset", "row_id", "set_key").join(narrow.select("set_key", "cid"), "set_key").drop("set_key")
-    sets = docs.select(F.col("doc_id").alias("cid"), "n", "tokens").join(narrow.drop("set_key"), "cid").dropDuplicates(["cid"])
-    return Classes(docs, members, stage(sets, "sets"))
+    members = join_hot(docs.select("doc_id", "dataset", "row_id", "set_key"), narrow.select("set_key", "cid"), "set_key", narrow.select("set_key", "_k")).drop("set_key")
+    sets = docs.select(F.col("doc_id").alias("cid"), "n", "tokens").join(narrow.drop("set_key", "_k"), "cid").dropDuplicates(["cid"])
+    return Classes(docs, members, stage(sets, "sets"), narrow.select("cid", "_k"))
 
 
 @dataclass
