@@ -284,11 +284,10 @@ def _calibration_summary(s, d) -> DataFrame:
 def _neardup_summary(s, d) -> DataFrame:
     """The plain, weighted and fully gated methods on all target records and on those without a near-duplicate in the source."""
     from siftspark.operators.conformal import decisions
-    from siftspark.operators.lsh import _clean
+    from siftspark.operators.lsh import _flagged_targets
 
     e = stage(decisions(stage(rel.scored(s, d), "scored")).where(_primary() & F.col("method").isin(BASELINE, "estimated_weight_no_gate_clip_20", "gated_full_gate_clip_20")), "sets")
-    flagged = rel.documents(s, d).where("dataset = 'diversevul'").select("row_id").join(_clean(s, d).select("row_id"), "row_id", "left_anti")
-    kept = e.join(flagged.where("row_id is not null"), "row_id", "left_anti")
+    kept = e.join(_flagged_targets(s, d).where("row_id is not null").select("row_id"), "row_id", "left_anti")
     both = e.withColumn("cohort", F.lit("all")).unionByName(kept.withColumn("cohort", F.lit("clean")))
     m = mt.with_targets(mt.triage(both, [*mt.KEYS, "cohort"])).groupBy("cohort", *POINT, "target_group").agg(*[F.avg(c).alias(c) for c in OUTCOMES])
     return attained(m, ["cohort", "detector", "method"])
@@ -465,3 +464,22 @@ _ALL_TOO = f"{_MEANS}, j0 AS" + _DISC[_DISC.index(", j AS") + 6 : _DISC.index("
 ORACLE["agg_gate_summary"] = mt.metrics_sql(f"""WITH {_ALL_TOO}, r AS (SELECT *, rank() OVER (PARTITION BY detector ORDER BY load) + (count(*) OVER (PARTITION BY detector, load) - 1) / 2 AS r FROM j)
   SELECT detector, count(*) AS groups, round(avg(severe), 9) AS prevalence, count(*) FILTER (load < 1) AS passed, coalesce(sum(severe) FILTER (load < 1), 0)::BIGINT AS severe_passed,
     round((sum(r) FILTER (severe = 1) - sum(severe) * (sum(severe) + 1) / 2) / nullif(sum(severe) * sum(1 - severe), 0), 9) AS auroc FROM r GROUP BY 1""")
+
+
+def _neardup_sql() -> str:
+    from siftspark.operators.conformal import DECISIONS_SQL
+    from siftspark.operators.lsh import _FLAG, TARGET
+
+    few = f"SELECT * FROM de WHERE {_P} AND method IN ('{BASELINE}', 'estimated_weight_no_gate_clip_20', 'gated_full_gate_clip_20')"
+    names = {"tr AS": "tr2 AS", "vi AS": "vi2 AS", "mx AS": "mx2 AS", "FROM tr)": "FROM tr2)", "FROM vi)": "FROM vi2)"}
+    clean = mt.triage_sql("clean")
+    for old, new in names.items():
+        clean = clean.replace(old, new)
+    return with_sql(_RULES, f"""WITH {DECISIONS_SQL}, {_FLAG}, few AS ({few}), flagged AS (SELECT row_id FROM mem WHERE dataset = '{TARGET}' AND row_id IS NOT NULL AND cid IN (SELECT target FROM f)),
+      clean AS (SELECT * FROM few WHERE row_id NOT IN (SELECT row_id FROM flagged)), {mt.triage_sql('few')}, {clean},
+      both_cohorts AS (SELECT 'all' AS cohort, * FROM mx UNION ALL SELECT 'clean', * FROM mx2),
+      sm AS (SELECT cohort, {_PT}, target_group, {', '.join(f'avg({c}) AS {c}' for c in OUTCOMES)} FROM both_cohorts GROUP BY ALL)
+      SELECT cohort, detector, method, {_AGG} FROM sm GROUP BY 1, 2, 3""")
+
+
+ORACLE["agg_neardup_summary"] = _neardup_sql()

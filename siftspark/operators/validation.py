@@ -128,7 +128,30 @@ def _reopened(s, d) -> DataFrame:
     return n.join(k, "_1").select("n_documents", "n_classes", "n_bands", F.lit(no[0]).alias("damaged_refused"), F.lit(no[1]).alias("other_seed_refused"))
 
 
+MEMORY = "executor string, tasks long, max_memory long, memory_used long, peak_heap long, peak_off_heap long"
+
+
+def executor_memory(spark: SparkSession) -> DataFrame:
+    """Per executor, the driver among them: tasks done, storage memory at most and in use, and the peaks of heap and
+    off-heap memory that its heartbeats told (null before the first). One row for each executor."""
+    held = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    rows = []
+    for i in range(held.size()):
+        e = held.apply(i)
+        peaks = e.peakMemoryMetrics()
+        peak = [peaks.get().getMetricValue(n) if peaks.isDefined() else None for n in ("JVMHeapMemory", "JVMOffHeapMemory")]
+        rows.append((e.id(), e.totalTasks(), e.maxMemory(), e.memoryUsed(), *peak))
+    return spark.createDataFrame(rows, MEMORY)
+
+
+def _monitored(s, d) -> DataFrame:
+    """The memory of the executors after an aggregation over the largest table."""
+    table(s, d, "records").groupBy("project").agg(F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    return executor_memory(s)
+
+
 QUERIES = {
+    "res_rss_monitor": _monitored,
     "val_unique_key": lambda s, d: repeated(table(s, d, "records"), ["row_id"]),
     "val_grid_complete": lambda s, d: incomplete(rel.predictions(s, d), ["detector", "target_group"], "seed", list(SEEDS)),
     "val_bounds": lambda s, d: bounds(table(s, d, "predictions"), ["p_vulnerable"], {"ratio": 0.0}),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspark.functions.text import presence, sql_presence
@@ -23,14 +23,20 @@ def aliases(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "project_aliases").where("alias is not null").groupBy("alias").agg(F.min("project_group").alias("to_group"))
 
 
+def record_split(origin_split: Column, source_file: Column) -> Column:
+    """The split of a record: as stated, in lower case, else the one its file names; null if neither says."""
+    said, file = F.lower(presence(origin_split)), F.lower(presence(source_file))
+    named = F.when(file.startswith("diversevul"), F.lit("external")).otherwise(F.nullif(F.regexp_extract(file, r"(train|validation|valid|val|test|external)\.jsonl\z", 1), F.lit("")))
+    split = F.coalesce(said, named)
+    return F.when(split.isin("val", "validation"), F.lit("valid")).otherwise(split)
+
+
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct records, trimmed, with `split` and `grp` (group by alias, project or as recorded)."""
     r = table(spark, folder, "records").distinct()
-    said, file = F.lower(presence(F.col("origin_split"))), presence(F.col("source_file"))
-    split = F.coalesce(said, F.when(file == "diversevul.jsonl", "external").otherwise(F.nullif(F.regexp_extract(file, r"_([a-z]+)\.jsonl", 1), F.lit(""))))
     r = r.select(
         "row_id", "dataset",
-        F.when(split.isin("val", "validation"), "valid").otherwise(split).alias("split"),
+        record_split(F.col("origin_split"), F.col("source_file")).alias("split"),
         "source_file", "line_number", presence(F.col("project")).alias("project"), presence(F.col("project_group")).alias("given"),
         F.lower(presence(F.col("commit_id"))).alias("commit_id"), presence(F.col("source_role")).alias("role"),
         F.lower(presence(F.col("exact_code_key"))).alias("key"), "first_position", "feature_position", "conflicting_label", "ingested_at",
@@ -79,8 +85,8 @@ _FILE = sql_presence("source_file")
 CTES = {
     "ali": "SELECT alias, min(project_group) AS to_group FROM project_aliases WHERE alias IS NOT NULL GROUP BY 1",
     "rec0": f"""SELECT row_id, dataset,
-        coalesce(lower({sql_presence('origin_split')}), CASE WHEN {_FILE} = 'diversevul.jsonl' THEN 'external'
-            ELSE nullif(regexp_extract({_FILE}, '_([a-z]+)\\.jsonl', 1), '') END) AS split0,
+        coalesce(lower({sql_presence('origin_split')}), CASE WHEN lower({_FILE}) LIKE 'diversevul%' THEN 'external'
+            ELSE nullif(regexp_extract(lower({_FILE}), '(train|validation|valid|val|test|external)\\.jsonl\\z', 1), '') END) AS split0,
         source_file, line_number, {sql_presence('project')} AS project, {sql_presence('project_group')} AS given,
         lower({sql_presence('commit_id')}) AS commit_id, {sql_presence('source_role')} AS role,
         lower({sql_presence('exact_code_key')}) AS key, first_position, feature_position, conflicting_label, ingested_at
