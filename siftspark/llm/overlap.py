@@ -34,6 +34,7 @@ from siftspark.llm import tokensets as ts
 from siftspark.llm.blocks import expanded, tiled, whole_blocks
 from siftspark.llm.neardup import sides
 from siftspark.operators.skew import join_hot
+from siftspark.plans.relations import record_split
 from siftspark.runtime import stage, table
 
 SIMILAR = Fraction(17, 20)
@@ -64,16 +65,10 @@ def record_splits(records: DataFrame, documents: DataFrame) -> DataFrame:
 
     A split that neither column names and a record without any key stay null.
     """
-    said = F.lower(presence(F.col("origin_split")))
-    file = F.lower(presence(F.col("source_file")))
-    named = F.when(file.startswith("diversevul"), F.lit("external")).otherwise(
-        F.nullif(F.regexp_extract(file, r"(train|valid|val|validation|test|external)\.jsonl", 1), F.lit(""))
-    )
-    split = F.coalesce(said, named)
     r = records.select(
         "dataset",
         "row_id",
-        F.when(split.isin("val", "validation"), F.lit("valid")).otherwise(split).alias("split"),
+        record_split(F.col("origin_split"), F.col("source_file")).alias("split"),
         F.lower(presence(F.col("exact_code_key"))).alias("own"),
     ).distinct()
     d = documents.select("dataset", "row_id", F.lower(presence(F.col("exact_code_key"))).alias("theirs")).where("theirs is not null")
