@@ -12,11 +12,11 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftspark.functions.canonical import bucket, hash_prefix, sql_hash_prefix
-from siftspark.operators.metrics import average_precision
+from siftspark.operators.metrics import auroc, average_precision
 from siftspark.operators.predicates import role
 from siftspark.operators.scalars import odds
 from siftspark.plans import relations as rel
@@ -40,10 +40,14 @@ def grams(text: Column) -> Column:
 
 def hashed_grams(docs: DataFrame, key: str, n: int = BUCKETS) -> DataFrame:
     """(key, idx, value): counts of hashed grams, scaled to length 1; a text without words has no row."""
-    g = docs.select(key, F.explode(grams(F.col("text"))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
-    c = g.groupBy(key, (hash_prefix(F.col("gram")) % n).cast("int").alias("idx")).agg(F.sum("n").alias("n"))
-    length = c.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
-    return c.join(length, key).select(key, "idx", F.round(F.col("n") / F.col("length"), 9).alias("value"))
+    # Texts are shuffled once, by key; counts and lengths then need no other exchange.
+    # The remainder by a power of two is in the last digits of the prefix, which spares decimals of twenty digits.
+    digest = F.sha2("gram", 256)
+    slot = (hash_prefix(F.col("gram")) % n).cast("int") if n & (n - 1) or n > 1 << 20 else F.conv(F.substring(digest, 12, 5), 16, 10).cast("int").bitwiseAND(F.lit(n - 1))
+    g = docs.select(key, "text").repartition(key).select(key, F.explode(grams(F.col("text"))).alias("gram")).select(key, slot.alias("idx"))
+    c = g.groupBy(key, "idx").agg(F.count(F.lit(1)).alias("n"))
+    length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
+    return c.select(key, "idx", F.round(F.col("n") / length, 9).alias("value"))
 
 
 def sparse_features(docs: DataFrame, n: int = BUCKETS) -> DataFrame:
@@ -144,7 +148,7 @@ def _domains(spark, folder) -> DataFrame:
 
 
 def _ratios(spark, folder) -> DataFrame:
-    return crossfit_ratio(sparse_features(_domains(spark, folder), 1 << 14), "row_id", "domain")
+    return crossfit_ratio(sparse_features(_domains(spark, folder)), "row_id", "domain")
 
 
 def kept_model(spark: SparkSession, folder: str) -> DataFrame:
@@ -227,7 +231,7 @@ def in_sample_ratio(spark: SparkSession, folder: str) -> DataFrame:
     the ones to use."""
     from siftspark.operators.predicates import clip
 
-    x = stage(sparse_features(_domains(spark, folder), 1 << 14).select("row_id", F.col("domain").alias("y"), "features"), "domains")
+    x = stage(sparse_features(_domains(spark, folder)).select("row_id", F.col("domain").alias("y"), "features"), "domains")
     m = _logistic(1e-4, 10).fit(balanced(x, "y"))
     return m.transform(x).select("row_id", F.round(clip(odds(vector_to_array("probability")[1])), 4).alias("ratio"))
 
@@ -283,13 +287,22 @@ def _fold_records(spark, folder) -> DataFrame:
     return r.groupBy("fold").agg(F.count(F.when(F.col("domain") == 0, 1)).alias("held_source"), F.count(F.when(F.col("domain") == 1, 1)).alias("held_target"), F.round(F.avg("ratio"), 6).alias("mean_ratio"))
 
 
+def _domain_scores(spark, folder) -> DataFrame:
+    """How well the out-of-fold odds tell the domains: rows, AUROC and average precision."""
+    r = stage(_ratios(spark, folder).withColumn("g", F.lit(1)), "ratios")
+    n = r.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("domain").alias("n_target"))
+    return n.join(auroc(r, ["g"], "ratio", "domain"), "g").join(average_precision(r, ["g"], "ratio", "domain"), "g").select("n", "n_target", F.round("auroc", 6).alias("auroc"), F.round("pr_auc", 6).alias("pr_auc"))
+
+
 QUERIES = {
     "ml_hash_vectorize": lambda s, d: hashed_grams(rel.documents(s, d).where("dataset <> 'context'"), "doc_id"),
     "scan_sparse": lambda s, d: hashed_grams(rel.documents(s, d), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_set"), F.round(F.sum(F.col("value") * F.col("value")), 5).alias("length")),
     "ml_detector_sgd": detector_grid,
     "ml_predict": detector_scores,
     "ml_head_logistic": head_grid,
-    "ml_crossfit_density": _fold_records,
+    "ml_crossfit_density": lambda s, d: _ratios(s, d).select("row_id", "domain", "fold", F.round("ratio", 6).alias("ratio")),
+    "ml_crossfit_folds": _fold_records,
+    "ml_domain_scores": _domain_scores,
     "ml_gate_fit": _gate,
     "ml_smoke_domain_ratio": in_sample_ratio,
     "gate_train_frame": gate_frame,
