@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftspark.functions.text import SPACE
 from siftspark.plans import relations as rel
 from siftspark.plans.relations import with_sql
 from siftspark.runtime import shared_dir, table
@@ -232,9 +233,16 @@ def _bibliography(s, d) -> DataFrame:
     from siftspark.sources.bibliography import entries
 
     p = _path(s, "refs")
-    sample = rel.documents(s, d).where("dataset = 'context' and text is not null").select(
-        F.format_string("@article{doc%d,\n  title = {Notes {on} %s \\& \\'{E}t\\'{e}},\n  year = {2020}\n}\n", "doc_id", "source").alias("value")
-    ).where("value is not null")
+    shapes = [
+        "@article{doc%d,\n  title = {Notes {on} %s \\& \\'{E}t\\'{e}},\n  year = {2020}\n}\n",
+        "@InProceedings{doc%d,\n  booktitle = {Proceedings of nothing},\n  title = \"Notes on %s {\\'E}t\\'e\",\n  year = 2021\n}\n",
+        "@comment{nothing here}\n@string{x = {y}}\n@book(doc%d,\n  TITLE={Notes \\emph{on}\n    %s \\textbf{\\'Et{\\'e}}},\n)\n",
+        "@misc{doc%d,\n  note = {%s},\n  title = {Notes on nothing}}\n",
+    ]
+    k, value = F.col("doc_id") % len(shapes), F.lit(None)
+    for i, shape in enumerate(shapes):
+        value = F.when(k == i, F.format_string(shape, "doc_id", "source")).otherwise(value)
+    sample = rel.documents(s, d).where("dataset = 'context' and text is not null and source is not null").select(value.alias("value"))
     sample.write.text(p)
     return entries(s, p)
 
@@ -242,7 +250,10 @@ def _bibliography(s, d) -> DataFrame:
 def _titles(s, d, f) -> DataFrame:
     from siftspark.sources import bibliography as b
 
-    t = rel.documents(s, d).select("doc_id", F.concat(F.lit("Notes {on} "), "source").alias("t"), F.concat(F.lit("Notes on "), "lang").alias("u"))
+    heads, k, head = ["Notes {on} ", "\\emph{Notes} on ", "N{\\^o}tes \\\"on ", "{\\textbf Notes} {{on}} "], F.col("doc_id") % 4, F.lit(None)
+    for i, h in enumerate(heads):
+        head = F.when(k == i, F.lit(h)).otherwise(head)
+    t = rel.documents(s, d).select("doc_id", F.concat(head, "source").alias("t"), F.concat(F.lit("Notes on "), "lang").alias("u"))
     return f(t, b)
 
 
@@ -274,8 +285,8 @@ QUERIES = {
     "scan_rowid_sidecar": _sidecar,
     "scan_bibtex": _bibliography,
     "fn_strip_latex": lambda s, d: _titles(s, d, lambda t, b: t.select("doc_id", b.strip_markup(F.col("t")).alias("title"))),
-    "fn_normalize_title": lambda s, d: _titles(s, d, lambda t, b: t.select("doc_id", b.normal_title("t").alias("title"))),
-    "fn_similarity": lambda s, d: _titles(s, d, lambda t, b: t.select("doc_id", F.round(b.similarity("t", "u"), 6).alias("similarity"))),
+    "fn_normalize_title": lambda s, d: _titles(s, d, lambda t, b: t.select("doc_id", b.normal_title(b.strip_markup(F.col("t"))).alias("title"))),
+    "fn_similarity": lambda s, d: _titles(s, d, lambda t, b: t.select("doc_id", F.round(b.similarity(*[b.normal_title(b.strip_markup(F.col(x))) for x in ("t", "u")]), 6).alias("similarity"))),
     "sink_snapshot": _snapshot,
     "sink_gz_csv_det": _same_bytes,
     "sink_split_meta_labels": _split_sink,
@@ -306,9 +317,10 @@ ORACLE = {
     "scan_sqlite_ro": "SELECT dataset, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY 1",
     "scan_memmap": "SELECT len(embedding) AS width, count(*) AS n, round(sum(list_sum(embedding::DOUBLE[])), 3) AS total FROM embeddings GROUP BY 1",
     "scan_rowid_sidecar": with_sql("rec", "SELECT count(*) AS n_left, count(*) AS n_right, 0::BIGINT AS unequal FROM rec WHERE dataset = 'diversevul'"),
-    "scan_bibtex": "SELECT 'article' AS kind, 'doc' || doc_id AS key, 'notes on ' || trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')) || ' ete' AS title FROM documents WHERE dataset = 'context' AND text IS NOT NULL AND source IS NOT NULL",
-    "fn_strip_latex": "SELECT doc_id, 'Notes on ' || source AS title FROM documents",
-    "fn_normalize_title": "SELECT doc_id, trim(regexp_replace(lower('Notes on ' || source), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents",
+    "scan_bibtex": """WITH x AS (SELECT doc_id, doc_id % 4 AS k, trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')) AS s FROM documents WHERE dataset = 'context' AND text IS NOT NULL AND source IS NOT NULL)
+        SELECT ['article', 'inproceedings', 'book', 'misc'][k + 1] AS kind, 'doc' || doc_id AS key, CASE k WHEN 3 THEN 'notes on nothing' ELSE 'notes on ' || s || ' et e' END AS title FROM x""",
+    "fn_strip_latex": f"SELECT doc_id, trim(regexp_replace(CASE doc_id % 4 WHEN 2 THEN 'N\\^otes \\\"on ' ELSE 'Notes on ' END || source, '{SPACE}+', ' ', 'g')) AS title FROM documents",
+    "fn_normalize_title": "SELECT doc_id, trim(regexp_replace(lower(CASE doc_id % 4 WHEN 2 THEN 'n otes on ' ELSE 'Notes on ' END || source), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents",
     "sink_snapshot": """SELECT 'records' AS table_name, count(*) AS n, 14::BIGINT AS columns FROM records UNION ALL SELECT 'predictions', count(*), 7 FROM predictions
         UNION ALL SELECT 'mix_targets', count(*), 3 FROM mix_targets UNION ALL SELECT 'project_aliases', count(*), 2 FROM project_aliases""",
     "sink_split_meta_labels": with_sql("rl", "SELECT dataset, count(*) AS n, sum(target)::BIGINT AS vulnerable FROM rl GROUP BY 1"),
