@@ -14,35 +14,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.runtime import stage
+
 #: Rows of a block that one tile holds at most, about.
 TILE = 2048
-#: Sets for each stratum. A set is in some ten blocks that hold others, so strata hold some hundred rows at any size.
-PER_STRATUM = 32
-
-
-def strata_of(sets: int) -> int:
-    """How many strata the small blocks of so many sets are put together into."""
-    return max(1, -(-sets // PER_STRATUM))
-
+#: Rows of small blocks that are put together into a stratum, about.
+STRATUM = 384
 
 
-def tiled(rows: DataFrame, key: str, row_id: str, useful: Column, extra: list[Column], tile: int = TILE, strata: int | None = None, ordered: bool = True) -> DataFrame:
+def tiled(rows: DataFrame, key: str, row_id: str, useful: Column, extra: list[Column], tile: int = TILE, stratum: int | None = None, ordered: bool = True) -> DataFrame:
     """``rows`` of blocks for which ``useful`` holds, as units (key, _t, _u) with ``_tile``, sorted within partitions.
 
     ``extra``: aggregates that ``useful`` needs; they and the block's size ``_m`` are combined map-side. A pair of rows
     that lie in the same tile is to be compared in the unit _t = _u = its tile only, others in the unit of their tiles.
-    With ``strata`` the blocks of one tile are put together into that many strata, which take the place of ``key``; a
-    row that is in several blocks of a stratum comes several times, side by side. Not ``ordered``: left as they come.
+    With ``stratum`` the blocks of one tile are put together by hash into strata of about that many rows, which take the
+    place of ``key``; a row that is in several blocks of a stratum comes several times, side by side. Not ``ordered``:
+    left as they come.
     """
     size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_m"), *extra).where((F.col("_m") > 1) & useful).select(key, "_m")
+    if stratum:
+        size = stage(size, "blocks")
+        few = size.where(F.col("_m") <= tile).agg(F.sum("_m")).first()[0] or 0
     kept = rows.join(size, key)
     g = F.ceil(F.col("_m") / tile).cast("int")
     own = F.pmod(F.xxhash64(row_id), g.cast("long")).cast("int")
     units = kept.withColumn("_g", g).withColumn("_tile", own).drop("_m")
     units = units.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
     units = units.withColumn("_t", F.least("_o", "_tile")).withColumn("_u", F.greatest("_o", "_tile")).drop("_o")
-    if strata:
-        units = units.withColumn(key, F.when(F.col("_g") > 1, F.col(key)).otherwise(F.pmod(F.xxhash64(key), F.lit(strata).cast("long"))))
+    if stratum:
+        strata = F.lit(max(1, -(-few // stratum))).cast("long")
+        units = units.withColumn(key, F.when(F.col("_g") > 1, F.col(key)).otherwise(F.pmod(F.xxhash64(key), strata)))
     if not ordered:
         return units.drop("_g")
     return units.drop("_g").repartition(key, "_t", "_u").sortWithinPartitions(key, "_t", "_u", row_id)

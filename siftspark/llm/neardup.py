@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm import tokensets as ts
-from siftspark.llm.blocks import strata_of, tiled, whole_blocks
+from siftspark.llm.blocks import STRATUM, tiled, whole_blocks
 from siftspark.llm.forest import components
 from siftspark.runtime import stage
 
@@ -239,7 +239,7 @@ def _units(c: ts.Classes, t: Fraction) -> DataFrame:
     spark, total = c.sets.sparkSession, c.sets.count()
     order = ts.share(spark, ts.order_table(c.sets, "tokens", total))
     rows = c.sets.select("cid", "tokens").mapInArrow(vector_rows(order, total, t), UNIT_SQL)
-    return tiled(rows, "key", "cid", F.lit(True), [], strata=strata_of(total))
+    return tiled(rows, "key", "cid", F.lit(True), [], stratum=STRATUM)
 
 
 def similar_links(c: ts.Classes, t: Fraction = SIMILAR) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm import tokensets as ts
-from siftspark.llm.blocks import expanded, strata_of, tiled, whole_blocks
+from siftspark.llm.blocks import STRATUM, expanded, tiled, whole_blocks
 from siftspark.llm.neardup import UNIT_SQL, Units, sides, unit_tables, vector_rows
 from siftspark.runtime import stage
 
@@ -198,7 +198,7 @@ def _units(c: ts.Classes, t: Fraction) -> DataFrame:
     order = ts.share(spark, ts.order_table(c.sets, "tokens", total))
     rows = c.sets.select("cid", "tokens", "left", "right").mapInArrow(vector_rows(order, total, t), f"{UNIT_SQL}, left boolean, right boolean")
     useful = F.col("_l") & F.col("_r")
-    return tiled(rows, "key", "cid", useful, [F.max("left").alias("_l"), F.max("right").alias("_r")], strata=strata_of(total))
+    return tiled(rows, "key", "cid", useful, [F.max("left").alias("_l"), F.max("right").alias("_r")], stratum=STRATUM)
 
 
 def _classes(documents: DataFrame, left: str, right: str) -> ts.Classes:
