@@ -460,6 +460,12 @@ DECISIONS_SQL = ", ".join(
      DERIVED_SQL, "pd AS (SELECT ad.*, tgt.y, tgt.p, av, asafe, 'prom_derived_' || expert AS method FROM ad JOIN bud ON alpha = least(av, asafe) JOIN tgt USING (detector, seed, target_group, position, row_id))",
      "de AS (" + " UNION ALL ".join(f"SELECT {_R}, av, asafe, method, in_safe, in_vulnerable FROM {n}" for n in _ALL) + ")"]
 )
+def _lac_sql(of: str, method: str) -> str:
+    return f"""SELECT detector, target_group, seed, position, row_id, av, asafe, '{method}' AS method, i > k OR p <= 0.5 AS in_safe, i > k OR p > 0.5 AS in_vulnerable FROM
+      (SELECT tb.*, row_number() OVER (PARTITION BY tb.detector, tb.seed, tb.av, tb.asafe ORDER BY credibility DESC, tb.target_group, tb.position) AS i, k FROM tb JOIN cr USING (detector, target_group, seed, position, row_id)
+       JOIN (SELECT detector, seed, av, asafe, count(*) FILTER (in_safe <> in_vulnerable) AS k FROM {of} GROUP BY 1, 2, 3, 4) USING (detector, seed, av, asafe))"""
+
+
 _OUT = "detector, target_group, seed, position, row_id, av, asafe, method, in_safe, in_vulnerable"
 _NEED = "cal tgt bud ev"
 _CRED = f"""WITH {MONDRIAN_SQL}, f AS (SELECT *, (p > 0.5)::INT AS label FROM tgt), o AS (SELECT *, CASE WHEN label = 1 THEN 1 - p ELSE 1 - (1 - p) END AS own FROM f),
@@ -485,6 +491,9 @@ ORACLE = {
         FROM o LEFT JOIN sc ON sc.detector = o.detector AND sc.seed = o.seed AND sc.y = label GROUP BY ALL"""),
     "conf_lac_matched": with_sql(_NEED, f"""{_CRED} SELECT detector, target_group, seed, position, label,
         row_number() OVER (PARTITION BY detector, seed ORDER BY credibility DESC, target_group, position) <= 5 AS accepted FROM cr"""),
+    "topk_matched_accept": with_sql(_NEED, f"WITH {DECISIONS_SQL} SELECT {_OUT}, in_safe <> in_vulnerable AS accepted FROM mm UNION ALL SELECT {_OUT}, in_safe <> in_vulnerable FROM mg"),
+    "conf_lac_matched_sets": with_sql(_NEED, f"""WITH {DECISIONS_SQL}, {_CRED.removeprefix(f'WITH {MONDRIAN_SQL}, ')}, lm AS ({_lac_sql('md', 'lac_matched_unweighted_mondrian')} UNION ALL
+        {_lac_sql("(SELECT * FROM ga WHERE method = 'gated_full_gate_clip_20')", 'lac_matched_full_gate')}) SELECT {_OUT}, in_safe <> in_vulnerable AS accepted FROM lm"""),
     "supp_ess_rule": with_sql(_NEED, f"WITH {DECISIONS_SQL} SELECT detector, seed, clip, av, asafe, ess_only FROM rg"),
     "supp_adjust_v1": with_sql(_NEED, f"""WITH {DECISIONS_SQL} SELECT detector, seed, clip, av, asafe, list_filter([
         CASE WHEN ess < {LEAST_TOTAL_ESS} THEN 'total_ess' END, CASE WHEN ess_0 < greatest({LEAST_CLASS_ESS}, ceil({ESS_OVER_ALPHA} / asafe)) THEN 'class_0_ess' END,

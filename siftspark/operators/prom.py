@@ -523,6 +523,11 @@ ORACLE = {
         SELECT detector, seed, k_reg, arg_min(lam, (size, lam)) AS lam FROM m GROUP BY 1, 2, 3"""),
     "prom_neighbor_count": with_sql("cal", "WITH c AS (SELECT detector, seed, count(*) AS n FROM cal GROUP BY 1, 2) SELECT *, CASE WHEN n < 200 THEN n ELSE floor(n * 0.1)::BIGINT END AS k FROM c"),
     "join_knn_1d": with_sql("cal tgt", f"WITH {_NEAR} SELECT detector, seed, target_group, position, distance, idx FROM nn"),
+    "join_knn_window": with_sql("cal tgt", """WITH n AS (SELECT t.detector, t.target_group, t.seed, t.position, abs(c.p - t.p) AS d, row_number() OVER (w ORDER BY abs(c.p - t.p)) AS i, count(*) OVER w AS n
+        FROM tgt t JOIN cal c USING (detector, seed) WINDOW w AS (PARTITION BY t.detector, t.target_group, t.seed, t.position)),
+        k AS (SELECT *, CASE WHEN n < 200 THEN n ELSE floor(n * 0.1)::BIGINT END AS k FROM n),
+        r AS (SELECT *, max(d) FILTER (i = k) OVER (PARTITION BY detector, target_group, seed, position) AS reach FROM k)
+        SELECT detector, target_group, seed, position, k, reach, count(*) FILTER (d < reach - 1e-12) AS inside, count(*) FILTER (d <= reach + 1e-12 AND d >= reach - 1e-12) AS tied FROM r GROUP BY ALL"""),
     "prom_local_pvalue": with_sql("cal tgt", f"WITH {_NEAR} SELECT * FROM pv"),
     "prom_accept": with_sql("cal tgt", f"WITH {_NEAR} SELECT {_IDS}, (1 - p >= {_TOP})::INT + (p >= {_TOP})::INT = 1 AND p_value > 1 - 0.3::DOUBLE AS accepted FROM tgt JOIN pv USING (detector, seed, target_group, position)"),
     "prom_derived": with_sql("cal tgt bud", f"WITH {DERIVED_SQL} SELECT detector, target_group, seed, position, row_id, alpha, expert, in_safe, in_vulnerable FROM ad"),
