@@ -282,6 +282,15 @@ def decisions(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def clip_sets(scored: DataFrame, clip: float, cell: list[str] = CELL) -> DataFrame:
+    """Of ``decisions`` the plain and pooled sets and the weighted and gated ones of one clip, without making the others."""
+    cal, tgt = scored.where("side = 'calibration'"), scored.where("side = 'target'")
+    weighted = stage(weighted_sets(cal, tgt, cell, clips=(clip,)), "weighted")
+    rules = stage(gate_rules(support(cal, tgt, scored, cell, (clip,)), weighted, cell), "rules")
+    parts = [mondrian_sets(tgt, mondrian(cal, cell), cell), pooled_sets(tgt, pooled(cal, cell), cell), weighted, gated_sets(weighted, rules, cell)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def credibility(cal: DataFrame, tgt: DataFrame, cell: list[str], counts: bool = False) -> DataFrame:
     """Label-conditional p-value of the forced label: (1 + calibration scores >= own) / (n + 1); or the two ``counts``."""
     c = cal.select(*cell, F.col("y").alias("label"), score(F.col("p"), F.col("y")).alias("score"))

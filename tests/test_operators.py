@@ -343,3 +343,19 @@ def test_all_methods_in_every_cell(spark):
     scored = spark.createDataFrame(scores(r.random(80), r.integers(0, 2, 80), "calibration") + scores(r.random(15), np.zeros(15), "target"), CELLED)
     got = conformal.decisions(scored).groupBy("method").agg(F.count(F.lit(1)).alias("n")).collect()
     assert {x["method"] for x in got} == set(conformal.METHODS) and len(conformal.METHODS) == 25 and {x["n"] for x in got} == {15 * 9}
+
+
+def test_hodges_lehmann_is_a_mean_of_pairs():
+    r = np.random.default_rng(31)
+    for n in (11, 240, 601):
+        for x in (r.normal(size=n), r.integers(-9, 9, n) / 7, np.where(r.random(n) < 0.8, 0.0, r.normal(size=n)), np.full(n, 0.3)):
+            assert statistics.hodges_lehmann(x, direct=10) == statistics.hodges_lehmann(x)
+
+
+def test_sets_of_one_clip_are_those_of_all_methods(spark):
+    r = np.random.default_rng(24)
+    scored = spark.createDataFrame(scores(r.random(300), r.integers(0, 2, 300), "calibration") + scores(r.random(20), r.integers(0, 2, 20), "target"), CELLED)
+    few, every = conformal.clip_sets(scored, 20.0), conformal.decisions(scored)
+    methods = {statistics.BASELINE, *statistics.COMPARED}
+    keep = lambda df: sorted(tuple(x) for x in df.where(F.col("method").isin(*methods)).select(sorted(df.columns)).collect())
+    assert keep(few) == keep(every) and {x[0] for x in few.select("method").distinct().collect()} == methods
