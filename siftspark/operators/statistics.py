@@ -152,7 +152,10 @@ def sign_test(wins: int, losses: int) -> float:
     if not n:
         return math.nan
     k = min(wins, losses)
-    tail = sum(math.comb(n, i) for i in range(k + 1))
+    tail = ways = 1
+    for i in range(k):  # each coefficient from the one before
+        ways = ways * (n - i) // (i + 1)
+        tail += ways
     return min(1.0, 2 * tail / 2**n) if 2 * k != n else 1.0
 
 
@@ -417,8 +420,20 @@ def _median_intervals(s, d) -> DataFrame:
     return g.groupBy("detector").applyInPandas(run, "detector string, groups long, median double, ci_lower double, ci_upper double")
 
 
-def _signs(s, d) -> DataFrame:
-    return comparisons(_differences(s, d), 100).select(*POINT, "outcome", "wins", "losses", "sign_p")
+def signs(differences: DataFrame) -> DataFrame:
+    """(detector, av, asafe, method, outcome, wins, losses, sign_p): counted in the JVM, so Python gets two numbers for each
+    comparison."""
+    more = F.col("outcome") == MORE_IS_BETTER
+    up, down = F.count(F.when(F.col("difference") > 0, 1)), F.count(F.when(F.col("difference") < 0, 1))
+    n = differences.groupBy(*POINT, "outcome").agg(up.alias("up"), down.alias("down"))
+    n = n.select(*POINT, "outcome", F.when(more, F.col("up")).otherwise(F.col("down")).alias("wins"), F.when(more, F.col("down")).otherwise(F.col("up")).alias("losses"))
+    kinds = [c for c in COMPARISON.split(", ") if c.split()[0] in (*POINT, "outcome", "wins", "losses", "sign_p")]
+
+    def each(batches):
+        for pdf in batches:
+            yield pdf.assign(sign_p=[_null(sign_test(int(w), int(l))) for w, l in zip(pdf.wins, pdf.losses, strict=True)])
+
+    return n.mapInPandas(each, ", ".join(kinds))
 
 
 def _method_summary(s, d) -> DataFrame:
@@ -440,7 +455,7 @@ QUERIES = {
     "stat_bootstrap_median": _median_intervals,
     "stat_bootstrap_strata": _strata,
     "stat_wilcoxon_exact": lambda s, d: comparisons(_differences(s, d), 100).select(*POINT, "outcome", "nonzero", "wilcoxon_p"),
-    "stat_sign_test": _signs,
+    "stat_sign_test": lambda s, d: signs(_differences(s, d)),
     "stat_holm": lambda s, d: comparisons(_differences(s, d), 100).select(*POINT, "outcome", "wilcoxon_p", "holm_p"),
     "stat_paired_comparisons": lambda s, d: comparisons(_differences(s, d)),
     "stat_gate_discrimination": _discrimination,

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from itertools import product
 
 import numpy as np
@@ -359,3 +360,14 @@ def test_sets_of_one_clip_are_those_of_all_methods(spark):
     methods = {statistics.BASELINE, *statistics.COMPARED}
     keep = lambda df: sorted(tuple(x) for x in df.where(F.col("method").isin(*methods)).select(sorted(df.columns)).collect())
     assert keep(few) == keep(every) and {x[0] for x in few.select("method").distinct().collect()} == methods
+
+
+def test_sign_test_of_many_groups(spark):
+    assert statistics.sign_test(4, 9) == 2 * sum(math.comb(13, i) for i in range(5)) / 2**13
+    began = time.process_time()
+    p = statistics.sign_test(9_900, 10_100)
+    assert time.process_time() - began < 2 and p == pytest.approx(math.erfc(199 / math.sqrt(2 * 20_000)), rel=1e-3)
+    rows = [("d", 0.1, 0.2, "m", o, f"g{i}", x) for o in ("review_load", statistics.MORE_IS_BETTER) for i, x in enumerate((1.0, -1.0, -2.0, 0.0))] + [("d", 0.1, 0.2, "m", "safe_violation", "g", 0.0)]
+    df = spark.createDataFrame(rows, "detector string, av double, asafe double, method string, outcome string, target_group string, difference double")
+    got = {x["outcome"]: (x["wins"], x["losses"], x["sign_p"]) for x in statistics.signs(df).collect()}
+    assert got == {"review_load": (2, 1, 1.0), statistics.MORE_IS_BETTER: (1, 2, 1.0), "safe_violation": (0, 0, None)}
