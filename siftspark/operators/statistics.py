@@ -122,6 +122,10 @@ def bootstrap_interval(seed: int, *samples: np.ndarray, replicates: int = REPLIC
     return percentile_interval(first - others[0] if others else first)
 
 
+#: Numbers of ranks and sums of ranks up to which the ways to reach each sum are counted one rank after the other.
+FEW_RANKS, SMALL_SUM = 200, 20_000
+
+
 def wilcoxon_exact(d: np.ndarray, least: int = 10) -> float:
     """Two-sided exact signed-rank p of the nonzero differences; NaN for fewer than ``least``.
 
@@ -137,13 +141,53 @@ def wilcoxon_exact(d: np.ndarray, least: int = 10) -> float:
     mid = (np.searchsorted(order, a, "left") + np.searchsorted(order, a, "right") + 1) / 2
     plus = float(mid[d > 0].sum())
     top = n * (n + 1) // 2
-    ways = np.zeros(top + 1)
+    w = math.floor(min(plus, top - plus))
+    at_most = _counted(n, w) if n <= FEW_RANKS or w <= SMALL_SUM else _inverted(n, w)
+    return float(min(1.0, 2 * at_most))
+
+
+def _counted(n: int, w: int) -> float:
+    """The chance that ranks 1..n, each taken or not, sum to w at most: a distribution grows by one rank after the other."""
+    ways = np.zeros(w + 1)
     ways[0] = 1.0
     for r in range(1, n + 1):
-        ways[r:] = (ways[r:] + ways[:-r]) / 2
-        ways[:r] /= 2
-    w = min(plus, top - plus)
-    return float(min(1.0, 2 * ways[: math.floor(w) + 1].sum()))
+        if r <= w:
+            ways[r:] = (ways[r:] + ways[:-r]) / 2
+            ways[:r] /= 2
+        else:
+            ways /= 2
+    return float(ways.sum())
+
+
+def _inverted(n: int, w: int) -> float:
+    """As ``_counted``, from the characteristic function of the sum, in time that grows with n only.
+
+    Ranks are taken with chances tilted so that the mean of the sum is w; the tilt is a factor exp(K - lean x) of each
+    sum's chance. So what is inverted lies around its own mean, and small chances keep their digits. Sums are looked at
+    modulo a period of 32 standard deviations, 16 of them below w, and frequencies up to 12 of their inverse: what lies
+    beyond either has a chance below the rounding. For w <= top / 2.
+    """
+    r = np.arange(1.0, n + 1)
+    chance = lambda lean: (e := np.exp(lean * r)) / (1 + e)
+    lo, hi = -1.0, 0.0
+    while lo < (lean := (lo + hi) / 2) < hi:
+        lo, hi = (lean, hi) if (r * chance(lean)).sum() < w else (lo, lean)
+    lean = hi
+    q = chance(lean)
+    spread = math.sqrt((r * r * q * (1 - q)).sum())
+    below = min(w, math.ceil(16 * spread))
+    period = below + math.ceil(16 * spread)
+    t = 2 * math.pi / period * np.arange(math.ceil(12 / spread * period / (2 * math.pi)) + 1)
+    log_size, angle = np.empty(len(t)), np.empty(len(t))
+    for i, f in enumerate(t):
+        log_size[i] = np.log1p(-4 * q * (1 - q) * np.sin(r * f / 2) ** 2).sum() / 2
+        angle[i] = (np.arctan2(q * np.sin(r * f), 1 - q + q * np.cos(r * f)) - q * r * f).sum() + f * ((q * r).sum() - w)
+    z = lean + 1j * t
+    stretch = np.full(len(t), below + 1.0, complex)
+    np.divide(np.expm1(z * (below + 1)), np.expm1(z), out=stretch, where=z != 0)
+    part = (np.exp(log_size + 1j * angle) * stretch).real
+    scale = (np.log1p(np.exp(lean * r)) - math.log(2)).sum() - lean * w
+    return float(math.exp(scale) * (part[0] + 2 * part[1:].sum()) / period)
 
 
 def sign_test(wins: int, losses: int) -> float:
@@ -224,7 +268,12 @@ def comparisons(differences: DataFrame, replicates: int = REPLICATES) -> DataFra
         row = [r.detector, r.av, r.asafe, r.method, r.outcome, len(d), int((d != 0).sum()), float(np.median(d)), hodges_lehmann(d), lo, hi, wins, int((d == 0).sum()), losses, _null(sign_test(wins, losses)), _null(wilcoxon_exact(d))]
         return pd.DataFrame([row], columns=[c.split()[0] for c in COMPARISON.split(", ")])
 
-    done = stage(differences.groupBy(*POINT, "outcome").applyInPandas(run, COMPARISON), "comparisons")
+    return with_holm(differences.groupBy(*POINT, "outcome").applyInPandas(run, COMPARISON))
+
+
+def with_holm(done: DataFrame) -> DataFrame:
+    """Adds `holm_p`, Holm's adjustment of `wilcoxon_p` over the methods."""
+    done = stage(done, "comparisons")
     adjusted = holm(done, ["detector", "av", "asafe", "outcome"], "wilcoxon_p", ["method"]).select(*POINT, "outcome", F.col("adjusted").alias("holm_p"))
     return done.join(adjusted, [*POINT, "outcome"], "left")
 
@@ -456,7 +505,7 @@ QUERIES = {
     "stat_bootstrap_strata": _strata,
     "stat_wilcoxon_exact": lambda s, d: comparisons(_differences(s, d), 100).select(*POINT, "outcome", "nonzero", "wilcoxon_p"),
     "stat_sign_test": lambda s, d: signs(_differences(s, d)),
-    "stat_holm": lambda s, d: comparisons(_differences(s, d), 100).select(*POINT, "outcome", "wilcoxon_p", "holm_p"),
+    "stat_holm": lambda s, d: with_holm(compared(_differences(s, d), lambda r: [_null(wilcoxon_exact(r.x))], ["wilcoxon_p"])),
     "stat_paired_comparisons": lambda s, d: comparisons(_differences(s, d)),
     "stat_gate_discrimination": _discrimination,
 }

@@ -371,3 +371,17 @@ def test_sign_test_of_many_groups(spark):
     df = spark.createDataFrame(rows, "detector string, av double, asafe double, method string, outcome string, target_group string, difference double")
     got = {x["outcome"]: (x["wins"], x["losses"], x["sign_p"]) for x in statistics.signs(df).collect()}
     assert got == {"review_load": (2, 1, 1.0), statistics.MORE_IS_BETTER: (1, 2, 1.0), "safe_violation": (0, 0, None)}
+
+
+def test_signed_rank_p_of_many_groups():
+    for n, w in ((300, 20_001), (300, 22_575), (640, 60_000), (640, 90_000), (640, 102_560)):
+        assert statistics._inverted(n, w) == pytest.approx(statistics._counted(n, w), rel=1e-12)
+    d = np.random.default_rng(12).normal(0.03, 1, 9_000)
+    began = time.process_time()
+    p = statistics.wilcoxon_exact(d)
+    assert time.process_time() - began < 5
+    rank, n = np.argsort(np.argsort(np.abs(d))) + 1, len(d)
+    low = min(rank[d > 0].sum(), rank[d < 0].sum())
+    z = (n * (n + 1) / 4 - low - 0.5) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    assert p == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-2)
+    assert statistics.wilcoxon_exact(np.full(3_000, 0.5)) == 0 and statistics.wilcoxon_exact(np.tile([1.0, -1.0], 500)) == 1
