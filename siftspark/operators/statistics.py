@@ -89,20 +89,23 @@ def _kth_mean(x: np.ndarray, k: int) -> float:
 
 
 #: Draws of a resample that are held at a time.
-DRAWS = 1 << 21
+DRAWS = 1 << 18
 
 
 def resampled_medians(x: np.ndarray, rng: np.random.Generator, replicates: int) -> np.ndarray:
     """Medians of resamples of ``x``. Resamples are drawn as ranks, some at a time; only their middle ranks are selected."""
     values = np.sort(np.asarray(x, float))
-    rank = np.empty(len(values), np.int64)
-    rank[np.argsort(x, kind="stable")] = np.arange(len(values))
-    middle = ((len(values) - 1) // 2, len(values) // 2)
-    step, parts = max(1, DRAWS // len(values)), []
+    n = len(values)
+    rank = np.empty(n, np.int32)
+    rank[np.argsort(x, kind="stable")] = np.arange(n)
+    middle = (n - 1) // 2
+    step, parts = max(1, DRAWS // n), []
     for at in range(0, replicates, step):
-        drawn = rank[rng.integers(0, len(values), size=(min(step, replicates - at), len(values)))]
+        # Below 2^32 numbers of 32 bits are drawn from the same stream as those of 64.
+        drawn = rank[rng.integers(0, n, size=(min(step, replicates - at), n), dtype=np.int32)]
         drawn.partition(middle, axis=1)
-        parts.append((values[drawn[:, middle[0]]] + values[drawn[:, middle[1]]]) / 2)
+        upper = drawn[:, middle] if n % 2 else drawn[:, middle + 1 :].min(axis=1)
+        parts.append((values[drawn[:, middle]] + values[upper]) / 2)
     return np.concatenate(parts)
 
 
@@ -117,6 +120,8 @@ def bootstrap_interval(seed: int, *samples: np.ndarray, replicates: int = REPLIC
     PCG64; NaN if a sample is empty."""
     if not all(len(x) for x in samples):
         return math.nan, math.nan
+    if len(samples) == 1 and np.ptp(samples[0]) == 0:  # every resample is the same
+        return float(samples[0][0]), float(samples[0][0])
     rng = np.random.default_rng(seed)
     first, *others = [resampled_medians(x, rng, replicates) for x in samples]
     return percentile_interval(first - others[0] if others else first)
@@ -258,17 +263,15 @@ def comparisons(differences: DataFrame, replicates: int = REPLICATES) -> DataFra
     """
     import zlib
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        d = pdf.sort_values("target_group").difference.to_numpy(float)
+    def run(r) -> list:
+        d = r.x
         good, bad = (d > 0, d < 0) if r.outcome == MORE_IS_BETTER else (d < 0, d > 0)
         seed = SEED + zlib.crc32(f"{r.detector}|{r.av}|{r.asafe}|{r.method}|{r.outcome}".encode())
         lo, hi = bootstrap_interval(seed, d, replicates=replicates)
         wins, losses = int(good.sum()), int(bad.sum())
-        row = [r.detector, r.av, r.asafe, r.method, r.outcome, len(d), int((d != 0).sum()), float(np.median(d)), hodges_lehmann(d), lo, hi, wins, int((d == 0).sum()), losses, _null(sign_test(wins, losses)), _null(wilcoxon_exact(d))]
-        return pd.DataFrame([row], columns=[c.split()[0] for c in COMPARISON.split(", ")])
+        return [len(d), int((d != 0).sum()), float(np.median(d)), hodges_lehmann(d), lo, hi, wins, int((d == 0).sum()), losses, _null(sign_test(wins, losses)), _null(wilcoxon_exact(d))]
 
-    return with_holm(differences.groupBy(*POINT, "outcome").applyInPandas(run, COMPARISON))
+    return with_holm(compared(differences, run, [c.split()[0] for c in COMPARISON.split(", ")][5:]))
 
 
 def with_holm(done: DataFrame) -> DataFrame:

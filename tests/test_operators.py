@@ -1,6 +1,7 @@
 import math
 import random
 import time
+import zlib
 from itertools import product
 
 import numpy as np
@@ -385,3 +386,18 @@ def test_signed_rank_p_of_many_groups():
     z = (n * (n + 1) / 4 - low - 0.5) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
     assert p == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-2)
     assert statistics.wilcoxon_exact(np.full(3_000, 0.5)) == 0 and statistics.wilcoxon_exact(np.tile([1.0, -1.0], 500)) == 1
+
+
+def test_comparisons_are_dealt_to_tasks(spark):
+    r = np.random.default_rng(17)
+    x = {m: r.integers(-3, 4, 60) / 4 for m in statistics.COMPARED[:2]} | {statistics.COMPARED[2]: np.full(60, 0.25)}
+    rows = [("d", 0.1, 0.2, m, "review_load", f"g{i:02}", float(x[m][i])) for m in x for i in r.permutation(60)]
+    df = spark.createDataFrame(rows, "detector string, av double, asafe double, method string, outcome string, target_group string, difference double")
+    assert statistics.compared(df, lambda q: [len(q.x)], ["groups"]).rdd.getNumPartitions() == statistics.TASKS
+    got = {q["method"]: q for q in statistics.comparisons(df, 200).collect()}
+    for m, v in x.items():
+        seed = statistics.SEED + zlib.crc32(f"d|0.1|0.2|{m}|review_load".encode())
+        medians = np.median(v[np.random.default_rng(seed).integers(0, 60, size=(200, 60))], axis=1)
+        q = got[m]
+        assert (q["ci_lower"], q["ci_upper"]) == statistics.percentile_interval(medians) and q["median"] == np.median(v) and q["hodges_lehmann"] == statistics.hodges_lehmann(v)
+        assert (q["wins"], q["ties"], q["losses"]) == ((v < 0).sum(), (v == 0).sum(), (v > 0).sum()) and q["wilcoxon_p"] == statistics.wilcoxon_exact(v) and q["holm_p"] >= q["wilcoxon_p"]
